@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import html_extract, mixing, secrets, sharding
+from narrata.llm import html_extract, mixing, quality, secrets, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(docs, shards=16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE; its file is no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """Rows whose label no model may learn from."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out())
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -70,6 +93,8 @@ FROM c
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
+    "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
 }
