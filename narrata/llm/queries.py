@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import html_extract, mixing, quality, secrets, sharding, token_files
+from narrata.llm import html_extract, mixing, ngram_join, quality, secrets, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(_table(spark, sf_dir, "documents"), ngram_join.Rule(size=4, num=85, den=100))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan(docs).drop("text", "found")
@@ -91,6 +95,7 @@ FROM c
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_secrets": op2_secrets,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,

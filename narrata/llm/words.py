@@ -168,10 +168,9 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     hashed = mix(rolled)
     for r in np.flatnonzero(short):
         a, b = first[r], first[r + 1]
-        total = U(b - a) * _BASE
-        for k, w in enumerate(words[a:b]):
-            total = mix_one(total + mix_one(w + U(k + 1)))
-        hashed[a], keep[a] = total, True
+        # Another sum than that of a full run, so that no short text equals a run.
+        hashed[a] = mix((mix(words[a:b] + np.arange(1, b - a + 1, dtype=U)) * multipliers[: b - a]).sum(keepdims=True) + U(b - a))[0]
+        keep[a] = True
     out_counts[short] = 1
     return hashed[keep], np.concatenate([[0], np.cumsum(out_counts)])
 
@@ -181,11 +180,6 @@ def mix_light(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> U(29 + k % 8))
 
 
-def mix_one(h: np.uint64) -> np.uint64:
-    with np.errstate(over="ignore"):
-        return mix(np.array([h], U))[0]
-
-
 def distinct_sorted(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, and where each row's begin."""
     rows = len(first) - 1
