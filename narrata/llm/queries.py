@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import html_extract, mixing, ngram_join, quality, secrets, sharding, token_files
+from narrata.llm import embedding_forest, html_extract, mixing, ngram_join, quality, secrets, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs).drop("text", "found")
 
 
+def op3_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.ring_shards(docs, shards=16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -97,6 +101,7 @@ FROM c
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secrets": op2_secrets,
+    "op3_embedding_forest": op3_embedding_forest,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_token_files": op7_token_files,
