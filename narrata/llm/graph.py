@@ -29,10 +29,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))
-        for _ in range(2):
-            hooks = cut(hooks, "hooks")
-            hooks = _follow(hooks, "to", hooks)
         hooks = cut(hooks, "hooks")
+        hooks = cut(_follow(_follow(hooks, "to", hooks), "to", hooks), "hooks")
         labels = hooks.withColumnRenamed("to", "component") if labels is None else cut(_follow(labels, "component", hooks), "labels")
         moved = _follow(_follow(edges, "a", hooks), "b", hooks).filter("a <> b")
         edges = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

@@ -16,7 +16,7 @@ compares all that are left.  So all components come out exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +33,8 @@ from narrata.llm.scratch import cut
 COMMON = 200_000
 #: Shingles looked at together when common ones are counted.
 CHUNK = 1 << 21
-#: Longest prefixes, in shingles beyond the first match.
-MATCHES = 4
+#: Numbers of matches that a document can choose from.
+MATCHES = (1, 2, 4, 8, 16)
 ROUNDS = 6
 TOP = np.uint64(1 << 63)
 
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
             for i, j, tokens, at in _sets(batch, rule, kept.value):
                 n = np.diff(at)
                 least = -(-n * rule.num // rule.den)
-                length = np.minimum(n, n - least + np.minimum(MATCHES, least))
+                length = np.minimum(n, n - least + np.minimum(MATCHES[-1], least))
                 ends = np.concatenate([[0], np.cumsum(length)])
                 take = np.repeat(at[:-1] - ends[:-1], length) + np.arange(ends[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[take].view(np.int64)))
@@ -130,7 +130,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["node", "shingles"])
 
     some = docs.select("doc_id", "text").join(small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
-    return some.mapInArrow(job, "node long, shingles array<long>").dropDuplicates(["node"])
+    return some.mapInArrow(job, "node long, shingles array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -150,9 +150,9 @@ def choose_matches(shared: DataFrame, rule: Rule) -> DataFrame:
     which costs about a comparison of two sets.
     """
     base = F.col("n") - rule.overlap(F.col("n"))
-    read = [F.sum(F.when(F.col("pos") < base + k, F.col("df") - 1).otherwise(0)) for k in range(1, MATCHES + 1)]
-    cost = [r * (1 + (8 + F.first("n") / 32) / k) for k, r in enumerate(read, 1)]
-    best = F.least(*[F.struct(c.alias("cost"), F.least(F.lit(k), rule.overlap(F.first("n"))).alias("matches")) for k, c in enumerate(cost, 1)])
+    read = [F.sum(F.when(F.col("pos") < base + k, F.col("df") - 1).otherwise(0)) for k in MATCHES]
+    cost = [r * (1 + (8 + F.first("n") / 32) / k) for k, r in zip(MATCHES, read, strict=True)]
+    best = F.least(*[F.struct(c.alias("cost"), F.least(F.lit(k), rule.overlap(F.first("n"))).alias("matches")) for k, c in zip(MATCHES, cost, strict=True)])
     return shared.groupBy("node").agg(best.alias("best")).select(F.col("node").alias("chooser"), F.col("best.matches").alias("matches"))
 
 
@@ -177,21 +177,27 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
     shared = cut(tokens.dropDuplicates(["token", "node"]), "prefixes")
     chosen = choose_matches(shared, rule)
-    buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < F.col("n") - rule.overlap(F.col("n")) + F.col("matches")).select("token", "node", "n", "matches")
-    labels = _contract(docs, buckets, rule)
+    prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
+    buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"))
+    labels = contract(buckets, rule, lambda nodes: whole_sets(docs, nodes, rule))
     named = signed.select("doc_id", "n", "fa", "fb").join(classes, ["fa", "fb"], "left")
     named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _contract(docs: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame | None:
-    """(node, component) of all linked nodes; None if there are none."""
+def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, component) of all linked nodes; None if there are none.
+
+    ``buckets`` (token, node, n, matches, likely) says which nodes share a
+    token, with how many shared ones a pair must be compared, and with how
+    many it is worth a comparison before that.  ``sets_of`` gives (node,
+    shingles) of a table of nodes.
+    """
     buckets = cut(buckets.withColumn("component", F.col("node")), "buckets")
     if buckets.isEmpty():
         return None
-    sets = cut(whole_sets(docs, cut(buckets.select("node").distinct(), "nodes"), rule), "sets")
-    links, labels = None, None
+    links, labels, before = None, None, None
     by_token = Window.partitionBy("token")
     for k in range(ROUNDS + 1):
         if labels is not None:
@@ -202,8 +208,12 @@ def _contract(docs: DataFrame, buckets: DataFrame, rule: Rule) -> DataFrame | No
         left, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not rows:
             break
-        last = k == ROUNDS or left <= 2 * rows + 100_000
-        found = verify(cut(_all_pairs(buckets, rule) if last else _pivot_pairs(buckets, rule, k), "pairs"), sets, rule)
+        # Pivots go on while they settle a tenth of the rows; what they leave are lists of unlike nodes.
+        last = k == ROUNDS or left <= 2 * rows + 100_000 or (before is not None and rows > 0.9 * before)
+        before = rows
+        pairs = cut(_all_pairs(buckets, rule) if last else _pivot_pairs(buckets, rule, k), "pairs")
+        nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        found = verify(pairs, cut(sets_of(nodes), "sets"), rule)
         links = cut(found if links is None else links.unionByName(found), "found")
         if not links.isEmpty():
             labels = components(links)
@@ -217,7 +227,8 @@ def _pivot_pairs(buckets: DataFrame, rule: Rule, k: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)))
     pivot = F.min(F.struct(F.xxhash64("component", F.lit(k)), F.xxhash64("node", F.lit(k)), F.col("node").alias("node"), F.col("component").alias("component"))).over(Window.partitionBy("token", "band"))
     rows = buckets.withColumn("band", band).withColumn("pivot", pivot).filter("pivot.component <> component")
-    return rows.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    pairs = rows.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+    return pairs.agg(F.count("*").alias("shared"), F.min("likely").alias("likely")).filter("shared >= likely").select("a", "b")
 
 
 def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:

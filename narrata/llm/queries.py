@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import embedding_forest, html_extract, mixing, ngram_join, quality, secrets, sharding, token_files
+from narrata.llm import embedding_forest, html_extract, mixing, ngram_join, passages, quality, secrets, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_forest": op3_embedding_forest,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
