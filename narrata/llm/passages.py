@@ -1,16 +1,17 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 Paragraphs are the lines of a text, and besides them windows of ``WINDOW``
-words on either side of anchors.  Anchors are the words at which a hash of
-three words is smallest among the ``REACH`` before and after, about one in
+words from anchors on.  Anchors are the words at which a hash of three words
+is smallest among the ``REACH`` before and after, about one in
 ``2 * REACH + 1``; they depend on the words around them alone, so a passage
-has the same ones wherever it stands, in the middle of a line too.  A passage
-of twice as many words as a window lies on one side or the other of any
-anchor inside it.
-
-Paragraphs whose MinHash bands collide are compared by exact Jaccard
-similarity of their shingles; links are clustered into components; of each
-component the first occurrence stays and the others are marked as repeats.
+has the same ones wherever it stands, in the middle of a line too, and one of
+50 words has room for a window behind one of its anchors.
+
+Lines have bands of one MinHash each, as many as the recall asks for; those
+that collide are compared by exact Jaccard similarity of their shingles.  A
+window is so short that an edit leaves it under the threshold, so its one band
+has all rows: equal sets collide.  Links are clustered into components; of
+each the first occurrence stays and the others are marked as repeats.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from narrata.llm.graph import small
 from narrata.llm.ngram_join import Rule, contract
 from narrata.llm.scratch import cut
 
-WINDOW = 25
-REACH = 7
+WINDOW = 20
+REACH = 5
 #: Lines of fewer words are no paragraphs.
 LINE = 8
 RULE = Rule(size=5, num=80, den=100)
@@ -45,12 +46,11 @@ def bands(similarity: float, recall: float) -> int:
     return ceil(log(1 - recall) / log(1 - similarity))
 
 
-#: Lines stand alone; a passage has several windows, each with a chance of its own.
-LINE_BANDS, WINDOW_BANDS = bands(0.8, 0.99), bands(0.8, 0.8)
+LINE_BANDS = bands(0.8, 0.99)
 
 
 def _windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end word of the windows around every anchor of every row."""
+    """Start and end word of the window behind every anchor of every row."""
     n = len(hashes)
     if n < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,10 +66,8 @@ def _windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
         width *= 2
     least = np.minimum(least[: n - size + 1], least[size - width : size - width + n - size + 1])
     anchors = np.flatnonzero(three[REACH : n - REACH] == least) + REACH
-    row = np.searchsorted(first, anchors, "right") - 1
-    low, high = first[row], first[row + 1]
-    back, ahead = anchors - WINDOW >= low, anchors + WINDOW <= high
-    return np.concatenate([anchors[back] - WINDOW, anchors[ahead]]), np.concatenate([anchors[back], anchors[ahead] + WINDOW])
+    anchors = anchors[anchors + WINDOW <= first[np.searchsorted(first, anchors, "right")]]
+    return anchors, anchors + WINDOW
 
 
 def _lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +122,7 @@ def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = data[some[0] : some[-1]]
             points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
             sep = np.append(np.flatnonzero(words._is_separator(words.SPACES)[part]) + some[0], some[-1])
-            for spans, count in ((_lines(part, starts, first, some[0]), LINE_BANDS), (_windows(hashes, first), WINDOW_BANDS)):
+            for spans, count in ((_lines(part, starts, first, some[0]), LINE_BANDS), (_windows(hashes, first), 0)):
                 begin, end = spans
                 if len(begin) == 0:
                     continue
@@ -134,7 +132,7 @@ def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stop = np.minimum(sep[np.searchsorted(sep, last)], some[row + 1])
                 base = points[some[row] - some[0]]
                 columns = [ids.take(pa.array(row + i)), pa.array((points[starts[begin] - some[0]] - base).astype(np.int32)), pa.array((points[stop - some[0]] - base).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64))]
-                for k, m in enumerate(minima):
+                for k, m in enumerate(minima or [node]):
                     yield pa.RecordBatch.from_arrays([pa.array((m + np.uint64(k)).view(np.int64)), *columns], names=["token", "doc_id", "begin", "end", "n_words", "n", "node"])
 
 
@@ -167,8 +165,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = docs.mapInArrow(_job, "token long, doc_id long, begin int, end int, n_words int, n int, node long")
-    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy("token"))).filter("met > 1").drop("met")
-    rows = cut(rows.dropDuplicates(["token", "doc_id", "begin", "end"]), "paragraphs")
+    met = Window.partitionBy("token")
+    apart = (F.min("doc_id").over(met) != F.max("doc_id").over(met)) | (F.max("begin").over(met) >= F.min("end").over(met))
+    rows = cut(rows.withColumn("apart", apart).filter("apart").drop("apart"), "paragraphs")
     mixed = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
     buckets = rows.join(mixed, "token", "left_semi").select("token", "node", "n").distinct().withColumns({"matches": F.lit(1), "likely": F.lit(1)})
 
