@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,10 @@ BATCH = 64
 #: A new file begins with the first document after so many ids.
 FILE_IDS = 1 << 24
 #: Entries of a worker's table of encoded pieces; it is emptied when full.
-KNOWN = 800_000
+KNOWN = 1_200_000
 
-# Before a space a byte-level BPE with the usual pattern always cuts, unless the
-# space has white space on both sides or ends the text after white space.
+# White space besides space and newline, and spaces before which the usual byte-level BPE does not cut.
+OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 _TOKENIZERS: dict[str, tuple] = {}
@@ -50,23 +51,46 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def cut_text(text: str) -> list[str]:
+    """Pieces of a text whose ids, put together, are those of the text.
+
+    The usual byte-level BPE cuts before every space and around every newline
+    that has no white space beside it.  Elsewhere it still cuts before a
+    space, unless that has white space on both sides or ends the text after
+    some; a text with such a one stays whole.
+    """
+    if "\0" in text:
+        return [text]
+    if not any(c in text for c in OTHER_SPACES):
+        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if " " not in pieces and "" not in pieces[1:-1]:
+            return pieces
+    return [text] if UNSAFE.search(text) else text.replace(" ", "\0 ").split("\0")
+
+
 def encode_all(texts: list[str], path: str, end_id: int, kind: str) -> list[bytes]:
     """Ids of each whole text, with ``end_id`` behind, as bytes of type ``kind``.
 
-    Texts are encoded piece by piece, each piece once per worker; a text that
-    cannot be cut safely is encoded whole.
+    A piece is encoded once per worker, and once for all commas and full
+    stops behind it, which are tokens of their own after a letter.
     """
     tokenizer, known = _tokenizer(path)
-    end = np.array([end_id], kind).tobytes()
-    pieces = [[t] if UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+    code = np.dtype(kind).char
+    pack = lambda ids: array(code, ids).tobytes()
+    marks = {m: pack(tokenizer.encode(m, add_special_tokens=False).ids) for m in ",."}
+    pieces = [cut_text(t) for t in texts]
     if len(known) > KNOWN:
         known.clear()
-    fresh: dict[str, bytes] = {}
-    need = list(set().union(*pieces).difference(known))
-    for piece, code in zip(need, tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
-        (known if len(piece) < 64 else fresh)[piece] = np.array(code.ids, kind).tobytes()
-    get = known.get
-    return [b"".join([c if (c := get(p)) is not None else fresh[p] for p in ps]) + end for ps in pieces]
+    fresh = set().union(*pieces).difference(known)
+    marked = {p for p in fresh if len(p) > 1 and p[-1] in marks and p[-2].isalpha()}
+    need = list((fresh - marked) | {p[:-1] for p in marked}.difference(known))
+    long = {}
+    for piece, encoded in zip(need, tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
+        (known if len(piece) < 64 else long)[piece] = pack(encoded.ids)
+    for p in marked:
+        (known if len(p) < 64 else long)[p] = (known.get(p[:-1]) or long[p[:-1]]) + marks[p[-1]]
+    end, get = pack([end_id]), known.get
+    return [b"".join([c if (c := get(p)) is not None else long[p] for p in ps]) + end for ps in pieces]
 
 
 class _Writer:
