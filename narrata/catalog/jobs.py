@@ -91,7 +91,7 @@ def metadata(spark, sf_dir):
 
 
 def _esc(e: str) -> str:
-    for a, b in (("\\", "\\\\"), ("=", "\\="), ("\;", "\;"), ("#", "\\#")):
+    for a, b in (("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#")):
         e = f"replace({e}, '{a}', '{b}')"
     return e
 

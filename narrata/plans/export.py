@@ -50,7 +50,7 @@ def concat_lists(items: DataFrame, gap_file: str, gap_ms: int) -> DataFrame:
 
 
 def escape(value: Column) -> Column:
-    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("=", "\\="), ("\;", "\;"), ("#", "\\#")):
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("=", "\\="), (";", "\\;"), ("#", "\\#")):
         value = F.replace(value, F.lit(a), F.lit(b))
     return value
 
