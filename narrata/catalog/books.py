@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrata.catalog.base import KEY, LINES, MARKED, SOFT, lines, marked, table
-from narrata.catalog.text import ACRONYM_SQL, LEXICAL_SQL, RULES, _lexicon_sql, _rules, _without
+from narrata.catalog.text import ACRONYM_SQL, LEXICAL_SQL, TOPONYM_PARTS, _chain, _lexicon_sql, _rules, _without
 from narrata.functions import word_lists as W
 from narrata.operators import detectors as D
 from narrata.operators import lexicon as L
@@ -13,8 +13,6 @@ from narrata.operators import review as R
 from narrata.operators import revisions as V
 from narrata.operators import text as T
 
-assert RULES
-
 
 def versions(s, d):
     return lines(s, d).withColumn("valid_from", F.lit(0)).withColumn("valid_to", F.lit(None).cast("int"))
@@ -77,10 +75,10 @@ def reordered(s, d):
 
 
 def acronyms(s, d):
-    return D.suggestions(marked(s, d), D.lexical).filter("kind <> 'foreign_word'")
+    return D.suggestions(marked(s, d), D.names)
 
 
-ACRONYMS = f"SELECT * FROM ({LEXICAL_SQL}) WHERE kind <> 'foreign_word'"
+ACRONYMS = _chain([*TOPONYM_PARTS, ("acronyms", ACRONYM_SQL)], "SELECT * FROM {}")
 
 
 def review_base(s, d):

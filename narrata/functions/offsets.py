@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 HIT = "array<struct<start:int,end:int,match:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where lambdas would repeat it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, match>>`` of the leftmost non-overlapping matches.
 
     Null text has no matches.  A pattern must not match the empty string.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast(HIT)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        end = start + F.length(F.element_at(hits, i))
-        hit = F.struct(start.alias("start"), end.alias("end"), F.element_at(hits, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
+    def walk(z: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.element_at(z["gaps"], i))
+            end = start + F.length(F.element_at(z["hits"], i))
+            hit = F.struct(start.alias("start"), end.alias("end"), F.element_at(z["hits"], i).alias("match"))
+            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(hits)), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+        return F.aggregate(F.sequence(F.lit(1), F.size(z["hits"])), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
 
-
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, where lambdas would repeat it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    # Bound once: a lambda would split the text again at every step.
+    split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(pattern), let(split, walk)).otherwise(none)
 
 
 def find_words(text: Column, pattern: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions import word_lists as W
-from narrata.functions.offsets import claim, find_all, find_words, let
+from narrata.functions.offsets import claim, find_all, find_words, let, overlaps
 
 SUGGESTION = "struct<step:int,start:int,end:int,kind:string,original:string,replacement:string,reason:string,confidence:double>"
 SUGGESTIONS = f"array<{SUGGESTION}>"
@@ -102,9 +102,14 @@ def foreign_words(text: Column) -> Column:
     return suggest(hits, 20, "foreign_word", reason, respell, confidence)
 
 
+def names(text: Column) -> Column:
+    """Place names before acronyms, under one claim."""
+    return claim(F.concat(toponyms(text), acronyms(text)), SUGGESTIONS)
+
+
 def lexical(text: Column) -> Column:
-    """Place names before acronyms before foreign words, under one claim."""
-    return claim(F.concat(toponyms(text), acronyms(text), foreign_words(text)), SUGGESTIONS)
+    """Place names before acronyms before foreign words, under one claim; words do not overlap each other."""
+    return let(names(text), lambda kept: F.concat(kept, F.filter(foreign_words(text), lambda w: ~F.exists(kept, lambda k: overlaps(k, w)))))
 
 
 def suggestions(blocks: DataFrame, detector, text: str = "text") -> DataFrame:
