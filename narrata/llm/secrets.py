@@ -33,18 +33,22 @@ def find(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1)
     offsets by their lengths.  Matches whose ``group`` has fewer than ``least``
     characters are dropped after they have been consumed.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     empty = F.array().cast(SPAN)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def walk(z: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.element_at(z["gaps"], i))
+            stop = start + F.length(F.element_at(z["hits"], i))
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.element_at(z["values"], i).alias("value"))
+            return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        stop = start + F.length(F.element_at(hits, i))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.element_at(values, i).alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(z["hits"])), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
 
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(hits)), zero, step)["spans"]
+    # Bound once: a lambda would split the text again at every step.
+    split = F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits"), values.alias("values"))
+    walked = F.element_at(F.transform(F.array(split), walk), 1)
     return F.when(text.rlike(pattern), F.filter(walked, lambda s: F.length(s["value"]) >= least)).otherwise(empty)
 
 
@@ -78,13 +82,20 @@ def corpus_samples(docs: DataFrame, found: Column, key: str, text: str, most: in
     Both are taken from ``most`` texts at most, those whose keys have the
     smallest hashes: with base spans for the one, any for the other.
     """
-    order = (F.xxhash64(F.col(key)), F.xxhash64(F.col(text)))
     base = docs.select(key, text, found.alias("base"))
-    random = base.filter(F.size("base") > 0).orderBy(*order).limit(most).select(F.explode("base.value").alias("value"), F.lit(True).alias("is_random"))
-    words = base.filter(F.col(text).isNotNull()).orderBy(*order).limit(most).select(F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z_/-]{4,}"), F.lit(0))).alias("value"), F.lit(False).alias("is_random"))
+    random = _some(base.filter(F.size("base") > 0), key, most).select(F.explode("base.value").alias("value"), F.lit(True).alias("is_random"))
+    words = _some(docs.filter(F.col(text).isNotNull()), key, most)
+    words = words.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z_/-]{4,}"), F.lit(0))).alias("value"), F.lit(False).alias("is_random"))
     return random.unionByName(words)
 
 
+def _some(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows at most: those whose keys' hashes are under a bound, found from the keys' hashes alone."""
+    place = F.xxhash64(F.col(key))
+    bound = rows.select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p")).first()[0]
+    return rows.filter(place <= (0 if bound is None else bound))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: DataFrame | None = None, threshold: float = 0.5, most: int = 2000) -> DataFrame:
     """Add n_assign, n_access, n_hex, base_sha256, spans and found to every row.
 
