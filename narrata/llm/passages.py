@@ -7,7 +7,7 @@ is smallest among the ``REACH`` before and after, about one in
 has the same ones wherever it stands, in the middle of a line too, and one of
 50 words has room for a window behind one of its anchors.
 
-Lines have bands of one MinHash each, as many as the recall asks for; those
+Lines have bands of two MinHashes, as many as the recall asks for; those
 that collide are compared by exact Jaccard similarity of their shingles.  A
 window is so short that an edit leaves it under the threshold, so its one band
 has all rows: equal sets collide.  Links are clustered into components; of
@@ -37,16 +37,14 @@ LINE = 8
 RULE = Rule(size=5, num=80, den=100)
 
 
-def bands(similarity: float, recall: float) -> int:
-    """Bands of one row each that find a pair of this similarity with this recall.
-
-    Runs of five words are rare enough that one equal minimum is a good sign,
-    so bands have one row, which gives the most recall for the rows they cost.
-    """
-    return ceil(log(1 - recall) / log(1 - similarity))
+def bands(similarity: float, recall: float, rows: int) -> int:
+    """Bands of so many rows each that find a pair of this similarity with this recall."""
+    return ceil(log(1 - recall) / log(1 - similarity**rows))
 
 
-LINE_BANDS = bands(0.8, 0.99)
+#: Two rows a band: one is often a run of words that many lines share.
+ROWS = 2
+LINE_BANDS = bands(0.8, 0.99, ROWS)
 
 
 def _windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +125,8 @@ def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(begin) == 0:
                     continue
                 row = np.searchsorted(first, begin, "right") - 1
-                size, node, minima = _signed(hashes, begin, end, count)
+                size, node, minima = _signed(hashes, begin, end, count * ROWS)
+                minima = [words.mix(a * np.uint64(3) + b) for a, b in zip(minima[::ROWS], minima[1::ROWS], strict=True)]
                 last = starts[end - 1]
                 stop = np.minimum(sep[np.searchsorted(sep, last)], some[row + 1])
                 base = points[some[row] - some[0]]
