@@ -1,13 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read in passages of three blocks of words.  A passage can only
-fail the final check if it holds enough of an item's words, so it must hold
-some of the item's rarest; passages that do are found in all texts and kept
-as the positions of the benchmark's terms in them.  A distributed randomised
-SVD of the TF-IDF vectors of these passages and of the items gives a latent
-space; passages near an item there are candidates, and the longest common
-subsequence of words, with a check of the answer, decides.  Term statistics
-cover all blocks of all documents.
+Documents are read in passages of three blocks of words.  All passages of all
+texts that hold enough of an item's words to pass the final check are kept, as
+the positions of the benchmark's terms in them.  A distributed randomised SVD of the TF-IDF vectors of these passages and of
+the items gives a latent space; passages near an item there are candidates,
+and the longest common subsequence of words, with a check of the answer,
+decides.  Term statistics cover all blocks of all documents.
 """
 
 from __future__ import annotations
@@ -30,9 +28,9 @@ SHORTEST = 5
 ITEMS = 512
 NEAR = 0.3
 #: Share of an item's words in common order: enough alone, or enough with the answer.
-FULL, PART, ANSWER = 0.7, 0.5, 0.5
-#: How many of an item's rare words a passage must hold.
-RARE = 3
+FULL, PART, ANSWER = 0.75, 0.6, 0.5
+#: Terms in a greater share of the blocks are looked up in a table, others in lists.
+COMMON = 0.02
 TABLE = 1 << 22
 
 
@@ -116,45 +114,81 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
     return counts, next((r["n"] for r in rows if r["term"] < 0), 0)
 
 
-def rare_terms(items: Items, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Terms of which every passage that can pass the check holds some, and how many.
+@dataclass(frozen=True)
+class Counts:
+    """How often each item has each term: a table for the common terms, lists for the others.
 
-    Of an item's n words a passage must share ``PART * n``; so it holds at
-    least ``r`` of the item's ``n - PART * n + r`` rarest ones.
+    ``place`` numbers the common terms, -1 for others; ``start``, ``item`` and
+    ``times`` list the items of each other term; ``needed`` is how many words
+    of an item a passage must hold to pass the final check.
     """
-    least = min(RARE, *(int(np.ceil(PART * len(t))) for t in items.terms))
-    chosen = np.zeros(len(items.vocabulary), bool)
-    for t in items.terms:
-        order = t[np.lexsort((t, counts[t]))]
-        chosen[order[: len(t) - int(np.ceil(PART * len(t))) + least]] = True
-    return chosen, least
-
 
-def passages(docs: DataFrame, items: Items, chosen: np.ndarray, least: int) -> DataFrame:
-    """(doc_id, begin, terms): passages that hold ``least`` chosen terms; begin counts words.
-
-    ``terms`` has the number of each word among the benchmark's, or -1.
+    place: np.ndarray
+    table: np.ndarray
+    start: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+    needed: np.ndarray
+
+
+def item_counts(items: Items, counts: np.ndarray, total: int) -> Counts:
+    common = np.flatnonzero(counts > COMMON * max(1, total))
+    place = np.full(len(items.vocabulary), -1)
+    place[common] = np.arange(len(common))
+    key, times = np.unique(np.concatenate([t * len(items.ids) + k for k, t in enumerate(items.terms)]), return_counts=True)
+    term, item = key // len(items.ids), key % len(items.ids)
+    table = np.zeros((len(common), len(items.ids)), np.float32)
+    far = place[term] >= 0
+    table[place[term[far]], item[far]] = times[far]
+    start = np.searchsorted(term[~far], np.arange(len(items.vocabulary) + 1))
+    return Counts(place, table, start, item[~far], times[~far].astype(np.float32), np.array([np.ceil(PART * len(t)) for t in items.terms], np.float32))
+
+
+def _held(block: np.ndarray, term: np.ndarray, blocks: int, c: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block: how many words of each item its uncommon terms can stand for, and which common terms it has."""
+    key = np.unique(block * len(c.place) + term)
+    b, t = key // len(c.place), key % len(c.place)
+    far = c.place[t] >= 0
+    has = np.zeros((blocks, len(c.table)), bool)
+    has[b[far], c.place[t[far]]] = True
+    b, t = b[~far], t[~far]
+    n = c.start[t + 1] - c.start[t]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    take = np.repeat(c.start[t] - ends[:-1], n) + np.arange(ends[-1])
+    words_ = np.bincount(np.repeat(b, n) * len(c.needed) + c.item[take], c.times[take], blocks * len(c.needed))
+    return words_.reshape(blocks, len(c.needed)).astype(np.float32), has
+
+
+def passages(docs: DataFrame, items: Items, c: Counts) -> DataFrame:
+    """(doc_id, begin, terms): passages that hold enough of an item's words; begin counts words.
+
+    A common subsequence of ``PART`` of an item needs as many of its words, so
+    no passage that could pass the final check is lost.  ``terms`` has the
+    number of each word among the benchmark's, or -1.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((items, items.table(), chosen))
+    shared = docs.sparkSession.sparkContext.broadcast((items, items.table(), c))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table, chosen = shared.value
+        items, table, c = shared.value
         size = items.block
         for batch in batches:
             for i, j, first, at, term in _hits(batch, items, table):
                 n, begin = _blocks(first, size)
+                if begin[-1] == 0 or len(at) == 0:
+                    continue
                 row = np.searchsorted(first, at, "right") - 1
-                block = begin[row] + (at - first[row]) // size
-                held = np.bincount(block[chosen[term]], minlength=begin[-1] + 2)
-                sums = held[:-2] + held[1:-1] + held[2:] if len(held) > 2 else held[:0]
+                held, has = _held(begin[row] + (at - first[row]) // size, term, int(begin[-1]), c)
                 owner = np.repeat(np.arange(j - i), n)
                 place = np.arange(begin[-1]) - begin[owner]
                 # The last passage of a row begins two blocks before its end; a shorter row is one passage.
-                whole = np.maximum(n[owner] - 3, 0)
-                single = np.add.reduceat(held[: begin[-1]], begin[:-1][n > 0]) if begin[-1] else held[:0]
-                totals = np.zeros(j - i, np.int64)
-                totals[n > 0] = single
-                good = np.flatnonzero((place <= whole) & (np.where(n[owner] < 3, totals[owner], sums[: begin[-1]]) >= least))
+                starts = np.flatnonzero(place <= np.maximum(n[owner] - 3, 0))
+                top, common = held[starts], has[starts]
+                for k in (1, 2):
+                    more = np.flatnonzero(place[starts] + k < n[owner[starts]])
+                    top[more] += held[starts[more] + k]
+                    common[more] |= has[starts[more] + k]
+                top += common.astype(np.float32) @ c.table
+                good = starts[(top >= c.needed).any(axis=1)]
                 if len(good) == 0:
                     continue
                 start = first[owner[good]] + place[good] * size
@@ -313,9 +347,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         if items is None:
             continue
         counts, total = document_frequencies(docs, items)
-        chosen, least = rare_terms(items, counts)
-        found = cut(passages(docs, items, chosen, least), "bench-passages")
         idf = np.log((total + 1) / (counts + 1)) + 1e-6
+        found = cut(passages(docs, items, item_counts(items, counts, total)), "bench-passages")
         hits = _search(found, items, idf, latent_space(found, items, idf))
         names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), f"piece int, item_id {kind}")
         best = hits.join(F.broadcast(names), "piece").groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("begin")).alias("begin"))).alias("best"))
