@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from narrata.llm.scratch import cut
 
@@ -23,6 +24,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Weight of a character's own probability, in samples.
+BACKOFF = 20.0
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -62,18 +65,25 @@ def pairs(value: Column) -> Column:
 def train(samples: DataFrame) -> DataFrame:
     """Log-likelihood ratio per character pair from (value string, is_random boolean).
 
-    Transition probabilities have add-one smoothing; without any sample of a
-    label its model is uniform.  At most ``(len(ALPHABET) + 1) ** 2`` rows.
+    A transition's probability is smoothed by that of the second character,
+    ``BACKOFF`` times, and this by add-one; so characters that a label hardly
+    has are unlikely anywhere in it, and without any sample its model is
+    uniform.  At most ``(len(ALPHABET) + 1) ** 2`` rows.
     """
     width = len(ALPHABET) + 1
     counted = samples.select("is_random", F.explode(pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(
         F.count(F.when(F.col("is_random"), 1)).alias("random"), F.count(F.when(~F.col("is_random"), 1)).alias("ordinary")
     )
     every = samples.sparkSession.range(width * width).select(F.col("id").cast("int").alias("pair"))
-    filled = every.join(counted, "pair", "left").fillna(0).withColumn("first", F.floor(F.col("pair") / width))
-    totals = filled.groupBy("first").agg(F.sum("random").alias("randoms"), F.sum("ordinary").alias("ordinaries"))
-    ratio = F.log((F.col("random") + 1.0) / (F.col("randoms") + width)) - F.log((F.col("ordinary") + 1.0) / (F.col("ordinaries") + width))
-    return filled.join(totals, "first").select("pair", ratio.alias("ratio"))
+    filled = every.join(counted, "pair", "left").fillna(0)
+    filled = filled.withColumns({"first": F.floor(F.col("pair") / width), "second": F.col("pair") % width})
+
+    def chance(label: str) -> Column:
+        of = lambda key: F.sum(label).over(Window.partitionBy(*key))
+        alone = (of(["second"]) + 1.0) / (of([F.lit(0)]) + width)
+        return (F.col(label) + BACKOFF * alone) / (of(["first"]) + BACKOFF)
+
+    return filled.select("pair", (F.log(chance("random")) - F.log(chance("ordinary"))).alias("ratio"))
 
 
 def corpus_samples(docs: DataFrame, found: Column, key: str, text: str, most: int) -> DataFrame:
