@@ -32,7 +32,7 @@ from narrata.llm.scratch import cut
 #: A shingle is common if it makes up this share of all; so at most so many are.
 COMMON = 200_000
 #: Shingles looked at together when common ones are counted.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Numbers of matches that a document can choose from.
 MATCHES = (1, 2, 4, 8, 16)
 ROUNDS = 6

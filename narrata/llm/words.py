@@ -17,7 +17,7 @@ U = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 PUNCTUATED = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Bytes of text hashed at once; a longer text is hashed in pieces.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -94,7 +94,7 @@ def _hash_piece(data: np.ndarray, breaks: np.ndarray, separators: bytes) -> tupl
     starts = np.flatnonzero(start)
     if len(starts) == 0:
         return np.zeros(0, U), starts
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     values = _byte_values(separators)[data]
     values *= _table(("powers", size), lambda: _powers(_BASE, size))[:n]
     sums = np.add.reduceat(values, starts)
