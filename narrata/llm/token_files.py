@@ -30,7 +30,7 @@ BATCH = 64
 #: A new file begins with the first document after so many ids.
 FILE_IDS = 1 << 24
 #: Entries of a worker's table of encoded pieces; it is emptied when full.
-KNOWN = 1_200_000
+KNOWN = 2_000_000
 
 # White space besides space and newline, and spaces before which the usual byte-level BPE does not cut.
 OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
