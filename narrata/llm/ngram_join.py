@@ -178,7 +178,7 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     shared = cut(tokens.dropDuplicates(["token", "node"]), "prefixes")
     chosen = choose_matches(shared, rule)
     prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
-    buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"))
+    buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"), (F.col("n") - prefix).alias("rest"))
     labels = contract(buckets, rule, lambda nodes: whole_sets(docs, nodes, rule))
     named = signed.select("doc_id", "n", "fa", "fb").join(classes, ["fa", "fb"], "left")
     named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
@@ -189,10 +189,10 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
 def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, component) of all linked nodes; None if there are none.
 
-    ``buckets`` (token, node, n, matches, likely) says which nodes share a
-    token, with how many shared ones a pair must be compared, and with how
-    many it is worth a comparison before that.  ``sets_of`` gives (node,
-    shingles) of a table of nodes.
+    ``buckets`` (token, node, n, matches, likely, rest) says which nodes share
+    a token, with how many shared ones a pair must be compared, with how many
+    it is worth a comparison before that, and how much of the set lies behind
+    its prefix.  ``sets_of`` gives (node, shingles) of a table of nodes.
     """
     buckets = cut(buckets.withColumn("component", F.col("node")), "buckets")
     if buckets.isEmpty():
@@ -232,9 +232,16 @@ def _pivot_pairs(buckets: DataFrame, rule: Rule, k: int) -> DataFrame:
 
 
 def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components with as many common prefix shingles as they need."""
-    a = buckets.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("component").alias("ca"))
-    b = buckets.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("component").alias("cb"))
+    """Pairs of different components with as many common prefix shingles as they need.
+
+    Of the one whose prefix ends first, all prefix shingles that the other set
+    has are common prefix shingles; so the overlap is theirs and at most the
+    rest of that set.  Pairs that cannot reach the overlap they need go too.
+    """
+    a = buckets.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("component").alias("ca"), F.col("rest").alias("ra"))
+    b = buckets.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("component").alias("cb"), F.col("rest").alias("rb"))
     sized = F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num
     pairs = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("ma", "mb")).alias("needed")).filter("shared >= needed").select("a", "b")
+    overlap = F.ceil((F.col("na") + F.col("nb")) * rule.num / F.lit(rule.num + rule.den) - 1e-9)
+    needed = F.greatest(F.least("ma", "mb"), overlap - F.greatest("ra", "rb"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(needed).alias("needed")).filter("shared >= needed").select("a", "b")

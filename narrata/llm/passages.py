@@ -168,7 +168,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     apart = (F.min("doc_id").over(met) != F.max("doc_id").over(met)) | (F.max("begin").over(met) >= F.min("end").over(met))
     rows = cut(rows.withColumn("apart", apart).filter("apart").drop("apart"), "paragraphs")
     mixed = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
-    buckets = rows.join(mixed, "token", "left_semi").select("token", "node", "n").distinct().withColumns({"matches": F.lit(1), "likely": F.lit(1)})
+    buckets = rows.join(mixed, "token", "left_semi").select("token", "node", "n").distinct().withColumns({"matches": F.lit(1), "likely": F.lit(1), "rest": F.col("n")})
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         place = rows.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("p"))
