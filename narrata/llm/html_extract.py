@@ -1,12 +1,12 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host share a template.  Each page is read as a stream of tokens:
-structural ones (the path of an element, by tag and class) and short text
-runs.  A token's occurrence vector says how often it occurs in each page of
+structural ones (the path of an element, by tag and class) and text blocks.  A token's occurrence vector says how often it occurs in each page of
 the host; tokens with the same vector form an equivalence class.  Classes
 that occur once a page in most pages are valid and nest into the template;
 text outside its tokens fills its slots, and the slots with the prose are
-extracted.
+extracted, on pages with an article or main element too: those elements only
+tell which slots to look at first.
 
 The vectors are never gathered: a vector is represented by the xor of a hash
 of (page, count) over all pages, which Spark aggregates in parts, so a host
@@ -16,12 +16,13 @@ with a third of all pages is one row per token like any other.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html as htmllib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.scratch import cut
@@ -43,7 +44,8 @@ BOILER_WORDS = frozenset(
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
-SHORT = 80
+#: Longest other blocks of a page that tell whether two pages with a text in common are copies.
+AROUND = 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S
@@ -155,89 +157,134 @@ def walk(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, bool, int]],
     return blocks, counts
 
 
+def _around(texts: list[str]) -> int:
+    """One bit of 63, by a hash of the texts."""
+    return 1 << digest("around", *texts) % 63
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token statistics, added up within the task in a table of bounded size."""
-    sums: dict[tuple[str, int, str], list[int]] = {}
+    sums: dict[tuple[str, int, str], list[int]] = {}  # pages, total, vector, chars, linked chars, bits of the pages' surroundings
 
     def out() -> pa.RecordBatch:
         rows = [(h, t, *v) for (h, t, _), v in sums.items()]
         kinds = [k for _, _, k in sums]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
         sums.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(kinds, pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:6])], names=["host", "token", "kind", "pages", "total", "vector", "chars"]
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(kinds, pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:8])], names=["host", "token", "kind", "pages", "total", "vector", "chars", "linked", "around"]
         )
 
     for batch in batches:
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
             blocks, counts = walk(page)
             chars: dict[str, int] = {}
+            links: dict[str, int] = {}
             words: dict[str, int] = {}
             for text, path, _, linked, _ in blocks:
-                if not linked:
-                    for p in path:
-                        chars[p] = chars.get(p, 0) + len(text)
-                if len(text) <= SHORT:
-                    words[text] = words.get(text, 0) + 1
+                of = links if linked else chars
+                for p in path:
+                    of[p] = of.get(p, 0) + len(text)
+                words[text] = words.get(text, 0) + 1
+            longest = heapq.nlargest(AROUND + 1, words, key=lambda t: (len(t), t))
+            whole = _around(longest[:AROUND])
             for kind, found in (("path", counts), ("text", words)):
                 for name, n in found.items():
-                    s = sums.setdefault((host, digest(kind, name), kind), [0, 0, 0, 0])
+                    s = sums.setdefault((host, digest(kind, name), kind), [0] * 6)
                     s[0] += 1
                     s[1] += n
                     s[2] ^= digest(page_id, n)
-                    s[3] += chars.get(name, 0) if kind == "path" else 0
-            if len(sums) > 200_000:
+                    if kind == "path":
+                        s[3] += chars.get(name, 0)
+                        s[4] += links.get(name, 0)
+                    s[5] |= _around([t for t in longest if t != name][:AROUND]) if kind == "text" and name in longest[:AROUND] else whole
+            if len(sums) > 100_000:
                 yield out()
     yield out()
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """Templates from (host, page_id, html): host, frame, roots and said.
+    """Templates from (host, page_id, html): host, frame, roots, links and said.
 
     Classes are tokens of a host with the same occurrence vector; those that
     occur once a page, in half of the host's pages or more, are valid.
     ``frame`` has their paths, ``roots`` those of them that hold most of the
-    host's unlinked text, and ``said`` the short texts in a valid class,
-    which are the template's own words.  One row per host.
+    host's unlinked text, ``links`` those other ones with more linked than
+    unlinked text.  ``said`` has the template's own words: texts of half of
+    the pages or more, once in each or oftener, provided that the pages differ
+    in what stands around them; a paragraph of copied pages is no template.
+    One row per host.
     """
-    schema = "host string, token long, kind string, pages long, total long, vector long, chars long"
-    summed = pages.mapInArrow(_tokens, schema).groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
-    summed = cut(summed, "page-tokens")
-    size = summed.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("chars").alias("host_chars"))
-    classes = summed.groupBy("host", "vector").agg(F.min(F.col("total") == F.col("pages")).alias("once"), F.max("pages").alias("pages"), F.count("*").alias("members"))
-    valid = classes.join(size, "host").filter(F.col("once") & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("pages") >= 2) & (F.col("members") >= 2))
-    members = summed.drop("pages").join(valid.select("host", "vector", "host_pages", "host_chars"), ["host", "vector"])
-    holds = (F.col("kind") == "path") & (F.col("chars") * 10 >= F.col("host_chars") * 6)
+    schema = "host string, token long, kind string, pages long, total long, vector long, chars long, linked long, around long"
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", "chars", "linked")]
+    summed = pages.mapInArrow(_tokens, schema).groupBy("host", "token", "kind").agg(*sums, F.bit_xor("vector").alias("vector"), F.bit_or("around").alias("around"))
+    # A token of one page is in no valid class.
+    summed = cut(summed.filter("pages >= 2"), "page-tokens")
+    size = summed.groupBy("host").agg(F.max("pages").alias("host_pages"), F.max("chars").alias("host_chars"), F.bit_count(F.bit_or("around")).alias("host_around"))
+    classes = summed.groupBy("host", "vector").agg(F.min(F.col("total") == F.col("pages")).alias("once"), F.max("pages").alias("class_pages"), F.count("*").alias("members"))
+    valid = F.col("once") & (F.col("members") >= 2)
+    members = summed.join(size, "host").filter(F.col("pages") * 2 >= F.col("host_pages")).join(classes, ["host", "vector"])
+    framed = (F.col("kind") == "path") & valid
+    holds = framed & (F.col("chars") * 10 >= F.col("host_chars") * 6)
     # A text that half of four pages or more share is the template's; fewer pages say too little.
+    shared = (F.col("kind") == "text") & (F.col("host_pages") >= 4) & (_distinct(F.bit_count("around")) * 2 >= _distinct(F.col("host_around"))) & (F.bit_count("around") >= 2)
     return members.groupBy("host").agg(
-        F.collect_set(F.when(F.col("kind") == "path", F.col("token"))).alias("frame"),
+        F.collect_set(F.when(framed, F.col("token"))).alias("frame"),
         F.collect_set(F.when(holds, F.col("token"))).alias("roots"),
-        F.collect_set(F.when((F.col("kind") == "text") & (F.col("host_pages") >= 4), F.col("token"))).alias("said"),
+        F.collect_set(F.when(framed & ~holds & (F.col("linked") > F.col("chars")), F.col("token"))).alias("links"),
+        F.collect_set(F.when(shared, F.col("token"))).alias("said"),
     )
 
 
-def main_text(page: str, roots: set[int], said: set[int]) -> str:
+def _distinct(bits: Column) -> Column:
+    """How many different values leave so many of 63 bits set, by linear counting."""
+    return -F.log(1 - F.least(bits, F.lit(62)) / F.lit(63.0))
+
+
+def main_text(page: str, roots: set[int], said: set[int], frame: set[int] = frozenset(), links: set[int] = frozenset()) -> str:
     """The page's main text, its blocks joined by blank lines.
 
-    A page with an article or main element gives what lies in it.  One
-    without gives what lies in the deepest of the template's roots, without
-    the template's own words and without blocks that are links only; a page
-    without template gives all its unlinked blocks.
+    The template's own words go, and so do slots of links; a block's slot is
+    the deepest path of the frame above it.  Of the rest, what lies in an
+    article or main element is the text, if the template's roots lie there, or
+    half of the root's unlinked text does, or a fifth where the element is in
+    the frame.  Otherwise it is what lies in the
+    deepest of the roots, without blocks that are links only; a page without
+    template gives its article, or else all its unlinked blocks.
     """
     blocks, _ = walk(page)
-    if any(b[2] for b in blocks):
-        return "\n\n".join(b[0] for b in blocks if b[2])
-    known = {p: digest("path", p) in roots for b in blocks for p in b[1]} if roots else {}
-    inside = [p for p, k in known.items() if k]
+    known = {p: digest("path", p) for b in blocks for p in b[1]} if roots or frame or links else {}
+
+    def prose(path: tuple[str, ...]) -> bool:
+        slot = next((p for p in reversed(path) if known.get(p) in frame), None)
+        return slot is None or known[slot] not in links or re.split("[.]", slot.rsplit("/", 1)[-1])[0] in CONTENT_TAGS
+
+    blocks = [b for b in blocks if digest("text", b[0]) not in said and prose(b[1])]
+    inside = [p for p, k in known.items() if k in roots]
     deepest = max(inside, key=lambda p: p.count("/"), default=None)
-    return "\n\n".join(b[0] for b in blocks if not b[3] and (deepest is None or deepest in b[1]) and digest("text", b[0]) not in said)
+    rooted = [b for b in blocks if not b[3] and (deepest is None or deepest in b[1])]
+    content = [b for b in blocks if b[2]]
+    if content:
+        held = sum(len(b[0]) for b in content if not b[3])
+        framed = any(known.get(p) in frame and _in_content(p) for b in content for p in b[1])
+        if deepest is None or any(deepest in b[1] and _in_content(deepest) for b in content) or (5 if framed else 2) * held >= sum(len(b[0]) for b in rooted):
+            return "\n\n".join(b[0] for b in content)
+    return "\n\n".join(b[0] for b in rooted)
+
+
+def _in_content(path: str) -> bool:
+    return any(step.split(".")[0] in CONTENT_TAGS for step in path.split("/"))
+
+
+#: The columns of a template, in the order in which ``main_text`` takes them.
+SETS = ("roots", "said", "frame", "links")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = {n: batch.column(n) for n in batch.schema.names}
-        texts = [main_text(p, set(r or ()), set(s or ())) for p, r, s in zip(*(cols[c].to_pylist() for c in ("html", "roots", "said")), strict=True)]
-        keep = [n for n in batch.schema.names if n not in ("html", "roots", "said")]
+        texts = [main_text(p, *(set(x or ()) for x in sets)) for p, *sets in zip(*(cols[c].to_pylist() for c in ("html", *SETS)), strict=True)]
+        keep = [n for n in batch.schema.names if n not in ("html", *SETS)]
         yield pa.RecordBatch.from_arrays([*(cols[n] for n in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
 
@@ -257,8 +304,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"))
-    templates = cut(deduce(rows.select("host", F.col("page_id").cast("string").alias("page_id"), "html")).select("host", "roots", "said"), "page-templates")
+    templates = cut(deduce(rows.select("host", F.col("page_id").cast("string").alias("page_id"), "html")).select("host", *SETS), "page-templates")
     small = templates.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(templates) if small else templates, "host", "left").select("page_id", "url", "html", "roots", "said")
+    joined = rows.join(F.broadcast(templates) if small else templates, "host", "left").select("page_id", "url", "html", *SETS)
     kind = dict(rows.dtypes)["page_id"]
     return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -263,6 +263,28 @@ def test_html_blocks_and_templates(spark):
     assert got[90].text == got[91].text == "" and got[90].n_chars == 0
 
 
+def test_templates_decide_inside_articles(spark):
+    rnd = random.Random(14)
+    notice = "This page is kept by the readers of the site and may be copied with a link to its source, as long as the text stays whole."
+    rows, prose_of = [], {}
+    for k in range(12):
+        prose_of[k] = [prose(rnd, 40), prose(rnd, 25), prose(rnd, 9)]
+        related = "".join(f"<li><a href=/{n}>{prose(rnd, 6)}</a></li>" for n in range(3))
+        inner = f"<h1>{prose_of[k][2]}</h1><p>Tell a friend</p><p>{prose_of[k][0]}</p><p>Tell a friend</p><p>{prose_of[k][1]}</p><div class=x7><p>{notice}</p></div><ul class=x8>{related}</ul>"
+        rows.append((k, f"http://a.example/{k}", f"<body><div class=top>Our site</div><article>{inner}</article></body>"))
+    # Copies of a page are no template, and articles that only list other pages do not hold the text.
+    copied = [prose(rnd, 30), prose(rnd, 5)]
+    rows += [(20 + k, f"http://b.example/{k}", f"<body><article><p>{copied[0]}</p><p>{copied[1]}</p></article></body>") for k in range(4)]
+    rows += [(24 + k, f"http://b.example/x{k}", f"<body><article><p>{prose(rnd, 30)}</p></article></body>") for k in range(3)]
+    cards = {k: prose(rnd, 50) for k in range(40, 46)}
+    rows += [(k, f"http://c.example/{k}", f"<body><div class=text><p>{t}</p></div><div class=x9>" + "".join(f"<article><a href=/x>{prose(rnd, 4)}</a></article>" for _ in range(3)) + "</div></body>") for k, t in cards.items()]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (a, b, title) in prose_of.items():
+        assert got[k] == "\n\n".join([title, a, b])
+    assert all(got[20 + k] == "\n\n".join(copied) for k in range(4))
+    assert all(got[k] == t for k, t in cards.items())
+
+
 def test_decontamination_finds_paraphrases(spark):
     rnd = random.Random(11)
     items = [(k, prose(rnd, rnd.randint(12, 60))) for k in range(20)]
