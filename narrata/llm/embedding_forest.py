@@ -5,9 +5,13 @@ direction; those within ``SPILL`` of the median, by rank, go to both sides, so
 that near vectors are seldom parted.  Vectors are compared within leaves, in
 double precision, and what the trees find is united.
 
+A split lies where it parts few linked pairs of a sample of the rows.  Rows
+that link so densely that every split goes through a group are not split any
+more: such a leaf is compared whole, as pairs of blocks in many tasks.
+
 Upper splits are fitted on a bounded sample; leaves that turn out too large
-are split on by Spark with medians over all their rows, so leaves stay small
-for any number of vectors.  Equal vectors are one node with a weight.  A pair
+are split on by Spark with a sample of each one's rows, until they are small
+or dense.  Equal vectors are one node with a weight.  A pair
 that meets in several leaves counts in the first of them only, which both
 rows can tell from the list of their leaves; so no pair ever leaves a leaf.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm import words
-from narrata.llm.graph import components
+from narrata.llm.graph import components, small
 from narrata.llm.scratch import cut
 
 TREES = 12
@@ -32,10 +36,14 @@ LEAF, LEAF_MOST = 1500, 6000
 #: Most vectors that the upper splits are fitted on.
 SAMPLE = 20_000
 BLOCK = 1024
+#: Rows whose linked pairs judge a split, the share of them that it may part, and the share of all pairs from which on a leaf is dense.
+JUDGES, PARTED, DENSE = 1000, 0.01, 0.01
+#: Where a split is tried, by rank, in how many directions.
+RANKS, DIRECTIONS = (0.5, 0.4, 0.6, 0.35, 0.65), 4
 
 
-def direction(tree: int, node: int, dim: int) -> np.ndarray:
-    return np.random.default_rng((tree, node, dim)).standard_normal(dim)
+def direction(tree: int, node: int, dim: int, k: int = 0) -> np.ndarray:
+    return np.random.default_rng((tree, node, dim, k) if k else (tree, node, dim)).standard_normal(dim)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -59,8 +67,27 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), batch.column("embedding")], names=["vec_id", "dim", "fa", "fb", "embedding"])
 
 
-def fit(sample: pa.Table, total: int) -> dict[tuple[int, int], dict[int, tuple[float, float]]]:
-    """Splits of all trees: (dim, tree) -> node -> (low, high) of the projection."""
+def choose(x: np.ndarray, tree: int, node: int, threshold: float) -> tuple[float, float, int] | None:
+    """The (low, high, k) of a split of these rows that parts few links, k being its direction; None if they are too dense."""
+    some = x[:: -(-len(x) // JUDGES)]
+    i, j = np.nonzero(np.triu(some @ some.T >= threshold, 1))
+    least, best = len(i) + 1, None
+    for k in range(DIRECTIONS):
+        d = direction(tree, node, x.shape[1], k)
+        p, judged = x @ d, some @ d
+        near, far = np.minimum(judged[i], judged[j]), np.maximum(judged[i], judged[j])
+        for rank in RANKS:
+            low, high = np.quantile(p, [rank - SPILL, rank + SPILL])
+            parted = int(((near < low) & (far > high)).sum())
+            if low < high and parted < least:
+                least, best = parted, (float(low), float(high), k)
+            if least <= PARTED * len(i):
+                return best
+    return None if 2 * len(i) >= DENSE * len(some) * (len(some) - 1) else best
+
+
+def fit(sample: pa.Table, total: int, threshold: float) -> dict[tuple[int, int], dict[int, tuple[float, float, int]]]:
+    """Splits of all trees: (dim, tree) -> node -> (low, high) of the projection, and its direction."""
     model = {}
     for dim in sorted(set(sample.column("dim").to_pylist())):
         rows = sample.filter(pa.compute.equal(sample.column("dim"), dim)).column("embedding").combine_chunks()
@@ -71,10 +98,9 @@ def fit(sample: pa.Table, total: int) -> dict[tuple[int, int], dict[int, tuple[f
                 node, at = todo.pop()
                 if len(at) * total <= LEAF * sample.num_rows or len(at) < 64:
                     continue
-                p = x[at] @ direction(tree, node, dim)
-                low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
-                if low < high:
-                    splits[node] = (float(low), float(high))
+                if found := choose(x[at], tree, node, threshold):
+                    splits[node] = low, high, k = found
+                    p = x[at] @ direction(tree, node, dim, k)
                     todo += [(2 * node, at[p <= high]), (2 * node + 1, at[p >= low])]
             model[dim, tree] = splits
     return model
@@ -97,8 +123,8 @@ def _route(model) -> object:
                             rows.append(some)
                             leaves.append(np.full(len(some), node))
                             continue
-                        p = x[some] @ direction(tree, node, int(dim))
-                        low, high = splits[node]
+                        low, high, k = splits[node]
+                        p = x[some] @ direction(tree, node, int(dim), k)
                         todo += [(2 * node, some[p <= high]), (2 * node + 1, some[p >= low])]
                     who = np.concatenate(rows)
                     n = len(who)
@@ -107,79 +133,133 @@ def _route(model) -> object:
     return job
 
 
-def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(threshold: float):
+    """A job for the sample of one leaf's rows: its split, or no row if it is dense."""
+
+    def job(table: pa.Table) -> pa.Table:
+        dim, tree, leaf = (table.column(c)[0].as_py() for c in ("dim", "tree", "leaf"))
+        found = choose(matrix(_one(table.column("embedding")), dim), tree, leaf, threshold)
+        rows = [{"dim": dim, "tree": tree, "leaf": leaf, "low": found[0], "high": found[1], "k": found[2]}] if found else []
+        return pa.Table.from_pylist(rows, pa.schema([("dim", pa.int32()), ("tree", pa.int32()), ("leaf", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("k", pa.int32())]))
+
+    return job
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        dim, tree, leaf = (batch.column(c).to_numpy() for c in ("dim", "tree", "leaf"))
+        dim, tree, leaf, low, high, k = (batch.column(c).to_numpy() for c in ("dim", "tree", "leaf", "low", "high", "k"))
         p = np.zeros(batch.num_rows)
-        keys, where = np.unique(np.stack([dim, tree, leaf]), axis=1, return_inverse=True)
-        for k, (d, t, node) in enumerate(keys.T):
-            at = np.flatnonzero(where.ravel() == k)
-            p[at] = matrix(batch.column("embedding").take(pa.array(at)), int(d)) @ direction(int(t), int(node), int(d))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "dim", "tree", "leaf")), pa.array(p)], names=["node", "dim", "tree", "leaf", "p"])
+        keys, where = np.unique(np.stack([dim, tree, leaf, k]), axis=1, return_inverse=True)
+        for n, (d, t, node, which) in enumerate(keys.T):
+            at = np.flatnonzero(where.ravel() == n)
+            p[at] = matrix(batch.column("embedding").take(pa.array(at)), int(d)) @ direction(int(t), int(node), int(d), int(which))
+        left, right = np.flatnonzero(p <= high), np.flatnonzero(p >= low)
+        at = pa.array(np.concatenate([left, right]))
+        child = np.concatenate([2 * leaf[left], 2 * leaf[right] + 1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "dim", "tree")), pa.array(child)], names=["node", "dim", "tree", "leaf"])
 
 
-def split_large(leaves: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Split every leaf of more than LEAF_MOST rows, by medians over all its rows, until there is none."""
+def split_large(leaves: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Split every leaf of more than LEAF_MOST rows, until there is none or only dense ones."""
     key = ["dim", "tree", "leaf"]
     done = None
     while True:
-        large = cut(leaves.groupBy(*key).count().filter(F.col("count") > LEAF_MOST).drop("count"), "large-leaves")
+        large = cut(leaves.groupBy(*key).count().filter(F.col("count") > LEAF_MOST), "large-leaves")
         if large.isEmpty():
             return leaves if done is None else done.unionByName(leaves)
-        kept = leaves.join(large, key, "left_anti")
+        judges = leaves.join(small(large), key).filter(F.pmod(F.xxhash64("node", "leaf", "tree"), F.col("count")) < JUDGES)
+        judges = judges.join(vectors.select("node", "embedding"), "node").select(*key, "embedding")
+        splits = cut(judges.groupBy(*key).applyInArrow(_chosen(threshold), "dim int, tree int, leaf long, low double, high double, k int"), "splits")
+        if splits.isEmpty():
+            return leaves if done is None else done.unionByName(leaves)
+        kept = leaves.join(small(splits.select(*key)), key, "left_anti")
         done = kept if done is None else done.unionByName(kept)
-        rows = leaves.join(large, key, "left_semi").join(vectors.select("node", "embedding"), "node")
-        placed = cut(rows.select("node", *key, "embedding").mapInArrow(_project, "node long, dim int, tree int, leaf long, p double"), "projected")
-        bounds = placed.groupBy(*key).agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL], 1000).alias("q")).select(*key, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-        # Where the middle is one value, a hash deals out its rows.
-        tied = (F.col("low") == F.col("high")) & (F.col("p") == F.col("low"))
-        odd = F.pmod(F.xxhash64("node", "tree", "leaf"), F.lit(2)) == 1
-        left = F.when(tied, ~odd).otherwise(F.col("p") <= F.col("high"))
-        right = F.when(tied, odd).otherwise(F.col("p") >= F.col("low"))
-        children = F.filter(F.array(F.when(left, F.col("leaf") * 2), F.when(right, F.col("leaf") * 2 + 1)), lambda c: c.isNotNull())
-        leaves = cut(placed.join(bounds, key).select("node", "dim", "tree", F.explode(children).alias("leaf")), "leaves")
+        rows = leaves.join(small(splits), key).join(vectors.select("node", "embedding"), "node")
+        leaves = cut(rows.select("node", *key, "low", "high", "k", "embedding").mapInArrow(_split, "node long, dim int, tree int, leaf long"), "leaves")
+
+
+def in_blocks(full: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks to compare: ``one`` and ``two`` are their numbers, ``own`` the row's."""
+    sizes = full.groupBy("code", "dim").count().filter(F.col("count") > LEAF_MOST)
+    sizes = cut(sizes.select("code", "dim", F.ceil(F.col("count") / LEAF_MOST).cast("int").alias("blocks")), "leaf-blocks")
+    full = full.join(small(sizes), ["code", "dim"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    full = full.withColumn("own", F.pmod(F.xxhash64("node", "code"), F.col("blocks")).cast("int"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return full.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest row that the links lead to from each row."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[p], root[q])
+        new = root.copy()
+        np.minimum.at(new, p, least)
+        np.minimum.at(new, q, least)
+        # Where the old roots lead follows their rows.
+        np.minimum.at(new, root, new.copy())
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _compare(threshold: float):
-    """A job for one leaf: each node's new links by weight, and the node its links lead to."""
+    """A job for a pair of blocks of one leaf: each node's new links by weight, and the node its links lead to."""
 
     def job(table: pa.Table) -> pa.Table:
-        node, weight, code, dim = (table.column(c).to_numpy() for c in ("node", "weight", "code", "dim"))
-        vectors = table.column("embedding").combine_chunks()
-        x = matrix(vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors, int(dim[0]))
-        lists = table.column("codes").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        # Rows of the same leaves in other trees stand together, so many of their pairs are known at once.
+        lists = _one(table.column("codes"))
+        first = lists.flatten().to_numpy()[lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]]
+        table = table.take(pa.array(np.lexsort([first, table.column("own").to_numpy()])))
+        node, weight, code, dim, own = (table.column(c).to_numpy() for c in ("node", "weight", "code", "dim", "own"))
+        x = matrix(_one(table.column("embedding")), int(dim[0]))
+        lists = _one(table.column("codes"))
         owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
         codes = lists.flatten().to_numpy()
         earlier = codes < code[0]
         _, column = np.unique(codes[earlier], return_inverse=True)
         before = np.zeros((len(node), int(column.max()) + 1 if len(column) else 1), np.float32)
         before[owner[earlier], column] = 1
-        links, left, right = np.zeros(len(node), np.int64), [], []
-        for a in range(0, len(node), BLOCK):
-            i, j = np.nonzero(x[a : a + BLOCK] @ x[a:].T >= threshold)
-            i, j = i[j > i] + a, j[j > i] + a
-            for c in range(0, len(i), 1 << 16):
-                p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                fresh = np.einsum("ij,ij->i", before[p], before[q]) == 0
-                p, q = p[fresh], q[fresh]
-                np.add.at(links, p, weight[q])
-                np.add.at(links, q, weight[p])
-                left.append(p)
-                right.append(q)
+        before = before[:, (before.sum(axis=0) > 1)]
+        same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        middle = 0 if same else int(np.searchsorted(own, own[-1]))
+        links, left, right = np.zeros(len(node)), [], []
+        for a in range(0, len(node) if same else middle, BLOCK):
+            i = slice(a, a + BLOCK if same else min(a + BLOCK, middle))
+            for b in range(a if same else middle, len(node), BLOCK):
+                j = slice(b, b + BLOCK)
+                if (before[i].all(axis=0) & before[j].all(axis=0)).any():
+                    continue
+                near = x[i] @ x[j].T >= threshold
+                if same and a == b:
+                    near = np.triu(near, 1)
+                p, q = np.nonzero(near)
+                if 16 * len(p) > near.size:
+                    near &= before[i] @ before[j].T == 0
+                else:
+                    for c in range(0, len(p), 1 << 14):
+                        u, v = p[c : c + (1 << 14)], q[c : c + (1 << 14)]
+                        near[u, v] = np.einsum("ij,ij->i", before[i][u], before[j][v]) == 0
+                p, q = np.nonzero(near)
+                if len(p) == 0:
+                    continue
+                links[i] += near @ weight[j].astype(np.float64)
+                links[j] += weight[i].astype(np.float64) @ near
+                # Of the links only what they lead to is kept.
+                at, which = np.unique(np.concatenate([p + a, q + b]), return_inverse=True)
+                root = _roots(len(at), which[: len(p)], which[len(p) :])
+                left.append(at)
+                right.append(at[root])
         p, q = (np.concatenate([*s, np.zeros(0, np.int64)]).astype(np.int64) for s in (left, right))
-        root = np.arange(len(node))
-        while True:
-            least = np.minimum(root[p], root[q])
-            new = root.copy()
-            np.minimum.at(new, p, least)
-            np.minimum.at(new, q, least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        root = _roots(len(node), p, q)
         some = links > 0
-        return pa.table({"node": node[some], "links": links[some], "root": node[root[some]]})
+        return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": node[root[some]]})
 
     return job
 
@@ -210,13 +290,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         links = component = F.lit(None).cast("long")
     else:
         sample = nodes.select("node", "dim", "embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
-        model = vectors.sparkSession.sparkContext.broadcast(fit(sample, total))  # at most TREES * SAMPLE / 32 pairs of numbers
+        model = vectors.sparkSession.sparkContext.broadcast(fit(sample, total, threshold))  # at most TREES * SAMPLE / 32 pairs of numbers
         leaves = cut(nodes.mapInArrow(_route(model), "node long, dim int, tree int, leaf long"), "leaves")
-        leaves = split_large(leaves, nodes)
+        leaves = split_large(leaves, nodes, threshold)
         code = F.col("tree").cast("long") * F.lit(1 << 48) + F.col("leaf")
         codes = leaves.groupBy("node").agg(F.sort_array(F.collect_set(code)).alias("codes"))
         full = nodes.join(codes, "node").withColumn("code", F.explode("codes"))
-        found = cut(full.groupBy("dim", "code").applyInArrow(_compare(threshold), "node long, links long, root long"), "leaf-links")
+        found = cut(in_blocks(full).groupBy("dim", "code", "one", "two").applyInArrow(_compare(threshold), "node long, links long, root long"), "leaf-links")
         counts = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
         out = out.join(counts, F.col("node") == F.col("linked"), "left")
         edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")

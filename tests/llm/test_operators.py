@@ -153,6 +153,19 @@ def test_large_leaves_are_split_further(spark, monkeypatch):
     assert sum(r.n_links >= 1 for r in rows) >= 195
 
 
+def test_links_of_a_dense_group_above_a_leaf_are_found(spark, monkeypatch):
+    monkeypatch.setattr(embedding_forest, "LEAF", 100)
+    monkeypatch.setattr(embedding_forest, "LEAF_MOST", 300)
+    rng = np.random.default_rng(5)
+    group = rng.standard_normal(32) + 0.17 * rng.standard_normal((1500, 32))
+    x = np.concatenate([group, rng.standard_normal((3000, 32))])
+    rows = embedding_forest.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = np.array([r.n_links for r in sorted(rows)])
+    assert expected.sum() > 1_000_000 and (got <= expected).all() and got.sum() >= 0.99 * expected.sum()
+
+
 def test_sharding_balances_and_keeps_copies(spark, corpus):
     rows = sharding.ring_shards(frame(spark, corpus), shards=4).collect()
     assert len(rows) == len(corpus)
