@@ -3,9 +3,11 @@
 Documents are read in passages of three blocks of words.  All passages of all
 texts that hold enough of an item's words to pass the final check are kept, as
 the positions of the benchmark's terms in them.  A distributed randomised SVD of the TF-IDF vectors of these passages and of
-the items gives a latent space; passages near an item there are candidates,
-and the longest common subsequence of words, with a check of the answer,
-decides.  Term statistics cover all blocks of all documents.
+the items gives a latent space; passages near an item there are candidates, and
+so are, near or not, those that hold enough of its words.  The longest common
+subsequence of words, with a check of the answer, decides.  Items are grouped
+by length, so a long one does not widen the passages of short ones.  Term
+statistics cover all blocks of all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from narrata.llm.scratch import cut
 
 #: Words of an item that are compared at once; longer items are cut into pieces.
 PIECE = 256
+#: Most words of a third of a passage, by groups of items of up to twice as many words.
+SIZES = (32, 64, PIECE // 2)
 SHORTEST = 5
 #: Items whose latent space is built at once, which bounds what the driver holds.
 ITEMS = 512
@@ -50,9 +54,9 @@ class Items:
         return out
 
 
-def read_items(rows: list[tuple[object, str, str | None]]) -> Items | None:
-    """Items from (id, text, answer); without an answer, the last third of the text is it."""
-    ids, hashed, answers = [], [], []
+def read_items(rows: list[tuple[object, str, str | None]]) -> list[Items]:
+    """Items from (id, text, answer), by size of their passages; without an answer, the last third of the text is it."""
+    groups: dict[int, list[tuple]] = {}
     for item, text, answer in rows:
         whole = f"{text or ''} {answer}" if answer else text or ""
         h, _, first = words.word_hashes(*words.buffers(pa.array([text or "", whole], pa.string())), words.PUNCTUATED)
@@ -61,14 +65,15 @@ def read_items(rows: list[tuple[object, str, str | None]]) -> Items | None:
         for a in range(0, len(h), PIECE):
             piece = h[a : a + PIECE]
             if len(piece) >= SHORTEST:
-                ids.append(item)
-                hashed.append(piece)
-                answers.append(min(max(begins - a, 0), len(piece)))
-    if not ids:
-        return None
-    vocabulary = np.unique(np.concatenate(hashed))
-    longest = max(map(len, hashed))
-    return Items(ids, [np.searchsorted(vocabulary, h) for h in hashed], answers, vocabulary, min(PIECE // 2, max(32, -(-longest // 2))))
+                size = next(s for s in SIZES if 2 * s >= len(piece))
+                groups.setdefault(size, []).append((item, piece, min(max(begins - a, 0), len(piece))))
+    out = []
+    for _, group in sorted(groups.items()):
+        ids, hashed, answers = map(list, zip(*group, strict=True))
+        vocabulary = np.unique(np.concatenate(hashed))
+        longest = max(map(len, hashed))
+        out.append(Items(ids, [np.searchsorted(vocabulary, h) for h in hashed], answers, vocabulary, min(PIECE // 2, max(32, -(-longest // 2)))))
+    return out
 
 
 def _hits(batch: pa.RecordBatch, items: Items, table: np.ndarray) -> Iterator[tuple]:
@@ -261,7 +266,7 @@ def latent_space(found: DataFrame, items: Items, idf: np.ndarray, seed: int = 0)
 
     One pass takes a random matrix through A'A, a second one the orthonormal
     basis of the result; the small problem that remains is solved exactly.
-    The rank is that of the items, so each of them lies in the space.
+    The rank is that of the items and 32 more.
     """
     rank = min(len(idf), len(items.ids) + 32)
     start = np.random.default_rng(seed).standard_normal((len(idf), rank))
@@ -285,14 +290,15 @@ def common_length(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def _search(found: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray) -> DataFrame:
+def _search(found: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c: Counts) -> DataFrame:
+    """Passages with their items.  Those far from an item whose words they hold are compared with it too: other words may hide it."""
     lists = pa.array([t.tolist() for t in items.terms], pa.list_(pa.int32()))
     near = np.concatenate([_project(r, t, w, space, min(1000, len(lists) - a)) for a, r, t, w in _vectors(lists, idf)])
     near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
-    shared = found.sparkSession.sparkContext.broadcast((items, idf, space, near))
+    shared = found.sparkSession.sparkContext.broadcast((items, idf, space, near, c))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, space, near = shared.value
+        items, idf, space, near, c = shared.value
         for batch in batches:
             lists = batch.column("terms")
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -301,7 +307,9 @@ def _search(found: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray)
                 z = _project(row, term, weight, space, min(1000, len(lists) - a))
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cosine = z @ near.T
-                for p, q in zip(*np.nonzero(cosine >= NEAR), strict=True):
+                held, has = _held(row, term, len(z), c)
+                enough = held + has.astype(np.float32) @ c.table >= c.needed
+                for p, q in zip(*np.nonzero((cosine >= NEAR) | enough), strict=True):
                     passage, item = flat[offsets[a + p] : offsets[a + p + 1]], items.terms[q]
                     passage = passage[passage >= 0]
                     share = common_length(item, passage) / len(item)
@@ -332,7 +340,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     key is no document, a null item id is reported as null; rows that share a
     key are one document; repeated items are found once each; texts of any
     length are read whole; empty tables give an empty result; further columns
-    are dropped.  Items are taken in blocks of ``ITEMS`` against all documents.
+    are dropped.  Items are taken in blocks of ``ITEMS``, and of one size of
+    passages, against all documents.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     told = F.col(answer) if answer else F.lit(None).cast("string")
@@ -343,17 +352,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     out = None
     for k in range(blocks):
         rows = sorted(numbered.filter(F.col("of") == k).select("item_id", "text", "answer").collect(), key=str)
-        items = read_items([tuple(r) for r in rows])
-        if items is None:
-            continue
-        counts, total = document_frequencies(docs, items)
-        idf = np.log((total + 1) / (counts + 1)) + 1e-6
-        found = cut(passages(docs, items, item_counts(items, counts, total)), "bench-passages")
-        hits = _search(found, items, idf, latent_space(found, items, idf))
-        names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), f"piece int, item_id {kind}")
-        best = hits.join(F.broadcast(names), "piece").groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("begin")).alias("begin"))).alias("best"))
-        best = best.select("doc_id", "item_id", "best.lcs", "best.answer", "best.cosine", (-F.col("best.begin")).alias("begin"))
-        out = best if out is None else out.unionByName(best)
+        for items in read_items([tuple(r) for r in rows]):
+            counts, total = document_frequencies(docs, items)
+            idf = np.log((total + 1) / (counts + 1)) + 1e-6
+            held = item_counts(items, counts, total)
+            found = cut(passages(docs, items, held), "bench-passages")
+            hits = _search(found, items, idf, latent_space(found, items, idf), held)
+            names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), f"piece int, item_id {kind}")
+            hits = hits.join(F.broadcast(names), "piece").select("doc_id", "item_id", "lcs", "answer", "cosine", "begin")
+            out = hits if out is None else out.unionByName(hits)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {kind}, lcs double, answer double, cosine double, begin long")
-    return out
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("begin")).alias("begin"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.lcs", "best.answer", "best.cosine", (-F.col("best.begin")).alias("begin"))

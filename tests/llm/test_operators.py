@@ -315,6 +315,18 @@ def test_decontamination_finds_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in found} == set(planted.items())
 
 
+def test_decontamination_finds_short_items_beside_long_ones(spark):
+    rnd = random.Random(15)
+    items = [(k, prose(rnd, rnd.randint(8, 16))) for k in range(60)] + [(60 + k, prose(rnd, 256)) for k in range(8)]
+    docs = []
+    for k in range(60):
+        w = prose(rnd, 600).split(" ")
+        w[250:250] = items[k][1].split(" ")
+        docs.append((k, " ".join(w)))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(60)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link(docs).count() == 0
