@@ -315,6 +315,19 @@ def test_decontamination_finds_paraphrases(spark):
     assert {(r.doc_id, r.item_id) for r in found} == set(planted.items())
 
 
+def test_decontamination_thresholds(spark):
+    rnd = random.Random(16)
+    item = prose(rnd, 60).split(" ")
+    # So many words of the first 40 and of the answer, the last 20: 73 % of all, 55 % with the answer, 55 % without it, 45 % with it.
+    shares, docs = {0: (35, 9), 1: (21, 12), 2: (27, 6), 3: (12, 15)}, []
+    for k, (a, b) in shares.items():
+        w = prose(rnd, 200).split(" ")
+        w[90:90] = [x if i in {*range(a), *range(40, 40 + b)} else "other" for i, x in enumerate(item)]
+        docs.append((k, " ".join(w)))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {0, 1}
+
+
 def test_decontamination_finds_short_items_beside_long_ones(spark):
     rnd = random.Random(15)
     items = [(k, prose(rnd, rnd.randint(8, 16))) for k in range(60)] + [(60 + k, prose(rnd, 256)) for k in range(8)]
