@@ -10,8 +10,10 @@ shares as many prefix shingles as the smaller of its two choices.
 Groups of copies do not produce their pairs.  Equal sets are one node.  While
 more pairs are left than a small multiple of the prefix rows, nodes that share
 a prefix shingle are compared with one pivot each, the links found are
-contracted, and only pairs of different components go on; the last round
-compares all that are left.  So all components come out exact.
+contracted, and only pairs of different components go on.  What is left in
+large lists is compared block by block inside tasks, which return only pairs
+that no bound rules out, each node's most similar partner first; small lists
+are joined.  So all components come out exact.
 """
 
 from __future__ import annotations
@@ -36,6 +38,14 @@ CHUNK = 1 << 20
 #: Numbers of matches that a document can choose from.
 MATCHES = (1, 2, 4, 8, 16)
 ROUNDS = 6
+#: Components of a list from which on its pairs are looked for inside tasks.
+HEAVY = 16
+#: Rows of a list from which on it is hot: its sums are made in parts, not in one window.
+HOT = 256
+#: Rows of a block of a heavy list, and of the squares that a task looks at together.
+BLOCK, SQUARE = 4096, 512
+#: Bins of a sketch.
+BINS = 256
 TOP = np.uint64(1 << 63)
 
 
@@ -174,8 +184,8 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     classes = cut(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("node")), "classes")
     tokens = signed.filter("n > 0").join(small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
     tokens = tokens.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
-    shared = cut(tokens.dropDuplicates(["token", "node"]), "prefixes")
+    # Common shingles are marked by their sign; each other one has a small share of the rows.
+    shared = cut(over_token(tokens, F.col("token") < 0, df=F.count("*")).filter("df > 1").dropDuplicates(["token", "node"]), "prefixes")
     chosen = choose_matches(shared, rule)
     prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
     buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"), (F.col("n") - prefix).alias("rest"))
@@ -186,6 +196,14 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
+def over_token(rows: DataFrame, hot: Column, by: tuple[str, ...] = ("token",), **sums: Column) -> DataFrame:
+    """Add aggregates over rows of equal ``by``: of ``hot`` rows made in parts and joined back, of others by a window."""
+    window = Window.partitionBy(*by)
+    rare = rows.filter(~hot).withColumns({name: s.over(window) for name, s in sums.items()})
+    few = cut(rows.filter(hot).groupBy(*by).agg(*[s.alias(name) for name, s in sums.items()]), "hot-sums")
+    return rare.unionByName(rows.filter(hot).join(small(few), list(by)))
+
+
 def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, component) of all linked nodes; None if there are none.
 
@@ -194,36 +212,63 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
     it is worth a comparison before that, and how much of the set lies behind
     its prefix.  ``sets_of`` gives (node, shingles) of a table of nodes.
     """
-    buckets = cut(buckets.withColumn("component", F.col("node")), "buckets")
+    buckets = buckets.withColumn("component", F.col("node"))
+    hot = cut(buckets.groupBy("token").count().filter(F.col("count") >= HOT).select("token", F.lit(True).alias("hot")), "hot-tokens")
+    buckets = cut(buckets.join(small(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "buckets")
     if buckets.isEmpty():
         return None
-    links, labels, before = None, None, None
-    by_token = Window.partitionBy("token")
-    for k in range(ROUNDS + 1):
+    labels, before = None, None
+
+    def settle(pairs: DataFrame, portions: tuple[tuple[int, int], ...] = ((0, 64),)) -> None:
+        """Verify pairs, in portions of 64ths; what the first ones join need not be compared again."""
+        nonlocal labels
+        for low, high in portions:
+            some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(64)).between(low, high - 1))
+            if low > 0 and labels is not None:
+                some = cut(_apart(some, labels), "pairs")
+            nodes = cut(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+            found = cut(verify(some, cut(sets_of(nodes), "sets"), rule), "found")
+            if not found.isEmpty():
+                # Links of components that are known stand for those found before.
+                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")) if labels is not None else None
+                labels = components(found if known is None else known.unionByName(found))
+
+    def still_open() -> DataFrame:
+        """Rows of lists with several components."""
+        now = buckets
         if labels is not None:
-            buckets = buckets.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = buckets.withColumn("lo", F.min("component").over(by_token)).withColumn("hi", F.max("component").over(by_token)).filter("lo <> hi")
-        buckets = cut(open_.drop("lo", "hi"), "buckets")
+            now = now.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            now = cut(now, "labelled")
+        now = over_token(now, F.col("hot"), lo=F.min("component"), hi=F.max("component")).filter("lo <> hi")
+        return cut(now.drop("lo", "hi"), "buckets")
+
+    for k in range(ROUNDS):
+        buckets = still_open()
         per = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
         left, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not rows:
-            break
+            return labels
         # Pivots go on while they settle a tenth of the rows; what they leave are lists of unlike nodes.
-        last = k == ROUNDS or left <= 2 * rows + 100_000 or (before is not None and rows > 0.9 * before)
-        before = rows
-        pairs = cut(_all_pairs(buckets, rule) if last else _pivot_pairs(buckets, rule, k), "pairs")
-        # Of the last pairs a few go first: what they join need not be compared again.
-        for low, high in ((0, 1), (1, 8), (8, 64)) if last else ((0, 64),):
-            some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(64)).between(low, high - 1))
-            if labels is not None and last:
-                some = cut(_apart(some, labels), "pairs")
-            nodes = cut(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-            found = verify(some, cut(sets_of(nodes), "sets"), rule)
-            links = cut(found if links is None else links.unionByName(found), "found")
-            if not links.isEmpty():
-                labels = components(links)
-        if last:
+        if left <= 2 * rows + 100_000 or (before is not None and rows > 0.9 * before):
             break
+        before = rows
+        settle(cut(_pivot_pairs(buckets, k), "pairs"))
+    sketches = None
+    for best in (True, False):
+        if best is False:
+            buckets = still_open()
+        sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("size"))
+        heavy = cut(sizes.filter(F.col("of") > HEAVY).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "heavy")
+        if not heavy.isEmpty():
+            if sketches is None:
+                nodes = cut(buckets.join(small(heavy), "token", "left_semi").select("node").distinct(), "nodes")
+                sketches = cut(sets_of(nodes).mapInArrow(_sketch, "node long, sketch binary").dropDuplicates(["node"]), "sketches")
+            settle(cut(_block_pairs(buckets, heavy, sketches, rule, best), "pairs"))
+        elif best:
+            continue
+        if not best:
+            pairs = cut(_all_pairs(buckets.join(small(heavy), "token", "left_anti"), rule), "pairs")
+            settle(pairs if labels is None else cut(_apart(pairs, labels), "pairs"), ((0, 1), (1, 8), (8, 64)))
     return labels
 
 
@@ -234,11 +279,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
 
 
-def _pivot_pairs(buckets: DataFrame, rule: Rule, k: int) -> DataFrame:
+def _pivot_pairs(buckets: DataFrame, k: int) -> DataFrame:
     """Each node with one pivot of its list and size class; a different one each round."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)))
-    pivot = F.min(F.struct(F.xxhash64("component", F.lit(k)), F.xxhash64("node", F.lit(k)), F.col("node").alias("node"), F.col("component").alias("component"))).over(Window.partitionBy("token", "band"))
-    rows = buckets.withColumn("band", band).withColumn("pivot", pivot).filter("pivot.component <> component")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)))
+    pivot = F.min(F.struct(F.xxhash64("component", F.lit(k)), F.xxhash64("node", F.lit(k)), F.col("node").alias("node"), F.col("component").alias("component")))
+    rows = over_token(buckets.withColumn("band", band), F.col("hot"), ("token", "band"), pivot=pivot).filter("pivot.component <> component")
     pairs = rows.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     return pairs.agg(F.count("*").alias("shared"), F.min("likely").alias("likely")).filter("shared >= likely").select("a", "b")
 
@@ -257,3 +302,128 @@ def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:
     overlap = F.ceil((F.col("na") + F.col("nb")) * rule.num / F.lit(rule.num + rule.den) - 1e-9)
     needed = F.greatest(F.least("ma", "mb"), overlap - F.greatest("ra", "rb"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(needed).alias("needed")).filter("shared >= needed").select("a", "b")
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each set fall into each of BINS bins; the sum of the minima of two sketches bounds the overlap."""
+    for batch in batches:
+        lists = batch.column("shingles")
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        flat = flat[offsets[0] : offsets[-1]]
+        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        counts = np.bincount(row * BINS + (words.mix(flat) >> np.uint64(56)).astype(np.int64), minlength=len(lists) * BINS)
+        sketches = np.minimum(counts, 65535).astype("<u2").reshape(len(lists), BINS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["node", "sketch"])
+
+
+def _block_pairs(buckets: DataFrame, heavy: DataFrame, sketches: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components in heavy lists that no bound rules out.
+
+    A list is cut into blocks, and each pair of blocks is a task's work.  Rows
+    carry the tokens of their prefix; a pair counts in the first heavy list
+    that both nodes have, so no pair is returned twice.  With ``best`` a node
+    brings only the pair with its most similar partner in a block.
+    """
+    marked = buckets.select("token", "node").join(small(heavy.select("token", F.lit(True).alias("heavy"))), "token", "left")
+    lists = marked.groupBy("node").agg(F.collect_set(F.when(F.col("heavy"), F.col("token"))).alias("heavies"), F.collect_set(F.when(F.col("heavy").isNull(), F.col("token"))).alias("lights"))
+    nodes = cut(lists.filter(F.size("heavies") > 0).join(sketches, "node"), "heavy-nodes")
+    rows = buckets.join(small(heavy), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", "node", "n", "matches", "rest", "component", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    return rows.join(nodes, "node").groupBy("token", "one", "two").applyInArrow(_compare(rule, best), "a long, b long")
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(whole)), np.diff(whole.offsets.to_numpy()))
+
+
+def _shared(codes: np.ndarray, ends: np.ndarray, i: slice, j: slice) -> np.ndarray:
+    """How many tokens each row of one range shares with each of another."""
+    parts = [codes[ends[s.start] : ends[s.stop]] for s in (i, j)]
+    rows = [np.repeat(np.arange(s.stop - s.start), np.diff(ends[s.start : s.stop + 1])) for s in (i, j)]
+    both = np.intersect1d(*parts)
+    out = np.zeros((i.stop - i.start, j.stop - j.start), np.float32)
+    for c in range(0, len(both), 4096):
+        some = both[c : c + 4096]
+        has = []
+        for values, row, s in zip(parts, rows, (i, j), strict=True):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            good = some[at] == values
+            m = np.zeros((s.stop - s.start, len(some)), np.float32)
+            m[row[good], at[good]] = 1
+            has.append(m)
+        out += has[0] @ has[1].T
+    return out
+
+
+def _compare(rule: Rule, best: bool):
+    """A job for two blocks of one heavy list, or for one block with itself."""
+
+    def job(table: pa.Table) -> pa.Table:
+        token = table.column("token")[0].as_py()
+        same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+        heavies, owner = _flat(table.column("heavies"))
+        first = np.full(table.num_rows, np.iinfo(np.int64).max)
+        np.minimum.at(first, owner, heavies)
+        # Rows with the same first heavy list stand together, so many squares are known from it.
+        table = table.take(pa.array(np.lexsort([first, table.column("own").to_numpy()])))
+        node, n, matches, rest, component, own = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "matches", "rest", "component", "own"))
+        heavies, owner = _flat(table.column("heavies"))
+        lights, under = _flat(table.column("lights"))
+        codes, row = np.concatenate([heavies, lights]), np.concatenate([owner, under])
+        codes = codes[np.argsort(row, kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(node)))])
+        earlier = heavies < token
+        before, at = heavies[earlier], np.concatenate([[0], np.cumsum(np.bincount(owner[earlier], minlength=len(node)))])
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(node), BINS)
+        middle = 0 if same else int(np.searchsorted(own, own[-1]))
+        found = []
+        for a in range(0, len(node) if same else middle, SQUARE):
+            i = slice(a, min(a + SQUARE, len(node) if same else middle))
+            every = _held_by_all(before, at, i)
+            for b in range(a if same else middle, len(node), SQUARE):
+                j = slice(b, min(b + SQUARE, len(node)))
+                if len(np.intersect1d(every, _held_by_all(before, at, j))):
+                    continue
+                good = component[i][:, None] != component[j][None, :]
+                low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
+                good &= low * rule.den >= high * rule.num
+                if same and a == b:
+                    good = np.triu(good, 1)
+                if not good.any():
+                    continue
+                overlap = -(-(low + high) * rule.num // (rule.num + rule.den))
+                needed = np.maximum(np.minimum(matches[i][:, None], matches[j][None, :]), overlap - np.maximum(rest[i][:, None], rest[j][None, :]))
+                good &= (_shared(codes, ends, i, j) >= needed) & (_shared(before, at, i, j) == 0)
+                p, q = np.nonzero(good)
+                for c in range(0, len(p), 4096):
+                    u, v = p[c : c + 4096], q[c : c + 4096]
+                    bound = np.minimum(sketch[u + a], sketch[v + b]).sum(axis=1, dtype=np.int64)
+                    bound[high[u, v] > 65535] = high[u, v][high[u, v] > 65535]
+                    enough = bound >= overlap[u, v]
+                    u, v, bound = u[enough], v[enough], bound[enough]
+                    found.append((u + a, v + b, bound / (low[u, v] + high[u, v] - bound)))
+        u, v, like = (np.concatenate([*x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if best and len(u):
+            most = np.zeros(len(node))
+            np.maximum.at(most, u, like)
+            np.maximum.at(most, v, like)
+            # Of equal partners one is enough for now.
+            top = np.full(len(node), -1)
+            for side in (u, v):
+                k = np.flatnonzero(like == most[side])
+                top[side[k]] = k
+            k = np.unique(top[top >= 0])
+            u, v = u[k], v[k]
+        return pa.table({"a": np.minimum(node[u], node[v]), "b": np.maximum(node[u], node[v])})
+
+    return job
+
+
+def _held_by_all(codes: np.ndarray, ends: np.ndarray, i: slice) -> np.ndarray:
+    """Tokens that every row of a range has."""
+    some, times = np.unique(codes[ends[i.start] : ends[i.stop]], return_counts=True)
+    return some[times == i.stop - i.start]
