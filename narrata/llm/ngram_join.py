@@ -189,7 +189,7 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     chosen = choose_matches(shared, rule)
     prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
     buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"), (F.col("n") - prefix).alias("rest"))
-    labels = contract(buckets, rule, lambda nodes: whole_sets(docs, nodes, rule))
+    labels = contract(cut(buckets, "buckets"), rule, lambda nodes: whole_sets(docs, nodes, rule))
     named = signed.select("doc_id", "n", "fa", "fb").join(classes, ["fa", "fb"], "left")
     named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
@@ -214,9 +214,7 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
     """
     buckets = buckets.withColumn("component", F.col("node"))
     hot = cut(buckets.groupBy("token").count().filter(F.col("count") >= HOT).select("token", F.lit(True).alias("hot")), "hot-tokens")
-    buckets = cut(buckets.join(small(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "buckets")
-    if buckets.isEmpty():
-        return None
+    buckets = buckets.join(small(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     labels, before = None, None
 
     def settle(pairs: DataFrame, portions: tuple[tuple[int, int], ...] = ((0, 64),)) -> None:

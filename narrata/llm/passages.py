@@ -1,11 +1,10 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 Paragraphs are the lines of a text, and besides them windows of ``WINDOW``
-words from anchors on.  Anchors are the words at which a hash of three words
-is smallest among the ``REACH`` before and after, about one in
-``2 * REACH + 1``; they depend on the words around them alone, so a passage
-has the same ones wherever it stands, in the middle of a line too, and one of
-50 words has room for a window behind one of its anchors.
+words that begin at anchors.  Of every ``REACH`` consecutive windows the one
+with the smallest hash is an anchor, so anchors depend on the words around
+them alone, and every unedited passage of ``WINDOW + REACH - 1`` words (50)
+holds one, wherever it stands, in the middle of a line too.
 
 Lines have bands of two MinHashes, as many as the recall asks for; those
 that collide are compared by exact Jaccard similarity of their shingles.  A
@@ -31,9 +30,9 @@ from narrata.llm.ngram_join import Rule, contract
 from narrata.llm.scratch import cut
 
 WINDOW = 20
-REACH = 5
-#: Lines of fewer words are no paragraphs.
-LINE = 8
+REACH = 31
+#: Lines of fewer words are no paragraphs: stock phrases and headings repeat in texts that repeat nothing else.
+LINE = 20
 RULE = Rule(size=5, num=80, den=100)
 
 
@@ -47,25 +46,47 @@ ROWS = 2
 LINE_BANDS = bands(0.8, 0.99, ROWS)
 
 
-def _windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end word of the window behind every anchor of every row."""
-    n = len(hashes)
-    if n < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    three = hashes.copy()
-    three[:-2] = words.mix(hashes[:-2] * np.uint64(3) + hashes[1:-1] * np.uint64(5) + hashes[2:] * np.uint64(7))
-    size = 2 * REACH + 1
-    if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = three
-    width = 1
-    while width * 2 <= size:
+def _windows(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start word of the window behind every anchor, and a fingerprint of the window's shingles.
+
+    ``tokens`` has a shingle at each word but a row's last ones.
+    """
+    size = WINDOW - RULE.size + 1
+    mixed = words.mix(tokens ^ np.uint64(0x2545F491))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    prints = words.mix(sums[size:] - sums[:-size])[:n]
+    # Windows that cross a row's end are no windows.
+    length = np.diff(first)
+    row = np.repeat(np.arange(len(length)), length)[:n]
+    inside = np.arange(n) + WINDOW <= first[row + 1]
+    prints[~inside] = np.uint64(2**64 - 1)
+    # The smallest of every REACH consecutive ones; a row with fewer has its smallest.
+    padded = np.concatenate([np.full(REACH - 1, 2**64 - 1, np.uint64), prints, np.full(REACH - 1, 2**64 - 1, np.uint64)])
+    least, width = padded, 1
+    while width * 2 <= REACH:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: n - size + 1], least[size - width : size - width + n - size + 1])
-    anchors = np.flatnonzero(three[REACH : n - REACH] == least) + REACH
-    anchors = anchors[anchors + WINDOW <= first[np.searchsorted(first, anchors, "right")]]
-    return anchors, anchors + WINDOW
+    span = len(padded) - REACH + 1
+    least = np.minimum(least[:span], least[REACH - width : REACH - width + span])
+    # A window is an anchor if it is the smallest of one of the runs that hold it and lie in its row.
+    chosen = np.zeros(n, bool)
+    begins = np.arange(span) - (REACH - 1)
+    whole = (begins >= 0) & (begins + REACH <= n)
+    whole[whole] &= (row[begins[whole]] == row[begins[whole] + REACH - 1]) & inside[begins[whole] + REACH - 1]
+    for k in range(REACH):
+        at = begins[whole] + k
+        chosen[at[prints[at] == least[whole]]] = True
+    count = np.maximum(length - WINDOW + 1, 0)
+    for r in np.flatnonzero((count > 0) & (count < REACH)):
+        some = np.arange(first[r], first[r] + count[r])
+        some = some[some < n]
+        if len(some):
+            chosen[some[np.argmin(prints[some])]] = True
+    anchors = np.flatnonzero(chosen & inside)
+    return anchors, prints[anchors]
 
 
 def _lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,51 +109,40 @@ def _sets(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return words.distinct_sorted(*words.shingle_hashes(hashes[take], at, RULE.size))
 
 
-def _signed(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Set size, fingerprint and minima of every span; a repeated shingle counts once in none of them but the sum.
-
-    The shingles of a span are consecutive runs, so no set is built: minima
-    over runs of equal length come from a sliding minimum.
-    """
-    tokens, at = words.shingle_hashes(hashes, np.array([0, len(hashes)]), RULE.size)
-    stop = np.maximum(end - RULE.size + 1, begin + 1)
-    stop = np.minimum(stop, len(tokens))
-    begin = np.minimum(begin, stop - 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(tokens ^ np.uint64(0x2545F491)), dtype=np.uint64)])
-    edges = np.stack([begin, stop], axis=1).ravel()
-    minima = []
-    for k in range(count):
-        salted = np.append(words.mix(tokens ^ np.uint64((k + 1) * 0x9E3779B9)), np.uint64(2**64 - 1))
-        minima.append(np.minimum.reduceat(salted, edges)[::2])
-    return stop - begin, words.mix(sums[stop] - sums[begin] + (stop - begin).astype(np.uint64)), minima
-
-
 def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Banded paragraphs: key, node, n, doc_id, begin, end, n_words; offsets are code points."""
+    """Paragraphs: node (a fingerprint), doc_id, begin, end, n_words; of lines also n (their distinct shingles) and bands; offsets are code points."""
     for batch in batches:
         data, offsets = words.buffers(batch.column("text"))
         ids = batch.column("doc_id")
         for i, j in words.groups(offsets):
             some = offsets[i : j + 1]
             hashes, starts, first = words.word_hashes(data, some)
-            if len(hashes) < RULE.size:
+            if len(hashes) < WINDOW:
                 continue
             part = data[some[0] : some[-1]]
-            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)])
             sep = np.append(np.flatnonzero(words._is_separator(words.SPACES)[part]) + some[0], some[-1])
-            for spans, count in ((_lines(part, starts, first, some[0]), LINE_BANDS), (_windows(hashes, first), 0)):
-                begin, end = spans
-                if len(begin) == 0:
-                    continue
+
+            def placed(begin: np.ndarray, end: np.ndarray) -> list[pa.Array]:
                 row = np.searchsorted(first, begin, "right") - 1
-                size, node, minima = _signed(hashes, begin, end, count * ROWS)
-                minima = [words.mix(a * np.uint64(3) + b) for a, b in zip(minima[::ROWS], minima[1::ROWS], strict=True)]
-                last = starts[end - 1]
-                stop = np.minimum(sep[np.searchsorted(sep, last)], some[row + 1])
+                stop = np.minimum(sep[np.searchsorted(sep, starts[end - 1])], some[row + 1])
                 base = points[some[row] - some[0]]
-                columns = [ids.take(pa.array(row + i)), pa.array((points[starts[begin] - some[0]] - base).astype(np.int32)), pa.array((points[stop - some[0]] - base).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(node.view(np.int64))]
-                for k, m in enumerate(minima or [node]):
-                    yield pa.RecordBatch.from_arrays([pa.array((m + np.uint64(k)).view(np.int64)), *columns], names=["token", "doc_id", "begin", "end", "n_words", "n", "node"])
+                return [ids.take(pa.array(row + i)), pa.array((points[starts[begin] - some[0]] - base).astype(np.int32)), pa.array((points[stop - some[0]] - base).astype(np.int32)), pa.array((end - begin).astype(np.int32))]
+
+            names = ["node", "doc_id", "begin", "end", "n_words", "n", "bands"]
+            begin, end = _lines(part, starts, first, some[0])
+            if len(begin):
+                tokens, at = _sets(hashes, begin, end)
+                minima = [np.minimum.reduceat(words.mix(tokens ^ np.uint64((k + 1) * 0x9E3779B9)), at[:-1]) for k in range(LINE_BANDS * ROWS)]
+                banded = np.stack([words.mix(a * np.uint64(3) + b) + np.uint64(k) for k, (a, b) in enumerate(zip(minima[::ROWS], minima[1::ROWS], strict=True))], axis=1)
+                node = words.mix(words.fold(words.mix(tokens ^ np.uint64(0x2545F491)), at) + np.diff(at).astype(np.uint64))
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(begin) + 1) * LINE_BANDS).astype(np.int32)), pa.array(banded.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *placed(begin, end), pa.array(np.diff(at).astype(np.int32)), lists], names=names)
+            shingles, _ = words.shingle_hashes(hashes, np.array([0, len(hashes)]), RULE.size)
+            begin, node = _windows(shingles, first)
+            if len(begin):
+                # Another hash than that of a line with the same words.
+                yield pa.RecordBatch.from_arrays([pa.array(words.mix(node + np.uint64(1)).view(np.int64)), *placed(begin, begin + WINDOW), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.list_(pa.int64()))], names=names)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,26 +173,27 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     columns are dropped.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = docs.mapInArrow(_job, "token long, doc_id long, begin int, end int, n_words int, n int, node long")
-    met = Window.partitionBy("token")
-    apart = (F.min("doc_id").over(met) != F.max("doc_id").over(met)) | (F.max("begin").over(met) >= F.min("end").over(met))
-    rows = cut(rows.withColumn("apart", apart).filter("apart").drop("apart"), "paragraphs")
-    mixed = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
-    buckets = rows.join(mixed, "token", "left_semi").select("token", "node", "n").distinct().withColumns({"matches": F.lit(1), "likely": F.lit(1), "rest": F.col("n")})
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        place = rows.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("p"))
+    rows = cut(docs.mapInArrow(_job, "node long, doc_id long, begin int, end int, n_words int, n int, bands array<long>"), "paragraphs")
+    lines, windows = rows.filter("n IS NOT NULL"), rows.filter("n IS NULL").select("node", "doc_id", "begin", "end", "n_words")
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("p"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes, "line-nodes")
+    buckets = nodes.select("node", "n", F.explode("bands").alias("token")).withColumns({"matches": F.lit(1), "likely": F.lit(1), "rest": F.col("n")})
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        place = nodes.select("node", "p").join(small(some), "node", "left_semi")
         wanted = place.groupBy(F.col("p.doc_id").alias("of")).agg(F.collect_list(F.struct("node", F.col("p.begin").alias("begin"), F.col("p.end").alias("end"))).alias("wanted"))
         wanted = cut(wanted, "wanted")
-        some = docs.join(small(wanted.select("of")), F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"])
-        return some.join(wanted, F.col("doc_id") == F.col("of")).select("text", "wanted").mapInArrow(_texts, "node long, shingles array<long>")
+        held = docs.join(small(wanted.select("of")), F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"])
+        return held.join(wanted, F.col("doc_id") == F.col("of")).select("text", "wanted").mapInArrow(_texts, "node long, shingles array<long>")
 
     labels = contract(buckets, RULE, sets_of)
-    placed = rows.select("doc_id", "begin", "end", "n_words", "node").distinct()
-    if labels is None:
-        placed = placed.withColumn("component", F.col("node"))
-    else:
-        placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = lines.select("node", "doc_id", "begin", "end", "n_words")
+    placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node") if labels is not None else placed.withColumnRenamed("node", "component")
+    placed = placed.unionByName(windows.withColumnRenamed("node", "component"))
+    # What occurs once, or in one document at overlapping places only, repeats nothing.
+    met = placed.groupBy("component").agg(*[f(c).alias(f"{n}_{c}") for f, n in ((F.min, "lo"), (F.max, "hi")) for c in ("doc_id", "begin", "end")])
+    met = cut(met.filter("lo_doc_id <> hi_doc_id OR hi_begin >= lo_end").select("component"), "repeated")
+    placed = placed.join(small(met), "component", "left_semi").distinct()
     # Paragraphs of one component that overlap in a document are one occurrence, not repeats of each other.
     inside = Window.partitionBy("component", "doc_id").orderBy("begin", "end")
     fresh = F.when(F.col("begin") >= F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
@@ -190,7 +201,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = placed.groupBy("component", "doc_id", "region").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("n_words").alias("n_words"))
     placed = cut(placed, "occurrences")
     firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("component", "first")
-    found = placed.join(firsts, "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
+    found = placed.join(small(cut(firsts, "firsts")), "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
     order = Window.partitionBy("doc_id", "first_doc_id", "removed").orderBy("begin", "end")
     spans = found.select("doc_id", F.col("first.doc_id").alias("first_doc_id"), "removed", "begin", "end", "n_words", "component")
     spans = spans.withColumn("new", F.when(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))

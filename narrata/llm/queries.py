@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm import decontam, embedding_forest, html_extract, mixing, ngram_join, passages, quality, secrets, sharding, token_files
+from narrata.llm.scratch import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

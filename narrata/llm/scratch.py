@@ -12,13 +12,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Most rows and bytes of an Arrow batch.  Texts can be long, and each running task holds a few batches on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of bounded size."""
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only if none is configured."""
+    """The shared folder of the session; a local one only if none is configured and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
