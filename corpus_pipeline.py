@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from narrata.llm import decontam, mixing, ngram_join, quality, token_files
 from narrata.llm.graph import small
 from narrata.llm.queries import held_out, tokenizer_path
-from narrata.llm.scratch import cut
+from narrata.llm.scratch import bounded_batches, cut
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     It learns from the labelled documents that are not held out.
     """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    labels = bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
     return quality.score(docs, quality.fit(docs, labels)).filter("predicted = 1").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest key."""
+    bounded_batches(spark)
     linked = cut(ngram_join.link(docs), "linked")
     if not linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         docs = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
@@ -40,11 +41,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    bounded_batches(spark)
     return _without(docs, decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; those of which it takes none go."""
+    bounded_batches(spark)
     mixed = mixing.pareto_mix(docs.withColumn("__words", mixing.word_count(F.col("text"))), size="__words")
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return mixed.filter("copies > 0").withColumn("__copy", copies).select(*docs.columns)
@@ -52,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in the token files, as read back from them."""
+    bounded_batches(spark)
     return token_files.tokens(docs, tokenizer_path())
 
 
