@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read in passages of three blocks of words.  All passages of all
-texts that hold enough of an item's words to pass the final check are kept, as
-the positions of the benchmark's terms in them.  A distributed randomised SVD of the TF-IDF vectors of these passages and of
-the items gives a latent space; passages near an item there are candidates, and
-so are, near or not, those that hold enough of its words.  The longest common
-subsequence of words, with a check of the answer, decides.  Items are grouped
-by length, so a long one does not widen the passages of short ones.  Term
-statistics cover all blocks of all documents.
+Documents are read in passages of one and a half to three times an item's
+words, which overlap by two thirds.  A distributed randomised SVD of the
+TF-IDF vectors of all documents' blocks gives a latent space of low rank.
+Passages near an item there are candidates, and so are passages that share a
+run of ``RUN`` words with it, whatever stands around them.  Of the candidates,
+the longest common subsequence of words, with a check of the answer, decides.
+
+Three scans of the texts, whatever the number of items: word counts, the SVD,
+and the search.  None of them writes anything about a passage that is no hit.
 """
 
 from __future__ import annotations
@@ -25,37 +26,54 @@ from narrata.llm.scratch import cut
 
 #: Words of an item that are compared at once; longer items are cut into pieces.
 PIECE = 256
-#: Most words of a third of a passage, by groups of items of up to twice as many words.
-SIZES = (32, 64, PIECE // 2)
+#: Words of a third of a passage; an item takes the smallest that is half its words or more.  Vectors are added up by GRAIN words.
+SIZES = (8, 12, 16, 24, 32, 48, 64, 96, PIECE // 2)
+GRAIN = 4
 SHORTEST = 5
-#: Items whose latent space is built at once, which bounds what the driver holds.
+#: Items that are looked for together in one pass over a text.
 ITEMS = 512
-NEAR = 0.3
+#: Hashed words, the rank of the space and what is added to it while it is sought, and words of a block of the SVD.
+TERMS, RANK, MORE, BLOCK = 1 << 14, 48, 8, 64
+#: Pieces in which the tasks' parts of a matrix are added up.
+CHUNKS = 128
+#: Share of all words that the commonest terms make up, which weigh nothing.
+STOP = 0.5
+#: Least latent cosine of a candidate, and the run of words that makes one without it.
+NEAR, RUN = 0.4, 5
 #: Share of an item's words in common order: enough alone, or enough with the answer.
 FULL, PART, ANSWER = 0.7, 0.5, 0.5
-#: Terms in a greater share of the blocks are looked up in a table, others in lists.
-COMMON = 0.02
 TABLE = 1 << 22
 
 
 @dataclass(frozen=True)
 class Items:
-    """A block of benchmark items as term numbers; ``answers`` are where each one's answer begins."""
+    """Benchmark items of one size as term numbers; ``answers`` are where each one's answer begins."""
 
     ids: list
     terms: list[np.ndarray]
-    answers: list[int]
+    answers: np.ndarray
     vocabulary: np.ndarray
-    block: int
-
-    def table(self, some: np.ndarray | None = None) -> np.ndarray:
-        out = np.zeros(TABLE, bool)
-        out[(self.vocabulary if some is None else self.vocabulary[some]) & np.uint64(TABLE - 1)] = True
+    runs: np.ndarray
+    run_of: list[np.ndarray]
+    size: int
+
+    def member(self) -> np.ndarray:
+        out = np.zeros((len(self.ids), len(self.vocabulary)), bool)
+        for k, t in enumerate(self.terms):
+            out[k, t] = True
         return out
 
 
+def run_hashes(h: np.ndarray) -> np.ndarray:
+    """Hash of the RUN words from each word on; of the last ones, fewer."""
+    out = h.copy()
+    for k in range(1, RUN):
+        out[:-k] += words.mix_light(h[k:], k) * np.uint64(2 * k + 1)
+    return words.mix(out)
+
+
 def read_items(rows: list[tuple[object, str, str | None]]) -> list[Items]:
-    """Items from (id, text, answer), by size of their passages; without an answer, the last third of the text is it."""
+    """Items from (id, text, answer), by size and in blocks; without an answer, the last third of the text is it."""
     groups: dict[int, list[tuple]] = {}
     for item, text, answer in rows:
         whole = f"{text or ''} {answer}" if answer else text or ""
@@ -68,264 +86,290 @@ def read_items(rows: list[tuple[object, str, str | None]]) -> list[Items]:
                 size = next(s for s in SIZES if 2 * s >= len(piece))
                 groups.setdefault(size, []).append((item, piece, min(max(begins - a, 0), len(piece))))
     out = []
-    for _, group in sorted(groups.items()):
-        ids, hashed, answers = map(list, zip(*group, strict=True))
-        vocabulary = np.unique(np.concatenate(hashed))
-        longest = max(map(len, hashed))
-        out.append(Items(ids, [np.searchsorted(vocabulary, h) for h in hashed], answers, vocabulary, min(PIECE // 2, max(32, -(-longest // 2)))))
+    for size, group in sorted(groups.items()):
+        for a in range(0, len(group), ITEMS):
+            ids, hashed, answers = map(list, zip(*group[a : a + ITEMS], strict=True))
+            vocabulary = np.unique(np.concatenate(hashed))
+            runs, of = np.unique(np.concatenate([run_hashes(h)[: len(h) - RUN + 1] for h in hashed]), return_inverse=True)
+            owner = np.repeat(np.arange(len(ids)), [len(h) - RUN + 1 for h in hashed])
+            order = np.argsort(of, kind="stable")
+            run_of = np.split(owner[order], np.searchsorted(of[order], np.arange(1, len(runs))))
+            out.append(Items(ids, [np.searchsorted(vocabulary, h) for h in hashed], np.array(answers), vocabulary, runs, run_of, size))
     return out
 
 
-def _hits(batch: pa.RecordBatch, items: Items, table: np.ndarray) -> Iterator[tuple]:
-    """Groups of rows (from, to): where each row's words begin, and places and terms of the benchmark's words."""
-    data, offsets = words.buffers(batch.column("text"))
-    for i, j in words.groups(offsets):
-        h, _, first = words.word_hashes(data, offsets[i : j + 1], words.PUNCTUATED)
-        at = np.flatnonzero(table[h & np.uint64(TABLE - 1)])
-        term = np.minimum(np.searchsorted(items.vocabulary, h[at]), len(items.vocabulary) - 1)
-        good = items.vocabulary[term] == h[at]
-        yield i, j, first, at[good], term[good]
+def _known(values: np.ndarray, table: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values that are listed, and their numbers in the sorted list."""
+    at = np.flatnonzero(table[values & np.uint64(TABLE - 1)])
+    found = np.minimum(np.searchsorted(listed, values[at]), len(listed) - 1)
+    good = listed[found] == values[at]
+    return at[good], found[good]
 
 
-def _blocks(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of blocks of each row, and the number of its first one among all."""
-    n = -(-np.diff(first) // size)
-    return n, np.concatenate([[0], np.cumsum(n)])
+def _table(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(TABLE, bool)
+    out[values & np.uint64(TABLE - 1)] = True
+    return out
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Blocks of all documents that hold each term, and the number of blocks."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, items.table()))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Groups of rows: their batch, the first one's number, their word hashes and where each one's begin."""
+    for batch in batches:
+        data, offsets = words.buffers(batch.column("text"))
+        for i, j in words.groups(offsets):
+            h, _, first = words.word_hashes(data, offsets[i : j + 1], words.PUNCTUATED)
+            yield batch, i, h, first
 
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table = shared.value
-        counts, total = np.zeros(len(items.vocabulary), np.int64), 0
-        for batch in batches:
-            for _, _, first, at, term in _hits(batch, items, table):
-                n, begin = _blocks(first, items.block)
-                row = np.searchsorted(first, at, "right") - 1
-                block = begin[row] + (at - first[row]) // items.block
-                pairs = np.unique(block * len(counts) + term)
-                counts += np.bincount(pairs % len(counts), minlength=len(counts))
-                total += int(n.sum())
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], total))], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(job, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
-    counts = np.zeros(len(items.vocabulary), np.int64)
-    for r in rows:
-        if r["term"] >= 0:
-            counts[r["term"]] = r["n"]
-    return counts, next((r["n"] for r in rows if r["term"] < 0), 0)
+def _terms(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - (TERMS - 1).bit_length())).astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Counts:
-    """How often each item has each term: a table for the common terms, lists for the others.
+def _sum(table: pa.Table) -> pa.Table:
+    """Parts of one piece of a matrix, added up."""
+    total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in table.column("part").to_pylist())
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    ``place`` numbers the common terms, -1 for others; ``start``, ``item`` and
-    ``times`` list the items of each other term; ``needed`` is how many words
-    of an item a passage must hold to pass the final check.
-    """
-
-    place: np.ndarray
-    table: np.ndarray
-    start: np.ndarray
-    item: np.ndarray
-    times: np.ndarray
-    needed: np.ndarray
 
+def _summed(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of all tasks' matrices of TERMS rows: a few megabytes, whatever the number of documents."""
+    rows = parts.groupBy("chunk").applyInArrow(_sum, "chunk int, part binary").collect()
+    out = np.zeros((CHUNKS, TERMS // CHUNKS, width), np.float32)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["part"], np.float32).reshape(-1, width)
+    return out.reshape(TERMS, width)
 
-def item_counts(items: Items, counts: np.ndarray, total: int) -> Counts:
-    common = np.flatnonzero(counts > COMMON * max(1, total))
-    place = np.full(len(items.vocabulary), -1)
-    place[common] = np.arange(len(common))
-    key, times = np.unique(np.concatenate([t * len(items.ids) + k for k, t in enumerate(items.terms)]), return_counts=True)
-    term, item = key // len(items.ids), key % len(items.ids)
-    table = np.zeros((len(common), len(items.ids)), np.float32)
-    far = place[term] >= 0
-    table[place[term[far]], item[far]] = times[far]
-    start = np.searchsorted(term[~far], np.arange(len(items.vocabulary) + 1))
-    return Counts(place, table, start, item[~far], times[~far].astype(np.float32), np.array([np.ceil(PART * len(t)) for t in items.terms], np.float32))
-
-
-def _held(block: np.ndarray, term: np.ndarray, blocks: int, c: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """Of each block: how many words of each item its uncommon terms can stand for, and which common terms it has."""
-    key = np.unique(block * len(c.place) + term)
-    b, t = key // len(c.place), key % len(c.place)
-    far = c.place[t] >= 0
-    has = np.zeros((blocks, len(c.table)), bool)
-    has[b[far], c.place[t[far]]] = True
-    b, t = b[~far], t[~far]
-    n = c.start[t + 1] - c.start[t]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    take = np.repeat(c.start[t] - ends[:-1], n) + np.arange(ends[-1])
-    words_ = np.bincount(np.repeat(b, n) * len(c.needed) + c.item[take], c.times[take], blocks * len(c.needed))
-    return words_.reshape(blocks, len(c.needed)).astype(np.float32), has
 
+def _chunks(matrix: np.ndarray) -> pa.RecordBatch:
+    parts = matrix.astype(np.float32).reshape(CHUNKS, -1)
+    some = np.flatnonzero(parts.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["chunk", "part"])
 
-def passages(docs: DataFrame, items: Items, c: Counts) -> DataFrame:
-    """(doc_id, begin, terms): passages that hold enough of an item's words; begin counts words.
 
-    A common subsequence of ``PART`` of an item needs as many of its words, so
-    no passage that could pass the final check is lost.  ``terms`` has the
-    number of each word among the benchmark's, or -1.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((items, items.table(), c))
+def term_weights(docs: DataFrame) -> np.ndarray:
+    """Inverse frequency of each hashed word over all documents; 0 for the commonest."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table, c = shared.value
-        size = items.block
-        for batch in batches:
-            for i, j, first, at, term in _hits(batch, items, table):
-                n, begin = _blocks(first, size)
-                if begin[-1] == 0 or len(at) == 0:
-                    continue
-                row = np.searchsorted(first, at, "right") - 1
-                held, has = _held(begin[row] + (at - first[row]) // size, term, int(begin[-1]), c)
-                owner = np.repeat(np.arange(j - i), n)
-                place = np.arange(begin[-1]) - begin[owner]
-                # The last passage of a row begins two blocks before its end; a shorter row is one passage.
-                starts = np.flatnonzero(place <= np.maximum(n[owner] - 3, 0))
-                top, common = held[starts], has[starts]
-                for k in (1, 2):
-                    more = np.flatnonzero(place[starts] + k < n[owner[starts]])
-                    top[more] += held[starts[more] + k]
-                    common[more] |= has[starts[more] + k]
-                top += common.astype(np.float32) @ c.table
-                good = starts[(top >= c.needed).any(axis=1)]
-                if len(good) == 0:
-                    continue
-                start = first[owner[good]] + place[good] * size
-                stop = np.minimum(start + 3 * size, first[owner[good] + 1])
-                ends = np.concatenate([[0], np.cumsum(stop - start)])
-                flat = np.full(ends[-1], -1, np.int32)
-                for g, (a, b) in enumerate(zip(np.searchsorted(at, start), np.searchsorted(at, stop), strict=True)):
-                    flat[ends[g] + at[a:b] - start[g]] = term[a:b]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owner[good] + i)), pa.array((place[good] * size).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=["doc_id", "begin", "terms"]
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(job, "doc_id long, begin long, terms array<int>")
-
+        counts = np.zeros(TERMS, np.int64)
+        for _, _, h, _ in _texts(batches):
+            counts += np.bincount(_terms(h), minlength=TERMS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
 
-def _vectors(lists: pa.Array, idf: np.ndarray, step: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Unit TF-IDF vectors of some lists at a time: their number before, then row, term and weight of each entry."""
-    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-    for a in range(0, len(lists), step):
-        b = min(len(lists), a + step)
-        row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
-        term = flat[offsets[a] : offsets[b]]
-        key, tf = np.unique(row[term >= 0] * len(idf) + term[term >= 0], return_counts=True)
-        row, term = key // len(idf), key % len(idf)
-        weight = tf * idf[term]
-        norm = np.sqrt(np.bincount(row, weight * weight, b - a))
-        yield a, row, term, weight / np.maximum(norm[row], 1e-12)
+    rows = docs.select("text").mapInArrow(job, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS at most
+    counts = np.zeros(TERMS, np.int64)
+    for r in rows:
+        counts[r["term"]] = r["n"]
+    total = counts.sum()
+    weights = np.log((total + 1) / (counts + 1)).astype(np.float32)
+    order = np.argsort(-counts, kind="stable")
+    weights[order[np.cumsum(counts[order]) < STOP * total]] = 0
+    return weights
 
 
-def _project(row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, basis.shape[1]))
+def _rows(term: np.ndarray, row: np.ndarray, vectors: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the terms' vectors by row; rows are in order."""
+    out = np.zeros((rows, vectors.shape[1]), np.float32)
     if len(row):
         where = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[where]] = np.add.reduceat(weight[:, None] * basis[term], where)
+        out[row[where]] = np.add.reduceat(vectors[term], where)
     return out
 
 
-def _gram_times(found: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times a thin matrix, A having the vectors of all passages and items as rows."""
+def latent_space(docs: DataFrame, weights: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A vector for each hashed word, its weight included: leading right singular vectors by randomised range finding.
 
-    def add(out: np.ndarray, lists: pa.Array, idf: np.ndarray, basis: np.ndarray) -> None:
-        for a, row, term, weight in _vectors(lists, idf):
-            z = _project(row, term, weight, basis, min(1000, len(lists) - a))
-            order = np.argsort(term, kind="stable")
-            where = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1])) if len(order) else order
-            if len(order):
-                out[term[order][where]] += np.add.reduceat(weight[order][:, None] * z[row[order]], where)
-
-    shared = found.sparkSession.sparkContext.broadcast((idf, basis))
+    A has the TF-IDF vectors of all documents' blocks as rows.  One scan takes
+    a random matrix through A and back; what it is mapped to spans the space.
+    """
+    start = np.random.default_rng(seed).standard_normal((TERMS, RANK + MORE)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, start * weights[:, None]))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = shared.value
-        out = np.zeros(basis.shape)
-        for batch in batches:
-            add(out, batch.column("terms"), idf, basis)
-        some = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(pa.array((np.arange(len(some) + 1) * basis.shape[1]).astype(np.int32)), pa.array(out[some].ravel()))], names=["term", "part"])
-
-    parts = found.select("terms").coalesce(32).mapInArrow(job, "term long, part array<double>")
-    summed = parts.select("term", F.posexplode("part").alias("column", "x")).groupBy("term", "column").agg(F.sum("x").alias("x"))
-    table = summed.toArrow()  # vocabulary times rank, whatever the number of passages
-    out = np.zeros(basis.shape)
-    out[table.column("term").to_numpy(), table.column("column").to_numpy()] = table.column("x").to_numpy()
-    add(out, pa.array([t.tolist() for t in items.terms], pa.list_(pa.int32())), idf, basis)
-    return out
+        weights, start = shared.value
+        out = np.zeros(start.shape, np.float64)
+        for _, _, h, first in _texts(batches):
+            term = _terms(h)
+            n = -(-np.diff(first) // BLOCK)
+            begin = np.concatenate([[0], np.cumsum(n)])
+            owner = np.repeat(np.arange(len(n)), np.diff(first))
+            block = begin[owner] + (np.arange(len(h)) - first[owner]) // BLOCK
+            keep = weights[term] > 0
+            term, block = term[keep], block[keep]
+            own = weights[term]
+            square = np.maximum(np.bincount(block, own * own, int(begin[-1])), 1e-9)
+            z = _rows(term, block, start, int(begin[-1])) / square[:, None].astype(np.float32)
+            for k in range(z.shape[1]):
+                out[:, k] += np.bincount(term, own * z[block, k], TERMS)
+        yield _chunks(out)
+
+    spread = _summed(docs.select("text").mapInArrow(job, "chunk int, part binary"), RANK + MORE)
+    basis, values, _ = np.linalg.svd(spread.astype(np.float64), full_matrices=False)
+    keep = values[:RANK] > values[0] * 1e-9 if values[0] > 0 else values[:RANK] > 1
+    return (basis[:, :RANK][:, keep] * weights[:, None]).astype(np.float32)
+
+
+def common_lengths(masks: np.ndarray, pair: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each pair, bit by bit over the items, for all pairs together.
+
+    ``masks`` says where in its item each word of a passage stands, as bits,
+    one row a word; ``pair`` has each row's pair, in order; ``whole`` has the
+    bits of each pair's item that count.
+    """
+    n = np.bincount(pair, minlength=len(whole))
+    first = np.concatenate([[0], np.cumsum(n)])[:-1]
+    v = whole.copy()
+    for t in range(int(n.max(initial=0))):
+        some = np.flatnonzero(n > t)
+        m = masks[first[some] + t] & whole[some]
+        u, carry = v[some] & m, np.zeros(len(some), np.uint64)
+        for w in range(v.shape[1]):
+            old = v[some, w]
+            total = old + u[:, w]
+            over = total < old
+            total += carry
+            over |= total < carry
+            v[some, w] = total | (old & ~m[:, w])
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(whole & ~v).sum(axis=1).astype(np.int64)
+
+
+def _bits(begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` 64-bit words with the bits from ``begin`` to ``end`` set."""
+    place = np.arange(64 * width)
+    on = (place >= begin[:, None]) & (place < end[:, None])
+    return np.packbits(on.reshape(len(begin), width, 64), axis=2, bitorder="little").view("<u8").reshape(len(begin), width).astype(np.uint64)
 
 
-def latent_space(found: DataFrame, items: Items, idf: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Leading right singular vectors of the passages and items, by randomised range finding.
+@dataclass(frozen=True)
+class Query:
+    """What a task needs to look for a block of items: their vectors, and tables of their words and runs."""
 
-    One pass takes a random matrix through A'A, a second one the orthonormal
-    basis of the result; the small problem that remains is solved exactly.
-    The rank is that of the items and 32 more.
-    """
-    rank = min(len(idf), len(items.ids) + 32)
-    start = np.random.default_rng(seed).standard_normal((len(idf), rank))
-    basis, _ = np.linalg.qr(_gram_times(found, items, idf, start))
-    values, rotation = np.linalg.eigh(basis.T @ _gram_times(found, items, idf, basis))
-    keep = values > values.max() * 1e-9
-    return basis @ rotation[:, keep]
-
-
-def common_length(item: np.ndarray, passage: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit by bit over the item."""
-    masks: dict[int, int] = {}
-    for k, t in enumerate(item.tolist()):
-        masks[t] = masks.get(t, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    v = full
-    for t in passage.tolist():
-        if m := masks.get(t):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
-
-
-def _search(found: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, c: Counts) -> DataFrame:
-    """Passages with their items.  Those far from an item whose words they hold are compared with it too: other words may hide it."""
-    lists = pa.array([t.tolist() for t in items.terms], pa.list_(pa.int32()))
-    near = np.concatenate([_project(r, t, w, space, min(1000, len(lists) - a)) for a, r, t, w in _vectors(lists, idf)])
-    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
-    shared = found.sparkSession.sparkContext.broadcast((items, idf, space, near, c))
+    items: Items
+    vectors: np.ndarray
+    member: np.ndarray
+    needed: np.ndarray
+    keys: np.ndarray
+    masks: np.ndarray
+    lengths: np.ndarray
+
+
+def query(items: Items, space: np.ndarray) -> Query:
+    vectors = np.stack([space[_terms(items.vocabulary[t])].sum(axis=0) for t in items.terms])
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    lengths = np.array([len(t) for t in items.terms])
+    width = -(-int(lengths.max()) // 64)
+    key = np.concatenate([t + k * len(items.vocabulary) for k, t in enumerate(items.terms)])
+    place = np.concatenate([np.arange(n) for n in lengths])
+    keys, at = np.unique(key, return_inverse=True)
+    masks = np.zeros((len(keys), width), np.uint64)
+    np.bitwise_or.at(masks, (at, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return Query(items, vectors.astype(np.float32), items.member(), np.ceil(PART * lengths), keys, masks, lengths)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from each ``first`` on, ``n`` of them, and whose each is."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(ends[-1]) - ends[owner] + first[owner], owner
+
+
+def _candidates(q: Query, sums: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int, run_at: np.ndarray, run: np.ndarray, grain_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (passage, item) near each other or with a run in common, and their cosine."""
+    passage, item, cosine = [], [], []
+    for a in range(0, len(start), 4096):
+        z = (sums[stop[a : a + 4096]] - sums[start[a : a + 4096]]).astype(np.float32)
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        near = z @ q.vectors.T
+        p, k = np.nonzero(near >= NEAR)
+        passage.append(p + a)
+        item.append(k)
+        cosine.append(near[p, k])
+    if len(run_at):
+        # Passages that begin in the last three steps before a run hold it.
+        of = np.repeat(np.arange(len(run)), [len(q.items.run_of[r]) for r in run])
+        whose = np.concatenate([q.items.run_of[r] for r in run])
+        grain = grain_at[run_at[of]]
+        last = np.searchsorted(start, grain, "right") - 1
+        for back in range(4):
+            p = last - back
+            good = (p >= 0) & (stop[np.maximum(p, 0)] > grain)
+            passage.append(p[good])
+            item.append(whose[good])
+            z = sums[stop[p[good]]] - sums[start[p[good]]]
+            cosine.append((z * q.vectors[whose[good]]).sum(axis=1) / np.maximum(np.linalg.norm(z, axis=1), 1e-12))
+    passage, item, cosine = map(np.concatenate, (passage, item, cosine))
+    _, one = np.unique(passage * len(q.lengths) + item, return_index=True)
+    return passage[one], item[one], cosine[one]
+
+
+def _verified(q: Query, passage: np.ndarray, item: np.ndarray, at: np.ndarray, term: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the pairs that pass, and their shares of the item's and of the answer's words."""
+    low, high = np.searchsorted(at, start[passage]), np.searchsorted(at, stop[passage])
+    keep = np.flatnonzero(high - low >= q.needed[item])
+    place, pair = _ranges(low[keep], (high - low)[keep])
+    held = q.member[item[keep][pair], term[place]]
+    enough = np.bincount(pair, held, len(keep)) >= q.needed[item[keep]]
+    some = held & enough[pair]
+    place, pair = place[some], (np.cumsum(enough) - 1)[pair[some]]
+    keep = keep[enough]
+    if len(keep) == 0:
+        return keep, np.zeros(0), np.zeros(0)
+    own = item[keep]
+    masks = q.masks[np.searchsorted(q.keys, own[pair] * len(q.items.vocabulary) + term[place])]
+    n, begins, width = q.lengths[own], q.items.answers[own], q.masks.shape[1]
+    share = common_lengths(masks, pair, _bits(np.zeros(len(own), np.int64), n, width)) / n
+    told = np.where(n > begins, common_lengths(masks, pair, _bits(begins, n, width)) / np.maximum(n - begins, 1), 1.0)
+    good = (share >= FULL) | ((share >= PART) & (told >= ANSWER))
+    return keep[good], share[good], told[good]
+
+
+def _search(docs: DataFrame, queries: list[Query], space: np.ndarray) -> DataFrame:
+    """One row per document, item and passage that passes."""
+    shared = docs.sparkSession.sparkContext.broadcast((queries, space))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, space, near, c = shared.value
-        for batch in batches:
-            lists = batch.column("terms")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            out = []
-            for a, row, term, weight in _vectors(lists, idf):
-                z = _project(row, term, weight, space, min(1000, len(lists) - a))
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                cosine = z @ near.T
-                held, has = _held(row, term, len(z), c)
-                enough = held + has.astype(np.float32) @ c.table >= c.needed
-                for p, q in zip(*np.nonzero((cosine >= NEAR) | enough), strict=True):
-                    passage, item = flat[offsets[a + p] : offsets[a + p + 1]], items.terms[q]
-                    passage = passage[passage >= 0]
-                    share = common_length(item, passage) / len(item)
-                    if share < PART:
-                        continue
-                    answer = item[items.answers[q] :]
-                    told = common_length(answer, passage) / len(answer) if len(answer) else 1.0
-                    if share >= FULL or told >= ANSWER:
-                        out.append((a + p, int(q), share, told, float(cosine[p, q])))
-            rows, which, shares, tolds, cosines = zip(*out, strict=True) if out else ((),) * 5
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("begin").take(at), pa.array(which, pa.int32()), pa.array(shares, pa.float64()), pa.array(tolds, pa.float64()), pa.array(cosines, pa.float64())], names=["doc_id", "begin", "piece", "lcs", "answer", "cosine"]
-            )
-
-    return found.mapInArrow(job, "doc_id long, begin long, piece int, lcs double, answer double, cosine double")
+        queries, space = shared.value
+        tables = [(_table(q.items.vocabulary), _table(q.items.runs)) for q in queries]
+        weighty = space.any(axis=1)
+        before = 0
+        numbers = []
+        for q in queries:
+            numbers.append(before)
+            before += len(q.lengths)
+        for batch, i, h, first in _texts(batches):
+            if len(h) == 0:
+                continue
+            term, runs = _terms(h), run_hashes(h)
+            n = -(-np.diff(first) // GRAIN)
+            begin = np.concatenate([[0], np.cumsum(n)])
+            owner = np.repeat(np.arange(len(n)), np.diff(first))
+            grain = begin[owner] + (np.arange(len(h)) - first[owner]) // GRAIN
+            keep = weighty[term]
+            sums = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(_rows(term[keep], grain[keep], space, int(begin[-1])), axis=0, dtype=np.float64)])
+            for q, (vocabulary, known_runs), number in zip(queries, tables, numbers, strict=True):
+                step = q.items.size // GRAIN
+                # The last passage of a row begins two steps before its end; a shorter row is one passage.
+                count = np.where(n > 0, np.maximum(-(-n // step) - 2, 1), 0)
+                start, row = _ranges(np.zeros(len(n), np.int64), count)
+                start = begin[row] + start * step
+                stop = np.minimum(start + 3 * step, begin[row + 1])
+                run_at, run = _known(runs, known_runs, q.items.runs)
+                inside = run_at + RUN <= first[owner[run_at] + 1]
+                passage, item, cosine = _candidates(q, sums, start, stop, step, run_at[inside], run[inside], grain)
+                if len(passage) == 0:
+                    continue
+                at, known = _known(h, vocabulary, q.items.vocabulary)
+                begins = first[row] + (start - begin[row]) * GRAIN
+                ends = np.minimum(first[row] + (stop - begin[row]) * GRAIN, first[row + 1])
+                good, share, told = _verified(q, passage, item, at, known, begins, ends)
+                which = passage[good]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row[which] + i)), pa.array((begins - first[row])[which]), pa.array((item[good] + number).astype(np.int32)), pa.array(share), pa.array(told), pa.array(cosine[good].astype(np.float64))],
+                    names=["doc_id", "begin", "piece", "lcs", "answer", "cosine"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(job, "doc_id long, begin long, piece int, lcs double, answer double, cosine double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
@@ -340,28 +384,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     key is no document, a null item id is reported as null; rows that share a
     key are one document; repeated items are found once each; texts of any
     length are read whole; empty tables give an empty result; further columns
-    are dropped.  Items are taken in blocks of ``ITEMS``, and of one size of
-    passages, against all documents.
+    are dropped.  The benchmark is the query set: its items are collected and
+    broadcast, some kilobytes each.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     told = F.col(answer) if answer else F.lit(None).cast("string")
-    listed = cut(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("text"), told.alias("answer")).distinct(), "items")
-    blocks = -(-listed.count() // ITEMS)
+    listed = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("text"), told.alias("answer")).distinct()
     kind = dict(listed.dtypes)["item_id"]
-    numbered = listed.withColumn("of", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
-    out = None
-    for k in range(blocks):
-        rows = sorted(numbered.filter(F.col("of") == k).select("item_id", "text", "answer").collect(), key=str)
-        for items in read_items([tuple(r) for r in rows]):
-            counts, total = document_frequencies(docs, items)
-            idf = np.log((total + 1) / (counts + 1)) + 1e-6
-            held = item_counts(items, counts, total)
-            found = cut(passages(docs, items, held), "bench-passages")
-            hits = _search(found, items, idf, latent_space(found, items, idf), held)
-            names = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), f"piece int, item_id {kind}")
-            hits = hits.join(F.broadcast(names), "piece").select("doc_id", "item_id", "lcs", "answer", "cosine", "begin")
-            out = hits if out is None else out.unionByName(hits)
-    if out is None:
+    blocks = read_items(sorted((tuple(r) for r in listed.collect()), key=str))
+    if not blocks:
         return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {kind}, lcs double, answer double, cosine double, begin long")
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("begin")).alias("begin"))).alias("best"))
+    space = latent_space(docs, term_weights(docs))
+    hits = cut(_search(docs, [query(b, space) for b in blocks], space), "bench-hits")
+    ids = [(k, i) for k, i in enumerate(i for b in blocks for i in b.ids)]
+    names = docs.sparkSession.createDataFrame(ids, f"piece int, item_id {kind}")
+    hits = hits.join(F.broadcast(names), "piece")
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("begin")).alias("begin"))).alias("best"))
     return best.select("doc_id", "item_id", "best.lcs", "best.answer", "best.cosine", (-F.col("best.begin")).alias("begin"))
