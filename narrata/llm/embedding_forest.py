@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm import words
-from narrata.llm.graph import components, small
+from narrata.llm.graph import components, roots, small
 from narrata.llm.scratch import cut
 
 TREES = 12
@@ -193,22 +193,6 @@ def in_blocks(full: DataFrame) -> DataFrame:
     return full.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("other", "blocks")
 
 
-def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The smallest row that the links lead to from each row."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[p], root[q])
-        new = root.copy()
-        np.minimum.at(new, p, least)
-        np.minimum.at(new, q, least)
-        # Where the old roots lead follows their rows.
-        np.minimum.at(new, root, new.copy())
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(threshold: float):
     """A job for a pair of blocks of one leaf: each node's new links by weight, and the node its links lead to."""
 
@@ -253,11 +237,11 @@ def _compare(threshold: float):
                 links[j] += weight[i].astype(np.float64) @ near
                 # Of the links only what they lead to is kept.
                 at, which = np.unique(np.concatenate([p + a, q + b]), return_inverse=True)
-                root = _roots(len(at), which[: len(p)], which[len(p) :])
+                root = roots(len(at), which[: len(p)], which[len(p) :])
                 left.append(at)
                 right.append(at[root])
         p, q = (np.concatenate([*s, np.zeros(0, np.int64)]).astype(np.int64) for s in (left, right))
-        root = _roots(len(node), p, q)
+        root = roots(len(node), p, q)
         some = links > 0
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": node[root[some]]})
 

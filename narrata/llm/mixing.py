@@ -38,6 +38,11 @@ def uniform(key: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
+def shorter_first(size: Column) -> Column:
+    """A whole-numbered weight from 1000 for empty texts to 0 for those of a million words: more documents for the same words."""
+    return F.floor(F.lit(1_000_000) / (size + 1000)).cast("long")
+
+
 def source_targets(docs: DataFrame, size: str, source: str, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
     """One row per source: source, source_size, target.
 

@@ -40,8 +40,6 @@ MATCHES = (1, 2, 4, 8, 16)
 ROUNDS = 6
 #: Components of a list from which on its pairs are looked for inside tasks.
 HEAVY = 16
-#: Rows of a list from which on it is hot: its sums are made in parts, not in one window.
-HOT = 256
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
 BLOCK, SQUARE = 4096, 512
 #: Bins of a sketch.
@@ -184,8 +182,7 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     classes = cut(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fa", "fb").agg(F.min("doc_id").alias("node")), "classes")
     tokens = signed.filter("n > 0").join(small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
     tokens = tokens.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # Common shingles are marked by their sign; each other one has a small share of the rows.
-    shared = cut(over_token(tokens, F.col("token") < 0, df=F.count("*")).filter("df > 1").dropDuplicates(["token", "node"]), "prefixes")
+    shared = cut(with_frequency(tokens).filter("df > 1").dropDuplicates(["token", "node"]), "prefixes")
     chosen = choose_matches(shared, rule)
     prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
     buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"), (F.col("n") - prefix).alias("rest"))
@@ -196,12 +193,15 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def over_token(rows: DataFrame, hot: Column, by: tuple[str, ...] = ("token",), **sums: Column) -> DataFrame:
-    """Add aggregates over rows of equal ``by``: of ``hot`` rows made in parts and joined back, of others by a window."""
-    window = Window.partitionBy(*by)
-    rare = rows.filter(~hot).withColumns({name: s.over(window) for name, s in sums.items()})
-    few = cut(rows.filter(hot).groupBy(*by).agg(*[s.alias(name) for name, s in sums.items()]), "hot-sums")
-    return rare.unionByName(rows.filter(hot).join(small(few), list(by)))
+def with_frequency(tokens: DataFrame) -> DataFrame:
+    """Add how many rows have each token (df).
+
+    Common shingles, which are marked by their sign and at most COMMON, are
+    counted in parts and joined back; each other one has a small share of the rows.
+    """
+    rare = tokens.filter("token >= 0").withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    common = cut(tokens.filter("token < 0").groupBy("token").agg(F.count("*").alias("df")), "common-df")
+    return rare.unionByName(tokens.filter("token < 0").join(small(common), "token").select(rare.columns))
 
 
 def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
@@ -213,8 +213,6 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
     its prefix.  ``sets_of`` gives (node, shingles) of a table of nodes.
     """
     buckets = buckets.withColumn("component", F.col("node"))
-    hot = cut(buckets.groupBy("token").count().filter(F.col("count") >= HOT).select("token", F.lit(True).alias("hot")), "hot-tokens")
-    buckets = buckets.join(small(hot), "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     labels, before = None, None
 
     def settle(pairs: DataFrame, portions: tuple[tuple[int, int], ...] = ((0, 64),)) -> None:
@@ -232,13 +230,12 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
                 labels = components(found if known is None else known.unionByName(found))
 
     def still_open() -> DataFrame:
-        """Rows of lists with several components."""
+        """Rows of lists with several components; smallest and largest ones are found in parts, so no list is gathered."""
         now = buckets
         if labels is not None:
             now = now.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            now = cut(now, "labelled")
-        now = over_token(now, F.col("hot"), lo=F.min("component"), hi=F.max("component")).filter("lo <> hi")
-        return cut(now.drop("lo", "hi"), "buckets")
+        apart = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+        return cut(now.join(apart, "token"), "buckets")
 
     for k in range(ROUNDS):
         buckets = still_open()
@@ -279,9 +276,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _pivot_pairs(buckets: DataFrame, k: int) -> DataFrame:
     """Each node with one pivot of its list and size class; a different one each round."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)))
+    rows = buckets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2))))
     pivot = F.min(F.struct(F.xxhash64("component", F.lit(k)), F.xxhash64("node", F.lit(k)), F.col("node").alias("node"), F.col("component").alias("component")))
-    rows = over_token(buckets.withColumn("band", band), F.col("hot"), ("token", "band"), pivot=pivot).filter("pivot.component <> component")
+    rows = rows.join(rows.groupBy("token", "band").agg(pivot.alias("pivot")), ["token", "band"]).filter("pivot.component <> component")
     pairs = rows.groupBy(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     return pairs.agg(F.count("*").alias("shared"), F.min("likely").alias("likely")).filter("shared >= likely").select("a", "b")
 

@@ -192,8 +192,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = placed.unionByName(windows.withColumnRenamed("node", "component"))
     # What occurs once, or in one document at overlapping places only, repeats nothing.
     met = placed.groupBy("component").agg(*[f(c).alias(f"{n}_{c}") for f, n in ((F.min, "lo"), (F.max, "hi")) for c in ("doc_id", "begin", "end")])
-    met = cut(met.filter("lo_doc_id <> hi_doc_id OR hi_begin >= lo_end").select("component"), "repeated")
-    placed = placed.join(small(met), "component", "left_semi").distinct()
+    met = met.filter("lo_doc_id <> hi_doc_id OR hi_begin >= lo_end").select("component")
+    placed = placed.join(met, "component", "left_semi")
     # Paragraphs of one component that overlap in a document are one occurrence, not repeats of each other.
     inside = Window.partitionBy("component", "doc_id").orderBy("begin", "end")
     fresh = F.when(F.col("begin") >= F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
@@ -201,7 +201,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = placed.groupBy("component", "doc_id", "region").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("n_words").alias("n_words"))
     placed = cut(placed, "occurrences")
     firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("component", "first")
-    found = placed.join(small(cut(firsts, "firsts")), "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
+    found = placed.join(firsts, "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
     order = Window.partitionBy("doc_id", "first_doc_id", "removed").orderBy("begin", "end")
     spans = found.select("doc_id", F.col("first.doc_id").alias("first_doc_id"), "removed", "begin", "end", "n_words", "component")
     spans = spans.withColumn("new", F.when(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))

@@ -62,7 +62,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.pareto_mix(docs.withColumn("weight", mixing.shorter_first(F.col("size"))), weight="weight").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,11 @@ WITH d AS (
       2.0::DOUBLE * source_size)) AS target
   FROM l
 ), r AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
+  SELECT d.*, (1000000 // (1000 + size))::DOUBLE AS weight, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':0'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (
-  SELECT *, least(greatest(ratio - floor(ratio), 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS chance, target - floor(ratio) * source_size AS rest FROM r
+  SELECT *, least(greatest((ratio - floor(ratio)) * weight / (sum(weight * size) OVER (PARTITION BY source) / nullif(source_size, 0)), 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS chance, target - floor(ratio) * source_size AS rest FROM r
 ), q AS (
   SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS odds FROM p
 ), c AS (

@@ -31,6 +31,8 @@ BATCH = 64
 FILE_IDS = 1 << 24
 #: Entries of a worker's table of encoded pieces; it is emptied when full.
 KNOWN = 2_000_000
+#: Most tasks that read files back.
+READERS = 10_000
 
 # White space besides space and newline, and spaces before which the usual byte-level BPE does not cut.
 OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -221,7 +223,8 @@ def read_index(files: DataFrame, folder: str, id_type: str = "bigint") -> DataFr
     them up sees one row per file.
     """
     before = F.sum("n_ids").over(Window.orderBy("part", "n_file").rowsBetween(Window.unboundedPreceding, -1))
-    placed = files.withColumn("before", F.coalesce(before, F.lit(0))).select("name", "before").repartition(F.col("name"))
+    # As many partitions as files, by number: adaptive execution would put all of these few short rows into one task.
+    placed = files.withColumn("before", F.coalesce(before, F.lit(0))).select("name", "before").repartition(max(1, min(READERS, files.count())), F.col("name"))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +263,8 @@ def tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """Write ``docs`` into a new folder of the shared one and read them back."""
     folder = new_path(docs.sparkSession, "tokens")
     if "://" not in folder:
+        if not docs.sparkSession.sparkContext.master.startswith("local["):
+            raise ValueError(f"the shared folder must be a URI: {folder}")
         folder = f"file://{folder}"
     files = write(docs, folder, tokenizer, key, text)
     return read_index(files, folder, dict(docs.dtypes)[key])
