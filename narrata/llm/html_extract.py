@@ -20,6 +20,7 @@ import heapq
 import html as htmllib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,38 +80,71 @@ def _start(tag: str, attrs: str, in_content: bool) -> tuple[str, bool, bool]:
     return name, boiler, content
 
 
-def walk(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, bool, int]], dict[str, int]]:
-    """Text blocks of a page, and how often each element path occurs.
+class Node:
+    """An open or closed element: its place in the page as a hash of the steps to it, and what holds for all in it."""
 
-    A block is (text, path, in a content root, all of it linked, position).
-    Unclosed elements end where their parents end or a new block begins.
+    __slots__ = ("anchor", "article", "boiler", "chars", "content", "depth", "inside", "links", "parent", "path", "slot", "tag")
+
+    def __init__(self, tag: str, path: int, parent: Node | None, boiler: bool, content: bool) -> None:
+        self.tag, self.path, self.parent = tag, path, parent
+        self.boiler, self.content = boiler, content
+        self.article = tag in CONTENT_TAGS or (parent is not None and parent.article)
+        self.anchor = tag == "a" or (parent is not None and parent.anchor)
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.chars = self.links = 0
+
+
+class Block(NamedTuple):
+    text: str
+    node: Node
+    content: bool
+    linked: bool
+
+
+def walk(page: str) -> tuple[list[Block], list[Node]]:
+    """Text blocks of a page, and its elements, parents first.
+
+    Unclosed elements end where their parents end or a new block begins.  What
+    holds for an element is kept with it, and open elements are found by their
+    tag, so time and memory grow with the page, however deep it is nested.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, boilerplate, content
-    blocks: list[tuple[str, tuple[str, ...], bool, bool, int]] = []
-    counts: dict[str, int] = {}
+    root = Node("", digest("path"), None, False, False)
+    stack, nodes, blocks = [root], [], []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    kinds = 0  # open blocks
     text: list[str] = []
-    state = {"linked": True}
+    linked = True
     at, end = 0, len(page)
 
     def flush() -> None:
+        nonlocal linked
         if text:
             whole = SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
             if whole:
-                blocks.append((whole, tuple(s[1] for s in stack), any(s[3] for s in stack), state["linked"], len(blocks)))
+                blocks.append(Block(whole, stack[-1], stack[-1].content, linked))
             text.clear()
-        state["linked"] = True
+        linked = True
 
     def said(piece: str) -> None:
-        if piece and not (stack and stack[-1][2]):
-            if state["linked"] and not piece.isspace() and not any(s[0] == "a" for s in stack):
-                state["linked"] = False
+        nonlocal linked
+        top = stack[-1]
+        if piece and not top.boiler:
+            if linked and not top.anchor and not piece.isspace():
+                linked = False
             text.append(piece)
 
     def close(to: int) -> None:
-        if any(s[0] in BLOCK for s in stack[to:]):
+        nonlocal kinds
+        if any(n.tag in BLOCK for n in stack[to:]):
             flush()
+        for n in stack[to:]:
+            places[n.tag].pop()
+            kinds -= n.tag in BLOCK
         del stack[to:]
 
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
@@ -124,7 +158,7 @@ def walk(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, bool, int]],
             continue
         tag = m[2].lower()
         if m[1]:
-            if (i := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)) is not None:
+            if i := last((tag,)):
                 close(i)
             elif tag in BLOCK:
                 flush()
@@ -133,28 +167,33 @@ def walk(page: str) -> tuple[list[tuple[str, tuple[str, ...], bool, bool, int]],
             found = RAW_END[tag].search(page, at)
             at = found.end() if found else end
             continue
-        if tag in CLOSES_P and (i := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
+        if tag in CLOSES_P and (i := last(("p",))):
             close(i)
         elif tag in ("li", "td", "th", "tr", "dd", "dt"):
             stops, same = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",)}.get(tag, ("table",)), {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stops:
-                    break
-                if stack[i][0] in same:
-                    close(i)
-                    break
+            if (i := last(same)) > last(stops):
+                close(i)
         if tag in BLOCK:
             flush()
         if tag == "br":
             said(" ")
-        above = stack[-1] if stack else ("", "", False, False)
-        name, boiler, content = _start(tag, m[3], any(s[3] for s in stack))
-        path = f"{above[1]}/{name}"
-        counts[path] = counts.get(path, 0) + 1
+        above = stack[-1]
+        name, boiler, content = _start(tag, m[3], above.content)
+        node = Node(tag, digest("path", above.path, name), above, boiler or above.boiler, content or above.content)
+        nodes.append(node)
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, path, boiler or above[2], content))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     flush()
-    return blocks, counts
+    for b in blocks:
+        if b.linked:
+            b.node.links += len(b.text)
+        else:
+            b.node.chars += len(b.text)
+    for n in reversed(nodes):
+        n.parent.chars += n.chars
+        n.parent.links += n.links
+    return blocks, nodes
 
 
 def _around(texts: list[str]) -> int:
@@ -177,27 +216,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
-            blocks, counts = walk(page)
-            chars: dict[str, int] = {}
-            links: dict[str, int] = {}
+            blocks, nodes = walk(page)
+            paths: dict[int, list[int]] = {}  # how often, unlinked and linked characters
+            for n in nodes:
+                of = paths.setdefault(n.path, [0, 0, 0])
+                of[0], of[1], of[2] = of[0] + 1, of[1] + n.chars, of[2] + n.links
             words: dict[str, int] = {}
-            for text, path, _, linked, _ in blocks:
-                of = links if linked else chars
-                for p in path:
-                    of[p] = of.get(p, 0) + len(text)
-                words[text] = words.get(text, 0) + 1
+            for b in blocks:
+                words[b.text] = words.get(b.text, 0) + 1
             longest = heapq.nlargest(AROUND + 1, words, key=lambda t: (len(t), t))
             whole = _around(longest[:AROUND])
-            for kind, found in (("path", counts), ("text", words)):
-                for name, n in found.items():
-                    s = sums.setdefault((host, digest(kind, name), kind), [0] * 6)
-                    s[0] += 1
-                    s[1] += n
-                    s[2] ^= digest(page_id, n)
-                    if kind == "path":
-                        s[3] += chars.get(name, 0)
-                        s[4] += links.get(name, 0)
-                    s[5] |= _around([t for t in longest if t != name][:AROUND]) if kind == "text" and name in longest[:AROUND] else whole
+            tokens = [(p, "path", *of, whole) for p, of in paths.items()]
+            tokens += [(digest("text", t), "text", n, 0, 0, _around([x for x in longest if x != t][:AROUND]) if t in longest[:AROUND] else whole) for t, n in words.items()]
+            for token, kind, n, chars, links, around in tokens:
+                s = sums.setdefault((host, token, kind), [0] * 6)
+                s[0] += 1
+                s[1] += n
+                s[2] ^= digest(page_id, n)
+                s[3] += chars
+                s[4] += links
+                s[5] |= around
             if len(sums) > 100_000:
                 yield out()
     yield out()
@@ -252,28 +290,28 @@ def main_text(page: str, roots: set[int], said: set[int], frame: set[int] = froz
     deepest of the roots, without blocks that are links only; a page without
     template gives its article, or else all its unlinked blocks.
     """
-    blocks, _ = walk(page)
-    known = {p: digest("path", p) for b in blocks for p in b[1]} if roots or frame or links else {}
-
-    def prose(path: tuple[str, ...]) -> bool:
-        slot = next((p for p in reversed(path) if known.get(p) in frame), None)
-        return slot is None or known[slot] not in links or re.split("[.]", slot.rsplit("/", 1)[-1])[0] in CONTENT_TAGS
-
-    blocks = [b for b in blocks if digest("text", b[0]) not in said and prose(b[1])]
-    inside = [p for p, k in known.items() if k in roots]
-    deepest = max(inside, key=lambda p: p.count("/"), default=None)
-    rooted = [b for b in blocks if not b[3] and (deepest is None or deepest in b[1])]
-    content = [b for b in blocks if b[2]]
+    blocks, nodes = walk(page)
+    inside = [n for n in nodes if n.path in roots]
+    deepest = max(inside, key=lambda n: n.depth).path if inside else None
+    # Each element's slot is the deepest one of the frame that holds it; parents come first.
+    for n in nodes:
+        n.slot = n if n.path in frame else getattr(n.parent, "slot", None)
+        n.inside = deepest is None or n.path == deepest or getattr(n.parent, "inside", False)
+
+    def prose(n: Node) -> bool:
+        slot = getattr(n, "slot", None)
+        return slot is None or slot.path not in links or slot.tag in CONTENT_TAGS
+
+    blocks = [b for b in blocks if digest("text", b.text) not in said and prose(b.node)]
+    rooted = [b for b in blocks if not b.linked and getattr(b.node, "inside", deepest is None)]
+    content = [b for b in blocks if b.content]
     if content:
-        held = sum(len(b[0]) for b in content if not b[3])
-        framed = any(known.get(p) in frame and _in_content(p) for b in content for p in b[1])
-        if deepest is None or any(deepest in b[1] and _in_content(deepest) for b in content) or (5 if framed else 2) * held >= sum(len(b[0]) for b in rooted):
-            return "\n\n".join(b[0] for b in content)
-    return "\n\n".join(b[0] for b in rooted)
-
-
-def _in_content(path: str) -> bool:
-    return any(step.split(".")[0] in CONTENT_TAGS for step in path.split("/"))
+        held = sum(len(b.text) for b in content if not b.linked)
+        framed = any(getattr(b.node, "slot", None) is not None and b.node.slot.article for b in content)
+        within = any(n.path == deepest and n.article for n in inside) and any(b.node.inside for b in content)
+        if deepest is None or within or (5 if framed else 2) * held >= sum(len(b.text) for b in rooted):
+            return "\n\n".join(b.text for b in content)
+    return "\n\n".join(b.text for b in rooted)
 
 
 #: The columns of a template, in the order in which ``main_text`` takes them.
