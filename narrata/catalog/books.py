@@ -87,7 +87,9 @@ def review_base(s, d):
 
 def painted(s, d):
     spans = acronyms(s, d).select(*V.BLOCK, "start", "end")
-    readings = acronyms(s, d).filter("kind = 'acronym'").select(*V.BLOCK, "start", "end", "confidence", F.when(F.col("chapter_id") % 2 == 0, "male").otherwise("female").alias("gender"))
+    readings = acronyms(s, d).filter("kind = 'acronym'").select(*V.BLOCK, "start", "end", "confidence", F.when(F.col("chapter_id") % 2 == 0, "male").otherwise("female").alias("gender"), F.lit(0).alias("position"))
+    # A later reading is surer, but the first one counts.
+    readings = readings.unionByName(readings.withColumns({"position": F.lit(1), "confidence": F.lit(0.99), "gender": F.lit("unknown")}))
     return R.paint(spans, readings)
 
 
@@ -95,19 +97,6 @@ def apply_rewrites(s, d):
     return marked(s, d).select(*V.BLOCK, V.apply_rewrites(F.col("text"), D.normalization(F.col("text"))).alias("text"))
 
 
-def book_metadata(s, d):
-    docs = table(s, d, "documents")
-    return docs.groupBy(F.col("source").alias("book_id")).agg(F.min_by("lang", "doc_id").alias("language"), F.min_by(F.substring_index("text", "\n", 1), "doc_id").alias("title"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"), F.sha2(F.min("doc_id").cast("string"), 256).alias("identifier"))
-
-
-def chapter_titles(s, d):
-    """A contents label (given for a third of the chapters) before the first line that is not blank."""
-    first = lines(s, d).filter("trim(text) <> ''").groupBy("book_id", "chapter_id").agg(F.min_by("text", "block_index").alias("heading"))
-    toc = table(s, d, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("chapter_id"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("label"))
-    base = table(s, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"))
-    return base.join(first, ["book_id", "chapter_id"], "left").join(toc, "chapter_id", "left").select("book_id", "chapter_id", F.coalesce("label", "heading", F.lit("chapter")).alias("title"))
-
-
 _NORMAL = f"regexp_replace(text, '(\\p{{L}}+){SOFT}?(?:-|{SOFT})\\r?\\n(\\p{{L}}+)', '\\1\\2', 'g')"
 _NORMAL = f"translate(regexp_replace(replace({_NORMAL}, '{SOFT}', ''), '{D.SPACE_RUN}', ' ', 'g'), '{W.TO_DASH}{W.TO_HYPHEN}', '{W.EM_DASH * len(W.TO_DASH)}{'-' * len(W.TO_HYPHEN)}')"
 
@@ -130,13 +119,11 @@ QUERIES = {
     "bulk_review": lambda s, d: R.bulk(review_base(s, d), "kind = 'acronym'", "accepted", "b1"),
     "undo_batch": lambda s, d: R.undo(R.bulk(R.bulk(review_base(s, d), "kind = 'acronym'", "accepted", "b1"), "true", "rejected", "b2"), "b1"),
     "auto_apply": lambda s, d: acronyms(s, d).filter("confidence >= 0.9"),
-    "hard_cases": lambda s, d: R.hard_cases(acronyms(s, d), marked(s, d), 0.9, 40),
+    "hard_cases": lambda s, d: R.hard_cases(acronyms(s, d), marked(s, d), F.col("confidence") < 0.9, 40),
     "not_overlapping_skip": lambda s, d: R.without_overlaps(acronyms(s, d), marked(s, d).filter("block_index % 2 = 0").select(*V.BLOCK, F.lit(0).alias("start"), F.length("text").alias("end"))),
     "lexicon_wins": lambda s, d: R.without_overlaps(acronyms(s, d), L.lexicon_suggestions(marked(s, d), _rules(s))),
     "paint_gender": painted,
     "preview_hits": lambda s, d: T.preview_hits(lines(s, d), "thin"),
-    "book_metadata": book_metadata,
-    "chapter_titles": chapter_titles,
 }
 
 _BASE = f"SELECT *, 'open' AS status, NULL::VARCHAR AS batch_id FROM ({ACRONYMS})"
@@ -164,6 +151,4 @@ SQL = {
     "lexicon_wins": _without(ACRONYMS, _lexicon_sql()),
     "paint_gender": f"""SELECT {KEY}, start, "end", CASE WHEN kind = 'acronym' THEN CASE WHEN chapter_id % 2 = 0 THEN 'male' ELSE 'female' END END AS gender, CASE WHEN kind = 'acronym' THEN 0.86::DOUBLE END AS gender_confidence FROM ({ACRONYMS})""",
     "preview_hits": f"SELECT {KEY}, ((length(text) - length(replace(text, 'thin', ''))) / 4)::BIGINT AS hits FROM ({LINES}) WHERE contains(text, 'thin') ORDER BY book_id, chapter_id, block_index LIMIT 50",
-    "book_metadata": "SELECT source AS book_id, arg_min(lang, doc_id) AS language, arg_min(split_part(text, chr(10), 1), doc_id) AS title, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, sha256(min(doc_id)::VARCHAR) AS identifier FROM documents GROUP BY source",
-    "chapter_titles": f"SELECT source AS book_id, doc_id AS chapter_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'Chapter ' || doc_id END, h, 'chapter') AS title FROM documents LEFT JOIN (SELECT book_id, chapter_id, arg_min(text, block_index) AS h FROM ({LINES}) WHERE trim(text) <> '' GROUP BY ALL) ON book_id = source AND chapter_id = doc_id",
 }

@@ -37,9 +37,15 @@ def _gender(words, g):
     return list(words) if g == "m" else [special[g].get(w, w[:-1] + {"f": "a", "n": "e"}[g]) for w in words]
 
 
+def _stem(n: str) -> str:
+    low = f"({n} % 100)"
+    units = f"CASE WHEN {low} < 20 THEN {_list(N.UNIT_STEMS)}[{low} + 1] ELSE {_list(N.UNIT_STEMS)}[{low} % 10 + 1] END"
+    return f"CASE WHEN {n} = 1 THEN '' ELSE coalesce({_list(N.HUNDREDS_STEMS)}[{n} // 100], '') || CASE WHEN {low} >= 20 THEN {_list(N.TENS_STEMS)}[{low} // 10] ELSE '' END || {units} END"
+
+
 def _ordinal(n: str, g: str) -> str:
     last = _small(n, _gender(N.ORDINAL_UNITS, g), _gender(N.ORDINAL_TENS, g), N.HUNDREDS, _gender(N.ORDINAL_HUNDREDS, g))
-    return f"CASE WHEN {n} = 0 THEN '{_gender(N.ORDINAL_UNITS, g)[0]}' WHEN {n} % 1000 > 0 THEN concat_ws(' ', {_scaled(n)}, {last}) END"
+    return f"CASE WHEN {n} = 0 THEN '{_gender(N.ORDINAL_UNITS, g)[0]}' WHEN {n} % 1000 = 0 THEN {_stem(f"({n} // 1000)")} || 'tysięczn{dict(m="y", f="a", n="e")[g]}' ELSE concat_ws(' ', {_scaled(n)}, {last}) END"
 
 
 def _locative(word: str) -> str:
@@ -54,15 +60,37 @@ NUMBERS = "SELECT p_partkey AS k, p_partkey * p_partkey * p_size * 977 % 1000000
 _HOURS = [" ".join(map(_locative, ([_gender(N.ORDINAL_UNITS, "f")[h]] if h < 20 else [_gender(N.ORDINAL_TENS, "f")[0], *([_gender(N.ORDINAL_UNITS, "f")[h % 10]] if h % 10 else [])]))) for h in range(24)]
 _FEMININE = f"CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN regexp_replace(c, 'jeden$', 'jedna') WHEN n % 10 = 2 AND n % 100 <> 12 THEN regexp_replace(c, '(^| )dwa$', '\\1dwie') ELSE c END"
 
+
+
+def fractions(s, d):
+    """Whole parts, and one to four digits behind the comma."""
+    part, places = F.col("p_partkey"), (F.col("p_size") % 4 + 1).cast("int")
+    return table(s, d, "part").select(part.alias("k"), (part % 50).alias("w"), F.expr("lpad(cast(p_partkey * 7 % 10000 as string), 4, '0')").substr(F.lit(1), places).alias("digits"))
+
+
+FRACTIONS = "SELECT p_partkey AS k, p_partkey % 50 AS w, substring(lpad((p_partkey * 7 % 10000)::VARCHAR, 4, '0'), 1, (p_size % 4 + 1)::INTEGER) AS digits FROM part"
+
+
+def _decimal(w: str, digits: str) -> str:
+    n = f"({digits})::BIGINT"
+    form = f"CASE WHEN {n} % 10 = 1 AND {n} % 100 <> 11 THEN 1 WHEN {n} % 10 IN (2, 3, 4) AND {n} % 100 NOT IN (12, 13, 14) THEN 2 ELSE 3 END"
+    unit = f"[{', '.join(map(_list, N.FRACTIONS))}][length({digits})][{form}]"
+    feminine = _FEMININE.replace("n %", f"{n} %").replace("(c,", f"({_cardinal(n)},").replace("ELSE c", f"ELSE {_cardinal(n)}")
+    spelled = f"list_aggregate(list_transform(string_split({digits}, ''), lambda x: {_list(N.UNITS)}[x::INTEGER + 1]), 'string_agg', ' ')"
+    return f"{_cardinal(w)} || CASE WHEN length({digits}) <= 3 THEN ' i ' || {feminine} || ' ' || {unit} ELSE ' przecinek ' || {spelled} END"
+
+
 QUERIES = {
     "cardinal_pl": lambda s, d: numbers(s, d).select("k", "n", N.cardinal(F.col("n")).alias("said")),
     "cardinal_feminine_pl": lambda s, d: numbers(s, d).select("k", "n", N.cardinal_feminine(F.col("n")).alias("said")),
     "ordinal_pl": lambda s, d: numbers(s, d).select("k", "o", *[N.ordinal(F.col("o"), g).alias(g) for g in ("m", "f", "n")]),
     "clock_pl": lambda s, d: numbers(s, d).select("k", "h", "m", N.clock(F.col("h"), F.col("m")).alias("said")),
+    "decimal_pl": lambda s, d: fractions(s, d).select("k", "w", "digits", N.decimal(F.col("w"), F.col("digits")).alias("said")),
 }
 SQL = {
     "cardinal_pl": f"SELECT k, n, {_cardinal('n')} AS said FROM ({NUMBERS})",
     "cardinal_feminine_pl": f"SELECT k, n, {_FEMININE} AS said FROM (SELECT k, n, {_cardinal('n')} AS c FROM ({NUMBERS}))",
     "ordinal_pl": f"SELECT k, o, {', '.join(f'{_ordinal("o", g)} AS {g}' for g in 'mfn')} FROM ({NUMBERS})",
+    "decimal_pl": f"SELECT k, w, digits, {_decimal('w', 'digits')} AS said FROM ({FRACTIONS})",
     "clock_pl": f"SELECT k, h, m, {_list(_HOURS)}[h + 1] || CASE WHEN m > 0 THEN ' ' || {_cardinal('m')} ELSE '' END AS said FROM ({NUMBERS})",
 }

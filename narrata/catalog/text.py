@@ -33,7 +33,7 @@ def _nested(expr: str, pairs) -> str:
 
 
 BREAKS_SQL = _suggestion_sql(sql_hits(MARKED, rf"\p{{L}}+{W.SOFT}?(?:-|{W.SOFT})\r?\n\p{{L}}+"), "conversion_artifact", "'hyphenation'", f"regexp_replace(original, '[-{W.SOFT}\\r\\n]', '', 'g')", "0.95")
-SOFT_SQL = _suggestion_sql(sql_hits(MARKED, D.SOFT_WORD), "conversion_artifact", "'soft_hyphen'", f"replace(original, '{W.SOFT}', '')", "0.99")
+SOFT_SQL = _suggestion_sql(sql_hits(MARKED, rf"\p{{L}}*(?:{W.SOFT}\p{{L}}*)+"), "conversion_artifact", "'soft_hyphen'", f"replace(original, '{W.SOFT}', '')", "0.99")
 SPACES_SQL = _suggestion_sql(sql_hits(MARKED, D.SPACE_RUN), "conversion_artifact", "'whitespace'", "' '", "0.99")
 DASHES_SQL = _suggestion_sql(sql_hits(MARKED, D.DASH), "conversion_artifact", "'dash'", f"translate(original, '{W.TO_DASH}{W.TO_HYPHEN}', '{W.EM_DASH * len(W.TO_DASH)}{'-' * len(W.TO_HYPHEN)}')", "0.9")
 
@@ -150,7 +150,7 @@ SELECT {KEY}, 0 AS start, length(text)::INTEGER AS "end", 'toc' AS reason FROM f
 REDACT_SQL = """
 SELECT doc_id, {} AS text FROM (SELECT doc_id, text || ' Bearer abcDEF12345. sk-abcdefgh1234 password: "hunter22" ghp_abcdefghijklmnopqrstuv' AS text FROM documents)
 """
-_red = "replace(text, 'erthand', '[REDACTED]')"
+_red = "replace(text, 'erthand ', '[REDACTED]')"
 _red = f"regexp_replace({_red}, '(?i)\\b(api[_-]?key|apikey|access[_-]?token|refresh[_-]?token|secret|passwd|password|token)([''\"]?\\s*[:=]\\s*[''\"]?)([^\\s''\",;}}\\]]+)', '\\1\\2[REDACTED]', 'g')"
 _red = f"regexp_replace({_red}, '(?i)\\b(bearer\\s+)[A-Za-z0-9._~+/=-]{{8,}}', '\\1[REDACTED]', 'g')"
 for _p in T.OPAQUE:
@@ -160,7 +160,7 @@ for _p in T.OPAQUE:
 def redact_secrets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.concat("text", F.lit(' Bearer abcDEF12345. sk-abcdefgh1234 password: "hunter22" ghp_abcdefghijklmnopqrstuv'))
-    return docs.select("doc_id", T.redact(text, ["erthand", "short"]).alias("text"))
+    return docs.select("doc_id", T.redact(text, ["erthand ", "rthand"]).alias("text"))
 
 
 def _detector(detector):

@@ -111,11 +111,11 @@ def runs(spark, sf_dir):
 
 
 def keyed(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("render_key", C.content_key(F.col("part").cast("string"), F.lit("narrator"), (F.col("number") % 4).cast("string")))
+    rows = items(spark, sf_dir).withColumn("render_key", C.content_key(F.col("part").cast("string"), slot=F.lit("narrator"), profile=F.col("number") % 4))
     return rows.withColumn("position", F.col("ordinal")).withColumn("ordinal", F.col("number") * 10 + F.col("ordinal")).select("book_id", "number", "ordinal", "kind", "present", "render_key", "part", "q")
 
 
-KEYED = f"SELECT book_id, number, number * 10 + ordinal AS ordinal, kind, present, substring(sha256('v1|' || part || '|narrator|' || number % 4), 1, 32) AS render_key, part, q FROM ({ITEMS})"
+KEYED = f"""SELECT book_id, number, number * 10 + ordinal AS ordinal, kind, present, substring(sha256('{{"version":"2","text":"' || sha256(part::VARCHAR) || '","profile":"' || number % 4 || '","slot":"narrator"}}'), 1, 32) AS render_key, part, q FROM ({ITEMS})"""
 
 
 def files(spark, sf_dir):
@@ -155,7 +155,7 @@ QUERIES = {
     "reconcile_chunks": lambda s, d: C.reconcile(files(s, d), sidecars(s, d)),
     "plan_diff": lambda s, d: C.plan_diff(keyed(s, d).filter("number % 3 <> 0"), keyed(s, d).filter("number % 3 <> 1")),
     "resume_cursor": lambda s, d: C.resume_cursor(keyed(s, d)),
-    "job_counts": lambda s, d: C.job_counts(keyed(s, d)),
+    "job_counts": lambda s, d: C.job_counts(C.dedupe_renders(keyed(s, d))),
 }
 
 SQL = {
@@ -179,5 +179,5 @@ SQL = {
     "plan_diff": f"""WITH o AS (SELECT DISTINCT render_key FROM ({KEYED}) WHERE number % 3 <> 0), n AS (SELECT DISTINCT render_key FROM ({KEYED}) WHERE number % 3 <> 1)
       SELECT coalesce(o.render_key, n.render_key) AS render_key, CASE WHEN n.render_key IS NULL THEN 'dropped' WHEN o.render_key IS NULL THEN 'new' ELSE 'reused' END AS state FROM o FULL JOIN n ON o.render_key = n.render_key""",
     "resume_cursor": f"SELECT book_id, coalesce(min(ordinal) FILTER (kind <> 'silence' AND NOT present), max(ordinal) + 1, 0)::BIGINT AS next_ordinal FROM ({KEYED}) GROUP BY book_id",
-    "job_counts": f"SELECT book_id, count(*) FILTER (kind <> 'silence') AS total, count(*) FILTER (kind <> 'silence' AND present) AS done, coalesce(bool_and(present) FILTER (kind <> 'silence'), true) AS finished FROM ({KEYED}) GROUP BY book_id",
+    "job_counts": f"SELECT book_id, count(*) FILTER (kind <> 'silence' AND again) AS reused, count(*) FILTER (kind <> 'silence') AS total, count(*) FILTER (kind <> 'silence' AND present) AS done, coalesce(bool_and(present) FILTER (kind <> 'silence'), true) AS finished FROM (SELECT *, row_number() OVER (PARTITION BY render_key ORDER BY book_id, ordinal) > 1 AS again FROM ({KEYED})) GROUP BY book_id",
 }

@@ -18,6 +18,14 @@ ORDINAL_UNITS = (
 ).split()
 ORDINAL_TENS = "dwudziesty trzydziesty czterdziesty pięćdziesiąty sześćdziesiąty siedemdziesiąty osiemdziesiąty dziewięćdziesiąty".split()
 ORDINAL_HUNDREDS = "setny dwusetny trzechsetny czterechsetny pięćsetny sześćsetny siedemsetny osiemsetny dziewięćsetny".split()
+# Fixed values. Stems before "tysięczny", of units from 0, tens and hundreds from 1, and the fractions of one to three places.
+UNIT_STEMS = (
+    " jedno dwu trzy cztero pięcio sześcio siedmio ośmio dziewięcio dziesięcio jedenasto dwunasto trzynasto czternasto piętnasto szesnasto "
+    "siedemnasto osiemnasto dziewiętnasto"
+).split(" ")
+TENS_STEMS = "dziesięcio dwudziesto trzydziesto czterdziesto pięćdziesięcio sześćdziesięcio siedemdziesięcio osiemdziesięcio dziewięćdziesięcio".split()
+HUNDREDS_STEMS = "stu dwustu trzystu czterystu pięćset sześćset siedemset osiemset dziewięćset".split()
+FRACTIONS = (("dziesiąta", "dziesiąte", "dziesiątych"), ("setna", "setne", "setnych"), ("tysięczna", "tysięczne", "tysięcznych"))
 SCALES = ((10**9, "miliard", "miliardy", "miliardów"), (10**6, "milion", "miliony", "milionów"), (10**3, "tysiąc", "tysiące", "tysięcy"))
 
 
@@ -77,15 +85,39 @@ def inflect(word: Column, gender: str) -> Column:
     return F.when(word.rlike("i$"), F.concat(word, F.lit(end))).otherwise(F.regexp_replace(word, "y$", end))
 
 
+def _stem(n: Column) -> Column:
+    """What stands before "tysięczny" for 1 to 999 thousands; nothing for one."""
+    low = n % 100
+    unit = F.when(low < 20, low).otherwise(low % 10)
+    parts = (_pick(HUNDREDS_STEMS, _whole(n, 100)), _pick(TENS_STEMS, F.when(low >= 20, _whole(low, 10)).otherwise(0)), _pick(UNIT_STEMS, unit + 1))
+    return F.when(n == 1, "").otherwise(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]))
+
+
 def ordinal(n: Column, gender: str = "m") -> Column:
-    """Nominative ordinal of 0 to 999,999 that is no exact multiple of 1000, else null; only tens and units inflect, or the last part."""
+    """Nominative ordinal of 0 to 999,999, else null; only tens and units inflect, or the last part."""
     n = n.cast("long")
     rest, low = n % 1000, n % 100
     unit = F.when(low < 20, low).otherwise(low % 10)
     hundreds = F.when(low == 0, inflect(_pick(ORDINAL_HUNDREDS, _whole(rest, 100)), gender)).otherwise(_pick(HUNDREDS, _whole(rest, 100)))
     tens = inflect(_pick(ORDINAL_TENS, F.when(low >= 20, _whole(low, 10) - 1).otherwise(0)), gender)
     units = inflect(_pick(ORDINAL_UNITS, F.when(unit > 0, unit + 1).otherwise(0)), gender)
-    return F.when(n == 0, inflect(F.lit(ORDINAL_UNITS[0]), gender)).when((n > 0) & (n < 10**6) & (rest > 0), _said(*_scaled(n), F.array(hundreds, tens, units)))
+    exact = F.concat(_stem(_whole(n, 1000)), inflect(F.lit("tysięczny"), gender))
+    known = (n >= 0) & (n < 10**6)
+    return F.when(n == 0, inflect(F.lit(ORDINAL_UNITS[0]), gender)).when(known & (rest == 0), exact).when(known, _said(*_scaled(n), F.array(hundreds, tens, units)))
+
+
+def ordinal_of(n: Column, gender: Column) -> Column:
+    """Ordinal in the gender that a column names; masculine if it names none."""
+    return F.when(gender == "f", ordinal(n, "f")).when(gender == "n", ordinal(n, "n")).otherwise(ordinal(n))
+
+
+def decimal(whole: Column, digits: Column) -> Column:
+    """A decimal fraction: up to three places by their name, more of them digit by digit; null without digits."""
+    places, part = F.length(digits), F.expr("0") + F.when(F.length(digits) <= 3, digits).otherwise("0").cast("long")
+    form = F.when((part % 10 == 1) & (part % 100 != 11), 0).when((part % 10).isin(2, 3, 4) & ~(part % 100).isin(12, 13, 14), 1).otherwise(2)
+    unit = F.get(F.get(F.array(*[F.array(*map(F.lit, f)) for f in FRACTIONS]), places - 1), form)
+    spelled = F.array_join(F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c: F.get(F.array(*map(F.lit, UNITS)), F.ascii(c) - 48)), " ")
+    return F.when(digits.rlike("^[0-9]+$"), F.when(places <= 3, F.concat_ws(" ", cardinal(whole), F.lit("i"), cardinal_feminine(part), unit)).otherwise(F.concat_ws(" ", cardinal(whole), F.lit("przecinek"), spelled)))
 
 
 def clock(hour: Column, minute: Column) -> Column:

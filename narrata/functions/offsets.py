@@ -1,16 +1,24 @@
 """Offsets of regular-expression matches, and claims of intervals, as columns.
 
-Offsets are code points into one block, half-open.  All of it is built-in
-expressions: the gaps between matches and the matches, alternating, add up to
-the offsets, so no row leaves the JVM and nothing is shuffled.
+Offsets are code points into one block, half-open.  Matches come from small
+Arrow functions: one pass over a block finds all of them, in time in
+proportion to its length, and nothing is shuffled.  Patterns are Python's.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIT = "array<struct<start:int,end:int,match:string>>"
+CLAIMED = "array<struct<step:int,start:int,end:int,match:string,said:string>>"
+#: A pattern, and whether a match of it counts.
+Pass = tuple[str, Callable[[str], bool] | None]
 
 
 def let(value: Column, body) -> Column:
@@ -18,43 +26,68 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def struct_lists(rows: list[list[tuple]], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.Array:
+    """A list-of-structs column; a row is a list of tuples."""
+    offsets, flat = [0], []
+    for row in rows:
+        flat += row
+        offsets.append(len(flat))
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(names)
+    fields = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=list(names)))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, match>>`` of the leftmost non-overlapping matches.
 
-    Null text has no matches.  A pattern must not match the empty string.
+    Null text has no matches; empty matches do not count.
     """
-    none = F.array().cast(HIT)
+    compiled = re.compile(pattern)
+
+    def job(texts: pa.Array) -> pa.Array:
+        rows = [[(m.start(), m.end(), m[0]) for m in compiled.finditer(t) if m.end() > m.start()] if t else [] for t in texts.to_pylist()]
+        return struct_lists(rows, ("start", "end", "match"), (pa.int32(), pa.int32(), pa.string()))
+
+    return F.arrow_udf(job, HIT)(text)
 
-    def walk(z: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.element_at(z["gaps"], i))
-            end = start + F.length(F.element_at(z["hits"], i))
-            hit = F.struct(start.alias("start"), end.alias("end"), F.element_at(z["hits"], i).alias("match"))
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(hit)).alias("found"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(z["hits"])), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+class Claims:
+    """Disjoint intervals in order; adding one finds its neighbours by bisection."""
 
-    # Bound once: a lambda would split the text again at every step.
-    split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    return F.when(text.rlike(pattern), let(split, walk)).otherwise(none)
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
 
+    def take(self, start: int, end: int) -> bool:
+        """Add the interval unless it is empty or overlaps one that is there."""
+        k = bisect_left(self.ends, start + 1)
+        if end <= start or (k < len(self.starts) and self.starts[k] < end):
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
 
-def find_words(text: Column, pattern: str) -> Column:
-    """Like ``find_all``, for patterns that never match white space.
 
-    The text is searched in pieces of about 400 characters that end before
-    white space, so that a block of many words takes time in proportion.
+def claimed(text: str, passes: Iterable[tuple[re.Pattern, Callable[[str], bool] | None]]) -> list[tuple[int, int, int, str]]:
+    """(step, start, end, match) of all passes, a match of an earlier pass before those that overlap it."""
+    kept, out = Claims(), []
+    for step, (pattern, good) in enumerate(passes):
+        out += [(step, m.start(), m.end(), m[0]) for m in pattern.finditer(text) if (good is None or good(m[0])) and kept.take(m.start(), m.end())]
+    return out
+
+
+def find_claimed(text: Column, passes: Sequence[Pass], say: Callable[[int, str], str | None] | None = None) -> Column:
+    """``array<struct<step, start, end, match, said>>``: matches of several patterns under one claim, by pass and place.
+
+    ``say`` gives what is said for a step's match, where columns cannot tell.
     """
-    parts = F.regexp_extract_all(text, F.lit(r"(?s).{1,400}\S*"), F.lit(0))
+    compiled = [(re.compile(p), good) for p, good in passes]
 
-    def step(acc: Column, part: Column) -> Column:
-        placed = F.struct(acc["at"].alias("at"), part.alias("part"))
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["parts"], F.array(placed)).alias("parts"))
+    def job(texts: pa.Array) -> pa.Array:
+        rows = [[(*c, say(c[0], c[3]) if say else None) for c in claimed(t, compiled)] if t else [] for t in texts.to_pylist()]
+        return struct_lists(rows, ("step", "start", "end", "match", "said"), (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("parts"))
-    placed = F.filter(F.aggregate(parts, zero, step)["parts"], lambda p: p["part"].rlike(pattern))
-    moved = lambda p: F.transform(find_all(p["part"], pattern), lambda h: F.struct((h["start"] + p["at"]).alias("start"), (h["end"] + p["at"]).alias("end"), h["match"].alias("match")))
-    return F.when(text.rlike(pattern), F.flatten(F.transform(placed, moved))).otherwise(F.array().cast(HIT))
+    return F.arrow_udf(job, CLAIMED)(text)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -62,11 +95,20 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def claim(candidates: Column, kind: str) -> Column:
+def _claim_flags(lists: pa.Array) -> pa.Array:
+    out = []
+    for spans in lists.to_pylist():
+        kept = Claims()
+        out.append(None if spans is None else [kept.take(s["start"], s["end"]) for s in spans])
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
+def claim(candidates: Column) -> Column:
     """Greedy claim: in array order, keep what overlaps nothing kept before.
 
-    ``kind`` is the array's type.  Sort by pass, then start, beforehand.
-    Empty intervals are dropped.
+    Sort by pass, then start, beforehand.  Empty intervals are dropped.
     """
-    free = lambda kept, c: ~F.exists(kept, lambda k: overlaps(k, c))
-    return F.aggregate(candidates, F.array().cast(kind), lambda kept, c: F.when((c["end"] > c["start"]) & free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+    spans = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+    flags = F.arrow_udf(_claim_flags, "array<boolean>")(spans)
+    kept = F.filter(F.arrays_zip(candidates.alias("c"), flags.alias("kept")), lambda z: z["kept"])
+    return F.transform(kept, lambda z: z["c"])

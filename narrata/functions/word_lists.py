@@ -36,11 +36,11 @@ RESPELLINGS = (("tion", "szyn"), ("ness", "nes"), ("ee", "i"), ("oo", "u"), ("th
 POLISH_LETTERS = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 
 # Fixed values. Soft hyphen, horizontal spaces, and dashes by what they fold to.
-SOFT = "­"
-SPACES = " \t   -   　"
-TO_DASH = "‒–―⸺⸻﹘"
-TO_HYPHEN = "‐‑−﹣－"
-EM_DASH = "—"
+SOFT = "\u00ad"
+SPACES = " \t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+TO_DASH = "\u2012\u2013\u2015\u2e3a\u2e3b\ufe58"
+TO_HYPHEN = "\u2010\u2011\u2212\ufe63\uff0d"
+EM_DASH = "\u2014"
 
 # Fixed values. Lines that are skipped.
 TOC_HEADINGS = ("spis treści", "spis tresci", "table of contents")

@@ -7,18 +7,23 @@ number of them read a block in one scan without a shuffle.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions import word_lists as W
-from narrata.functions.offsets import claim, find_all, find_words, let, overlaps
+from narrata.functions.offsets import find_all, find_claimed, let
 
 SUGGESTION = "struct<step:int,start:int,end:int,kind:string,original:string,replacement:string,reason:string,confidence:double>"
 SUGGESTIONS = f"array<{SUGGESTION}>"
 
-HYPHEN_BREAK = rf"\p{{L}}+{W.SOFT}?(?:-|{W.SOFT})\r?\n\p{{L}}+"
-SOFT_WORD = rf"\p{{L}}*(?:{W.SOFT}\p{{L}}*)+"
+LETTER = r"[^\W\d_]"
+# Fixed values. What conversion artefacts, acronyms, words and English spelling look like.
+HYPHEN_BREAK = rf"{LETTER}+{W.SOFT}?(?:-|{W.SOFT})\r?\n{LETTER}+"
+SOFT_WORD = rf"{LETTER}*(?:{W.SOFT}{LETTER}*)+"
 SPACE_RUN = f"[{W.SPACES}]{{2,}}"
 DASH = f"[{W.TO_DASH}{W.TO_HYPHEN}]"
 ACRONYM = r"(?<![A-Za-z])[A-Z]{2,5}(?![A-Za-z])"
@@ -27,7 +32,7 @@ ENGLISH = r"th|wh|qu|ck|oo|ee|(?:ing|tion|ness)$"
 
 
 def toponym_pattern(surface: str) -> str:
-    return r"(?iU)(?<!\w)" + r"\s+".join(re.escape(p) for p in surface.split()) + r"(?!\w)"
+    return r"(?i)(?<!\w)" + r"\s+".join(re.escape(p) for p in surface.split()) + r"(?!\w)"
 
 
 def suggest(hits: Column, step: int, kind: str, reason: Column | str, replacement, confidence) -> Column:
@@ -42,44 +47,96 @@ def suggest(hits: Column, step: int, kind: str, reason: Column | str, replacemen
     ).cast(SUGGESTIONS)
 
 
-def hyphen_breaks(text: Column) -> Column:
-    return suggest(find_all(text, HYPHEN_BREAK), 0, "conversion_artifact", "hyphenation", lambda m: F.regexp_replace(m, f"[-{W.SOFT}\r\n]", ""), 0.95)
+def _joined(match: Column) -> Column:
+    return F.regexp_replace(match, f"[-{W.SOFT}\r\n]", "")
 
 
-def soft_hyphens(text: Column) -> Column:
-    return suggest(find_all(text, SOFT_WORD), 1, "conversion_artifact", "soft_hyphen", lambda m: F.replace(m, F.lit(W.SOFT), F.lit("")), 0.99)
+def _unhyphened(match: Column) -> Column:
+    return F.replace(match, F.lit(W.SOFT), F.lit(""))
 
 
-def space_runs(text: Column) -> Column:
-    return suggest(find_all(text, SPACE_RUN), 2, "conversion_artifact", "whitespace", " ", 0.99)
+def _folded(match: Column) -> Column:
+    return F.translate(match, W.TO_DASH + W.TO_HYPHEN, W.EM_DASH * len(W.TO_DASH) + "-" * len(W.TO_HYPHEN))
 
 
-def dashes(text: Column) -> Column:
-    folded = lambda m: F.translate(m, W.TO_DASH + W.TO_HYPHEN, W.EM_DASH * len(W.TO_DASH) + "-" * len(W.TO_HYPHEN))
-    return suggest(find_all(text, DASH), 3, "conversion_artifact", "dash", folded, 0.9)
+#: Pattern, reason, replacement and confidence of the normalising passes, in their order.
+NORMAL = (
+    (HYPHEN_BREAK, "hyphenation", _joined, 0.95),
+    (SOFT_WORD, "soft_hyphen", _unhyphened, 0.99),
+    (SPACE_RUN, "whitespace", lambda m: F.lit(" "), 0.99),
+    (DASH, "dash", _folded, 0.9),
+)
 
 
-def normalization(text: Column) -> Column:
-    """Breaks, soft hyphens, space runs and dashes under one claim, in that order."""
-    return claim(F.array_sort(F.concat(hyphen_breaks(text), soft_hyphens(text), space_runs(text), dashes(text))), SUGGESTIONS)
+def _normal(k: int):
+    pattern, reason, replacement, confidence = NORMAL[k]
+    return lambda text: suggest(find_all(text, pattern), k, "conversion_artifact", reason, replacement, confidence)
 
 
-def toponyms(text: Column) -> Column:
-    """Place names, longer ones first, in any case, with any white space between their words."""
-    found = [suggest(find_all(text, toponym_pattern(s)), k, "toponym", "toponym", spoken, 0.92) for k, (s, spoken) in enumerate(W.TOPONYMS)]
-    return claim(F.concat(*found), SUGGESTIONS)
+hyphen_breaks, soft_hyphens, space_runs, dashes = map(_normal, range(len(NORMAL)))
+
+
+def by_step(hit: Column, values: list[Column]) -> Column:
+    """The value at the step of a hit."""
+    out = values[-1]
+    for k, v in reversed(list(enumerate(values[:-1]))):
+        out = F.when(hit["step"] == k, v).otherwise(out)
+    return out
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of code points."""
+    edges = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1], [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(*edges, strict=True)) + "]"
+
+
+@cache
+def unnormal_pattern() -> str:
+    """Runs of characters that composition may change: those with marks behind them, and those that stand for others."""
+    every = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4]
+    marks = _ranges([c for c in every if unicodedata.combining(chr(c)) or 0x1161 <= c < 0x1176 or 0x11A8 <= c < 0x11C3])
+    other = _ranges([c for c in every if not unicodedata.is_normalized("NFC", chr(c))])
+    return f"(?:.?{marks}+|{other})+"
+
+
+def _nfc(match: str) -> str:
+    return unicodedata.normalize("NFC", match)
+
+
+def _changes(match: str) -> bool:
+    return _nfc(match) != match
+
+
+def decomposed(text: Column) -> Column:
+    """Characters that are not composed (NFC), in runs."""
+    hits = find_claimed(text, [(unnormal_pattern(), _changes)], lambda _, m: _nfc(m))
+    return F.transform(
+        hits,
+        lambda h: F.struct(
+            F.lit(4).alias("step"), h["start"].alias("start"), h["end"].alias("end"), F.lit("conversion_artifact").alias("kind"), h["match"].alias("original"), h["said"].alias("replacement"),
+            F.lit("nfc").alias("reason"), F.lit(0.99).alias("confidence"),
+        ),
+    ).cast(SUGGESTIONS)
+
+
+def normalization(text: Column) -> Column:
+    """Breaks, soft hyphens, space runs, dashes and decomposed characters under one claim, in that order."""
+    last = len(NORMAL)
+    hits = find_claimed(text, [*((p, None) for p, *_ in NORMAL), (unnormal_pattern(), _changes)], lambda step, m: _nfc(m) if step == last else None)
+    return F.transform(
+        hits,
+        lambda h: F.struct(
+            h["step"].alias("step"), h["start"].alias("start"), h["end"].alias("end"), F.lit("conversion_artifact").alias("kind"), h["match"].alias("original"),
+            by_step(h, [*(replace(h["match"]) for _, _, replace, _ in NORMAL), h["said"]]).alias("replacement"),
+            by_step(h, [*(F.lit(r) for _, r, _, _ in NORMAL), F.lit("nfc")]).alias("reason"), by_step(h, [*(F.lit(c) for *_, c in NORMAL), F.lit(0.99)]).alias("confidence"),
+        ),
+    ).cast(SUGGESTIONS)
 
 
 def spell(token: Column) -> Column:
     """Letter names of a token of ASCII capitals."""
     names = F.create_map(*[F.lit(x) for pair in W.LETTER_NAMES.items() for x in pair])
-    return F.array_join(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.element_at(names, c)), " ")
-
-
-def acronyms(text: Column) -> Column:
-    """Two to five capitals that are no known word."""
-    hits = F.filter(find_words(text, ACRONYM), lambda h: ~h["match"].isin(W.NOT_ACRONYMS) & ~F.lower(h["match"]).isin(W.ENGLISH_WORDS))
-    return suggest(hits, 10, "acronym", "acronym", spell, 0.86)
+    return F.array_join(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.try_element_at(names, c)), " ")
 
 
 def respell(token: Column) -> Column:
@@ -89,27 +146,67 @@ def respell(token: Column) -> Column:
         spoken = F.replace(spoken, F.lit(source), F.lit(target))
     first = F.substring(token, 1, 1)
     capital = (first != F.lower(first)) & (first == F.upper(first))
-    own = F.element_at(F.create_map(*[F.lit(x) for pair in W.SPOKEN_WORDS.items() for x in pair]), F.lower(token))
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in W.SPOKEN_WORDS.items() for x in pair]), F.lower(token))
     return let(spoken, lambda s: F.coalesce(own, F.when(capital, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))).otherwise(s)))
 
 
-def foreign_words(text: Column) -> Column:
+def is_acronym(word: str) -> bool:
+    return word not in W.NOT_ACRONYMS and word.lower() not in W.ENGLISH_WORDS
+
+
+def is_foreign(word: str) -> bool:
     """Listed English words and words of English spelling, without Polish letters, of 3 letters or more."""
-    good = lambda h: (F.length(h["match"]) >= 3) & ~h["match"].rlike(f"[{W.POLISH_LETTERS}]") & (F.lower(h["match"]).isin(W.ENGLISH_WORDS) | F.lower(h["match"]).rlike(ENGLISH))
-    hits = F.filter(find_words(text, WORD), good)
-    reason = lambda m: F.when(F.lower(m).isin(W.ENGLISH_WORDS), "english_word").otherwise("english_orthography")
-    confidence = lambda m: F.when(F.lower(respell(m)) != F.lower(m), 0.8).otherwise(0.62)
-    return suggest(hits, 20, "foreign_word", reason, respell, confidence)
+    low = word.lower()
+    return len(word) >= 3 and not any(c in W.POLISH_LETTERS for c in word) and (low in W.ENGLISH_WORDS or re.search(ENGLISH, low) is not None)
+
+
+def _lexical(text: Column, toponyms: bool = False, acronyms: bool = False, foreign: bool = False) -> Column:
+    """Place names, longer ones first, before acronyms before foreign words, under one claim."""
+    names = W.TOPONYMS if toponyms else ()
+    passes = [(toponym_pattern(s), None) for s, _ in names] + [(ACRONYM, is_acronym)] * acronyms + [(WORD, is_foreign)] * foreign
+    n, last = len(names), len(names) + acronyms
+    spoken = F.array(*[F.lit(x) for _, x in names]) if names else F.array(F.lit(""))
+
+    def of(h: Column) -> Column:
+        match, low = h["match"], F.lower(h["match"])
+        place = h["step"] < n
+        listed = low.isin(W.ENGLISH_WORDS)
+
+        def said(replacement: Column) -> Column:
+            return F.struct(
+                F.when(place, h["step"]).when(h["step"] < last, 10).otherwise(20).alias("step"), h["start"].alias("start"), h["end"].alias("end"),
+                F.when(place, "toponym").when(h["step"] < last, "acronym").otherwise("foreign_word").alias("kind"), match.alias("original"), replacement.alias("replacement"),
+                F.when(place, "toponym").when(h["step"] < last, "acronym").when(listed, "english_word").otherwise("english_orthography").alias("reason"),
+                F.when(place, 0.92).when(h["step"] < last, 0.86).when(F.lower(replacement) != low, 0.8).otherwise(0.62).alias("confidence"),
+            )
+
+        return let(F.when(place, F.get(spoken, h["step"])).when(h["step"] < last, spell(match)).otherwise(respell(match)), said)
+
+    return F.transform(find_claimed(text, passes), of).cast(SUGGESTIONS)
+
+
+def toponyms(text: Column) -> Column:
+    """Place names, longer ones first, in any case, with any white space between their words."""
+    return _lexical(text, toponyms=True)
+
+
+def acronyms(text: Column) -> Column:
+    """Two to five capitals that are no known word."""
+    return _lexical(text, acronyms=True)
+
+
+def foreign_words(text: Column) -> Column:
+    return _lexical(text, foreign=True)
 
 
 def names(text: Column) -> Column:
     """Place names before acronyms, under one claim."""
-    return claim(F.concat(toponyms(text), acronyms(text)), SUGGESTIONS)
+    return _lexical(text, toponyms=True, acronyms=True)
 
 
 def lexical(text: Column) -> Column:
-    """Place names before acronyms before foreign words, under one claim; words do not overlap each other."""
-    return let(names(text), lambda kept: F.concat(kept, F.filter(foreign_words(text), lambda w: ~F.exists(kept, lambda k: overlaps(k, w)))))
+    """Place names before acronyms before foreign words, under one claim."""
+    return _lexical(text, toponyms=True, acronyms=True, foreign=True)
 
 
 def suggestions(blocks: DataFrame, detector, text: str = "text") -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from narrata.functions.offsets import claim, find_all
-from narrata.operators.detectors import SUGGESTIONS, suggest
+from narrata.functions.offsets import claim, find_all, struct_lists
 
-MOST_RULES = 10_000
+#: Most rules that are broadcast; more are joined by a shuffle of the words.
+BROADCAST_RULES = 200_000
+#: Words of a block that are held together: a word, and the characters behind it that a literal can need.
+WORD = r"\w+"
 
 
 def effective_rules(rules: DataFrame) -> DataFrame:
@@ -27,28 +30,48 @@ def effective_rules(rules: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy("priority", -F.length("pattern"), "place")))
 
 
+def _regex_hits(rules: list[tuple[int, str, bool]]):
+    """A job for the hits of regular expressions; those that do not compile are left out."""
+    compiled = []
+    for rank, pattern, case in rules:
+        try:
+            compiled.append((rank, re.compile(pattern, 0 if case else re.IGNORECASE)))
+        except re.error:
+            continue
+
+    def job(texts: pa.Array) -> pa.Array:
+        rows = [[(rank, m.start(), m.end(), m[0]) for rank, p in compiled for m in p.finditer(t) if m.end() > m.start()] if t else [] for t in texts.to_pylist()]
+        return struct_lists(rows, ("rank", "start", "end", "original"), (pa.int32(), pa.int32(), pa.int32(), pa.string()))
+
+    return F.arrow_udf(job, "array<struct<rank:int,start:int,end:int,original:string>>")
+
+
 def lexicon_suggestions(blocks: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """Non-overlapping hits of the rules, the first rule claiming its span.
 
-    Literal rules match whole words; regular expressions are taken as they
-    are, and those that do not compile are left out.  The rules are a small
-    table (at most MOST_RULES) and become one expression, so blocks are
-    scanned in place.
+    Literal rules match whole words: the words of a block are joined with the
+    first words of the literals, and what stands there is compared, so a block
+    is read once however many rules there are.  Literals that begin with no
+    word, and regular expressions, which are taken as they are, are looked for
+    one by one.  The block's other columns must tell blocks apart.
     """
-    listed = effective_rules(rules).orderBy("rank").limit(MOST_RULES + 1).collect()
-    if len(listed) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} lexicon rules")
-    found = []
-    for r in listed:
-        pattern = r["pattern"] if r["is_regex"] else rf"(?<!\w){re.escape(r['pattern'])}(?!\w)"
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        hits = find_all(F.col(text), ("(?U)" if r["case_sensitive"] else "(?iU)") + pattern)
-        found.append(suggest(F.filter(hits, lambda h: h["end"] > h["start"]), r["rank"], "dict_hit", "auto" if r["auto"] else "manual", r["spoken"], 0.99))
     rest = [c for c in blocks.columns if c != text]
-    if not found:
-        found = [F.array().cast(SUGGESTIONS)]
-    rows = blocks.select(*rest, F.explode(claim(F.concat(*found), SUGGESTIONS)).alias("s"))
-    return rows.select(*rest, "s.start", "s.end", "s.original", "s.replacement", (F.col("s.reason") == "auto").alias("auto"))
+    ranked = effective_rules(rules).withColumn("first", F.when(~F.col("is_regex"), F.lower(F.regexp_extract("pattern", r"(?U)^\w+", 0))))
+    literal = ranked.filter("first <> ''").select("rank", "pattern", "case_sensitive", "first")
+    longest = literal.agg(F.max(F.length("pattern"))).first()[0] or 0
+    escaped = F.concat(F.lit(r"(?<!\w)"), F.regexp_replace("pattern", r"([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
+    scanned = ranked.filter("first IS NULL OR first = ''").select("rank", F.when(F.col("is_regex"), F.col("pattern")).otherwise(escaped).alias("pattern"), "case_sensitive").orderBy("rank")
+    words = blocks.select(*rest, F.col(text).alias("__text"), F.explode(find_all(F.col(text), WORD)).alias("__word"))
+    words = words.select(*rest, F.col("__word.start").alias("start"), F.lower("__word.match").alias("first"), F.expr(f"substring(__text, __word.start + 1, {longest + 1})").alias("there"))
+    small = literal.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    met = words.join(F.broadcast(literal) if small else literal, "first")
+    found, behind = F.expr("substring(there, 1, length(pattern))"), F.expr("substring(there, length(pattern) + 1, 1)")
+    equal = F.when(F.col("case_sensitive"), found == F.col("pattern")).otherwise(F.lower(found) == F.lower("pattern")) & ~behind.rlike(r"(?U)\w")
+    hits = met.filter(equal).select(*rest, F.struct("rank", "start", (F.col("start") + F.length("pattern")).alias("end"), found.alias("original")).alias("hit"))
+    if slow := [tuple(r) for r in scanned.collect()]:  # regular expressions are written by hand
+        hits = hits.unionByName(blocks.select(*rest, F.explode(_regex_hits(slow)(F.col(text))).alias("hit")))
+    listed = hits.groupBy(*rest).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    kept = listed.select(*rest, F.explode(claim(F.col("hits"))).alias("hit"))
+    said = ranked.select("rank", F.col("spoken").alias("replacement"), "auto")
+    rows = kept.select(*rest, "hit.rank", "hit.start", "hit.end", "hit.original").join(F.broadcast(said) if small else said, "rank")
+    return rows.select(*rest, "start", "end", "original", "replacement", "auto")

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = ["book_id", "chapter_id", "block_index"]
 
 
-def queue(suggestions: DataFrame, kinds: tuple[str, ...] = (), least: float = 0.0, contains: str | None = None, after: tuple | None = None, page: int = 100) -> DataFrame:
+def queue(suggestions: DataFrame, kinds: tuple[str, ...] = (), least: float = 0.0, contains: str | None = None, status: str | None = None, chapter: object = None, after: tuple | None = None, page: int = 100) -> DataFrame:
     """A page of suggestions in reading order, behind the key ``after``; empty filters let everything pass."""
     rows = suggestions.filter(F.col("confidence") >= least)
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
     if contains:
         rows = rows.filter(F.lower("original").contains(contains.lower()))
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    if chapter is not None:
+        rows = rows.filter(F.col("chapter_id") == chapter)
     key = ["book_id", "chapter_id", "block_index", "start"]
     if after is not None:
         rows = rows.filter(F.struct(*key) > F.struct(*[F.lit(a).cast(dict(rows.dtypes)[k]).alias(k) for k, a in zip(key, after, strict=True)]))
@@ -39,11 +43,11 @@ def undo(suggestions: DataFrame, batch: str) -> DataFrame:
     return suggestions.withColumn("status", F.when(hit, "open").otherwise(F.col("status"))).withColumn("batch_id", F.when(~hit, F.col("batch_id")))
 
 
-def hard_cases(suggestions: DataFrame, blocks: DataFrame, under: float, chars: int = 1200) -> DataFrame:
-    """Suggestions of little confidence with the text before and after their block."""
+def hard_cases(suggestions: DataFrame, blocks: DataFrame, hard: Column, chars: int = 1200) -> DataFrame:
+    """Suggestions under a condition with the text before and after their block."""
     order = Window.partitionBy("book_id", "chapter_id").orderBy("block_index")
     around = blocks.select(*BLOCK, F.right(F.lag("text").over(order), F.lit(chars)).alias("before"), F.left(F.lead("text").over(order), F.lit(chars)).alias("after"))
-    return suggestions.filter(F.col("confidence") < under).join(around, BLOCK)
+    return suggestions.filter(hard).join(around, BLOCK)
 
 
 def without_overlaps(suggestions: DataFrame, taken: DataFrame) -> DataFrame:
@@ -54,7 +58,7 @@ def without_overlaps(suggestions: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def paint(spans: DataFrame, readings: DataFrame) -> DataFrame:
-    """Gender of a reading onto the span with the same offsets, the first by confidence if there are several."""
+    """Gender of a reading onto the span with the same offsets, of several the one that stands first (``position``)."""
     key = [*BLOCK, "start", "end"]
-    best = readings.groupBy(*key).agg(F.max(F.struct("confidence", "gender")).alias("r")).select(*key, "r.gender", F.col("r.confidence").alias("gender_confidence"))
-    return spans.join(best, key, "left")
+    first = readings.groupBy(*key).agg(F.min(F.struct("position", "gender", "confidence")).alias("r")).select(*key, "r.gender", F.col("r.confidence").alias("gender_confidence"))
+    return spans.join(first, key, "left")

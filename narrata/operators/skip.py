@@ -42,21 +42,26 @@ def contents_skips(blocks: DataFrame, titles: DataFrame | None = None) -> DataFr
     """A contents heading and the run of five or more entries behind it.
 
     An entry is one of the chapter titles (book_id, title) if those are given,
-    else a short line without closing punctuation.  A heading inside a run is
-    an entry of it.  One window per chapter.
+    else a short line without closing punctuation.  Blocks that are skipped
+    for themselves are neither.  With titles a heading is no entry, unless it
+    is a title, so it ends the run before it; without, a heading inside a run
+    is an entry of it.  Windows per chapter.
     """
     norm = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
-    rows = blocks.withColumn("norm", norm).withColumn("free", line_reason(F.col("text")).isNull())
+    rows = blocks.select("book_id", "chapter_id", "block_index", "text", norm.alias("norm"), line_reason(F.col("text")).isNull().alias("free"))
     short = F.col("free") & (F.col("norm") != "") & (F.length("norm") <= 120)
     heading = F.col("free") & F.col("norm").isin(*W.TOC_HEADINGS)
     if titles is None:
         rows = rows.withColumn("entry", short & ~F.col("norm").rlike("[.!?…]$"))
     else:
         known = titles.select("book_id", F.lower(F.trim(F.regexp_replace("title", r"(?U)\s+", " "))).alias("norm")).distinct().withColumn("known", F.lit(True))
-        rows = rows.join(known, ["book_id", "norm"], "left").withColumn("entry", short & (F.coalesce("known", F.lit(False)) | heading))
+        rows = rows.join(known, ["book_id", "norm"], "left").withColumn("entry", short & F.coalesce("known", F.lit(False)))
     chapter = Window.partitionBy("book_id", "chapter_id").orderBy("block_index")
-    run = Window.partitionBy("book_id", "chapter_id", "island", "entry")
-    rows = rows.withColumn("heading", heading).withColumn("island", F.sum(F.when(F.col("entry"), 0).otherwise(1)).over(chapter))
+    rows = rows.withColumn("heading", heading)
+    # An entry belongs to the last heading before it that is no entry of a run itself, if nothing else stands between.
+    opens = F.col("heading") & ~(F.col("entry") & F.coalesce(F.lag("entry").over(chapter) | F.lag("heading").over(chapter), F.lit(False)))
+    rows = rows.withColumn("opens", opens).withColumn("island", F.sum(F.when(F.col("opens") | ~F.col("entry"), 1).otherwise(0)).over(chapter))
+    run = Window.partitionBy("book_id", "chapter_id", "island")
     rows = rows.withColumn("head", F.min(F.when(F.col("heading"), F.col("block_index"))).over(run)).withColumn("last", F.max("block_index").over(run))
-    found = rows.filter(F.col("entry") & (F.col("block_index") >= F.col("head")) & (F.col("last") - F.col("head") >= 5))
+    found = rows.filter((F.col("block_index") >= F.col("head")) & (F.col("last") - F.col("head") >= 5))
     return found.select("book_id", "chapter_id", "block_index", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("toc").alias("reason"))

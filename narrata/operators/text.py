@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,8 @@ OPAQUE = (r"\bsk-[A-Za-z0-9_-]{8,}", r"\bghp_[A-Za-z0-9]{20,}", r"\bgithub_pat_[
 
 
 def redact(text: Column, secrets: list[str] = ()) -> Column:
-    """Replace known secrets (7 characters or more, longest first) and whatever is shaped like one."""
-    for secret in sorted({s for s in secrets if len(s) >= 7}, key=lambda s: (-len(s), s)):
+    """Replace known secrets (8 characters or more, longest first) and whatever is shaped like one."""
+    for secret in sorted({s for s in secrets if len(s) >= 8}, key=lambda s: (-len(s), s)):
         text = F.replace(text, F.lit(secret), F.lit(REDACTED))
     text = F.regexp_replace(text, ASSIGNED, "$1$2" + REDACTED)
     text = F.regexp_replace(text, BEARER, "$1" + REDACTED)
@@ -72,9 +75,13 @@ def split_blocks(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", "chapter_id", F.posexplode(kept).alias("block_index", "text"))
 
 
+def _matched(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else " ".join(unicodedata.normalize("NFC", t).replace(W.SOFT, "").split()) for t in texts.to_pylist()], pa.string())
+
+
 def match_text(text: Column) -> Column:
-    """Text for matching blocks: no soft hyphens, single spaces."""
-    return F.trim(F.regexp_replace(F.replace(text, F.lit(W.SOFT), F.lit("")), r"(?U)\s+", " "))
+    """Text for matching blocks: composed (NFC), without soft hyphens, with single spaces."""
+    return F.arrow_udf(_matched, "string")(text)
 
 
 def roman_value(token: Column) -> Column:

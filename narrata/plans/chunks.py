@@ -9,9 +9,19 @@ from pyspark.sql.window import Window
 CHARS_PER_SECOND = 14.0
 
 
-def content_key(text: Column, *parts: Column) -> Column:
-    """A 32-digit key of the stripped text and what else decides its sound."""
-    return F.substring(F.sha2(F.concat_ws("|", F.lit("v1"), F.trim(text), *parts).cast("binary"), 256), 1, 32)
+def text_key(text: Column) -> Column:
+    """Hash of the stripped text."""
+    return F.sha2(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").cast("binary"), 256)
+
+
+def content_key(text: Column, **parts: Column) -> Column:
+    """A 32-digit key of the text and of what else decides its sound.
+
+    The parts stand by name in JSON, nulls included, so that neither a
+    separator nor a missing part makes two sounds one key.
+    """
+    named = [F.lit("2").alias("version"), text_key(text).alias("text"), *(c.cast("string").alias(n) for n, c in sorted(parts.items()))]
+    return F.substring(F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}).cast("binary"), 256), 1, 32)
 
 
 def estimate_seconds(text: Column) -> Column:
@@ -63,6 +73,7 @@ def resume_cursor(items: DataFrame) -> DataFrame:
 
 
 def job_counts(items: DataFrame) -> DataFrame:
-    """Per book: speech items, those done, and whether all are."""
+    """Per book: speech items, those done, those whose sound another item has (if ``reused`` says so), and whether all are done."""
     speech = F.col("kind") != "silence"
-    return items.groupBy("book_id").agg(F.count(F.when(speech, 1)).alias("total"), F.count(F.when(speech & F.col("present"), 1)).alias("done"), F.coalesce(F.bool_and(F.when(speech, F.col("present"))), F.lit(True)).alias("finished"))
+    reused = F.col("reused") if "reused" in items.columns else F.lit(False)
+    return items.groupBy("book_id").agg(F.count(F.when(speech, 1)).alias("total"), F.count(F.when(speech & F.col("present"), 1)).alias("done"), F.count(F.when(speech & reused, 1)).alias("reused"), F.coalesce(F.bool_and(F.when(speech, F.col("present"))), F.lit(True)).alias("finished"))

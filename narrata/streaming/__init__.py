@@ -45,3 +45,22 @@ def fold_states(events: DataFrame) -> DataFrame:
     """
     rows = events.select("job_id", "seq", "kind", "event")
     return rows.groupBy("job_id").applyInPandasWithState(_advance, STATE, "place int, illegal long, n long, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def _average(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rate, chars, n = state.get if state.exists else (0.0, jobs.CHARS_RATE, 0)
+    for rows in batches:
+        good = rows[(rows["duration_s"] > 0) & (rows["wall_s"] > 0)].sort_values("seq")
+        for c, d, w in zip(good["chars"], good["duration_s"], good["wall_s"], strict=True):
+            rate = d / w if n == 0 else jobs.ALPHA * d / w + (1 - jobs.ALPHA) * rate
+            chars = jobs.ALPHA * c / d + (1 - jobs.ALPHA) * chars
+            n += 1
+    state.update((float(rate), float(chars), n))
+    yield pd.DataFrame([(key[0], n, float(rate), float(chars))], columns=["job_id", "samples", "throughput", "chars_per_audio_s"])
+
+
+def progress(samples: DataFrame) -> DataFrame:
+    """Averages of each job after every micro-batch, as ``jobs.progress`` gives for all samples at once; three numbers of state a job."""
+    rows = samples.select("job_id", "seq", "chars", "duration_s", "wall_s")
+    schema = "job_id long, samples long, throughput double, chars_per_audio_s double"
+    return rows.groupBy("job_id").applyInPandasWithState(_average, schema, "rate double, chars double, n long", "update", GroupStateTimeout.NoTimeout)

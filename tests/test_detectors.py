@@ -1,13 +1,14 @@
 """Detectors against exact values, and offsets as a property."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from narrata.functions.offsets import find_all, find_words
+from narrata.functions.offsets import claim, find_all
 from narrata.operators import detectors as D
 from narrata.operators import lexicon, skip, text
 
@@ -39,11 +40,49 @@ def test_names_claim_before_words(spark):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="ab żé😀\n-12", max_size=40), min_size=1, max_size=8))
 def test_offsets_are_code_points(spark, texts):
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", find_all(F.col("t"), "[a-z]+").alias("a"), find_words(F.col("t"), "[a-z]+").alias("w")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", find_all(F.col("t"), "[a-z]+").alias("a")).collect()
     for r in rows:
         expected = [(m.start(), m.end(), m[0]) for m in re.finditer("[a-z]+", r.t)]
         assert [tuple(x) for x in r.a] == expected
-        assert [tuple(x) for x in r.w] == expected
+
+
+def test_claims_are_greedy(spark):
+    spans = [(4, 9), (0, 4), (8, 10), (2, 3), (9, 9), (9, 12), (20, 30), (19, 21), (12, 20)]
+    kept = []
+    for a, b in spans:
+        if a < b and all(b <= c or d <= a for c, d in kept):
+            kept.append((a, b))
+    row = spark.createDataFrame([(spans,)], "s array<struct<start:int,end:int>>").select(claim(F.col("s")).alias("s")).first()
+    assert [tuple(x) for x in row.s] == kept
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    blocks = spark.createDataFrame([(1, "a – b  NATO " * 50_000)], "id int, text string")
+    began = time.time()
+    assert D.suggestions(blocks, D.dashes).count() == 50_000
+    assert D.suggestions(blocks, D.normalization).count() == 100_000
+    assert D.suggestions(blocks, D.acronyms).count() == 50_000
+    assert time.time() - began < 60
+
+
+def test_decomposed_letters(spark):
+    row = D.suggestions(spark.createDataFrame([(1, "caf\u0065\u0301 \u212b x\u0301 \u00e9")], "id int, text string"), D.normalization).orderBy("start").collect()
+    assert [(r.start, r.end, r.replacement, r.reason) for r in row] == [(3, 5, "\u00e9", "nfc"), (6, 7, "\u00c5", "nfc")]
+
+
+def test_lexicon_rules(spark):
+    rules = [("of the", "ow de", False, False, True, 50, "global", 0), ("the", "de", False, False, False, 100, "global", 1), ("NATO", "nato", False, True, False, 10, "global", 2), ("[0-9]+", "liczba", True, True, False, 5, "global", 3), ("[", "x", True, True, False, 1, "global", 4), ("- x", "y", False, False, False, 1, "global", 5)]
+    table = spark.createDataFrame([(p, s, x, c, a, n, g, k) for p, s, x, c, a, n, g, k in rules], "pattern string, spoken string, is_regex boolean, case_sensitive boolean, auto boolean, priority int, scope string, place int")
+    blocks = spark.createDataFrame([(1, "The end of the NATO, nato 12 - x"), (2, None), (3, "other")], "id int, text string")
+    rows = lexicon.lexicon_suggestions(blocks, table).orderBy("start").collect()
+    assert [(r.id, r.start, r.original, r.replacement) for r in rows] == [(1, 0, "The", "de"), (1, 8, "of the", "ow de"), (1, 15, "NATO", "nato"), (1, 26, "12", "liczba"), (1, 29, "- x", "y")]
+
+
+def test_contents_with_titles(spark):
+    texts = ["Spis treści", "Alfa", "Beta", "Gamma", "Spis treści", "Alfa", "Beta", "Gamma", "Delta", "Epsilon", "Koniec."]
+    blocks = spark.createDataFrame([("b", 1, k, t) for k, t in enumerate(texts)], "book_id string, chapter_id int, block_index int, text string")
+    titles = spark.createDataFrame([("b", t) for t in ("alfa", "BETA", "Gamma", "Delta", "Epsilon")], "book_id string, title string")
+    assert sorted(r.block_index for r in skip.contents_skips(blocks, titles).collect()) == list(range(4, 10))
 
 
 def test_skip_reasons(spark):
