@@ -39,7 +39,7 @@ CHUNKS = 128
 #: Share of all words that the commonest terms make up, which weigh nothing.
 STOP = 0.5
 #: Least latent cosine of a candidate, and the run of words that makes one without it.
-NEAR, RUN = 0.4, 5
+NEAR, RUN = 0.5, 5
 #: Share of an item's words in common order: enough alone, or enough with the answer.
 FULL, PART, ANSWER = 0.7, 0.5, 0.5
 TABLE = 1 << 22
@@ -106,6 +106,15 @@ def _known(values: np.ndarray, table: np.ndarray, listed: np.ndarray) -> tuple[n
     return at[good], found[good]
 
 
+def _united(lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All values, sorted, and for each list which of its numbers each value has, or -1."""
+    every = np.unique(np.concatenate(lists))
+    own = [np.full(len(every), -1) for _ in lists]
+    for places, values in zip(own, lists, strict=True):
+        places[np.searchsorted(every, values)] = np.arange(len(values))
+    return every, own
+
+
 def _table(values: np.ndarray) -> np.ndarray:
     out = np.zeros(TABLE, bool)
     out[values & np.uint64(TABLE - 1)] = True
@@ -167,13 +176,36 @@ def term_weights(docs: DataFrame) -> np.ndarray:
     return weights
 
 
-def _rows(term: np.ndarray, row: np.ndarray, vectors: np.ndarray, rows: int) -> np.ndarray:
-    """Sums of the terms' vectors by row; rows are in order."""
-    out = np.zeros((rows, vectors.shape[1]), np.float32)
-    if len(row):
-        where = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[where]] = np.add.reduceat(vectors[term], where)
-    return out
+@dataclass(frozen=True)
+class Grains:
+    """Each row's words in grains of GRAIN: ``term`` of every word, the ``owner`` row and ``grain`` of it, and where each row's grains ``begin``."""
+
+    term: np.ndarray
+    owner: np.ndarray
+    grain: np.ndarray
+    begin: np.ndarray
+
+    def sums(self, vectors: np.ndarray) -> np.ndarray:
+        """Sum of the vectors of each grain's words; ``vectors`` has a last row of zeros for the places of a row's last grain that no word has."""
+        place = np.full((int(self.begin[-1]), GRAIN), TERMS)
+        # The first word of a grain is the one whose grain is not that of the word before.
+        fresh = np.flatnonzero(np.append(True, self.grain[1:] != self.grain[:-1])) if len(self.grain) else np.zeros(0, np.int64)
+        place[self.grain, np.arange(len(self.grain)) - fresh[self.grain]] = self.term
+        out = vectors[place[:, 0]]
+        for k in range(1, GRAIN):
+            out += vectors[place[:, k]]
+        return out
+
+
+def _grains(h: np.ndarray, first: np.ndarray) -> Grains:
+    length = np.diff(first)
+    begin = np.concatenate([[0], np.cumsum(-(-length // GRAIN))])
+    owner = np.repeat(np.arange(len(length)), length)
+    return Grains(_terms(h), owner, begin[owner] + (np.arange(len(h)) - first[owner]) // GRAIN, begin)
+
+
+def _padded(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
 
 
 def latent_space(docs: DataFrame, weights: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -183,22 +215,24 @@ def latent_space(docs: DataFrame, weights: np.ndarray, seed: int = 0) -> np.ndar
     a random matrix through A and back; what it is mapped to spans the space.
     """
     start = np.random.default_rng(seed).standard_normal((TERMS, RANK + MORE)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, start * weights[:, None]))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, _padded(start * weights[:, None])))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, start = shared.value
-        out = np.zeros(start.shape, np.float64)
+        out = np.zeros((TERMS, start.shape[1]))
         for _, _, h, first in _texts(batches):
-            term = _terms(h)
-            n = -(-np.diff(first) // BLOCK)
-            begin = np.concatenate([[0], np.cumsum(n)])
-            owner = np.repeat(np.arange(len(n)), np.diff(first))
-            block = begin[owner] + (np.arange(len(h)) - first[owner]) // BLOCK
-            keep = weights[term] > 0
-            term, block = term[keep], block[keep]
+            if len(h) == 0:
+                continue
+            g = _grains(h, first)
+            of = np.diff(g.begin)
+            blocks = np.concatenate([[0], np.cumsum(-(-of // (BLOCK // GRAIN)))])
+            begins, row = _ranges(np.zeros(len(of), np.int64), np.diff(blocks))
+            z = np.add.reduceat(g.sums(start), g.begin[row] + begins * (BLOCK // GRAIN))
+            block = blocks[g.owner] + (g.grain - g.begin[g.owner]) // (BLOCK // GRAIN)
+            keep = weights[g.term] > 0
+            term, block = g.term[keep], block[keep]
             own = weights[term]
-            square = np.maximum(np.bincount(block, own * own, int(begin[-1])), 1e-9)
-            z = _rows(term, block, start, int(begin[-1])) / square[:, None].astype(np.float32)
+            z /= np.maximum(np.bincount(block, own * own, int(blocks[-1])), 1e-9)[:, None].astype(np.float32)
             for k in range(z.shape[1]):
                 out[:, k] += np.bincount(term, own * z[block, k], TERMS)
         yield _chunks(out)
@@ -274,7 +308,7 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1]) - ends[owner] + first[owner], owner
 
 
-def _candidates(q: Query, sums: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int, run_at: np.ndarray, run: np.ndarray, grain_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(q: Query, sums: np.ndarray, start: np.ndarray, stop: np.ndarray, run_at: np.ndarray, run: np.ndarray, grain_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (passage, item) near each other or with a run in common, and their cosine."""
     passage, item, cosine = [], [], []
     for a in range(0, len(start), 4096):
@@ -326,12 +360,13 @@ def _verified(q: Query, passage: np.ndarray, item: np.ndarray, at: np.ndarray, t
 
 def _search(docs: DataFrame, queries: list[Query], space: np.ndarray) -> DataFrame:
     """One row per document, item and passage that passes."""
-    shared = docs.sparkSession.sparkContext.broadcast((queries, space))
+    shared = docs.sparkSession.sparkContext.broadcast((queries, _padded(space)))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, space = shared.value
-        tables = [(_table(q.items.vocabulary), _table(q.items.runs)) for q in queries]
-        weighty = space.any(axis=1)
+        vocabulary, words_of = _united([q.items.vocabulary for q in queries])
+        listed, runs_of = _united([q.items.runs for q in queries])
+        table, run_table = _table(vocabulary), _table(listed)
         before = 0
         numbers = []
         for q in queries:
@@ -340,29 +375,31 @@ def _search(docs: DataFrame, queries: list[Query], space: np.ndarray) -> DataFra
         for batch, i, h, first in _texts(batches):
             if len(h) == 0:
                 continue
-            term, runs = _terms(h), run_hashes(h)
-            n = -(-np.diff(first) // GRAIN)
-            begin = np.concatenate([[0], np.cumsum(n)])
-            owner = np.repeat(np.arange(len(n)), np.diff(first))
-            grain = begin[owner] + (np.arange(len(h)) - first[owner]) // GRAIN
-            keep = weighty[term]
-            sums = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(_rows(term[keep], grain[keep], space, int(begin[-1])), axis=0, dtype=np.float64)])
-            for q, (vocabulary, known_runs), number in zip(queries, tables, numbers, strict=True):
+            g, runs = _grains(h, first), run_hashes(h)
+            owner, grain, begin = g.owner, g.grain, g.begin
+            n = np.diff(begin)
+            # Sums of the words before each grain.
+            sums = np.zeros((int(begin[-1]) + 1, space.shape[1]))
+            np.cumsum(g.sums(space), axis=0, out=sums[1:], dtype=np.float64)
+            at, known = _known(h, table, vocabulary)
+            run_at, run = _known(runs, run_table, listed)
+            inside = run_at + RUN <= first[owner[run_at] + 1]
+            run_at, run = run_at[inside], run[inside]
+            for q, own, own_runs, number in zip(queries, words_of, runs_of, numbers, strict=True):
                 step = q.items.size // GRAIN
                 # The last passage of a row begins two steps before its end; a shorter row is one passage.
                 count = np.where(n > 0, np.maximum(-(-n // step) - 2, 1), 0)
                 start, row = _ranges(np.zeros(len(n), np.int64), count)
                 start = begin[row] + start * step
                 stop = np.minimum(start + 3 * step, begin[row + 1])
-                run_at, run = _known(runs, known_runs, q.items.runs)
-                inside = run_at + RUN <= first[owner[run_at] + 1]
-                passage, item, cosine = _candidates(q, sums, start, stop, step, run_at[inside], run[inside], grain)
+                some = own_runs[run] >= 0
+                passage, item, cosine = _candidates(q, sums, start, stop, run_at[some], own_runs[run[some]], grain)
                 if len(passage) == 0:
                     continue
-                at, known = _known(h, vocabulary, q.items.vocabulary)
+                some = own[known] >= 0
                 begins = first[row] + (start - begin[row]) * GRAIN
                 ends = np.minimum(first[row] + (stop - begin[row]) * GRAIN, first[row + 1])
-                good, share, told = _verified(q, passage, item, at, known, begins, ends)
+                good, share, told = _verified(q, passage, item, at[some], own[known[some]], begins, ends)
                 which = passage[good]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row[which] + i)), pa.array((begins - first[row])[which]), pa.array((item[good] + number).astype(np.int32)), pa.array(share), pa.array(told), pa.array(cosine[good].astype(np.float64))],
