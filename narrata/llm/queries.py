@@ -107,6 +107,45 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+# Links are pairs that share a shingle; the closure of the links gives the smallest document within reach.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda k: list_aggregate(words[k:k + 3], 'string_agg', ' ')))) AS shingle FROM w WHERE len(words) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)
+), r AS (
+  SELECT DISTINCT a AS node, a AS reached FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (
+  SELECT node, min(reached) AS component FROM r GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), g AS (
+  SELECT vec_id, x FROM v WHERE len(x) > 0 AND list_bool_and(list_transform(x, lambda c: c IS NOT NULL AND isfinite(c))) AND list_bool_or(list_transform(x, lambda c: c <> 0))
+), l AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.95
+), r AS (
+  SELECT DISTINCT a AS node, a AS reached FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (
+  SELECT node, min(reached) AS component FROM r GROUP BY node
+), d AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(component, v.vec_id) AS component_id, coalesce(component, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN d ON d.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secrets": op2_secrets,
@@ -120,4 +159,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_forest": OP3_SQL, "op8_mixing": OP8_SQL}
