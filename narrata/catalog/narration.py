@@ -205,7 +205,7 @@ def book_plan(s, d):
 def edited(s, d):
     """Lines after an edit: a word replaced, and every ninth line gone."""
     rows = lines(s, d).filter("block_index % 9 <> 8")
-    return rows.withColumn("block_index", (F.col("block_index") - F.floor(F.col("block_index") / 9)).cast("int")).withColumn("text", F.replace("text", F.lit("er"), F.lit("ar")))
+    return rows.withColumn("block_index", (F.col("block_index") - F.floor(F.col("block_index") / 9)).cast("int")).withColumn("text", F.replace("text", F.lit("thin"), F.lit("thick")))
 
 
 def items_of_books(s, d):
@@ -288,6 +288,8 @@ SELECT source AS book_id, doc_id AS chapter_id, CASE WHEN doc_id % 3 = 0 THEN 'C
 
 QUERIES = {
     **{f"detect_{n}": _numbers(n) for n in M.PASSES},
+    # Integers are what no other kind of number has taken.
+    "detect_integers": lambda s, d: _numbers()(s, d).filter("reason IN ('cardinal', 'year')"),
     "numeral_suggestions": _numbers(),
     "sentence_spans": sentence_rows,
     "split_oversized": lambda s, d: lines(s, d).select(*BLOCK, F.posexplode(S.split_oversized(F.col("text"), 60)).alias("piece", "text")),

@@ -58,7 +58,11 @@ def numbers(s, d):
 
 NUMBERS = "SELECT p_partkey AS k, p_partkey * p_partkey * p_size * 977 % 1000000000000 AS n, p_partkey * 37 % 1000000 AS o, p_size % 24 AS h, p_partkey % 60 AS m FROM part"
 _HOURS = [" ".join(map(_locative, ([_gender(N.ORDINAL_UNITS, "f")[h]] if h < 20 else [_gender(N.ORDINAL_TENS, "f")[0], *([_gender(N.ORDINAL_UNITS, "f")[h % 10]] if h % 10 else [])]))) for h in range(24)]
-_FEMININE = f"CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN regexp_replace(c, 'jeden$', 'jedna') WHEN n % 10 = 2 AND n % 100 <> 12 THEN regexp_replace(c, '(^| )dwa$', '\\1dwie') ELSE c END"
+
+
+def _feminine(n: str, said: str) -> str:
+    return f"CASE WHEN {n} % 10 = 1 AND {n} % 100 <> 11 THEN regexp_replace({said}, 'jeden$', 'jedna') WHEN {n} % 10 = 2 AND {n} % 100 <> 12 THEN regexp_replace({said}, '(^| )dwa$', '\\1dwie') ELSE {said} END"
+
 
 
 
@@ -75,9 +79,8 @@ def _decimal(w: str, digits: str) -> str:
     n = f"({digits})::BIGINT"
     form = f"CASE WHEN {n} % 10 = 1 AND {n} % 100 <> 11 THEN 1 WHEN {n} % 10 IN (2, 3, 4) AND {n} % 100 NOT IN (12, 13, 14) THEN 2 ELSE 3 END"
     unit = f"[{', '.join(map(_list, N.FRACTIONS))}][length({digits})][{form}]"
-    feminine = _FEMININE.replace("n %", f"{n} %").replace("(c,", f"({_cardinal(n)},").replace("ELSE c", f"ELSE {_cardinal(n)}")
     spelled = f"list_aggregate(list_transform(string_split({digits}, ''), lambda x: {_list(N.UNITS)}[x::INTEGER + 1]), 'string_agg', ' ')"
-    return f"{_cardinal(w)} || CASE WHEN length({digits}) <= 3 THEN ' i ' || {feminine} || ' ' || {unit} ELSE ' przecinek ' || {spelled} END"
+    return f"{_cardinal(w)} || CASE WHEN length({digits}) <= 3 THEN ' i ' || {_feminine(n, _cardinal(n))} || ' ' || {unit} ELSE ' przecinek ' || {spelled} END"
 
 
 QUERIES = {
@@ -89,7 +92,7 @@ QUERIES = {
 }
 SQL = {
     "cardinal_pl": f"SELECT k, n, {_cardinal('n')} AS said FROM ({NUMBERS})",
-    "cardinal_feminine_pl": f"SELECT k, n, {_FEMININE} AS said FROM (SELECT k, n, {_cardinal('n')} AS c FROM ({NUMBERS}))",
+    "cardinal_feminine_pl": f"SELECT k, n, {_feminine('n', 'c')} AS said FROM (SELECT k, n, {_cardinal('n')} AS c FROM ({NUMBERS}))",
     "ordinal_pl": f"SELECT k, o, {', '.join(f'{_ordinal("o", g)} AS {g}' for g in 'mfn')} FROM ({NUMBERS})",
     "decimal_pl": f"SELECT k, w, digits, {_decimal('w', 'digits')} AS said FROM ({FRACTIONS})",
     "clock_pl": f"SELECT k, h, m, {_list(_HOURS)}[h + 1] || CASE WHEN m > 0 THEN ' ' || {_cardinal('m')} ELSE '' END AS said FROM ({NUMBERS})",
