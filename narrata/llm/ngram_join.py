@@ -42,6 +42,8 @@ ROUNDS = 6
 HEAVY = 16
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
 BLOCK, SQUARE = 4096, 512
+#: Pairs from which on they are verified in portions.
+PAIRS = 200_000
 #: Bins of a sketch.
 BINS = 256
 TOP = np.uint64(1 << 63)
@@ -239,11 +241,12 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
 
     for k in range(ROUNDS):
         buckets = still_open()
-        per = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        left, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        per = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("of"))
+        pairs = F.when(F.col("of") <= HEAVY, (F.col("s") * F.col("s") - F.col("q")) / 2)
+        left, rows = per.agg(F.coalesce(F.sum(pairs), F.lit(0.0)), F.sum("s")).first()
         if not rows:
             return labels
-        # Pivots go on while they settle a tenth of the rows; what they leave are lists of unlike nodes.
+        # Pivots go on while small lists have many pairs and a tenth of the rows is settled; what they leave are lists of unlike nodes.
         if left <= 2 * rows + 100_000 or (before is not None and rows > 0.9 * before):
             break
         before = rows
@@ -263,7 +266,8 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
             continue
         if not best:
             pairs = cut(_all_pairs(buckets.join(small(heavy), "token", "left_anti"), rule), "pairs")
-            settle(pairs if labels is None else cut(_apart(pairs, labels), "pairs"), ((0, 1), (1, 8), (8, 64)))
+            pairs = pairs if labels is None else cut(_apart(pairs, labels), "pairs")
+            settle(pairs, ((0, 64),) if pairs.count() <= PAIRS else ((0, 1), (1, 8), (8, 64)))
     return labels
 
 

@@ -89,6 +89,15 @@ def _windows(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return anchors, prints[anchors]
 
 
+def _apart(begin: np.ndarray, node: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without windows that overlap an equal one before them in the same row: a run of repeated words is one passage."""
+    order = np.lexsort((begin, node, row))
+    b, n, r = begin[order], node[order], row[order]
+    close = np.append(False, (n[1:] == n[:-1]) & (r[1:] == r[:-1]) & (b[1:] < b[:-1] + WINDOW))
+    kept = np.sort(order[~close])
+    return begin[kept], node[kept]
+
+
 def _lines(data: np.ndarray, starts: np.ndarray, first: np.ndarray, origin: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end word of the lines with LINE words or more."""
     if len(starts) == 0:
@@ -140,6 +149,7 @@ def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *placed(begin, end), pa.array(np.diff(at).astype(np.int32)), lists], names=names)
             shingles, _ = words.shingle_hashes(hashes, np.array([0, len(hashes)]), RULE.size)
             begin, node = _windows(shingles, first)
+            begin, node = _apart(begin, node, np.searchsorted(first, begin, "right"))
             if len(begin):
                 # Another hash than that of a line with the same words.
                 yield pa.RecordBatch.from_arrays([pa.array(words.mix(node + np.uint64(1)).view(np.int64)), *placed(begin, begin + WINDOW), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.list_(pa.int64()))], names=names)
@@ -166,13 +176,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     fate and first document are one span.
 
     Edge cases: null and empty texts and those of few words have no
-    paragraphs; a null key takes part in nothing; rows that share a key are
-    one document, so a row repeated in full repeats nothing; a text may repeat
+    paragraphs; a null key takes part in nothing; a row repeated in full
+    repeats nothing, other rows that share a key are parts of one document; a text may repeat
     a passage of its own, of which the first occurrence stays; a line of any
     length is one paragraph; an empty table gives an empty one; further
     columns are dropped.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
     rows = cut(docs.mapInArrow(_job, "node long, doc_id long, begin int, end int, n_words int, n int, bands array<long>"), "paragraphs")
     lines, windows = rows.filter("n IS NOT NULL"), rows.filter("n IS NULL").select("node", "doc_id", "begin", "end", "n_words")
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("p"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -190,16 +202,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = lines.select("node", "doc_id", "begin", "end", "n_words")
     placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node") if labels is not None else placed.withColumnRenamed("node", "component")
     placed = placed.unionByName(windows.withColumnRenamed("node", "component"))
-    # What occurs once, or in one document at overlapping places only, repeats nothing.
-    met = placed.groupBy("component").agg(*[f(c).alias(f"{n}_{c}") for f, n in ((F.min, "lo"), (F.max, "hi")) for c in ("doc_id", "begin", "end")])
-    met = met.filter("lo_doc_id <> hi_doc_id OR hi_begin >= lo_end").select("component")
-    placed = placed.join(met, "component", "left_semi")
-    # Paragraphs of one component that overlap in a document are one occurrence, not repeats of each other.
-    inside = Window.partitionBy("component", "doc_id").orderBy("begin", "end")
-    fresh = F.when(F.col("begin") >= F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
-    placed = placed.withColumn("fresh", fresh).withColumn("region", F.sum("fresh").over(inside))
-    placed = placed.groupBy("component", "doc_id", "region").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("n_words").alias("n_words"))
-    placed = cut(placed, "occurrences")
+    # What occurs once repeats nothing.  A hot passage is counted in parts, and its rows are joined in as many tasks as they need.
     firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("component", "first")
     found = placed.join(firsts, "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
     order = Window.partitionBy("doc_id", "first_doc_id", "removed").orderBy("begin", "end")
