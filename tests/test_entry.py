@@ -4,10 +4,17 @@ import __spark_entry__ as entry
 from narrata import catalog
 
 
+#: What SQL cannot say; test_narration.py and test_books.py hold these against cases worked out by hand or by brute force.
+WITHOUT_SQL = {
+    "apply_and_commit", "apply_spans", "associate_block_ids", "html_to_blocks", "ingest", "ingest_blocks", "pack_sentences", "plan_book", "prepass", "split_oversized", "suggestion_order", "union_detectors",
+}
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     queries, sql = catalog.load()
-    assert set(queries) == set(sql)
+    assert set(queries) - set(sql) == WITHOUT_SQL
+    assert set(sql) <= set(queries)
 
 
 def test_entry_has_rows(spark):
