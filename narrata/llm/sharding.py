@@ -85,9 +85,9 @@ def ring_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     if not total:
         return hashed.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     per_shard = total / shards
-    # At most HEAVY * shards rows: each holds 1 / (HEAVY * shards) of the total or more.
-    heavy = {r["__t"]: (r["load"], r["rows"]) for r in groups.filter(F.col("load") >= per_shard / HEAVY).collect()}
     piece_rows = max(1, rows // CELLS)
+    # At most HEAVY * shards texts hold that share of the bytes, and CELLS that share of the rows: short texts may be many.
+    heavy = {r["__t"]: (r["load"], r["rows"]) for r in groups.filter((F.col("load") >= per_shard / HEAVY) | ((F.col("rows") > 1) & (F.col("rows") >= piece_rows))).collect()}
     pieces = [(t, load > per_shard / 2, max(1, min(CELLS, n // piece_rows))) for t, (load, n) in heavy.items()]
     table = F.broadcast(spark.createDataFrame(pieces, "__h long, spread boolean, pieces long"))
     cell = F.pmod(F.xxhash64("__t", F.lit("ring")), F.lit(CELLS))
