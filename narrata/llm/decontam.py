@@ -43,6 +43,8 @@ NEAR, RUN = 0.5, 5
 #: Share of an item's words in common order: enough alone, or enough with the answer.
 FULL, PART, ANSWER = 0.7, 0.5, 0.5
 TABLE = 1 << 22
+#: Bytes of text searched at once.
+TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     """Groups of rows: their batch, the first one's number, their word hashes and where each one's begin."""
     for batch in batches:
         data, offsets = words.buffers(batch.column("text"))
-        for i, j in words.groups(offsets):
+        for i, j in words.groups(offsets, TOGETHER):
             h, _, first = words.word_hashes(data, offsets[i : j + 1], words.PUNCTUATED)
             yield batch, i, h, first
 

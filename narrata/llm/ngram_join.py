@@ -41,7 +41,7 @@ ROUNDS = 6
 #: Components of a list from which on its pairs are looked for inside tasks.
 HEAVY = 16
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
-BLOCK, SQUARE = 4096, 512
+BLOCK, SQUARE = 2048, 512
 #: Pairs from which on they are verified in portions.
 PAIRS = 200_000
 #: Bins of a sketch.
@@ -130,17 +130,31 @@ def signatures(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(job, "doc_id long, n int, fa long, fb long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, shingles) of the documents that ``nodes`` lists."""
+def listed(node: pa.Array, tokens: np.ndarray, at: np.ndarray, sketched: bool) -> pa.RecordBatch:
+    """Sets, or their sketches: how many shingles fall into each of BINS bins.  The sum of the minima of two sketches bounds the overlap."""
+    if not sketched:
+        return pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["node", "shingles"])
+    row = np.repeat(np.arange(len(node)), np.diff(at))
+    counts = np.bincount(row * BINS + (words.mix(tokens) >> np.uint64(56)).astype(np.int64), minlength=len(node) * BINS)
+    sketches = np.minimum(counts, 255).astype(np.uint8).reshape(len(node), BINS)
+    return pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in sketches], pa.binary())], names=["node", "sketch"])
+
+
+def set_schema(sketched: bool) -> str:
+    return "node long, sketch binary" if sketched else "node long, shingles array<long>"
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, sketched: bool = False) -> DataFrame:
+    """(node, shingles), or (node, sketch), of the documents that ``nodes`` lists."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for i, j, tokens, at in _sets(batch, rule, none):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["node", "shingles"])
+                yield listed(batch.column("doc_id").slice(i, j - i), tokens, at, sketched)
 
     some = docs.select("doc_id", "text").join(small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
-    return some.mapInArrow(job, "node long, shingles array<long>")
+    return some.mapInArrow(job, set_schema(sketched))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -188,7 +202,7 @@ def link(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     chosen = choose_matches(shared, rule)
     prefix = F.col("n") - rule.overlap(F.col("n")) + F.col("matches")
     buckets = shared.join(chosen, shared["node"] == chosen["chooser"]).filter(F.col("pos") < prefix).select("token", "node", "n", "matches", F.ceil(prefix / 4).cast("int").alias("likely"), (F.col("n") - prefix).alias("rest"))
-    labels = contract(cut(buckets, "buckets"), rule, lambda nodes: whole_sets(docs, nodes, rule))
+    labels = contract(cut(buckets, "buckets"), rule, lambda nodes, sketched: whole_sets(docs, nodes, rule, sketched))
     named = signed.select("doc_id", "n", "fa", "fb").join(classes, ["fa", "fb"], "left")
     named = named.join(labels, "node", "left") if labels is not None else named.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
@@ -206,13 +220,13 @@ def with_frequency(tokens: DataFrame) -> DataFrame:
     return rare.unionByName(tokens.filter("token < 0").join(small(common), "token").select(rare.columns))
 
 
-def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool], DataFrame]) -> DataFrame | None:
     """(node, component) of all linked nodes; None if there are none.
 
     ``buckets`` (token, node, n, matches, likely, rest) says which nodes share
     a token, with how many shared ones a pair must be compared, with how many
     it is worth a comparison before that, and how much of the set lies behind
-    its prefix.  ``sets_of`` gives (node, shingles) of a table of nodes.
+    its prefix.  ``sets_of`` gives (node, shingles) of a table of nodes, or (node, sketch).
     """
     buckets = buckets.withColumn("component", F.col("node"))
     labels, before = None, None
@@ -225,7 +239,7 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
             if low > 0 and labels is not None:
                 some = cut(_apart(some, labels), "pairs")
             nodes = cut(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-            found = cut(verify(some, cut(sets_of(nodes), "sets"), rule), "found")
+            found = cut(verify(some, cut(sets_of(nodes, False), "sets"), rule), "found")
             if not found.isEmpty():
                 # Links of components that are known stand for those found before.
                 known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")) if labels is not None else None
@@ -260,7 +274,7 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame], Data
         if not heavy.isEmpty():
             if sketches is None:
                 nodes = cut(buckets.join(small(heavy), "token", "left_semi").select("node").distinct(), "nodes")
-                sketches = cut(sets_of(nodes).mapInArrow(_sketch, "node long, sketch binary").dropDuplicates(["node"]), "sketches")
+                sketches = cut(sets_of(nodes, True).dropDuplicates(["node"]), "sketches")
             settle(cut(_block_pairs(buckets, heavy, sketches, rule, best), "pairs"))
         elif best:
             continue
@@ -303,18 +317,6 @@ def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(needed).alias("needed")).filter("shared >= needed").select("a", "b")
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of each set fall into each of BINS bins; the sum of the minima of two sketches bounds the overlap."""
-    for batch in batches:
-        lists = batch.column("shingles")
-        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        flat = flat[offsets[0] : offsets[-1]]
-        row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-        counts = np.bincount(row * BINS + (words.mix(flat) >> np.uint64(56)).astype(np.int64), minlength=len(lists) * BINS)
-        sketches = np.minimum(counts, 65535).astype("<u2").reshape(len(lists), BINS)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["node", "sketch"])
-
-
 def _block_pairs(buckets: DataFrame, heavy: DataFrame, sketches: DataFrame, rule: Rule, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in heavy lists that no bound rules out.
 
@@ -377,7 +379,7 @@ def _compare(rule: Rule, best: bool):
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(node)))])
         earlier = heavies < token
         before, at = heavies[earlier], np.concatenate([[0], np.cumsum(np.bincount(owner[earlier], minlength=len(node)))])
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(node), BINS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
         middle = 0 if same else int(np.searchsorted(own, own[-1]))
         found = []
         for a in range(0, len(node) if same else middle, SQUARE):
@@ -401,7 +403,9 @@ def _compare(rule: Rule, best: bool):
                 for c in range(0, len(p), 4096):
                     u, v = p[c : c + 4096], q[c : c + 4096]
                     bound = np.minimum(sketch[u + a], sketch[v + b]).sum(axis=1, dtype=np.int64)
-                    bound[high[u, v] > 65535] = high[u, v][high[u, v] > 65535]
+                    # A full bin says less than there is; only very long texts have one.
+                    full = (sketch[u + a] == 255).any(axis=1) | (sketch[v + b] == 255).any(axis=1)
+                    bound[full] = low[u, v][full]
                     enough = bound >= overlap[u, v]
                     u, v, bound = u[enough], v[enough], bound[enough]
                     found.append((u + a, v + b, bound / (low[u, v] + high[u, v] - bound)))

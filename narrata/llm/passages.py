@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from narrata.llm import words
 from narrata.llm.graph import small
-from narrata.llm.ngram_join import Rule, contract
+from narrata.llm.ngram_join import Rule, contract, listed, set_schema
 from narrata.llm.scratch import cut
 
 WINDOW = 20
@@ -155,15 +155,17 @@ def _job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(words.mix(node + np.uint64(1)).view(np.int64)), *placed(begin, begin + WINDOW), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.list_(pa.int64()))], names=names)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the paragraphs that each row's list of (node, begin, end) asks for."""
-    for batch in batches:
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            column = pa.array([text[w["begin"] : w["end"]] for w in wanted], pa.string())
-            data, offsets = words.buffers(column)
-            hashes, _, first = words.word_hashes(data, offsets)
-            tokens, at = _sets(hashes, first[:-1], first[1:])
-            yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wanted], pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["node", "shingles"])
+def _texts(sketched: bool):
+    """A job for the sets, or sketches, of the paragraphs that each row's list of (node, begin, end) asks for."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                data, offsets = words.buffers(pa.array([text[w["begin"] : w["end"]] for w in wanted], pa.string()))
+                hashes, _, first = words.word_hashes(data, offsets)
+                yield listed(pa.array([w["node"] for w in wanted], pa.int64()), *_sets(hashes, first[:-1], first[1:]), sketched)
+
+    return job
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,12 +193,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     nodes = cut(nodes, "line-nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("token")).withColumns({"matches": F.lit(1), "likely": F.lit(1), "rest": F.col("n")})
 
-    def sets_of(some: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame, sketched: bool) -> DataFrame:
         place = nodes.select("node", "p").join(small(some), "node", "left_semi")
         wanted = place.groupBy(F.col("p.doc_id").alias("of")).agg(F.collect_list(F.struct("node", F.col("p.begin").alias("begin"), F.col("p.end").alias("end"))).alias("wanted"))
         wanted = cut(wanted, "wanted")
         held = docs.join(small(wanted.select("of")), F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"])
-        return held.join(wanted, F.col("doc_id") == F.col("of")).select("text", "wanted").mapInArrow(_texts, "node long, shingles array<long>")
+        return held.join(wanted, F.col("doc_id") == F.col("of")).select("text", "wanted").mapInArrow(_texts(sketched), set_schema(sketched))
 
     labels = contract(buckets, RULE, sets_of)
     placed = lines.select("node", "doc_id", "begin", "end", "n_words")

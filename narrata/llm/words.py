@@ -16,8 +16,8 @@ import pyarrow as pa
 U = np.uint64
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 PUNCTUATED = bytes(b for b in range(128) if not chr(b).isalnum())
-#: Bytes of text hashed at once; a longer text is hashed in pieces.
-PIECE = 1 << 20
+#: Bytes of text hashed at once; a longer text is hashed in pieces.  A worker needs some forty times as many bytes meanwhile.
+PIECE = 1 << 18
 
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
