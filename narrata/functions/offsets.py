@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 HIT = "array<struct<start:int,end:int,match:string>>"
 CLAIMED = "array<struct<step:int,start:int,end:int,match:string,said:string>>"
-#: A pattern, and whether a match of it counts.
-Pass = tuple[str, Callable[[str], bool] | None]
+#: A pattern, or what finds its matches, and whether a match counts.
+Pass = tuple[object, Callable[[str], bool] | None]
 
 
 def let(value: Column, body) -> Column:
@@ -81,7 +81,7 @@ def find_claimed(text: Column, passes: Sequence[Pass], say: Callable[[int, str],
 
     ``say`` gives what is said for a step's match, where columns cannot tell.
     """
-    compiled = [(re.compile(p), good) for p, good in passes]
+    compiled = [(re.compile(p) if isinstance(p, str) else p, good) for p, good in passes]
 
     def job(texts: pa.Array) -> pa.Array:
         rows = [[(*c, say(c[0], c[3]) if say else None) for c in claimed(t, compiled)] if t else [] for t in texts.to_pylist()]

@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,13 +91,20 @@ def _ranges(codes: list[int]) -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(*edges, strict=True)) + "]"
 
 
+class Unnormal:
+    """Finds runs of characters that composition may change; a text that is composed, as most are, is not searched."""
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        return iter(()) if unicodedata.is_normalized("NFC", text) else _unnormal().finditer(text)
+
+
 @cache
-def unnormal_pattern() -> str:
-    """Runs of characters that composition may change: those with marks behind them, and those that stand for others."""
+def _unnormal() -> re.Pattern:
+    """Characters with marks behind them, and those that stand for others."""
     every = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4]
     marks = _ranges([c for c in every if unicodedata.combining(chr(c)) or 0x1161 <= c < 0x1176 or 0x11A8 <= c < 0x11C3])
     other = _ranges([c for c in every if not unicodedata.is_normalized("NFC", chr(c))])
-    return f"(?:.?{marks}+|{other})+"
+    return re.compile(f"(?:.?{marks}+|{other})+")
 
 
 def _nfc(match: str) -> str:
@@ -109,7 +117,7 @@ def _changes(match: str) -> bool:
 
 def decomposed(text: Column) -> Column:
     """Characters that are not composed (NFC), in runs."""
-    hits = find_claimed(text, [(unnormal_pattern(), _changes)], lambda _, m: _nfc(m))
+    hits = find_claimed(text, [(Unnormal(), _changes)], lambda _, m: _nfc(m))
     return F.transform(
         hits,
         lambda h: F.struct(
@@ -122,7 +130,7 @@ def decomposed(text: Column) -> Column:
 def normalization(text: Column) -> Column:
     """Breaks, soft hyphens, space runs, dashes and decomposed characters under one claim, in that order."""
     last = len(NORMAL)
-    hits = find_claimed(text, [*((p, None) for p, *_ in NORMAL), (unnormal_pattern(), _changes)], lambda step, m: _nfc(m) if step == last else None)
+    hits = find_claimed(text, [*((p, None) for p, *_ in NORMAL), (Unnormal(), _changes)], lambda step, m: _nfc(m) if step == last else None)
     return F.transform(
         hits,
         lambda h: F.struct(
@@ -150,10 +158,12 @@ def respell(token: Column) -> Column:
     return let(spoken, lambda s: F.coalesce(own, F.when(capital, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))).otherwise(s)))
 
 
+@lru_cache(1 << 16)
 def is_acronym(word: str) -> bool:
     return word not in W.NOT_ACRONYMS and word.lower() not in W.ENGLISH_WORDS
 
 
+@lru_cache(1 << 16)
 def is_foreign(word: str) -> bool:
     """Listed English words and words of English spelling, without Polish letters, of 3 letters or more."""
     low = word.lower()
