@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from narrata.functions.offsets import claim, find_all, struct_lists
+from narrata.functions.offsets import HIT, claim, find_all, struct_lists
 
 #: Most rules that are broadcast; more are joined by a shuffle of the words.
 BROADCAST_RULES = 200_000
@@ -46,6 +46,17 @@ def _regex_hits(rules: list[tuple[int, str, bool]]):
     return F.arrow_udf(job, "array<struct<rank:int,start:int,end:int,original:string>>")
 
 
+def _words_of(known: frozenset[str]):
+    """A job for the words of a block that are known, in any case."""
+    word = re.compile(WORD)
+
+    def job(texts: pa.Array) -> pa.Array:
+        rows = [[(m.start(), m.end(), m[0]) for m in word.finditer(t) if m[0].lower() in known] if t else [] for t in texts.to_pylist()]
+        return struct_lists(rows, ("start", "end", "match"), (pa.int32(), pa.int32(), pa.string()))
+
+    return F.arrow_udf(job, HIT)
+
+
 def lexicon_suggestions(blocks: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """Non-overlapping hits of the rules, the first rule claiming its span.
 
@@ -61,9 +72,12 @@ def lexicon_suggestions(blocks: DataFrame, rules: DataFrame, text: str = "text")
     longest = literal.agg(F.max(F.length("pattern"))).first()[0] or 0
     escaped = F.concat(F.lit(r"(?<!\w)"), F.regexp_replace("pattern", r"([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
     scanned = ranked.filter("first IS NULL OR first = ''").select("rank", F.when(F.col("is_regex"), F.col("pattern")).otherwise(escaped).alias("pattern"), "case_sensitive").orderBy("rank")
-    words = blocks.select(*rest, F.col(text).alias("__text"), F.explode(find_all(F.col(text), WORD)).alias("__word"))
-    words = words.select(*rest, F.col("__word.start").alias("start"), F.lower("__word.match").alias("first"), F.expr(f"substring(__text, __word.start + 1, {longest + 1})").alias("there"))
     small = literal.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    # With few rules, words that begin none of them are not even returned.
+    known = frozenset(r["first"].lower() for r in literal.select("first").distinct().collect()) if small else None
+    found_words = _words_of(known)(F.col(text)) if small else find_all(F.col(text), WORD)
+    words = blocks.select(*rest, F.col(text).alias("__text"), F.explode(found_words).alias("__word"))
+    words = words.select(*rest, F.col("__word.start").alias("start"), F.lower("__word.match").alias("first"), F.expr(f"substring(__text, __word.start + 1, {longest + 1})").alias("there"))
     met = words.join(F.broadcast(literal) if small else literal, "first")
     found, behind = F.expr("substring(there, 1, length(pattern))"), F.expr("substring(there, length(pattern) + 1, 1)")
     equal = F.when(F.col("case_sensitive"), found == F.col("pattern")).otherwise(F.lower(found) == F.lower("pattern")) & ~behind.rlike(r"(?U)\w")
