@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.llm import words
 from narrata.llm.scratch import cut, new_path
 
 SEQUENCE = 2048
@@ -83,6 +84,8 @@ def encode_all(texts: list[str], path: str, end_id: int, kind: str) -> list[byte
     pieces = [cut_text(t) for t in texts]
     if len(known) > KNOWN:
         known.clear()
+    if not words.KEPT:
+        words.KEPT.append(known.clear)
     fresh = set().union(*pieces).difference(known)
     marked = {p for p in fresh if len(p) > 1 and p[-1] in marks and p[-2].isalpha()}
     need = list((fresh - marked) | {p[:-1] for p in marked}.difference(known))

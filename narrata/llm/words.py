@@ -8,7 +8,7 @@ array operations, with no Python string per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,10 @@ def _table(name: object, make) -> np.ndarray:
     return _TABLES[name]
 
 
+#: How to forget what a worker keeps for other kinds of work; it goes when texts are hashed.
+KEPT: list[Callable[[], None]] = []
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits depend on all bits."""
     h = h ^ (h >> U(33))
@@ -118,6 +122,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: bytes = SPACE
     The last has one entry more than there are rows.  Memory is bounded by
     PIECE bytes of text at a time, plus 16 bytes a word for the result.
     """
+    while KEPT:
+        KEPT.pop()()
     begin, end = int(offsets[0]), int(offsets[-1])
     hashes, starts = [], []
     at = begin
