@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import decontam, embedding_forest, html_extract, mixing, ngram_join, passages, quality, secrets, sharding, token_files
+from narrata.llm import decontam, embedding_forest, filter_audit, html_extract, mixing, ngram_join, passages, quality, secrets, sharding, spelling, token_files, toxicity
 from narrata.llm.scratch import bounded_batches
 
 
@@ -73,6 +73,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), slip=31)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def unseen(key: str = "doc_id") -> Column:
+    """Rows whose toxicity label no model may learn from."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~unseen())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", unseen().alias("held_out"), "score", "predicted")
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -146,6 +166,44 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(component, v.vec_
 FROM v LEFT JOIN d ON d.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id
 """
 
+# Every order of the five filters, against the 32 sets of filters that a text can fail.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), m AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), r AS (
+  SELECT d.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, min(d.doc_id) OVER (PARTITION BY text) AS smallest FROM d LEFT JOIN m ON m.doc_id = d.doc_id
+), f AS (
+  SELECT part, good, toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > smallest, false)::INT AS bits
+  FROM r
+), g AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY part, bits
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS seq
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (
+  SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, seq FROM o
+), t AS (
+  SELECT filter_order, step, seq[step] AS bit, coalesce(list_sum(seq[1:step - 1]), 0)::INT AS before FROM s
+), x AS (
+  SELECT g.*, t.*, (bits & bit) <> 0 AS fails, (bits & before) <> 0 AS gone FROM g, t
+), y AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant,
+    sum(n) FILTER (bits = bit) AS unique_fails, sum(n_good) FILTER (fails AND NOT gone) AS good_lost, sum(n_toxic) FILTER (fails AND NOT gone) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM y
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secrets": op2_secrets,
@@ -157,6 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
-SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_forest": OP3_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_forest": OP3_SQL, "op8_mixing": OP8_SQL, "op12_filter_audit": OP12_SQL}

@@ -163,7 +163,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     rolled = np.zeros(n, U)
     rolled += words * multipliers[0]
     for k in range(1, size):
-        rolled[: n - k] += mix_light(words[k:], k) * multipliers[k]
+        rolled[: max(n - k, 0)] += mix_light(words[k:], k) * multipliers[k]
     short = (counts > 0) & (counts < size)
     keep = np.ones(n, bool)
     # The last size - 1 places of a row start no shingle.
