@@ -53,8 +53,8 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "€": "e", "£": "l", "§": "s",
 }
 JOINTS = " .-_~'·,/\\"
-#: Log-odds of the channel: a letter written as a sign, a joint or sign that parts words, a joint left out, a letter written again.
-SIGN, BREAK, JOINED, AGAIN = math.log(0.1), math.log(0.3), math.log(0.1), math.log(0.2)
+#: Log-odds of the channel: a letter written as a sign, a sign that parts words after all, a joint that does, a joint left out, a letter written again.
+SIGN, PART, BREAK, JOINED, AGAIN = math.log(0.1), math.log(0.02), math.log(0.3), math.log(0.1), math.log(0.2)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[0-9@$!|+(<*€£§]|(\w)\1\1|\w[.\-_~'·,/\\]\w")
@@ -123,6 +123,18 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three).astype(np.float32).ravel()
 
 
+def with_words(letters: np.ndarray, lexicon: Iterable[str], share: float = 0.5) -> np.ndarray:
+    """The model for texts in which words of the lexicon are so much likelier wherever one may go on."""
+    counts = np.zeros(LETTERS**3, np.int64)
+    for word in sorted(lexicon):
+        _add_grams(word, counts)
+    n = counts.reshape(LETTERS**2, LETTERS).astype(np.float64)
+    there = n.sum(1, keepdims=True)
+    p = np.exp(letters.reshape(LETTERS**2, LETTERS).astype(np.float64))
+    p = np.where(there > 0, (1 - share) * p + share * n / np.maximum(there, 1), p)
+    return np.log(p).astype(np.float32).ravel()
+
+
 class Channel:
     """Restores odd tokens; one per worker and model."""
 
@@ -155,7 +167,7 @@ class Channel:
 
             code = _code(c)
             choices = [(c, code, 0.0)] if code else [(x, _code(x), SIGN) for x in SIGNS.get(c, "")]
-            joint = c in JOINTS
+            joint, parts = c in JOINTS, PART if c in SIGNS else BREAK
             for (a, b), (score, path) in front.items():
                 at = (a * LETTERS + b) * LETTERS
                 for letter, k, cost in choices:
@@ -163,7 +175,7 @@ class Channel:
                     if k == b:
                         offer((a, b), score + cost + AGAIN, path)
                 if not code:
-                    offer((0, 0), score + BREAK + (logp[at] if b else 0.0), (" ", path))
+                    offer((0, 0), score + parts + (logp[at] if b else 0.0), (" ", path))
                     if joint:
                         offer((a, b), score + JOINED, path)
             if len(ahead) > BEAM:
@@ -258,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     gain = F.col("toxic") * F.log(F.col("toxic") / F.col("texts") / base) + F.when(F.col("texts") > F.col("toxic"), (F.col("texts") - F.col("toxic")) * F.log((1 - F.col("toxic") / F.col("texts")) / (1 - base))).otherwise(0)
     strong = seen.filter(F.col("toxic") >= LEAST_SHARE * F.col("texts")).filter(gain >= beat)
     lexicon = {r["entry"]: math.log((r["texts"] - r["toxic"] + 0.5) / (r["texts"] + 1)) for r in strong.collect()}  # words of the sample
-    return Model(letters, lexicon, _left_over(base, len(kept)))
+    return Model(with_words(letters, [e for e in lexicon if not e.endswith("^")]), lexicon, _left_over(base, len(kept)))
 
 
 def _beat(entries: dict[int, int], base: float) -> float:
