@@ -118,7 +118,7 @@ def read(column: pa.Array) -> _Counts:
     """Words, distinct words, code points, capitals and whether a symbol is there, for each text of a column."""
     data, offsets = words.buffers(column)
     counts = _Counts(len(offsets) - 1)
-    for i, j in words.groups(offsets):
+    for i, j in words.groups(offsets, words.PIECE):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a > words.PIECE:
             _read_long(data[a:b], i, counts)

@@ -38,7 +38,7 @@ CHUNK = 1 << 20
 #: Numbers of matches that a document can choose from.
 MATCHES = (1, 2, 4, 8, 16)
 ROUNDS = 6
-#: Components of a list from which on its pairs are looked for inside tasks.
+#: Components of a list, and pairs for each of its rows, from which on its pairs are looked for inside tasks.
 HEAVY = 16
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
 BLOCK, SQUARE = 2048, 512
@@ -256,7 +256,7 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
     for k in range(ROUNDS):
         buckets = still_open()
         per = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("of"))
-        pairs = F.when(F.col("of") <= HEAVY, (F.col("s") * F.col("s") - F.col("q")) / 2)
+        pairs = F.when(~_heavy("of", "s", "q"), (F.col("s") * F.col("s") - F.col("q")) / 2)
         left, rows = per.agg(F.coalesce(F.sum(pairs), F.lit(0.0)), F.sum("s")).first()
         if not rows:
             return labels
@@ -269,8 +269,8 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
     for best in (True, False):
         if best is False:
             buckets = still_open()
-        sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("size"))
-        heavy = cut(sizes.filter(F.col("of") > HEAVY).select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "heavy")
+        sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        heavy = cut(sizes.filter(_heavy("of", "s", "q")).select("token", F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks")), "heavy")
         if not heavy.isEmpty():
             if sketches is None:
                 nodes = cut(buckets.join(small(heavy), "token", "left_semi").select("node").distinct(), "nodes")
@@ -285,6 +285,12 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
     return labels
 
 
+def _heavy(of: str, rows: str, squares: str) -> Column:
+    """Whether a list has too many pairs to join: of many components, or of a few large ones."""
+    s = F.col(rows)
+    return (F.col(of) > HEAVY) | (s * s - F.col(squares) > 2 * HEAVY * s)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose nodes are in different components."""
     a, b = (labels.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_in")) for x in "ab")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from narrata.llm import decontam, graph, html_extract, ngram_join, passages, secrets
 from test_operators import VOCABULARY, components_of, prose
@@ -36,6 +37,34 @@ def test_large_lists_are_compared_in_blocks(spark, monkeypatch):
     assert len(set(expected.values())) > 30
 
 
+def test_large_unlike_groups_make_few_rows(spark, monkeypatch):
+    """Two groups of near copies with half their text in common: two components, but 90,000 pairs a list."""
+    rnd, rows = random.Random(22), []
+    common = prose(rnd, 60).split(" ")
+    for g in range(2):
+        base = common + prose(rnd, 60).split(" ")
+        for k in range(300):
+            w = list(base)
+            w[rnd.randrange(len(w))] = rnd.choice(VOCABULARY)
+            rows.append((1000 * g + k, " ".join(w)))
+    made, joined = [], ngram_join._all_pairs
+
+    def counted(buckets, rule):
+        a, b = (buckets.select("token", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        made.append(a.join(b, "token").filter("a < b AND ca <> cb").count())
+        return joined(buckets, rule)
+
+    monkeypatch.setattr(ngram_join, "_all_pairs", counted)
+    prefixes = ngram_join.choose_matches
+    sizes = []
+    monkeypatch.setattr(ngram_join, "choose_matches", lambda shared, rule: sizes.append(shared.count()) or prefixes(shared, rule))
+    sets = {k: shingles(t.split(" "), 5) for k, t in rows}
+    expected = components_of(list(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b], 80, 100)])
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+    assert sum(made) <= 20 * sizes[0]
+
+
 def test_many_links_are_contracted_by_joins(spark, monkeypatch):
     rnd = random.Random(5)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1040)]
