@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +16,9 @@ ABBREVIATIONS = "np. tzn. itd. itp. m.in. ok. godz. ul. dr. prof. r. w. św.".sp
 CLOSERS, OPENERS = "\"'”»)]}", "\"'„«“(["
 CLAUSES = (";", ",", " — ", " – ", " - ")
 
+#: What cuts a text into sentences: start and end of each, in order, with nothing but white space between them.
+Segment = Callable[[str], list[tuple[int, int]]]
+
 SHORT = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(map(re.escape, ABBREVIATIONS)) + r")(?![^\W_])")
 END = re.compile(rf"[.!?…]+[{re.escape(CLOSERS)}]*\s+(?=[{re.escape(OPENERS)}]*(.))", re.S)
 SPACE = re.compile(r"\s*")
@@ -37,14 +41,29 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [s for s in spans if s[0] < s[1]]
 
 
-def _sentence_job(texts: pa.Array) -> pa.Array:
-    rows = [[(a, b, t[a:b]) for a, b in sentences(t)] if t else [] for t in texts.to_pylist()]
-    return struct_lists(rows, ("start", "end", "match"), (pa.int32(), pa.int32(), pa.string()))
+def guarded(segment: Segment) -> Segment:
+    """A segmenter whose cuts behind an abbreviation's dot do not count."""
+
+    def job(text: str) -> list[tuple[int, int]]:
+        ends = {m.end() for m in SHORT.finditer(text)}
+        out: list[tuple[int, int]] = []
+        for start, end in segment(text):
+            if out and out[-1][1] in ends:
+                start = out.pop()[0]
+            out.append((start, end))
+        return out
+
+    return job
 
 
-def sentence_spans(text: Column) -> Column:
+def sentence_spans(text: Column, segment: Segment = sentences) -> Column:
     """``array<struct<start, end, match>>`` of the sentences; null and blank blocks have none."""
-    return F.arrow_udf(_sentence_job, HIT)(text)
+
+    def job(texts: pa.Array) -> pa.Array:
+        rows = [[(a, b, t[a:b]) for a, b in segment(t)] if t else [] for t in texts.to_pylist()]
+        return struct_lists(rows, ("start", "end", "match"), (pa.int32(), pa.int32(), pa.string()))
+
+    return F.arrow_udf(job, HIT)(text)
 
 
 def fit(text: str, limit: int) -> list[str]:
@@ -68,13 +87,13 @@ def fit(text: str, limit: int) -> list[str]:
     return out
 
 
-def pack(text: str, limit: int, whole: bool = False) -> list[str]:
+def pack(text: str, limit: int, whole: bool = False, segment: Segment = sentences) -> list[str]:
     """Sentences joined by spaces up to ``limit`` characters; with ``whole`` a text that fits stays one piece."""
     text = text.strip()
     if whole and 0 < len(text) <= limit:
         return [text]
     packed: list[str] = []
-    for a, b in sentences(text):
+    for a, b in segment(text):
         for piece in fit(text[a:b], limit):
             if packed and len(packed[-1]) + 1 + len(piece) <= limit:
                 packed[-1] += " " + piece
@@ -83,11 +102,11 @@ def pack(text: str, limit: int, whole: bool = False) -> list[str]:
     return packed
 
 
-def pieces(text: Column, limit: int, whole: Column | None = None) -> Column:
+def pieces(text: Column, limit: int, whole: Column | None = None, segment: Segment = sentences) -> Column:
     """``array<string>`` of a run's pieces; see ``pack``."""
 
     def job(texts: pa.Array, wholes: pa.Array) -> pa.Array:
-        return pa.array([pack(t, limit, bool(w)) if t else [] for t, w in zip(texts.to_pylist(), wholes.to_pylist(), strict=True)], pa.list_(pa.string()))
+        return pa.array([pack(t, limit, bool(w), segment) if t else [] for t, w in zip(texts.to_pylist(), wholes.to_pylist(), strict=True)], pa.list_(pa.string()))
 
     return F.arrow_udf(job, "array<string>")(text, F.lit(False) if whole is None else whole)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.functions.offsets import Claims, let
-from narrata.operators import detectors, dialogue, gender, lexicon, numerals, skip
+from narrata.operators import detectors, dialogue, gender, lexicon, numerals, plugins, skip
 from narrata.operators.apply import MARK
 
 KEY = ["book_id", "chapter_id", "block_index"]
@@ -37,33 +37,42 @@ def _dialogue(text: Column) -> Column:
     return let(dialogue.dialogue(text), told)
 
 
-def _resolved(*layers: pa.Array) -> pa.Array:
-    """Which of the hits, numbers and words stay: words under the numbers, and both under the hits."""
+def _resolved(hits: pa.Array, others: pa.Array) -> pa.Array:
+    """Which of the lexicon hits and of the other suggestions stay: the others by priority, and all of them under the hits."""
     out = []
-    for hits, numbers, words in zip(*(layer.to_pylist() for layer in layers), strict=True):
+    for said, rest in zip(hits.to_pylist(), others.to_pylist(), strict=True):
         first, last = Claims(), Claims()
-        heard = [first.take(s["start"], s["end"]) for s in (*numbers, *words)]
-        out.append([last.take(s["start"], s["end"]) for s in hits] + [h and last.take(s["start"], s["end"]) for h, s in zip(heard, (*numbers, *words), strict=True)])
+        heard = [False] * len(rest)
+        for k in sorted(range(len(rest)), key=lambda k: rest[k]["priority"]):
+            heard[k] = first.take(rest[k]["start"], rest[k]["end"])
+        out.append([last.take(s["start"], s["end"]) for s in said] + [h and last.take(s["start"], s["end"]) for h, s in zip(heard, rest, strict=True)])
     return pa.array(out, pa.list_(pa.bool_()))
 
 
+def _places(suggestions: Column, priority: int | None) -> Column:
+    """Start, end and priority of suggestions; null takes each one's own ``step``."""
+    return F.transform(suggestions, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["step"] if priority is None else F.lit(priority)).alias("priority")))
+
+
 def skips(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Blocks of front matter with their reason; a line's own reason before its place in the contents."""
     lines = skip.line_skips(blocks)
     return lines.unionByName(skip.contents_skips(blocks, titles).join(lines, KEY, "left_anti"))
 
 
-def prepass(blocks: DataFrame, titles: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+def prepass(blocks: DataFrame, titles: DataFrame | None = None, rules: DataFrame | None = None, own: plugins.Registry | None = None) -> DataFrame:
     """All suggestions of (book_id, chapter_id, block_index, text, heading), one row each.
 
     A skipped block has no dialogue, numbers, names or lexicon hits.  Numbers
-    come before names and words that overlap them, and lexicon hits replace
-    both.  One pass over the blocks runs all detectors; the front matter, the
+    come before names and words that overlap them, detectors of one's ``own``
+    by their priorities between them, and lexicon hits replace all of these.
+    One pass over the blocks runs all detectors; the front matter, the
     lexicon and the lines of dialogue of neighbouring blocks are joined to it.
     """
     base = blocks.select(*KEY, "text", F.col("heading") if "heading" in blocks.columns else F.lit(False).alias("heading"))
     text, none = F.col("text"), F.array().cast(f"array<{FOUND}>")
-    rows = base.select(*KEY, "text", _each(detectors.normalization(text)).alias("normal"), _dialogue(text).alias("spoken"), _each(numerals.numbers()(text, F.col("heading"))).alias("numbers"), _each(detectors.lexical(text)).alias("words"))
+    mine = own.suggestions(text) if own else F.array().cast(detectors.SUGGESTIONS)
+    rows = base.select(*KEY, "text", _each(detectors.normalization(text)).alias("normal"), _dialogue(text).alias("spoken"), numerals.numbers()(text, F.col("heading")).alias("numbers"), detectors.lexical(text).alias("words"), mine.alias("own"))
     rows = rows.join(skips(base.select(*KEY, "text"), titles).select(*KEY, F.col("reason").alias("skipped")), KEY, "left")
     if rules is not None:
         said = lexicon.lexicon_suggestions(base.select(*KEY, "text"), rules)
@@ -71,9 +80,9 @@ def prepass(blocks: DataFrame, titles: DataFrame | None = None, rules: DataFrame
         rows = rows.join(said.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("hits")), KEY, "left").withColumn("hits", F.coalesce("hits", none))
     else:
         rows = rows.withColumn("hits", none)
-    place = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    flags = F.arrow_udf(_resolved, "array<boolean>")(place("hits"), place("numbers"), place("words"))
-    read = F.filter(F.arrays_zip(F.concat("hits", "numbers", "words").alias("s"), flags.alias("kept")), lambda z: z["kept"])
+    others = F.concat(_places(F.col("numbers"), plugins.NUMBERS), _places(F.col("words"), plugins.WORDS), _places(F.col("own"), None))
+    flags = F.arrow_udf(_resolved, "array<boolean>")(F.transform("hits", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), others)
+    read = F.filter(F.arrays_zip(F.concat(F.col("hits"), _each(F.col("numbers")), _each(F.col("words")), _each(F.col("own"))).alias("s"), flags.alias("kept")), lambda z: z["kept"])
     rows = rows.withColumn("read", F.transform(read, lambda z: z["s"]))
     front = F.array(_found(F.lit(0), F.length("text"), F.lit("skip"), F.col("text"), F.lit(""), F.col("skipped"), F.lit(SKIPPED)))
     every = F.concat("normal", F.when(F.col("skipped").isNull(), F.concat("spoken", "read")).otherwise(front))

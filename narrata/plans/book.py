@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from narrata.functions.sentences import pieces
+from narrata.functions.sentences import Segment, pieces, sentences
 from narrata.operators.html_blocks import html_blocks
 from narrata.plans import chunks, voices
 
@@ -34,16 +34,16 @@ def spoken_runs(blocks: DataFrame, filled: DataFrame, mode: str = "gendered") ->
     return voices.merge_runs(rows)
 
 
-def plan_items(runs: DataFrame, limit: int) -> DataFrame:
+def plan_items(runs: DataFrame, limit: int, segment: Segment = sentences) -> DataFrame:
     """One row per piece of a run: sentences up to ``limit`` characters, a silence as one empty piece; ordinals count over the book."""
-    cut = F.when(F.col("kind") == "silence", F.array(F.lit(""))).otherwise(pieces(F.col("text"), limit, F.col("kind") == "dialogue"))
+    cut = F.when(F.col("kind") == "silence", F.array(F.lit(""))).otherwise(pieces(F.col("text"), limit, F.col("kind") == "dialogue", segment))
     rows = runs.select("book_id", "chapter_id", "run", "slot", "kind", F.posexplode(cut).alias("piece", "spoken"))
     return chunks.number_items(rows)
 
 
-def plan_book(blocks: DataFrame, filled: DataFrame, profiles: DataFrame, limit: int, settings: dict[str, str], mode: str = "gendered") -> DataFrame:
+def plan_book(blocks: DataFrame, filled: DataFrame, profiles: DataFrame, limit: int, settings: dict[str, str], mode: str = "gendered", segment: Segment = sentences) -> DataFrame:
     """The plan of each book: items with their voice profile and render key, and whether an earlier item has the same sound."""
-    items = voices.lookup_profiles(plan_items(spoken_runs(blocks, filled, mode), limit), profiles)
+    items = voices.lookup_profiles(plan_items(spoken_runs(blocks, filled, mode), limit, segment), profiles)
     sound = {"slot": F.col("slot"), "profile": F.col("profile_id"), "profile_hash": F.col("content_hash"), **{k: F.lit(v) for k, v in sorted(settings.items())}}
     return chunks.dedupe_renders(items.withColumn("render_key", chunks.content_key(F.col("spoken"), **sound)))
 
