@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = ("text", "books", "voices", "jobs", "numbers", "narration", "plugins")
+AREAS = ("text", "books", "voices", "jobs", "numbers", "narration", "plugins", "streams")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
