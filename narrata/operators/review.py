@@ -51,10 +51,20 @@ def hard_cases(suggestions: DataFrame, blocks: DataFrame, hard: Column, chars: i
 
 
 def without_overlaps(suggestions: DataFrame, taken: DataFrame) -> DataFrame:
-    """Suggestions that overlap none of ``taken`` in their block."""
-    a, b = suggestions.alias("a"), taken.select(*BLOCK, "start", "end").alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in BLOCK]
-    return a.join(b, [*same, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")], "left_anti")
+    """Suggestions that overlap none of ``taken`` in their block; empty spans overlap nothing.
+
+    A sweep over each block's spans in order: of the taken ones that begin up
+    to a suggestion's start, the furthest end decides, and of those that begin
+    behind it, the nearest start.  Both are running values of a sort, so time
+    grows with the spans of a block, not with its pairs.
+    """
+    spans = taken.filter("start < end").select(*BLOCK, "start", "end").withColumn("__taken", F.lit(True))
+    rows = suggestions.withColumn("__taken", F.lit(False)).unionByName(spans, allowMissingColumns=True)
+    block = Window.partitionBy(*BLOCK)
+    furthest = F.max(F.when(F.col("__taken"), F.col("end"))).over(block.orderBy("start", F.desc("__taken")).rowsBetween(Window.unboundedPreceding, 0))
+    nearest = F.min(F.when(F.col("__taken"), F.col("start"))).over(block.orderBy(F.desc("start"), "__taken").rowsBetween(Window.unboundedPreceding, 0))
+    met = (F.col("start") < F.col("end")) & (F.coalesce(F.col("__furthest") > F.col("start"), F.lit(False)) | F.coalesce(F.col("__nearest") < F.col("end"), F.lit(False)))
+    return rows.withColumn("__furthest", furthest).withColumn("__nearest", nearest).filter(~F.col("__taken") & ~met).select(*suggestions.columns)
 
 
 def paint(spans: DataFrame, readings: DataFrame) -> DataFrame:

@@ -39,12 +39,17 @@ def spoken_form(text: Column, spans: Column) -> Column:
 
 
 def overlays(tiles: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pronunciation and skip spans that lie in a tile, with offsets in it."""
-    t, m = tiles.alias("t"), marks.filter(F.col("kind").isin("pronunciation", "skip")).alias("m")
-    same = [F.col(f"t.{c}") == F.col(f"m.{c}") for c in BLOCK]
-    inside = (F.col("m.start") >= F.col("t.start")) & (F.col("m.end") <= F.col("t.end"))
-    joined = t.join(m, [*same, inside])
-    return joined.select(*[F.col(f"t.{c}").alias(c) for c in BLOCK], F.col("t.start").alias("tile_start"), (F.col("m.start") - F.col("t.start")).alias("start"), (F.col("m.end") - F.col("t.start")).alias("end"), F.col("m.kind").alias("kind"))
+    """Pronunciation and skip spans that lie in a tile, with offsets in it.
+
+    Empty spans lie in none.  The tiles of a block do not overlap, so a span can only lie in the last
+    one that begins up to its start: a sweep over the block in order, without
+    a row for each pair.
+    """
+    t = tiles.select(*BLOCK, "start", "end", F.struct("start", "end").alias("tile"), F.lit(None).cast("string").alias("kind")).filter("start < end")
+    m = marks.filter(F.col("kind").isin("pronunciation", "skip") & (F.col("start") < F.col("end"))).select(*BLOCK, "start", "end", F.lit(None).cast(t.schema["tile"].dataType).alias("tile"), "kind")
+    order = Window.partitionBy(*BLOCK).orderBy("start", F.col("tile").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = t.unionByName(m).withColumn("tile", F.last("tile", ignorenulls=True).over(order)).filter("kind IS NOT NULL AND end <= tile.end")
+    return rows.select(*BLOCK, F.col("tile.start").alias("tile_start"), (F.col("start") - F.col("tile.start")).alias("start"), (F.col("end") - F.col("tile.start")).alias("end"), "kind")
 
 
 def assign_slots(spans: DataFrame, filled: DataFrame, mode: str = "gendered") -> DataFrame:
