@@ -41,7 +41,7 @@ ROUNDS = 6
 #: Components of a list, and pairs for each of its rows, from which on its pairs are looked for inside tasks.
 HEAVY = 16
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
-BLOCK, SQUARE = 2048, 512
+BLOCK, SQUARE = 8192, 512
 #: Pairs from which on they are verified in portions.
 PAIRS = 200_000
 #: Bins of a sketch.

@@ -26,8 +26,6 @@ from narrata.llm import words
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4)
-#: Distances of word pairs; at 1 all pairs count, beyond that only whether both are the same word.
-GAPS = (1, 2, 3)
 DIM = 8
 #: Features without a vector that every text has besides its own, so that a text of one word does not swing.
 NEUTRAL = 32
@@ -73,15 +71,14 @@ def features(data: np.ndarray) -> np.ndarray:
         values = np.where(inner, 0, u).astype(np.uint64) * powers[: len(u)]
         inverse = words._table(("i32", len(powers)), lambda: words._powers(words._INVERSE, len(powers)))
         word = (words.mix(np.add.reduceat(values, starts) * inverse[starts]) >> np.uint64(32)).astype(np.uint32)
-        out += [word, *(_word_pairs(word, gap) for gap in GAPS)]
+        out += [word, _word_pairs(word)]
     return (np.concatenate(out) & np.uint32(BUCKETS - 1)).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _word_pairs(word: np.ndarray, gap: int) -> np.ndarray:
-    """Hashed pairs of words ``gap`` apart; a word with itself is one pair, whichever word it is."""
-    a, b = word[:-gap], word[gap:]
-    other = (a * np.uint32(2246822519)) ^ (b * np.uint32(3266489917)) if gap == 1 else np.full(len(a), np.uint32(77_777 + gap))
-    return np.where(a == b, np.uint32(99_991 + gap), other)
+def _word_pairs(word: np.ndarray) -> np.ndarray:
+    """Hashed pairs of neighbouring words; a word with itself is one pair, whichever word it is."""
+    a, b = word[:-1], word[1:]
+    return np.where(a == b, np.uint32(100_000), (a * np.uint32(2246822519)) ^ (b * np.uint32(3266489917)))
 
 
 def pieces(data: np.ndarray, size: int = words.PIECE) -> Iterator[np.ndarray]:

@@ -236,7 +236,8 @@ def test_token_pieces_are_exact():
 def test_token_files_round_trip(spark, corpus, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files, "FILE_IDS", 500)
+    monkeypatch.setattr(token_files, "FILE_IDS", 2000)
+    monkeypatch.setattr(token_files, "BATCH", 3)
     tokenizer, folder = Tokenizer.from_file(tokenizer_path()), f"file://{tmp_path}"
     files = token_files.write(frame(spark, corpus), folder, tokenizer_path(), length=64)
     rows = sorted(token_files.read_index(files, folder).collect(), key=lambda r: r.start)
@@ -246,9 +247,13 @@ def test_token_files_round_trip(spark, corpus, tmp_path, monkeypatch):
     for r, (_, t) in zip(rows, expected, strict=True):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes()))
         at += r.n_tokens
-    first = files.orderBy("part", "n_file").first()
-    some, mask = token_files.sequence(folder, first["name"], 0)
-    assert len(some) == len(mask) == 64 and not some.flags.owndata
+    for f in files.collect():
+        # Every sequence of a file, in any order, is where a division says.
+        whole = np.concatenate([np.array(ids[t]) for _, t in expected[sum(g.n_docs for g in files.collect() if (g.part, g.n_file) < (f.part, f.n_file)) :][: f.n_docs]])
+        for i in reversed(range(-(-f.n_ids // 64))):
+            some, mask = token_files.sequence(folder, f["name"], i)
+            assert len(some) == len(mask) == 64 and not some.flags.owndata
+            assert some[mask].tolist() == whole[64 * i : 64 * i + 64].tolist()
 
 
 def test_mix_meets_its_targets(spark):
