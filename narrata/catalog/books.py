@@ -68,6 +68,23 @@ UNION ALL SELECT book_id, chapter_id + 1000000, block_index - 1, CASE WHEN block
 """
 
 
+def split_rows(s, d):
+    """Chapter rows after the cuts, where every third line is a heading."""
+    blocks = lines(s, d).withColumn("kind", F.when((F.col("block_index") % 3 == 2) | (F.col("chapter_id") % 3 == 0), "heading").otherwise("paragraph"))
+    return V.split_chapters(chapters(s, d), blocks, cuts(s, d))[0]
+
+
+SPLIT_ROWS_SQL = f"""
+WITH b AS ({LINES}), c AS (SELECT b.book_id, b.chapter_id, text, CASE WHEN b.chapter_id % 4 = 0 THEN 0 ELSE 5 END AS o FROM b WHERE block_index = 1 AND length(text) > 6 AND chapter_id % 2 = 0),
+n AS (SELECT c.*, b.text AS following FROM c LEFT JOIN b ON b.book_id = c.book_id AND b.chapter_id = c.chapter_id AND b.block_index = 2),
+j AS (SELECT h.*, n.o, n.chapter_id IS NOT NULL AND ordinal >= 0 AS cut, CASE WHEN h.chapter_id % 3 = 0 THEN trim(substring(n.text, o + 1)) END AS rest, CASE WHEN o > 0 THEN trim(n.following) END AS following
+  FROM ({CHAPTERS}) h LEFT JOIN n ON n.book_id = h.book_id AND n.chapter_id = h.chapter_id),
+s AS (SELECT *, CASE WHEN ordinal >= 0 THEN ordinal + coalesce(sum(cut::INT) OVER (PARTITION BY book_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE ordinal END AS moved FROM j)
+SELECT book_id, chapter_id, title, moved::INTEGER AS ordinal, included FROM s
+UNION ALL SELECT book_id, chapter_id + 1000000, CASE WHEN rest <> '' AND rest <> title THEN rest WHEN following <> '' AND following <> title THEN following ELSE title || ' (2)' END, (moved + 1)::INTEGER, included FROM s WHERE cut
+"""
+
+
 def reordered(s, d):
     c = chapters(s, d).filter("ordinal >= 0")
     asked = c.filter("NOT (book_id = 'src3' AND ordinal = 0)").select("book_id", "chapter_id", (-F.col("ordinal")).alias("place"))
@@ -110,6 +127,7 @@ QUERIES = {
     "merge_chapters": lambda s, d: V.merge(chapters(s, d), lines(s, d), first_two(s, d))[0],
     "merge_chapters_blocks": lambda s, d: V.merge(chapters(s, d), lines(s, d), first_two(s, d))[1],
     "split_chapter": lambda s, d: V.split(lines(s, d), cuts(s, d)),
+    "split_chapter_rows": split_rows,
     "reorder_chapters": reordered,
     "permutation_check": lambda s, d: V.permutation(lines(s, d).select("book_id", "text"), V.split(lines(s, d), cuts(s, d)).select("book_id", "text")),
     "apply_rewrites": apply_rewrites,
@@ -137,6 +155,7 @@ SQL = {
     "merge_chapters": f"SELECT c.book_id, chapter_id, title, CASE WHEN chapter_id = second THEN (SELECT least(min(ordinal), 0) FROM ({CHAPTERS}) x WHERE x.book_id = c.book_id) - 1 WHEN second IS NOT NULL AND ordinal > 1 THEN ordinal - 1 ELSE ordinal END AS ordinal, included FROM ({CHAPTERS}) c LEFT JOIN ({PAIRS}) p ON c.book_id = p.book_id",
     "merge_chapters_blocks": f"WITH l AS ({LINES}), e AS (SELECT book_id, chapter_id, max(block_index) + 1 AS n FROM l GROUP BY ALL) SELECT l.book_id, coalesce(first, l.chapter_id) AS chapter_id, (block_index + CASE WHEN first IS NULL THEN 0 ELSE n END)::INTEGER AS block_index, text FROM l LEFT JOIN ({PAIRS}) p ON l.book_id = p.book_id AND l.chapter_id = second LEFT JOIN e ON e.book_id = p.book_id AND e.chapter_id = first",
     "split_chapter": SPLIT_SQL,
+    "split_chapter_rows": SPLIT_ROWS_SQL,
     "reorder_chapters": f"SELECT book_id, chapter_id, title, CASE WHEN ordinal >= 0 AND book_id <> 'src3' THEN max(ordinal) OVER (PARTITION BY book_id) - ordinal ELSE ordinal END AS ordinal, included FROM ({CHAPTERS})",
     "permutation_check": f"WITH a AS (SELECT book_id, text FROM ({LINES})), b AS (SELECT book_id, text FROM ({SPLIT_SQL})) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
     "apply_rewrites": f"SELECT {KEY}, {_NORMAL} AS text FROM ({MARKED})",

@@ -215,11 +215,19 @@ def items_of_books(s, d):
 
 
 def _export(s, d):
-    durations = items_of_books(s, d).groupBy("book_id", "chapter_id").agg((F.sum("part") % 100 / 7).alias("seconds"))
+    durations = items_of_books(s, d).groupBy("book_id", "chapter_id").agg((F.sum("part") % 100 / 7 + 0.0005).alias("seconds"))
     titles = items_of_books(s, d).select("book_id", "chapter_id").distinct().withColumn("title", F.concat(F.lit("c"), F.col("chapter_id").cast("string"))).filter("chapter_id % 3 <> 0")
     return B.export_plan(items_of_books(s, d), durations, titles)
 
 
+def _export_books(s, d):
+    rows = items_of_books(s, d)
+    durations = rows.groupBy("book_id", "chapter_id").agg((F.sum("part") % 100 / 7 + 0.0005).alias("seconds")).withColumn("path", F.concat(F.lit("it's/"), F.col("chapter_id").cast("string"), F.lit(".wav")))
+    titles = rows.select("book_id", "chapter_id").distinct().withColumn("title", F.concat(F.lit("c#"), F.col("chapter_id").cast("string"))).filter("chapter_id % 3 <> 0")
+    books = table(s, d, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.col("c_name").alias("author"), F.lit("d").alias("description"), F.lit(None).cast("string").alias("isbn"))
+    return B.export_books(rows, durations, titles, books)
+
+
 def _items_sql() -> str:
     from narrata.catalog.jobs import ITEMS
 
@@ -234,12 +242,26 @@ e AS (SELECT *, total = done AS whole, CASE WHEN NOT bool_and(total = done) OVER
 SELECT book_id, chapter_id, total, done, len(missing)::INTEGER AS missing, whole, error, whole AND error IS NULL AS included FROM e
 """
 EXPORT_SQL = f"""
-WITH p AS (SELECT book_id, number AS chapter_id, count(*) FILTER (kind <> 'silence') AS total, bool_and(present) FILTER (kind <> 'silence') AS whole, round((sum(part) % 100 / 7.0::DOUBLE) * 1000)::BIGINT AS ms FROM ({ITEMS}) GROUP BY ALL)
+WITH p AS (SELECT book_id, number AS chapter_id, count(*) FILTER (kind <> 'silence') AS total, bool_and(present) FILTER (kind <> 'silence') AS whole, round_even((sum(part) % 100 / 7.0::DOUBLE + 0.0005::DOUBLE) * 1000, 0)::BIGINT AS ms FROM ({ITEMS}) GROUP BY ALL)
 SELECT book_id, chapter_id, CASE WHEN chapter_id % 3 <> 0 THEN 'c' || chapter_id ELSE '' END AS title, total,
   (sum(ms) OVER w - ms)::BIGINT AS start_ms, (sum(ms) OVER w)::BIGINT AS end_ms FROM p WHERE coalesce(whole, true) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_id)
 """
 
 
+_TAG = "replace(c_name, '#', chr(92) || '#')"
+EXPORT_BOOKS_SQL = f"""
+WITH p AS (SELECT book_id, number, count(*) FILTER (kind <> 'silence') AS total, coalesce(bool_and(present) FILTER (kind <> 'silence'), true) AS whole,
+  round_even((sum(part) % 100 / 7.0::DOUBLE + 0.0005::DOUBLE) * 1000, 0)::BIGINT AS ms, CASE WHEN number % 3 <> 0 THEN 'c#' || number ELSE '' END AS title FROM ({ITEMS}) GROUP BY ALL),
+m AS (SELECT *, (sum(ms) OVER w)::BIGINT AS stop FROM p WHERE whole WINDOW w AS (PARTITION BY book_id ORDER BY number)),
+t AS (SELECT book_id, string_agg('file ' || chr(39) || 'it' || chr(39) || chr(92) || chr(39) || chr(39) || 's/' || number || '.wav' || chr(39), chr(10) ORDER BY number) || chr(10) AS list,
+  string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (stop - ms) || chr(10) || 'END=' || stop || chr(10) || 'title=' || replace(title, '#', chr(92) || '#'), chr(10) ORDER BY number) AS marks FROM m GROUP BY book_id),
+r AS (SELECT book_id, count(*) FILTER (whole) AS chapters, '{{"omitted":[' || coalesce(string_agg('{{"number":' || number || ',"title":"' || title || '","reason":"incomplete"}}', ',' ORDER BY number) FILTER (NOT whole), '') || ']}}' AS report FROM p GROUP BY book_id)
+SELECT r.book_id, chapters, CASE WHEN chapters = 0 THEN 'nothing_included' END AS error, list, report,
+  CASE WHEN chapters > 0 THEN concat_ws(chr(10), ';FFMETADATA1', 'title=' || {_TAG}, 'artist=' || {_TAG}, 'album_artist=' || {_TAG}, 'genre=Audiobook', 'description=d', 'comment=d', marks) || chr(10) END AS metadata
+FROM r LEFT JOIN t ON t.book_id = r.book_id JOIN customer ON c_custkey = r.book_id
+"""
+
+
 def titled(s, d):
     """Lines whose text is a title of a chapter of their book: the first line of every fifth document."""
     titles = lines(s, d).filter("block_index = 0 AND chapter_id % 5 = 0").select("book_id", F.col("text").alias("title"))
@@ -317,6 +339,7 @@ QUERIES = {
     "ingest": lambda s, d: B.ingest(pages_as_book(s, d))[0].select("book_id", "chapter_id", "href", "ordinal", "title"),
     "ingest_blocks": lambda s, d: B.ingest(pages_as_book(s, d))[1].select(*BLOCK, "kind", "path", "text"),
     "export_plan": _export,
+    "export_books": _export_books,
     "select_for_mux_full": lambda s, d: B.select_for_mux(items_of_books(s, d), full=True).withColumn("missing", F.size("missing")),
     "book_metadata": lambda s, d: B.book_metadata(metadata_entries(s, d)),
     "chapter_titles": titles_of_chapters,
@@ -348,6 +371,7 @@ SQL = {
     "title_match": TITLED_SQL,
     "auto_apply_structure": f"SELECT {KEY}, 'dialogue' AS reason, 0.9::DOUBLE AS confidence FROM ({SCENES}) WHERE k IN (0, 1, 4)",
     "export_plan": EXPORT_SQL,
+    "export_books": EXPORT_BOOKS_SQL,
     "select_for_mux_full": MUX_FULL_SQL,
     "book_metadata": METADATA_SQL,
     "chapter_titles": TITLES_SQL,

@@ -90,6 +90,30 @@ def find_claimed(text: Column, passes: Sequence[Pass], say: Callable[[int, str],
     return F.arrow_udf(job, CLAIMED)(text)
 
 
+def put(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with spans (start, end, new) replaced from right to left; disjoint ones in one pass."""
+    spans = sorted(spans)
+    if all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)):
+        out, at = [], 0
+        for start, end, new in spans:
+            out += [text[at:start], new]
+            at = end
+        return "".join([*out, text[at:]])
+    for start, end, new in reversed(spans):
+        text = text[:start] + new + text[end:]
+    return text
+
+
+def _put_all(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+    return pa.array([t if t is None or not spans else put(t, [(s["start"], s["end"], s["new"] or "") for s in spans]) for t, spans in rows], pa.string())
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """Text with ``array<struct<start, end, new>>`` replaced, in time in proportion to its length; see ``put``."""
+    return F.arrow_udf(_put_all, "string")(text, spans)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """Whether two structs with start and end share a character."""
     return (a["start"] < b["end"]) & (b["start"] < a["end"])

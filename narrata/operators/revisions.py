@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.functions.offsets import replaced
+
 BLOCK = ["book_id", "chapter_id", "block_index"]
 
 
@@ -43,8 +45,7 @@ def commit(blocks: DataFrame, changes: DataFrame, revision: int, base: int | Non
 def apply_rewrites(text: Column, suggestions: Column) -> Column:
     """Text with conversion artefacts replaced, from right to left."""
     marks = F.filter(suggestions, lambda s: s["kind"] == "conversion_artifact")
-    ordered = F.reverse(F.array_sort(F.transform(marks, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("new")))))
-    return F.aggregate(ordered, text, lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), s["new"], F.substring(acc, s["end"] + 1, F.length(acc))))
+    return replaced(text, F.transform(marks, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("new"))))
 
 
 def conflicts(suggestions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -115,6 +116,41 @@ def split(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
     return first.select(*blocks.columns).unionByName(second.select(*blocks.columns))
 
 
+def split_chapters(chapters: DataFrame, blocks: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chapters and blocks after cuts (book_id, chapter_id, at_block, at_offset, new_chapter_id), one a chapter at most.
+
+    The new chapter stands behind the one that is cut, and later ones move
+    down.  Its title is its first heading, if that is one and another than the
+    old title, else the old title with `` (2)``.  A cut of a removed chapter,
+    outside its block, or with nothing on one side of it, changes nothing.
+    ``kind`` of the blocks tells headings; without it there are none.
+    """
+    one = ["book_id", "chapter_id"]
+    kind = F.col("kind") if "kind" in blocks.columns else F.lit("paragraph")
+    rows = blocks.select(*one, "block_index", "text", kind.alias("kind")).join(cuts, one)
+    behind, here = F.col("block_index") > F.col("at_block"), F.col("block_index") == F.col("at_block")
+    divided = (F.col("at_offset") > 0) & (F.col("at_offset") < F.col("size"))
+    # The block that begins the new chapter: the rest of the one that is cut, or a whole one.
+    found = rows.groupBy(*one, "at_block", "at_offset", "new_chapter_id").agg(
+        F.max(F.when(here, F.length("text"))).alias("size"), F.count(F.when(F.col("block_index") < F.col("at_block"), 1)).alias("ahead"), F.count(F.when(behind, 1)).alias("behind"),
+        F.max(F.when(here, F.struct("kind", "text"))).alias("at"), F.min(F.when(behind, F.struct("block_index", "kind", "text"))).alias("next"),
+    )
+    first, last = F.col("at_offset") == 0, F.col("at_offset") == F.col("size")
+    good = found.filter(F.col("at_offset").between(0, F.col("size"))).filter(divided | (first & (F.col("ahead") > 0)) | (~first & last & (F.col("behind") > 0)))
+    rest = F.when((F.col("at.kind") == "heading") & (divided | first), F.trim(F.expr("substring(at.text, at_offset + 1)")))
+    following = F.when((F.col("next.kind") == "heading") & ~first, F.trim("next.text"))
+    good = good.select(*one, "at_block", "at_offset", "new_chapter_id", rest.alias("rest"), following.alias("following"))
+    good = good.join(chapters.filter("ordinal >= 0").select(*one), one, "left_semi")
+    order = Window.partitionBy("book_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    joined = chapters.join(good.select(*one, "new_chapter_id", "rest", "following"), one, "left")
+    moved = F.coalesce(F.sum(F.when(F.col("new_chapter_id").isNotNull(), 1)).over(order), F.lit(0)).cast("int")
+    joined = joined.withColumn("ordinal", F.when(F.col("ordinal") >= 0, F.col("ordinal") + moved).otherwise(F.col("ordinal")))
+    other = lambda c: F.when((F.col(c) != "") & (F.col(c) != F.col("title")), F.col(c))
+    title = F.coalesce(other("rest"), other("following"), F.concat("title", F.lit(" (2)")))
+    added = joined.filter("new_chapter_id IS NOT NULL").withColumn("title", title).withColumn("ordinal", F.col("ordinal") + 1).withColumn("chapter_id", F.col("new_chapter_id"))
+    return joined.select(*chapters.columns).unionByName(added.select(*chapters.columns)), split(blocks, good.select(*one, "at_block", "at_offset", "new_chapter_id"))
+
+
 def permutation(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows by which two tables differ as multisets; none if one is a permutation of the other."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from narrata.functions.sentences import Segment, pieces, sentences
 from narrata.operators.html_blocks import html_blocks
-from narrata.plans import chunks, voices
+from narrata.plans import chunks, export, voices
 
 BLOCK = ["book_id", "chapter_id", "block_index"]
 
@@ -110,18 +110,41 @@ def select_for_mux(items: DataFrame, full: bool = False) -> DataFrame:
     return per.withColumn("error", error).withColumn("included", F.col("whole") & F.col("error").isNull())
 
 
-def export_plan(items: DataFrame, durations: DataFrame, titles: DataFrame) -> DataFrame:
+def export_plan(items: DataFrame, durations: DataFrame, titles: DataFrame, full: bool = False) -> DataFrame:
     """Per exported chapter: its place in the audio book (start and end in milliseconds), title, and items.
 
     ``items`` has book_id, chapter_id, ordinal, kind and present, ``durations``
-    (book_id, chapter_id, seconds); a chapter without a duration takes none.
+    (book_id, chapter_id, seconds); a chapter without a duration takes none,
+    and a negative one is an error.
     """
-    kept = select_for_mux(items).filter("included").select("book_id", "chapter_id", "total")
+    kept = select_for_mux(items, full).filter("included").select("book_id", "chapter_id", "total")
     rows = kept.join(durations, ["book_id", "chapter_id"], "left").join(titles, ["book_id", "chapter_id"], "left")
-    ms = F.round(F.coalesce("seconds", F.lit(0.0)) * 1000).cast("long")
-    order = Window.partitionBy("book_id").orderBy("chapter_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ms", ms).withColumn("start_ms", F.coalesce(F.sum("ms").over(order), F.lit(0)))
-    return rows.select("book_id", "chapter_id", F.coalesce("title", F.lit("")).alias("title"), "total", "start_ms", (F.col("start_ms") + F.col("ms")).alias("end_ms"))
+    seconds = F.when(F.col("seconds") < 0, F.raise_error("a chapter's duration is negative")).otherwise(F.coalesce("seconds", F.lit(0.0))).cast("double")
+    rows = rows.select("book_id", F.col("chapter_id").alias("number"), F.coalesce("title", F.lit("")).alias("title"), "total", seconds.alias("duration_s"))
+    places = export.marks(rows).join(rows.select("book_id", "number", "total"), ["book_id", "number"])
+    return places.select("book_id", F.col("number").alias("chapter_id"), "title", "total", "start_ms", "end_ms")
+
+
+def export_books(items: DataFrame, durations: DataFrame, titles: DataFrame, books: DataFrame, full: bool = False) -> DataFrame:
+    """All that an export needs, one row per book: chapters, error, file list, metadata with marks, and report.
+
+    ``durations`` also has the path of each chapter's sound, ``books``
+    (book_id, title, author, description, isbn).  The list has the sounds of
+    the exported chapters in order, the report those that are not whole.  A
+    book of which nothing is exported has an error, and no list or metadata.
+    """
+    one = ["book_id", "chapter_id"]
+    chosen = select_for_mux(items, full).join(titles, one, "left").join(durations.select(*one, "path"), one, "left")
+    omitted = F.when(~F.col("whole"), F.struct(F.col("chapter_id").alias("number"), F.coalesce("title", F.lit("")).alias("title"), F.lit("incomplete").alias("reason")))
+    line = F.when(F.col("included"), F.struct("chapter_id", export.file_line(F.col("path")).alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    per = chosen.groupBy("book_id").agg(
+        F.count(F.when(F.col("included"), 1)).alias("chapters"), F.max("error").alias("error"), F.when(F.count(line) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).alias("list"),
+        F.to_json(F.struct(F.array_sort(F.collect_list(omitted)).alias("omitted"))).alias("report"),
+    )
+    marks = export_plan(items, durations.select(*one, "seconds"), titles, full).withColumnRenamed("chapter_id", "number")
+    told = export.metadata(books, marks).withColumnRenamed("text", "metadata")
+    return per.join(told, "book_id", "left").select("book_id", "chapters", "error", "list", F.when(F.col("error").isNull(), F.col("metadata")).alias("metadata"), "report")
 
 
 def chapter_text(blocks: DataFrame, spoken: bool = False) -> DataFrame:

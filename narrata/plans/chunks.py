@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHARS_PER_SECOND = 14.0
 
 
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+
 def text_key(text: Column) -> Column:
-    """Hash of the stripped text."""
-    return F.sha2(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").cast("binary"), 256)
+    """Hash of the text, composed (NFC) and stripped."""
+    return F.sha2(F.regexp_replace(F.arrow_udf(_composed, "string")(text), r"(?U)^\s+|\s+$", "").cast("binary"), 256)
 
 
 def content_key(text: Column, **parts: Column) -> Column:
@@ -59,6 +66,31 @@ def reconcile(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return both.select("render_key", reason.isNull().alias("reusable"), reason.alias("reason"))
 
 
+def listed_chunks(spark: SparkSession, path: str, rate: int, header: int = 44) -> DataFrame:
+    """(render_key, file_size, file_duration_s) of the ``.wav`` files under a folder, from their names and sizes alone.
+
+    A file still being written (``.part``) is none.  ``rate`` is the bytes of
+    a second of sound behind a header.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+    return found.select(_stem(F.col("path")).alias("render_key"), F.col("length").alias("file_size"), (F.greatest(F.col("length") - header, F.lit(0)) / rate).alias("file_duration_s"))
+
+
+def listed_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(render_key, size, duration_s) of the ``.json`` files under a folder; of one that cannot be read both are null."""
+    rows = spark.read.schema("size long, duration_s double").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    return rows.select(_stem(F.col("_metadata.file_path")).alias("render_key"), "size", "duration_s")
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1)
+
+
+def reconcile_folder(spark: SparkSession, path: str, rate: int) -> DataFrame:
+    """``reconcile`` of the files and sidecars under a folder; no sound is read."""
+    return reconcile(listed_chunks(spark, path, rate), listed_sidecars(spark, path))
+
+
 def plan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keys of two plans: reused, new or dropped."""
     a, b = old.select("render_key").distinct().withColumn("o", F.lit(True)), new.select("render_key").distinct().withColumn("n", F.lit(True))

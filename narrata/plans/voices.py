@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from narrata.functions.offsets import replaced
+
 TILE = "array<struct<kind:string,gender:string,start:int,end:int>>"
 BLOCK = ("book_id", "chapter_id", "block_index")
 
@@ -34,8 +36,7 @@ def tile(text: Column, spans: Column) -> Column:
 def spoken_form(text: Column, spans: Column) -> Column:
     """Text with pronunciation spans replaced and skip spans dropped, from right to left; spans out of range are ignored."""
     good = F.filter(spans, lambda s: s["kind"].isin("pronunciation", "skip") & (s["start"] >= 0) & (s["end"] <= F.length(text)) & (s["start"] <= s["end"]))
-    ordered = F.reverse(F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "skip", "").otherwise(F.coalesce(s["spoken"], F.lit(""))).alias("new")))))
-    return F.aggregate(ordered, text, lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), s["new"], F.substring(acc, s["end"] + 1, F.length(acc))))
+    return replaced(text, F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "skip", "").otherwise(F.coalesce(s["spoken"], F.lit(""))).alias("new"))))
 
 
 def overlays(tiles: DataFrame, marks: DataFrame) -> DataFrame:
