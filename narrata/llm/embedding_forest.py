@@ -207,10 +207,12 @@ def _compare(threshold: float):
         owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
         codes = lists.flatten().to_numpy()
         earlier = codes < code[0]
-        _, column = np.unique(codes[earlier], return_inverse=True)
-        before = np.zeros((len(node), int(column.max()) + 1 if len(column) else 1), np.float32)
-        before[owner[earlier], column] = 1
-        before = before[:, (before.sum(axis=0) > 1)]
+        # Leaves of one row tell nothing about pairs; only the others become columns.
+        _, column, rows = np.unique(codes[earlier], return_inverse=True, return_counts=True)
+        shared = rows > 1
+        before = np.zeros((len(node), int(shared.sum())), np.float32)
+        several = shared[column]
+        before[owner[earlier][several], (np.cumsum(shared) - 1)[column[several]]] = 1
         same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
         middle = 0 if same else int(np.searchsorted(own, own[-1]))
         links, left, right = np.zeros(len(node)), [], []
@@ -257,23 +259,27 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 
     Edge cases: vectors that are null, empty, zero, or hold nulls or
     non-finite numbers link with nothing; vectors of different lengths do not
-    link; a row with a null key has the links of its vector but no component,
-    and is not kept; repeated rows are copies; an empty table gives an empty
+    link; a row with a null key counts as another vector and has the links of
+    its own, but no component, and is not kept; repeated rows are copies; rows
+    that share a key but not a vector have the links and component of their
+    own vector each; an empty table gives an empty
     one; further columns are dropped.
     """
     kind = dict(vectors.dtypes)[embedding]
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     rows = cut(rows.mapInArrow(_usable, f"vec_id long, dim int, fa long, fb long, embedding {kind}"), "vectors")
-    named = rows.filter("dim > 0").groupBy("fa", "fb", "dim").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-    named = cut(named, "vector-classes")
+    named = rows.filter("dim > 0").groupBy("fa", "fb", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # Classes of equal vectors have numbers of their own, as keys may be null or shared.
+    named = cut(named.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     first = rows.filter("dim > 0").dropDuplicates(["fa", "fb", "dim"]).select("fa", "fb", "embedding")
-    nodes = cut(named.filter("node IS NOT NULL").join(first, ["fa", "fb"]).select("node", "dim", "weight", "embedding"), "vector-nodes")
+    held = cut(named.join(first, ["fa", "fb"]).select("node", "dim", "weight", "embedding", "fa", "fb"), "vector-nodes")
+    nodes = held.drop("fa", "fb")
     total = nodes.count()
     out = rows.select("vec_id", "fa", "fb", "dim").join(named.drop("dim"), ["fa", "fb"], "left")
     if total < 2:
         links = component = F.lit(None).cast("long")
     else:
-        sample = nodes.select("node", "dim", "embedding").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()
+        sample = held.orderBy("fa", "fb").limit(SAMPLE).select("node", "dim", "embedding").toArrow()
         model = vectors.sparkSession.sparkContext.broadcast(fit(sample, total, threshold))  # at most TREES * SAMPLE / 32 pairs of numbers
         leaves = cut(nodes.mapInArrow(_route(model), "node long, dim int, tree int, leaf long"), "leaves")
         leaves = split_large(leaves, nodes, threshold)
@@ -286,9 +292,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
         links, component = F.col("links"), F.lit(None).cast("long")
         if not edges.isEmpty():
-            labels = components(edges).withColumnRenamed("node", "labelled")
+            labels = components(edges).select(F.col("node").alias("labelled"), F.col("component").alias("of"))
+            labels = cut(labels.join(named.select("node", "least"), F.col("node") == F.col("labelled")).select("labelled", "of", "least"), "vector-labels")
+            smallest = labels.groupBy("of").agg(F.min("least").alias("component"))
+            labels = labels.select("labelled", "of").join(smallest, "of").select("labelled", "component")
             out, component = out.join(labels, F.col("node") == F.col("labelled"), "left"), F.col("component")
     alone = F.coalesce("dim", F.lit(0)) == 0
     n_links = F.when(alone, 0).otherwise(F.coalesce(links, F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0)))
-    component = F.when(F.col("vec_id").isNull(), None).when(alone, F.col("vec_id")).otherwise(F.coalesce(component, F.col("node")))
+    component = F.when(F.col("vec_id").isNull(), None).when(alone, F.col("vec_id")).otherwise(F.coalesce(component, F.col("least")))
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

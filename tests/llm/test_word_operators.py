@@ -267,3 +267,26 @@ def test_letters_are_counted_over_all_texts(spark, monkeypatch):
             s = [0, 0, *(27 + 4 if c in "äÄ" else ord(c.lower()) - 96 for c in w), 0]
             expected.update((s[k] * 60 + s[k + 1]) * 60 + s[k + 2] for k in range(len(s) - 2))
     assert {g: n for g, n in whole.items() if g % 60 or g // 60 % 60} == dict(expected)
+
+
+# ---- embeddings: keys ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_vectors_without_keys_or_with_shared_ones(spark):
+    from narrata.llm import embedding_forest
+
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(6, 16))
+    near = lambda k, noise=0.02: [float(x) for x in base[k] + rnd.normal(size=16) * noise]
+    rows = [(5, near(0)), (None, near(0)), (7, near(0)), (3, near(1)), (3, near(2)), (8, near(1)), (9, near(2)), (None, near(3)), (None, near(3)), (1, near(4)), (2, None), (4, [0.0] * 16)]
+    rows.append((6, rows[0][1]))
+    frame = spark.createDataFrame([(k, v, "clash", 1) for k, v in rows], "vec_id long, embedding array<double>, node string, weight int")
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    expected = []
+    for i, (k, _) in enumerate(rows):
+        links = [j for j, u in enumerate(unit) if j != i and u is not None and unit[i] is not None and float(u @ unit[i]) >= 0.95]
+        keys = [x for x in [k, *(rows[j][0] for j in links)] if x is not None]
+        component = None if k is None else min(keys)
+        expected.append((k, len(links), component, k is not None and k == component))
+    got = [tuple(r) for r in embedding_forest.near_duplicates(frame).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
