@@ -3,24 +3,28 @@
 Paragraphs are the lines of a text, and besides them windows of ``WINDOW``
 words that begin at anchors.  Of every ``REACH`` consecutive windows the one
 with the smallest hash is an anchor, so anchors depend on the words around
-them alone, and every unedited passage of ``WINDOW + REACH - 1`` words (50)
-holds one, wherever it stands, in the middle of a line too.
+them alone, and every unedited passage of ``WINDOW + REACH - 1`` words (34)
+holds one, wherever it stands, in the middle of a line too; in a longer one
+windows overlap from end to end.
 
 Lines have bands of two MinHashes, as many as the recall asks for; those
 that collide are compared by exact Jaccard similarity of their shingles.  A
 window is so short that an edit leaves it under the threshold, so its one band
 has all rows: equal sets collide.  Links are clustered into components; of
-each the first occurrence stays and the others are marked as repeats.
+each the first occurrence stays and the others are marked as repeats.  At both
+ends a repeat is then compared with the occurrence that stays, word by word,
+and goes on to where the texts part.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,10 +34,12 @@ from narrata.llm.ngram_join import Rule, contract, listed, set_schema
 from narrata.llm.scratch import cut
 
 WINDOW = 20
-REACH = 31
+REACH = 15
 #: Lines of fewer words are no paragraphs: stock phrases and headings repeat in texts that repeat nothing else.
 LINE = 20
 RULE = Rule(size=5, num=80, den=100)
+#: Words beside a span that it can go on for; were there more, they would hold a window of their own.
+BESIDE = WINDOW + REACH - 1
 
 
 def bands(similarity: float, recall: float, rows: int) -> int:
@@ -168,6 +174,81 @@ def _texts(sketched: bool):
     return job
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _beside(text: str, begin: int, end: int) -> tuple[str, str]:
+    """The last BESIDE words before a span and the first ones behind it, with the white space between."""
+    size, found = 16 * BESIDE, []
+    for ahead in (False, True):
+        width = size
+        while True:
+            part = text[end : end + width] if ahead else text[max(0, begin - width) : begin]
+            whole = end + width >= len(text) if ahead else begin <= width
+            places = [m.span() for m in _WORD.finditer(part)]
+            # A word at the border may be cut.
+            if whole or len(places) > BESIDE:
+                break
+            width *= 2
+        if len(places) > BESIDE:
+            part = part[: places[BESIDE - 1][1]] if ahead else part[places[-BESIDE][0] :]
+        found.append(part)
+    return found[0], found[1]
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, begin, end, left, right) of the spans that each row's list asks for."""
+    for batch in batches:
+        for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(0, len(wanted), 1000):
+                some = wanted[k : k + 1000]
+                left, right = zip(*(_beside(text, w["begin"], w["end"]) for w in some), strict=True)
+                columns = [pa.array([doc] * len(some), pa.int64()), pa.array([w["begin"] for w in some], pa.int32()), pa.array([w["end"] for w in some], pa.int32()), pa.array(left), pa.array(right)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "begin", "end", "left", "right"])
+
+
+def _common(a: str, b: str, ahead: bool) -> tuple[int, int]:
+    """Characters of two contexts, from the span on, up to where their words part; letters A-Z in either case."""
+    places = [[m.span() for m in _WORD.finditer(t)] for t in (a, b)]
+    x, y = places if ahead else (places[0][::-1], places[1][::-1])
+    n = 0
+    while n < min(len(x), len(y)) and a[slice(*x[n])].encode("utf-8", "surrogatepass").lower() == b[slice(*y[n])].encode("utf-8", "surrogatepass").lower():
+        n += 1
+    if n == 0:
+        return 0, 0
+    return (x[n - 1][1], y[n - 1][1]) if ahead else (len(a) - x[n - 1][0], len(b) - y[n - 1][0])
+
+
+def _extents(*sides: pa.Array) -> pa.Array:
+    """How far a span and the one it repeats go on, to the left and to the right."""
+    rows = zip(*(s.to_pylist() for s in sides), strict=True)
+    found = [(*_common(a, b, False), *_common(c, d, True)) if a is not None and b is not None else (0, 0, 0, 0) for a, c, b, d in rows]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (zip(*found, strict=True) if found else ((),) * 4)], names=["left", "first_left", "right", "first_right"])
+
+
+def extended(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans (doc_id, first_doc_id, begin, end, first_begin, first_end) that go on to where both texts part.
+
+    The texts are read once more, for the words beside each place; a place
+    that many spans repeat is read once.
+    """
+    sides = (("doc_id", "begin", "end"), ("first_doc_id", "first_begin", "first_end"))
+    places = [spans.select(F.col(d).alias("doc"), F.col(b).alias("begin"), F.col(e).alias("end")) for d, b, e in sides]
+    wanted = places[0].unionByName(places[1]).distinct().groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("wanted"))
+    wanted = cut(wanted, "places")
+    held = docs.join(small(wanted.select("doc")), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])
+    beside = held.join(wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "wanted").mapInArrow(_contexts, "doc long, begin int, end int, left string, right string")
+    beside = cut(beside, "beside")
+    rows = spans
+    for (d, b, e), side in zip(sides, "ab", strict=True):
+        one = beside.select(F.col("doc").alias(d), F.col("begin").alias(b), F.col("end").alias(e), F.col("left").alias(f"{side}_left"), F.col("right").alias(f"{side}_right"))
+        rows = rows.join(one, [d, b, e], "left")
+    grown = F.arrow_udf(_extents, "struct<left:int,first_left:int,right:int,first_right:int>")("a_left", "a_right", "b_left", "b_right")
+    rows = rows.withColumn("grown", grown)
+    moved = {"begin": F.col("begin") - F.col("grown.left"), "end": F.col("end") + F.col("grown.right"), "first_begin": F.col("first_begin") - F.col("grown.first_left"), "first_end": F.col("first_end") + F.col("grown.first_right")}
+    return rows.withColumns(moved).select(*spans.columns)
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages that occur more than once, one row per document and span.
 
@@ -175,7 +256,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     the span), component_id and first_doc_id (the document whose occurrence
     stays; a component's id is the smallest fingerprint in it), removed (false
     for the occurrence that stays).  Overlapping paragraphs with the same
-    fate and first document are one span.
+    fate and first document are one span, which goes on to where its text and
+    that of the first occurrence part.
 
     Edge cases: null and empty texts and those of few words have no
     paragraphs; a null key takes part in nothing; a row repeated in full
@@ -205,9 +287,21 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node") if labels is not None else placed.withColumnRenamed("node", "component")
     placed = placed.unionByName(windows.withColumnRenamed("node", "component"))
     # What occurs once repeats nothing.  A hot passage is counted in parts, and its rows are joined in as many tasks as they need.
-    firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("component", "first")
+    firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.count("*").alias("times")).filter("times > 1").select("component", "first")
     found = placed.join(firsts, "component").withColumn("removed", (F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")))
+    found = found.select("doc_id", F.col("first.doc_id").alias("first_doc_id"), "removed", "begin", "end", "n_words", "component", "first")
+    # What a span repeats lies where its first paragraph's first occurrence begins and its last one's ends.
+    first = [F.min_by("first.begin", F.struct("begin", "end")).alias("first_begin"), F.max_by("first.end", F.struct("end", "begin")).alias("first_end")]
+    spans = cut(_joined(found, first), "spans")
+    grown = cut(extended(spans.filter("removed"), docs), "grown")
+    # The occurrences that stay reach as far as the furthest repeat of them.
+    stay = grown.select(F.col("first_doc_id").alias("doc_id"), "first_doc_id", F.lit(False).alias("removed"), F.col("first_begin").alias("begin"), F.col("first_end").alias("end"), "n_words", F.col("component_id").alias("component")).distinct()
+    same = ["doc_id", "first_doc_id", "removed", "begin", "end", "n_words", F.col("component_id").alias("component")]
+    return _joined(grown.select(*same).unionByName(stay).unionByName(spans.filter("NOT removed").select(*same)), [])
+
+
+def _joined(found: DataFrame, more: list[Column]) -> DataFrame:
+    """Spans of overlapping rows of a document with the same fate and first document."""
     order = Window.partitionBy("doc_id", "first_doc_id", "removed").orderBy("begin", "end")
-    spans = found.select("doc_id", F.col("first.doc_id").alias("first_doc_id"), "removed", "begin", "end", "n_words", "component")
-    spans = spans.withColumn("new", F.when(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))
-    return spans.groupBy("doc_id", "first_doc_id", "removed", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.min("component").alias("component_id")).drop("span")
+    spans = found.withColumn("new", F.when(F.col("begin") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)).withColumn("span", F.sum("new").over(order))
+    return spans.groupBy("doc_id", "first_doc_id", "removed", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.min("component").alias("component_id"), *more).drop("span")

@@ -152,3 +152,39 @@ def test_candidates_hold_what_passes_the_word_check(spark):
 def test_deep_markup_is_walked_in_proportion():
     page = "<html><body><article>" + "<div><p>word " * 20_000
     assert len(re.findall("word", html_extract.main_text(page, set(), set()))) == 20_000
+
+
+def test_repeats_reach_from_end_to_end(spark):
+    """Of passages inside lines nearly all is marked, in the first text and in the others; short repeats from 34 words on."""
+    rnd = random.Random(31)
+    texts, places = [prose(rnd, 300).split(" ") for _ in range(60)], {}
+    for k in range(20):
+        length = (34, 60, 120, 200)[k % 4]
+        said = prose(rnd, length).split(" ")
+        for d in (k, k + 20, k + 40):
+            at = rnd.randrange(10, 280)
+            texts[d][at:at] = [w.upper() if d >= 40 else w for w in said]
+            before = " ".join(texts[d][:at])
+            places[d] = (len(before) + 1, len(before) + 1 + len(" ".join(said)))
+    rows = passages.repeats(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")).collect()
+    marked = {}
+    for r in rows:
+        # A window at an edge may be one of the later texts alone.
+        if r.first_doc_id < 20:
+            marked.setdefault(r.doc_id, []).append((r.begin, r.end))
+            assert r.removed == (r.doc_id >= 20) and r.first_doc_id == r.doc_id % 20
+    assert set(marked) == set(places)
+    for d, (begin, end) in places.items():
+        assert len(marked[d]) == 1
+        # Words before and behind may be equal by chance.
+        assert marked[d][0][0] <= begin and marked[d][0][1] >= end and marked[d][0][1] - marked[d][0][0] <= end - begin + 60
+
+
+def test_contexts_end_where_texts_part():
+    assert passages._common("x a  B", "y A b", False) == (4, 3)
+    assert passages._common(" c d e", " C\nd f", True) == (4, 4)
+    assert passages._common("a", "b", True) == (0, 0) and passages._common("", "", False) == (0, 0)
+    text = " ".join(f"w{k}" for k in range(500)) + "x" * 5000
+    left, right = passages._beside(text, 1000, 1010)
+    assert text[:1000].endswith(left) and text[1010:].startswith(right) and len(left.split()) == len(right.split()) == passages.BESIDE
+    assert passages._beside("a b c", 2, 3) == ("a ", " c") and passages._beside("abc", 0, 3) == ("", "")
