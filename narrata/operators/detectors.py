@@ -23,8 +23,8 @@ SUGGESTIONS = f"array<{SUGGESTION}>"
 
 LETTER = r"[^\W\d_]"
 # Fixed values. What conversion artefacts, acronyms, words and English spelling look like.
-HYPHEN_BREAK = rf"{LETTER}+{W.SOFT}?(?:-|{W.SOFT})\r?\n{LETTER}+"
-SOFT_WORD = rf"{LETTER}*(?:{W.SOFT}{LETTER}*)+"
+HYPHEN_BREAK = rf"(?<!{LETTER}){LETTER}+{W.SOFT}?(?:-|{W.SOFT})\r?\n{LETTER}+"
+SOFT_WORD = rf"(?<!{LETTER}){LETTER}*(?:{W.SOFT}{LETTER}*)+"
 SPACE_RUN = f"[{W.SPACES}]{{2,}}"
 DASH = f"[{W.TO_DASH}{W.TO_HYPHEN}]"
 ACRONYM = r"(?<![A-Za-z])[A-Z]{2,5}(?![A-Za-z])"
@@ -60,10 +60,20 @@ def _folded(match: Column) -> Column:
     return F.translate(match, W.TO_DASH + W.TO_HYPHEN, W.EM_DASH * len(W.TO_DASH) + "-" * len(W.TO_HYPHEN))
 
 
+class Needing:
+    """Matches of a pattern; a text without what each of them holds, in any case, is not searched."""
+
+    def __init__(self, pattern: str, needed: str) -> None:
+        self.pattern, self.needed = re.compile(pattern), needed.casefold()
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        return self.pattern.finditer(text) if self.needed in text.casefold() else iter(())
+
+
 #: Pattern, reason, replacement and confidence of the normalising passes, in their order.
 NORMAL = (
-    (HYPHEN_BREAK, "hyphenation", _joined, 0.95),
-    (SOFT_WORD, "soft_hyphen", _unhyphened, 0.99),
+    (Needing(HYPHEN_BREAK, "\n"), "hyphenation", _joined, 0.95),
+    (Needing(SOFT_WORD, W.SOFT), "soft_hyphen", _unhyphened, 0.99),
     (SPACE_RUN, "whitespace", lambda m: F.lit(" "), 0.99),
     (DASH, "dash", _folded, 0.9),
 )
@@ -71,7 +81,7 @@ NORMAL = (
 
 def _normal(k: int):
     pattern, reason, replacement, confidence = NORMAL[k]
-    return lambda text: suggest(find_all(text, pattern), k, "conversion_artifact", reason, replacement, confidence)
+    return lambda text: suggest(find_claimed(text, [(pattern, None)]), k, "conversion_artifact", reason, replacement, confidence)
 
 
 hyphen_breaks, soft_hyphens, space_runs, dashes = map(_normal, range(len(NORMAL)))
@@ -158,6 +168,22 @@ def respell(token: Column) -> Column:
     return let(spoken, lambda s: F.coalesce(own, F.when(capital, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))).otherwise(s)))
 
 
+@lru_cache(1 << 16)
+def said_foreign(token: str) -> str:
+    """As ``respell`` says it, for words found in Arrow functions."""
+    low = token.lower()
+    spoken = low
+    for source, target in W.RESPELLINGS:
+        spoken = spoken.replace(source, target)
+    first = token[:1]
+    return W.SPOKEN_WORDS.get(low) or (spoken[:1].upper() + spoken[1:] if first != first.lower() and first == first.upper() else spoken)
+
+
+@lru_cache(1 << 16)
+def said_acronym(token: str) -> str:
+    return " ".join(W.LETTER_NAMES[c] for c in token)
+
+
 @lru_cache(1 << 16)
 def is_acronym(word: str) -> bool:
     return word not in W.NOT_ACRONYMS and word.lower() not in W.ENGLISH_WORDS
@@ -173,26 +199,25 @@ def is_foreign(word: str) -> bool:
 def _lexical(text: Column, toponyms: bool = False, acronyms: bool = False, foreign: bool = False) -> Column:
     """Place names, longer ones first, before acronyms before foreign words, under one claim."""
     names = W.TOPONYMS if toponyms else ()
-    passes = [(toponym_pattern(s), None) for s, _ in names] + [(ACRONYM, is_acronym)] * acronyms + [(WORD, is_foreign)] * foreign
+    passes = [(Needing(toponym_pattern(s), s.split()[0]), None) for s, _ in names] + [(ACRONYM, is_acronym)] * acronyms + [(WORD, is_foreign)] * foreign
     n, last = len(names), len(names) + acronyms
-    spoken = F.array(*[F.lit(x) for _, x in names]) if names else F.array(F.lit(""))
+
+    def say(step: int, match: str) -> str:
+        return names[step][1] if step < n else said_acronym(match) if step < last else said_foreign(match)
 
     def of(h: Column) -> Column:
-        match, low = h["match"], F.lower(h["match"])
+        match, low, replacement = h["match"], F.lower(h["match"]), h["said"]
         place = h["step"] < n
         listed = low.isin(W.ENGLISH_WORDS)
 
-        def said(replacement: Column) -> Column:
-            return F.struct(
-                F.when(place, h["step"]).when(h["step"] < last, 10).otherwise(20).alias("step"), h["start"].alias("start"), h["end"].alias("end"),
-                F.when(place, "toponym").when(h["step"] < last, "acronym").otherwise("foreign_word").alias("kind"), match.alias("original"), replacement.alias("replacement"),
-                F.when(place, "toponym").when(h["step"] < last, "acronym").when(listed, "english_word").otherwise("english_orthography").alias("reason"),
-                F.when(place, 0.92).when(h["step"] < last, 0.86).when(F.lower(replacement) != low, 0.8).otherwise(0.62).alias("confidence"),
-            )
-
-        return let(F.when(place, F.get(spoken, h["step"])).when(h["step"] < last, spell(match)).otherwise(respell(match)), said)
+        return F.struct(
+            F.when(place, h["step"]).when(h["step"] < last, 10).otherwise(20).alias("step"), h["start"].alias("start"), h["end"].alias("end"),
+            F.when(place, "toponym").when(h["step"] < last, "acronym").otherwise("foreign_word").alias("kind"), match.alias("original"), replacement.alias("replacement"),
+            F.when(place, "toponym").when(h["step"] < last, "acronym").when(listed, "english_word").otherwise("english_orthography").alias("reason"),
+            F.when(place, 0.92).when(h["step"] < last, 0.86).when(F.lower(replacement) != low, 0.8).otherwise(0.62).alias("confidence"),
+        )
 
-    return F.transform(find_claimed(text, passes), of).cast(SUGGESTIONS)
+    return F.transform(find_claimed(text, passes, say), of).cast(SUGGESTIONS)
 
 
 def toponyms(text: Column) -> Column:

@@ -41,6 +41,9 @@ DOTTED = re.compile(r"(?<!\w)(\d{1,6})\.(?!\d)" + BEHIND)
 INTEGER = re.compile(r"(?<!\w)(\d{1,3}(?:[ \u00a0]\d{3})+|\d{1,12})(?!\w)" + BEHIND)
 CANONICAL = re.compile(r"(?=.)M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})")
 DIGITS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+#: What every number holds: a digit, or a word of Roman digits.
+NUMBER = re.compile(r"\d|(?<!\w)[IVXLCDM]{1,15}(?!\w)")
+DIGIT = re.compile(r"\d")
 #: Characters looked at for the word before a number.
 NEAR = 200
 
@@ -130,7 +133,10 @@ PASSES: dict[str, Reader] = {
 def find(text: str | None, heading: bool | None = False, passes: Iterable[str] = tuple(PASSES)) -> list[tuple]:
     """(start, end, kind, original, words, reason, confidence) of a block's numbers: an earlier pass before those that overlap it."""
     kept, out = Claims(), []
-    for pattern, read in (PASSES[p] for p in passes) if text else ():
+    if not text or not NUMBER.search(text):
+        return out
+    digits = DIGIT.search(text) is not None
+    for pattern, read in (PASSES[p] for p in passes if digits or p in ("headings", "romans")):
         for m in pattern.finditer(text):
             if (found := read(m, text, bool(heading))) and kept.take(m.start(), m.end()):
                 words, kind, reason, confidence = found

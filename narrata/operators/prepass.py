@@ -54,12 +54,6 @@ def _places(suggestions: Column, priority: int | None) -> Column:
     return F.transform(suggestions, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["step"] if priority is None else F.lit(priority)).alias("priority")))
 
 
-def skips(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """Blocks of front matter with their reason; a line's own reason before its place in the contents."""
-    lines = skip.line_skips(blocks)
-    return lines.unionByName(skip.contents_skips(blocks, titles).join(lines, KEY, "left_anti"))
-
-
 def prepass(blocks: DataFrame, titles: DataFrame | None = None, rules: DataFrame | None = None, own: plugins.Registry | None = None) -> DataFrame:
     """All suggestions of (book_id, chapter_id, block_index, text, heading), one row each.
 
@@ -73,7 +67,7 @@ def prepass(blocks: DataFrame, titles: DataFrame | None = None, rules: DataFrame
     text, none = F.col("text"), F.array().cast(f"array<{FOUND}>")
     mine = own.suggestions(text) if own else F.array().cast(detectors.SUGGESTIONS)
     rows = base.select(*KEY, "text", _each(detectors.normalization(text)).alias("normal"), _dialogue(text).alias("spoken"), numerals.numbers()(text, F.col("heading")).alias("numbers"), detectors.lexical(text).alias("words"), mine.alias("own"))
-    rows = rows.join(skips(base.select(*KEY, "text"), titles).select(*KEY, F.col("reason").alias("skipped")), KEY, "left")
+    rows = rows.join(skip.skips(base.select(*KEY, "text"), titles).select(*KEY, F.col("reason").alias("skipped")), KEY, "left")
     if rules is not None:
         said = lexicon.lexicon_suggestions(base.select(*KEY, "text"), rules)
         one = _found(F.col("start"), F.col("end"), F.lit("dict_hit"), F.col("original"), F.col("replacement"), F.when(F.col("auto"), "dict_auto").otherwise("dict"), F.lit(0.99))
