@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,38 @@ def _pairs(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[tuple
     return out
 
 
+def nearest(olds: list[int], news: list[int]) -> list[tuple[int, int]]:
+    """(new, old) places of equal texts, the nearest pair first, then that of the earlier old and the later new one.
+
+    The nearest pair are neighbours in order of place, so only neighbours wait
+    in a heap; when a pair goes, those beside it become neighbours.
+    """
+    order = sorted([(o, False) for o in olds] + [(n, True) for n in news])
+    ahead, behind = list(range(-1, len(order) - 1)), list(range(1, len(order) + 1))
+    gone, heap, out = [False] * len(order), [], []
+
+    def offer(i: int, j: int) -> None:
+        if 0 <= i and j < len(order) and order[i][1] != order[j][1]:
+            (o, _), (n, _) = (order[i], order[j]) if order[j][1] else (order[j], order[i])
+            heappush(heap, (abs(n - o), o, -n, i, j))
+
+    for i in range(len(order) - 1):
+        offer(i, i + 1)
+    while heap:
+        _, o, n, i, j = heappop(heap)
+        if gone[i] or gone[j]:
+            continue
+        gone[i] = gone[j] = True
+        out.append((-n, o))
+        left, right = ahead[i], behind[j]
+        if left >= 0:
+            behind[left] = right
+        if right < len(order):
+            ahead[right] = left
+        offer(left, right)
+    return out
+
+
 def _job(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     equal, place = {}, {}
@@ -46,9 +79,7 @@ def _job(table: pa.Table) -> pa.Table:
         equal.setdefault(r["norm"], ([], []))[r["new"]].append(r["block_index"])
     # Equal texts are most alike: they are paired before others, the nearest first.
     for olds, news in equal.values():
-        for _, o, n in sorted((abs(n - o), o, -n) for n in news for o in olds) if len(olds) * len(news) > 1 else [(0, o, -n) for o in olds for n in news]:
-            if -n not in place and o not in place.values():
-                place[-n] = o
+        place |= nearest(olds, news)
     done = set(place.values())
     left = [[(r["block_index"], r["norm"]) for r in rows if r["new"] == side and (r["block_index"] not in place if side else r["block_index"] not in done)] for side in (False, True)]
     place |= dict(_pairs(*left))

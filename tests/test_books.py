@@ -1,5 +1,6 @@
 """Page blocks, applied suggestions, matching of edited blocks, the pre-pass and whole plans."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from narrata import streaming
 from narrata.operators import apply as A
 from narrata.operators import prepass as P
-from narrata.operators.associate import associate_blocks
+from narrata.operators.associate import associate_blocks, nearest
 from narrata.operators.html_blocks import blocks_of, detect_format, resolve_href
 from narrata.plans import book as B
 from narrata.plans import chunks, jobs
@@ -144,3 +145,18 @@ def test_progress_stream_is_the_batch(spark, tmp_path):
         assert last[r.job_id].samples == r.samples
         assert abs(last[r.job_id].throughput - r.throughput) < 1e-9
         assert abs(last[r.job_id].chars_per_audio_s - r.chars_per_audio_s) < 1e-9
+
+
+def test_equal_blocks_are_paired_nearest_first():
+    rnd = random.Random(12)
+    for _ in range(300):
+        olds, news = sorted(rnd.sample(range(40), rnd.randint(0, 9))), sorted(rnd.sample(range(40), rnd.randint(0, 9)))
+        # An equal text at the same place was paired before.
+        news = [n for n in news if n not in olds]
+        expected, done = {}, set()
+        for _, o, n in sorted((abs(n - o), o, -n) for n in news for o in olds):
+            if -n not in expected and o not in done:
+                expected[-n] = o
+                done.add(o)
+        assert dict(nearest(olds, news)) == expected
+    assert len(nearest(list(range(0, 40_000, 2)), list(range(1, 40_000, 2)))) == 20_000
