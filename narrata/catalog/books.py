@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrata.catalog.base import KEY, LINES, MARKED, SOFT, lines, marked, table
-from narrata.catalog.text import ACRONYM_SQL, LEXICAL_SQL, TOPONYM_PARTS, _chain, _lexicon_sql, _rules, _without
+from narrata.catalog.text import ACRONYM_SQL, FRONT_SQL, LEXICAL_SQL, SKIP_SQL, TOPONYM_PARTS, _chain, _lexicon_sql, _rules, _without, front_matter
 from narrata.functions import word_lists as W
 from narrata.operators import detectors as D
 from narrata.operators import lexicon as L
 from narrata.operators import review as R
 from narrata.operators import revisions as V
+from narrata.operators import skip
 from narrata.operators import text as T
 
 
@@ -138,7 +139,7 @@ QUERIES = {
     "undo_batch": lambda s, d: R.undo(R.bulk(R.bulk(review_base(s, d), "kind = 'acronym'", "accepted", "b1"), "true", "rejected", "b2"), "b1"),
     "auto_apply": lambda s, d: acronyms(s, d).filter("confidence >= 0.9"),
     "hard_cases": lambda s, d: R.hard_cases(acronyms(s, d), marked(s, d), F.col("confidence") < 0.9, 40),
-    "not_overlapping_skip": lambda s, d: R.without_overlaps(acronyms(s, d), marked(s, d).filter("block_index % 2 = 0").select(*V.BLOCK, F.lit(0).alias("start"), F.length("text").alias("end"))),
+    "not_overlapping_skip": lambda s, d: R.without_overlaps(D.suggestions(front_matter(s, d), D.acronyms), skip.line_skips(front_matter(s, d))),
     "lexicon_wins": lambda s, d: R.without_overlaps(acronyms(s, d), L.lexicon_suggestions(marked(s, d), _rules(s))),
     "paint_gender": painted,
     "preview_hits": lambda s, d: T.preview_hits(lines(s, d), "thin"),
@@ -166,7 +167,7 @@ SQL = {
     "undo_batch": f"SELECT * REPLACE (CASE WHEN kind = 'acronym' THEN 'open' ELSE 'rejected' END AS status, CASE WHEN kind = 'acronym' THEN NULL ELSE 'b2' END AS batch_id) FROM ({_BASE})",
     "auto_apply": f"SELECT * FROM ({ACRONYMS}) WHERE confidence >= 0.9",
     "hard_cases": f"SELECT a.*, b.before, b.after FROM ({ACRONYMS}) a JOIN (SELECT {KEY}, right(lag(text) OVER w, 40) AS before, left(lead(text) OVER w, 40) AS after FROM ({MARKED}) WINDOW w AS (PARTITION BY book_id, chapter_id ORDER BY block_index)) b ON a.book_id = b.book_id AND a.chapter_id = b.chapter_id AND a.block_index = b.block_index WHERE confidence < 0.9",
-    "not_overlapping_skip": f"SELECT * FROM ({ACRONYMS}) WHERE block_index % 2 = 1",
+    "not_overlapping_skip": _without(ACRONYM_SQL.replace(MARKED, FRONT_SQL), SKIP_SQL),
     "lexicon_wins": _without(ACRONYMS, _lexicon_sql()),
     "paint_gender": f"""SELECT {KEY}, start, "end", CASE WHEN kind = 'acronym' THEN CASE WHEN chapter_id % 2 = 0 THEN 'male' ELSE 'female' END END AS gender, CASE WHEN kind = 'acronym' THEN 0.86::DOUBLE END AS gender_confidence FROM ({ACRONYMS})""",
     "preview_hits": f"SELECT {KEY}, ((length(text) - length(replace(text, 'thin', ''))) / 4)::BIGINT AS hits FROM ({LINES}) WHERE contains(text, 'thin') ORDER BY book_id, chapter_id, block_index LIMIT 50",
