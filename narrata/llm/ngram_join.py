@@ -270,7 +270,7 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
         if best is False:
             buckets = still_open()
         sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        heavy = cut(sizes.filter(_heavy("of", "s", "q")).select("token", F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks")), "heavy")
+        heavy = cut(sizes.filter(_heavy("of", "s", "q")).select("token"), "heavy")
         if not heavy.isEmpty():
             if sketches is None:
                 nodes = cut(buckets.join(small(heavy), "token", "left_semi").select("node").distinct(), "nodes")
@@ -326,18 +326,30 @@ def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:
 def _block_pairs(buckets: DataFrame, heavy: DataFrame, sketches: DataFrame, rule: Rule, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in heavy lists that no bound rules out.
 
-    A list is cut into blocks, and each pair of blocks is a task's work.  Rows
-    carry the tokens of their prefix; a pair counts in the first heavy list
-    that both nodes have, so no pair is returned twice.  With ``best`` a node
-    brings only the pair with its most similar partner in a block.
+    Near copies have many heavy lists in common, so lists of mostly the same
+    nodes have one home: the smallest heavy token of most of their nodes.  A
+    node goes once to each home of its lists, with the tokens of its prefix.  A
+    home is cut into blocks, and each pair of blocks is a task's work.  A pair
+    counts in the first home of the lists that both nodes have, so no pair is
+    returned twice.  With ``best`` a node brings only the pair with its most
+    similar partner in a block.
     """
-    marked = buckets.select("token", "node").join(small(heavy.select("token", F.lit(True).alias("heavy"))), "token", "left")
-    lists = marked.groupBy("node").agg(F.collect_set(F.when(F.col("heavy"), F.col("token"))).alias("heavies"), F.collect_set(F.when(F.col("heavy").isNull(), F.col("token"))).alias("lights"))
-    nodes = cut(lists.filter(F.size("heavies") > 0).join(sketches, "node"), "heavy-nodes")
-    rows = buckets.join(small(heavy), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    in_heavy = buckets.select("token", "node").join(small(heavy), "token")
+    first = in_heavy.groupBy("node").agg(F.min("token").alias("first"))
+    counts = in_heavy.join(first, "node").groupBy("token", "first").agg(F.count("*").alias("times"))
+    homes = cut(counts.groupBy("token").agg(F.max_by("first", F.struct("times", "first")).alias("home")), "homes")
+    marked = buckets.select("token", "node").join(small(homes), "token", "left")
+    held = F.sort_array(F.collect_set(F.when(F.col("home").isNotNull(), F.struct("token", "home"))))
+    lists = marked.groupBy("node").agg(held.alias("held"), F.collect_set(F.when(F.col("home").isNull(), F.col("token"))).alias("lights"))
+    nodes = lists.filter(F.size("held") > 0).select("node", F.col("held.token").alias("heavies"), F.col("held.home").alias("homes"), "lights")
+    told = buckets.select("node", "n", "matches", "rest", "component").dropDuplicates(["node"])
+    nodes = cut(nodes.join(sketches, "node").join(told, "node"), "heavy-nodes")
+    rows = nodes.withColumn("home", F.explode(F.array_distinct("homes")))
+    sizes = cut(nodes.select(F.explode(F.array_distinct("homes")).alias("home")).groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "home-blocks")
+    rows = rows.join(small(sizes), "home").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", "node", "n", "matches", "rest", "component", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    return rows.join(nodes, "node").groupBy("token", "one", "two").applyInArrow(_compare(rule, best), "a long, b long")
+    rows = rows.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("blocks", "other")
+    return rows.groupBy("home", "one", "two").applyInArrow(_compare(rule, best), "a long, b long")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,10 +379,10 @@ def _shared(codes: np.ndarray, ends: np.ndarray, i: slice, j: slice) -> np.ndarr
 
 
 def _compare(rule: Rule, best: bool):
-    """A job for two blocks of one heavy list, or for one block with itself."""
+    """A job for two blocks of one home of heavy lists, or for one block with itself."""
 
     def job(table: pa.Table) -> pa.Table:
-        token = table.column("token")[0].as_py()
+        home = table.column("home")[0].as_py()
         same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
         heavies, owner = _flat(table.column("heavies"))
         first = np.full(table.num_rows, np.iinfo(np.int64).max)
@@ -379,12 +391,12 @@ def _compare(rule: Rule, best: bool):
         table = table.take(pa.array(np.lexsort([first, table.column("own").to_numpy()])))
         node, n, matches, rest, component, own = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "matches", "rest", "component", "own"))
         heavies, owner = _flat(table.column("heavies"))
+        homes, _ = _flat(table.column("homes"))
         lights, under = _flat(table.column("lights"))
         codes, row = np.concatenate([heavies, lights]), np.concatenate([owner, under])
         codes = codes[np.argsort(row, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(node)))])
-        earlier = heavies < token
-        before, at = heavies[earlier], np.concatenate([[0], np.cumsum(np.bincount(owner[earlier], minlength=len(node)))])
+        before, at, here, here_at = *_part(heavies, owner, homes < home, len(node)), *_part(heavies, owner, homes == home, len(node))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
         middle = 0 if same else int(np.searchsorted(own, own[-1]))
         found = []
@@ -405,6 +417,8 @@ def _compare(rule: Rule, best: bool):
                 overlap = -(-(low + high) * rule.num // (rule.num + rule.den))
                 needed = np.maximum(np.minimum(matches[i][:, None], matches[j][None, :]), overlap - np.maximum(rest[i][:, None], rest[j][None, :]))
                 good &= (_shared(codes, ends, i, j) >= needed) & (_shared(before, at, i, j) == 0)
+                if good.any():
+                    good &= _shared(here, here_at, i, j) > 0
                 p, q = np.nonzero(good)
                 for c in range(0, len(p), 4096):
                     u, v = p[c : c + 4096], q[c : c + 4096]
@@ -432,6 +446,11 @@ def _compare(rule: Rule, best: bool):
     return job
 
 
+def _part(codes: np.ndarray, owner: np.ndarray, some: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the codes, which stand by row, and where each row's begin."""
+    return codes[some], np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=rows))])
+
+
 def _held_by_all(codes: np.ndarray, ends: np.ndarray, i: slice) -> np.ndarray:
     """Tokens that every row of a range has."""
     some, times = np.unique(codes[ends[i.start] : ends[i.stop]], return_counts=True)
