@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from narrata.catalog.jobs import QUERIES
 from narrata.operators import revisions as V
 from narrata.plans import chunks, export, jobs, voices
 
@@ -65,3 +66,10 @@ def test_commit_and_snapshot(spark):
 def test_ordinals_run_over_chapters(spark):
     rows = chunks.number_items(spark.createDataFrame([("b", c, r, 0) for c in (1, 2) for r in range(3)], "book_id string, chapter_id int, run int, piece int")).collect()
     assert sorted((r.ordinal, r.chapter_id, r.run) for r in rows) == [(c * 3 + r - 3, c, r) for c in (1, 2) for r in range(3)]
+
+
+def test_conflicts_count_every_event_of_a_job(spark, tmp_path):
+    """A job that starts is active whatever the number of its event."""
+    rows = [(seq, "2026-01-01 00:00:00", job, "view", 1.0, "{}") for seq, job in ((5, 10), (6, 20), (7, 31))]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["active_job_conflicts"](spark, str(tmp_path)).collect()] == [(0, 2)]
