@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from narrata.catalog.jobs import SQL as JOBS_SQL
@@ -14,17 +16,22 @@ from narrata.catalog.jobs import STATES_SQL, events, thinned
 from narrata.sources.shared import new_path
 from narrata.streaming import stateful
 
-#: Files of the stream, each a micro-batch.
-FILES = 4
+#: Parts of the stream, each a micro-batch.
+PARTS = 4
 
 
 def _arriving(spark: SparkSession, rows: DataFrame, order=None) -> DataFrame:
-    """Rows as a stream of FILES micro-batches: dealt at random, or by ``order``."""
-    path = new_path(spark, "arriving")
-    dealt = rows.withColumn("__n", F.pmod(F.xxhash64(*rows.columns), F.lit(FILES)) if order is None else order)
-    for k in range(FILES):
-        dealt.filter(F.col("__n") == k).drop("__n").coalesce(1).write.mode("append").parquet(path)
-    return stateful.with_state_store(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Rows as a stream of PARTS micro-batches: dealt at random, or by ``order``.
+
+    A part has a file for each core, and a job's rows of a part are in one of
+    them, so they come in the order of the parts however files fall to batches.
+    """
+    path, dealt, files = new_path(spark, "arriving"), new_path(spark, "dealt"), spark.sparkContext.defaultParallelism
+    rows.withColumn("__n", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)) if order is None else order).write.partitionBy("__n").parquet(dealt)
+    shape = StructType([*rows.schema.fields, StructField("__n", IntegerType())])
+    for k in range(PARTS):
+        spark.read.schema(shape).parquet(dealt).filter(F.col("__n") == k).drop("__n").repartition(files, "job_id").write.mode("append").parquet(path)
+    return stateful.with_state_store(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _all(spark: SparkSession, stream: DataFrame, rows: int) -> DataFrame:
@@ -41,8 +48,8 @@ def _all(spark: SparkSession, stream: DataFrame, rows: int) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(stream.schema.add("batch", "integer")).parquet(path)
 
 
-def read_rows(query: StreamingQuery, rows: int, seconds: float = 300) -> None:
-    """Wait until a query has read so many rows, and stop it."""
+def read_rows(query: StreamingQuery, rows: int, seconds: float = math.inf) -> None:
+    """Wait until a query has read so many rows, however long that takes unless ``seconds`` are given, and stop it."""
     seen, until = {}, time.monotonic() + seconds
     try:
         while sum(seen.values()) < rows:
@@ -74,7 +81,7 @@ def missing_seq_stream(spark, sf_dir):
 
 def hysteresis_pause_stream(spark, sf_dir):
     rows = events(spark, sf_dir).select("job_id", "seq", "value")
-    order = F.ntile(FILES).over(Window.partitionBy("job_id").orderBy("seq")) - 1
+    order = F.ntile(PARTS).over(Window.partitionBy("job_id").orderBy("seq")) - 1
     return _all(spark, stateful.pauses(_arriving(spark, rows, order), 5.0, every_ms=3_600_000), rows.count()).drop("batch")
 
 

@@ -8,10 +8,10 @@ all events a stream has what ``narrata.plans.jobs`` has for them at once.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from struct import iter_unpack, pack
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -23,6 +23,8 @@ ORDERED = "job_id long, state string, illegal long, events long, last_seq long,
 GAPS = "job_id long, after long, before long, lost long, open boolean"
 PAUSES = "job_id long, seq long, paused boolean, paused_now boolean, resumed_now boolean"
 LATEST = "job_id long, last_seq long, event string, value double"
+#: Waiting events are kept by blocks of so many numbers, three bytes each: the place in the block and the code.
+WAITING = 1024
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -41,38 +43,51 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "place int, illegal long, n long, next long, held long, lost long, deadline long")
-        # What waits beyond all patience goes with its key.
-        self.waiting = handle.getMapState("waiting", "seq long", "code int", 8 * self.patience)
+        # What waits beyond all patience goes with its block. A call of the state store takes longer than an event, so a block is read and written once.
+        self.waiting = handle.getMapState("waiting", "block long", "events binary", 8 * self.patience)
         self.table, self.width = jobs._next_states(), len(jobs.STATES)
 
     def _start(self) -> list[int]:
-        return list(self.place.get()) if self.place.exists() else [0, 0, 0, self.first, 0, 0, 0]
+        return list(self.place.get() or (0, 0, 0, self.first, 0, 0, 0))
 
     def _apply(self, now: list[int], code: int) -> None:
         to = -1 if code < 0 else self.table[code * self.width + now[0]]
         now[0], now[1], now[2], now[3] = (to if to >= 0 else now[0]), now[1] + (to < 0), now[2] + 1, now[3] + 1
 
-    def _go_on(self, now: list[int], fresh: dict[int, int]) -> None:
-        """As far as events follow each other; the rest waits."""
-        while True:
-            if now[3] in fresh:
-                code = fresh.pop(now[3])
-                if now[4] and self.waiting.containsKey((now[3],)):
-                    self.waiting.removeKey((now[3],))
-                    now[4] -= 1
-            elif now[4] and self.waiting.containsKey((now[3],)):
-                (code,) = self.waiting.getValue((now[3],))
-                self.waiting.removeKey((now[3],))
-                now[4] -= 1
-            else:
-                break
-            self._apply(now, code)
-        for seq, code in fresh.items():
-            if seq > now[3] and not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), (code,))
+    @staticmethod
+    def _unpacked(events: bytes) -> dict[int, int]:
+        return {place: code for place, code in iter_unpack("<Hb", events)}
+
+    def _go_on(self, now: list[int], fresh: Iterable[tuple[int, int]]) -> None:
+        """As far as events follow each other; the rest waits, the first one of a number."""
+        blocks, stored, changed = {}, set(), set()
+        any_stored = now[4] > 0
+
+        def block(seq: int) -> dict[int, int]:
+            number = seq // WAITING
+            if number not in blocks:
+                found = self.waiting.getValue((number,)) if any_stored else None
+                blocks[number] = self._unpacked(found[0]) if found else {}
+                if found:
+                    stored.add(number)
+            return blocks[number]
+
+        for seq, code in fresh:
+            if seq >= now[3] and seq % WAITING not in (held := block(seq)):
+                held[seq % WAITING] = code
+                changed.add(seq // WAITING)
                 now[4] += 1
-
-    def _settle(self, key: tuple, now: list[int], time_ms: int) -> Iterator[pd.DataFrame]:
+        while now[4] and now[3] % WAITING in (held := block(now[3])):
+            changed.add(now[3] // WAITING)
+            now[4] -= 1
+            self._apply(now, held.pop(now[3] % WAITING))
+        for number in changed:
+            if blocks[number]:
+                self.waiting.updateValue((number,), (b"".join(pack("<Hb", *e) for e in blocks[number].items()),))
+            elif number in stored:
+                self.waiting.removeKey((number,))
+
+    def _settle(self, key: tuple, now: list[int], time_ms: int) -> Iterator[Row]:
         if now[6] and not now[4]:
             self.handle.deleteTimer(now[6])
             now[6] = 0
@@ -80,31 +95,30 @@ class _Ordered(StatefulProcessor):
             now[6] = time_ms + self.patience
             self.handle.registerTimer(now[6])
         self.place.update(tuple(now))
-        yield pd.DataFrame([(key[0], jobs.STATES[now[0]], now[1], now[2], now[3] - 1, now[4], now[5])], columns=["job_id", "state", "illegal", "events", "last_seq", "waiting", "lost"])
+        yield Row(job_id=key[0], state=jobs.STATES[now[0]], illegal=now[1], events=now[2], last_seq=now[3] - 1, waiting=now[4], lost=now[5])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, fresh = self._start(), {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = self._start()
         before = now[3]
-        for frame in rows:
-            for seq, kind, event in zip(frame["seq"], frame["kind"], frame["event"], strict=True):
-                if seq >= now[3]:
-                    fresh.setdefault(int(seq), (kind == "prep") * len(jobs.EVENTS) + jobs.EVENTS.index(event) if event in jobs.EVENTS else -1)
-        self._go_on(now, fresh)
+        codes = {e: k for k, e in enumerate(jobs.EVENTS)}
+        self._go_on(now, [(r["seq"], (r["kind"] == "prep") * len(codes) + codes[r["event"]] if r["event"] in codes else -1) for r in rows])
         if now[3] > before and now[6] and now[4]:
             # The gap that was waited for is closed; the next one has its own time.
             self.handle.deleteTimer(now[6])
             now[6] = 0
         yield from self._settle(key, now, timerValues.getCurrentProcessingTimeInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = self._start()
         now[6] = 0
-        waiting = [seq for (seq,) in self.waiting.keys()]
-        now[4] = len(waiting)
-        if waiting:
-            now[5] += min(waiting) - now[3]
-            now[3] = min(waiting)
-            self._go_on(now, {})
+        held = {number: self._unpacked(events) for (number,), (events,) in self.waiting.iterator()}
+        now[4] = sum(map(len, held.values()))
+        if held:
+            first = min(held)
+            first = first * WAITING + min(held[first])
+            now[5] += first - now[3]
+            now[3] = first
+            self._go_on(now, ())
         yield from self._settle(key, now, timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
@@ -119,7 +133,7 @@ def fold_in_order(events: DataFrame, first: int = 1, patience_ms: int = 600_000)
     then counts as lost.  State: a few numbers and the waiting events a job.
     """
     rows = events.select("job_id", "seq", "kind", "event")
-    return rows.groupBy("job_id").transformWithStateInPandas(_Ordered(first, patience_ms), ORDERED, "Update", "ProcessingTime")
+    return rows.groupBy("job_id").transformWithState(_Ordered(first, patience_ms), ORDERED, "Update", "ProcessingTime")
 
 
 class _Gaps(StatefulProcessor):
@@ -128,10 +142,10 @@ class _Gaps(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "starts array<long>, ends array<long>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        starts, ends = ([int(x) for x in xs] for xs in self.seen.get()) if self.seen.exists() else ([], [])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        starts, ends = ([int(x) for x in xs] for xs in self.seen.get() or ([], []))
         before = set(zip(ends[:-1], starts[1:], strict=True))
-        for seq in sorted({int(s) for frame in rows for s in frame["seq"]}):
+        for seq in sorted({r["seq"] for r in rows}):
             k = bisect_left(ends, seq)
             if k < len(starts) and starts[k] <= seq:
                 continue
@@ -149,9 +163,8 @@ class _Gaps(StatefulProcessor):
                 ends.insert(k, seq)
         self.seen.update((starts, ends))
         after = set(zip(ends[:-1], starts[1:], strict=True))
-        changed = [(key[0], a, b, b - a - 1, (a, b) in after) for a, b in sorted(before ^ after)]
-        if changed:
-            yield pd.DataFrame(changed, columns=["job_id", "after", "before", "lost", "open"])
+        for a, b in sorted(before ^ after):
+            yield Row(job_id=key[0], after=a, before=b, lost=b - a - 1, open=(a, b) in after)
 
     def close(self) -> None:
         pass
@@ -164,7 +177,7 @@ def gaps(events: DataFrame) -> DataFrame:
     part closes, and what is left of it opens.  State grows with a job's open
     gaps, not with its events.
     """
-    return events.select("job_id", "seq").groupBy("job_id").transformWithStateInPandas(_Gaps(), GAPS, "Append", "None")
+    return events.select("job_id", "seq").groupBy("job_id").transformWithState(_Gaps(), GAPS, "Append", "None")
 
 
 class _Pauses(StatefulProcessor):
@@ -175,7 +188,7 @@ class _Pauses(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "paused boolean, streak int, seq long, timer long")
+        self.at = handle.getValueState("at", "paused boolean, streak int, seq long, due long, timer long")
 
     def _sample(self, at: list, low: bool) -> tuple[bool, bool]:
         """Whether the sample pauses or resumes the job."""
@@ -189,30 +202,37 @@ class _Pauses(StatefulProcessor):
         return at[0] and not was, was and not at[0]
 
     def _await(self, at: list, time_ms: int) -> None:
-        if at[3]:
-            self.handle.deleteTimer(at[3])
+        """A job has one timer; it stays where it is when samples put off what it waits for."""
         at[3] = time_ms + self.every if at[0] else 0
-        if at[3]:
-            self.handle.registerTimer(at[3])
+        if at[3] and not at[4]:
+            at[4] = at[3]
+            self.handle.registerTimer(at[4])
         self.at.update(tuple(at))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = list(self.at.get()) if self.at.exists() else [False, 0, -1, 0]
-        frame, out = pd.concat(list(rows)).sort_values("seq"), []
-        for seq, value in zip(frame["seq"], frame["value"], strict=True):
-            paused_now, resumed_now = self._sample(at, bool(value < self.floor))
-            at[2] = int(seq)
-            out.append((key[0], at[2], at[0], paused_now, resumed_now))
-        self._await(at, timerValues.getCurrentProcessingTimeInMs())
-        yield pd.DataFrame(out, columns=["job_id", "seq", "paused", "paused_now", "resumed_now"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = list(self.at.get())
-        at[3] = 0
-        _, resumed_now = self._sample(at, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, out = list(self.at.get() or (False, 0, -1, 0, 0)), []
+        for seq, value in sorted(((r["seq"], r["value"]) for r in rows), key=lambda r: r[0]):
+            paused_now, resumed_now = self._sample(at, value is not None and value < self.floor)
+            at[2] = seq
+            out.append(Row(job_id=key[0], seq=seq, paused=at[0], paused_now=paused_now, resumed_now=resumed_now))
         self._await(at, timerValues.getCurrentProcessingTimeInMs())
-        if resumed_now:
-            yield pd.DataFrame([(key[0], at[2], False, False, True)], columns=["job_id", "seq", "paused", "paused_now", "resumed_now"])
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, time_ms = list(self.at.get()), timerValues.getCurrentProcessingTimeInMs()
+        at[4] = 0
+        if at[3] > time_ms:
+            # Samples came since; what is waited for is later.
+            at[4] = at[3]
+            self.handle.registerTimer(at[4])
+            self.at.update(tuple(at))
+        elif at[3]:
+            _, resumed_now = self._sample(at, False)
+            self._await(at, time_ms)
+            if resumed_now:
+                yield Row(job_id=key[0], seq=at[2], paused=False, paused_now=False, resumed_now=True)
+        else:
+            self.at.update(tuple(at))
 
     def close(self) -> None:
         pass
@@ -226,7 +246,7 @@ def pauses(samples: DataFrame, floor: float, clear: int = 3, every_ms: int = 5_0
     job come in order across batches.
     """
     rows = samples.select("job_id", "seq", "value")
-    return rows.groupBy("job_id").transformWithStateInPandas(_Pauses(floor, clear, every_ms), PAUSES, "Append", "ProcessingTime")
+    return rows.groupBy("job_id").transformWithState(_Pauses(floor, clear, every_ms), PAUSES, "Append", "ProcessingTime")
 
 
 def latest_table(path: str, count: int = 64) -> Buckets:

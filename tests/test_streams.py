@@ -1,10 +1,13 @@
 """Stateful streams: events out of order, late or twice, gaps, pauses; tables that a replayed write does not change."""
 
+import inspect
+import math
 import os
 import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from narrata.catalog.streams import read_rows
@@ -144,3 +147,45 @@ def test_readers_of_some_books_read_their_buckets_alone(spark, tmp_path):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     filters = [line for line in some._jdf.queryExecution().explainString(mode).splitlines() if line.startswith("PartitionFilters")]
     assert len(filters) == 1 and "bucket" in filters[0]
+
+
+class Calls:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.calls = {}, {}, [], 0
+
+    def getValueState(self, name, schema):
+        return type("Value", (), {"get": lambda _: self._count(self.values.get(name)), "exists": lambda _: self._count(name in self.values), "update": lambda _, v: self._count(self.values.update({name: v}))})()
+
+    def getMapState(self, name, key, value, ttl=None):
+        m = self.maps.setdefault(name, {})
+        return type("Map", (), {
+            "getValue": lambda _, k: self._count(m.get(k)), "containsKey": lambda _, k: self._count(k in m), "updateValue": lambda _, k, v: self._count(m.update({k: v})),
+            "removeKey": lambda _, k: self._count(m.pop(k)), "keys": lambda _: iter(list(m)), "iterator": lambda _: iter(list(m.items())),
+        })()
+
+    def registerTimer(self, at):
+        self._count(self.timers.append(at))
+
+    def deleteTimer(self, at):
+        self._count(self.timers.remove(at))
+
+    def _count(self, result):
+        self.calls += 1
+        return result
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.calls
+
+
+def test_waiting_events_cost_calls_by_the_block(spark):
+    """A call of the store takes longer than an event: 3,000 events that wait are a few blocks, not 3,000 calls and more."""
+    store, job = Calls(), stateful._Ordered(1, 600_000)
+    job.init(store)
+    rows = [Row(job_id=1, seq=s, kind="record", event="start") for s in range(3000, 1, -1)]
+    (out,) = job.handleInputRows((1,), iter(rows), store)
+    assert (out["waiting"], out["last_seq"]) == (2999, 0) and store.calls < 20
+    (out,) = job.handleInputRows((1,), iter([Row(job_id=1, seq=1, kind="record", event="start")]), store)
+    assert (out["waiting"], out["last_seq"], out["events"], out["illegal"], out["state"]) == (0, 3000, 3000, 2999, "running")
+    assert store.calls < 40 and not store.maps["waiting"] and not store.timers
