@@ -189,3 +189,16 @@ def test_waiting_events_cost_calls_by_the_block(spark):
     (out,) = job.handleInputRows((1,), iter([Row(job_id=1, seq=1, kind="record", event="start")]), store)
     assert (out["waiting"], out["last_seq"], out["events"], out["illegal"], out["state"]) == (0, 3000, 3000, 2999, "running")
     assert store.calls < 40 and not store.maps["waiting"] and not store.timers
+
+
+def test_a_paused_job_keeps_its_timer():
+    """Samples of a paused job put off what its timer waits for without a call for each batch."""
+    store, job = Calls(), stateful._Pauses(5.0, 3, 1_000_000)
+    job.init(store)
+    for k in range(50):
+        list(job.handleInputRows((1,), iter([Row(job_id=1, seq=k, value=1.0)]), store))
+    assert len(store.timers) == 1 and store.calls <= 2 * 50 + 1
+
+
+def test_streams_are_waited_for_until_they_end():
+    assert inspect.signature(read_rows).parameters["seconds"].default == math.inf
