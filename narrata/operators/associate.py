@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,31 +13,116 @@ from pyspark.sql import functions as F
 from narrata.operators.text import match_text
 
 LEAST = 0.6
+#: Texts whose lengths have a larger product are compared by an automaton.
+WIDE = 250_000
 ID = ["book_id", "chapter_id"]
 
 
+def _common(a: str, b: str) -> int:
+    """Letters of the longest common subsequence, by the bits of one number: no likeness counts more."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        both = row & places.get(c, 0)
+        row = (row + both | row - both) & every
+    return len(a) - row.bit_count()
+
+
+def _longest(a: str, b: str) -> tuple[int, int, int]:
+    """Longest common part as (start in a, start in b, length), the earliest in a, then in b, by an automaton of the parts of b."""
+    to, up, size, first, last = [{}], [-1], [0], [-1], 0
+    for k, c in enumerate(b):
+        new = len(to)
+        to.append({})
+        size.append(size[last] + 1)
+        first.append(k)
+        up.append(0)
+        at, last = last, new
+        while at >= 0 and c not in to[at]:
+            to[at][c] = new
+            at = up[at]
+        if at >= 0:
+            known = to[at][c]
+            if size[known] == size[at] + 1:
+                up[new] = known
+            else:
+                copy = len(to)
+                to.append(to[known].copy())
+                size.append(size[at] + 1)
+                first.append(first[known])
+                up.append(up[known])
+                up[known] = up[new] = copy
+                while at >= 0 and to[at].get(c) == known:
+                    to[at][c] = copy
+                    at = up[at]
+    at, n, best = 0, 0, (0, 0, 0)
+    for k, c in enumerate(a):
+        while at and c not in to[at]:
+            at = up[at]
+            n = size[at]
+        if c in to[at]:
+            at, n = to[at][c], n + 1
+            if n > best[2]:
+                best = (k + 1 - n, first[at] + 1 - n, n)
+    return best
+
+
+def likeness(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b, autojunk=False).ratio()``; parts that are long on both sides do not take time with their product."""
+    equal, parts = 0, [(a, b)]
+    while parts:
+        x, y = parts.pop()
+        if not x or not y:
+            continue
+        if len(x) * len(y) <= WIDE:
+            equal += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            continue
+        i, j, n = _longest(x, y)
+        if n:
+            equal += n
+            parts += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+    return 2.0 * equal / (len(a) + len(b)) if a or b else 1.0
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 127, minlength=128)
+
+
 def _pairs(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """(new, old) places of the most similar pairs, each block in one pair at most.
 
     Pairs go by likeness, then by distance, then by the earlier old and the
-    later new block.  A pair whose lengths or letters rule it out is not compared.
+    later new block.  They wait in a heap by what bounds their likeness: common
+    letters, then common letters in order, then the likeness itself.  The next
+    of these is found only once a pair is first and both of its blocks are
+    free, so what an edited block is not like is mostly never compared.
     """
-    scored = []
-    for n, wanted in new:
-        matcher = SequenceMatcher(autojunk=False)
-        matcher.set_seq2(wanted)
-        for o, text in old:
-            if 2 * min(len(text), len(wanted)) < LEAST * (len(text) + len(wanted)):
-                continue
-            matcher.set_seq1(text)
-            if matcher.quick_ratio() >= LEAST and (ratio := matcher.ratio()) >= LEAST:
-                scored.append((ratio, -abs(n - o), -o, n, o))
+    if not old or not new:
+        return []
+    letters, lengths, heap = np.array([_letters(t) for _, t in old]), np.array([len(t) for _, t in old]), []
+    for j, (n, wanted) in enumerate(new):
+        both = np.maximum(lengths + len(wanted), 1)
+        bounds = np.where(lengths + len(wanted) > 0, 2.0 * np.minimum(letters, _letters(wanted)).sum(axis=1) / both, 1.0)
+        heap += [(-float(bounds[i]), 0, abs(n - old[i][0]), old[i][0], -n, i, j) for i in np.flatnonzero(bounds >= LEAST).tolist()]
+    heapify(heap)
     taken_new, taken_old, out = set(), set(), []
-    for *_, n, o in sorted(scored, reverse=True):
-        if n not in taken_new and o not in taken_old:
-            taken_new.add(n)
-            taken_old.add(o)
-            out.append((n, o))
+    while heap and len(taken_new) < len(new) and len(taken_old) < len(old):
+        _, step, far, o, n, i, j = heappop(heap)
+        if j in taken_new or i in taken_old:
+            continue
+        if step == 2:
+            taken_new.add(j)
+            taken_old.add(i)
+            out.append((-n, o))
+            continue
+        a, b = old[i][1], new[j][1]
+        like = likeness(a, b) if step else (2.0 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0)
+        if like >= LEAST:
+            # Of equal values, bounds come first: what they bound may be as much and nearer.
+            heappush(heap, (-like, step + 1, far, o, n, i, j))
     return out
 
 

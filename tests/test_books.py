@@ -1,6 +1,7 @@
 """Page blocks, applied suggestions, matching of edited blocks, the pre-pass and whole plans."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata import streaming
 from narrata.operators import apply as A
+from narrata.operators import associate
 from narrata.operators import prepass as P
 from narrata.operators.associate import associate_blocks, nearest
 from narrata.operators.html_blocks import blocks_of, detect_format, resolve_href
@@ -160,3 +162,45 @@ def test_equal_blocks_are_paired_nearest_first():
                 done.add(o)
         assert dict(nearest(olds, news)) == expected
     assert len(nearest(list(range(0, 40_000, 2)), list(range(1, 40_000, 2)))) == 20_000
+
+
+def _all_compared(old, new):
+    """The pairs by the likeness of each old with each new block."""
+    scored = []
+    for n, wanted in new:
+        for o, text in old:
+            ratio = SequenceMatcher(None, text, wanted, autojunk=False).ratio()
+            if ratio >= associate.LEAST:
+                scored.append((ratio, -abs(n - o), -o, n, o))
+    news, olds, out = set(), set(), []
+    for *_, n, o in sorted(scored, reverse=True):
+        if n not in news and o not in olds:
+            news.add(n)
+            olds.add(o)
+            out.append((n, o))
+    return out
+
+
+def test_edited_blocks_pair_as_if_all_were_compared(monkeypatch):
+    rnd = random.Random(11)
+    text = lambda: "".join(rnd.choice("ab cé") for _ in range(rnd.randrange(14)))
+    for wide in (0, 20, associate.WIDE):
+        monkeypatch.setattr(associate, "WIDE", wide)
+        for _ in range(150):
+            a, b = text() * rnd.randrange(1, 3), text() * rnd.randrange(1, 3)
+            assert associate.likeness(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+            old, new = ([(k, text()) for k in rnd.sample(range(30), rnd.randrange(9))] for _ in range(2))
+            assert associate._pairs(old, new) == _all_compared(old, new)
+
+
+def test_what_an_edited_block_is_not_like_is_not_compared(monkeypatch):
+    """60 edited blocks among 60: one likeness for each, not 3,600, and long blocks in time that does not grow with the square."""
+    rnd, seen, words = random.Random(12), [], [f"{a}{b}{c}" for a in "bdkl" for b in "aeio" for c in "mnrst"]
+    ours = associate.likeness
+    monkeypatch.setattr(associate, "likeness", lambda a, b: seen.append(1) or ours(a, b))
+    old = [(k, " ".join(rnd.choice(words) for _ in range(60))) for k in range(60)]
+    assert sorted(associate._pairs(old, [(k, t[:90] + "zz" + t[100:]) for k, t in old])) == [(k, k) for k in range(60)]
+    assert len(seen) < 200
+    long = " ".join(rnd.choice(words) for _ in range(6_000))
+    began = time.monotonic()
+    assert associate._pairs([(0, long)], [(0, long[:9_000] + "zz" + long[9_000:])]) == [(0, 0)] and time.monotonic() - began < 5
