@@ -108,6 +108,30 @@ def test_prepass_resolves_detectors(spark):
     ]
 
 
+def test_prepass_reads_a_block_once(spark):
+    """One function gives a block's rows from its text; a block of a book without a key is skipped and has lexicon hits as any other."""
+    texts = ["Copyright 2001", "Spis treści", *"abcdef", "the 3 koty"]
+    blocks = spark.createDataFrame([(None, 1, k, t) for k, t in enumerate(texts)], BLOCK)
+    rules = spark.createDataFrame([("3 koty", "trzy koty", False, False, True, 1, "global", 0)], "pattern string, spoken string, is_regex boolean, case_sensitive boolean, auto boolean, priority int, scope string, place int")
+    found = P.prepass(blocks, rules=rules)
+    assert sorted((r.block_index, r.kind, r.reason) for r in found.collect()) == [(0, "skip", "copyright"), *((k, "skip", "toc") for k in range(1, 9)), (8, "skip", "toc")][:9]
+    # One pass for the detectors, one for the speakers.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_suggestions_in_order_are_dealt_by_chapter(spark):
+    """A book's suggestions do not all go to one task."""
+    rows = spark.range(4000).select(F.lit("b").alias("book_id"), (F.col("id") % 40).alias("chapter_id"), (F.col("id") % 7).cast("int").alias("block_index"), F.col("id").cast("int").alias("start"), F.col("id").cast("int").alias("end"), F.lit("k").alias("kind"), F.lit("r").alias("reason"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = P.in_order(rows).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in found}) == 4 and len({(r.part, r.chapter_id) for r in found}) == 40
+    by_part = {p: [(r.chapter_id, r.block_index, r.start) for r in found if r.part == p] for p in range(4)}
+    assert all(rows == sorted(rows) for rows in by_part.values())
+
+
 def test_plan_of_a_book(spark):
     spans = "array<struct<kind:string,gender:string,spoken:string,start:int,end:int>>"
     rows = [("b", 1, 0, "Raz. Dwa. Trzy.", []), ("b", 1, 1, "A rzekł IT", [("dialogue", "male", None, 0, 1), ("pronunciation", None, "aj ti", 8, 10)]), ("b", 2, 0, "Raz. Dwa. Trzy.", [])]
