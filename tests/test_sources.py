@@ -2,8 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from narrata import sources, streaming
+from narrata.catalog.base import table
 from narrata.plans import jobs
+from narrata.sources.shared import BATCHES
 
 
 def test_plan_lines_round_trip(spark, tmp_path):
@@ -46,3 +51,15 @@ def test_streams_equal_batches(spark, tmp_path):
     folded.stop()
     expected = {(r.job_id, r.state, r.illegal, r.events, r.last_seq) for r in jobs.fold_states(clean).collect()}
     assert {tuple(r) for r in spark.table("folded").collect()} == expected
+
+
+def test_batches_of_queries_are_bounded(spark, tmp_path):
+    """A worker gets long blocks in batches of a few megabytes, however many rows there are."""
+    spark.range(400).select(F.repeat(F.lit("x"), 50_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {name: spark.conf.get(name) for name in BATCHES}
+    try:
+        size = F.arrow_udf(lambda texts: pa.array([texts.nbytes] * len(texts), pa.int64()), "long")
+        assert table(spark, str(tmp_path), "documents").select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 5_000_000
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
