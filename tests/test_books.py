@@ -119,6 +119,19 @@ def test_prepass_reads_a_block_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
 
 
+def test_prepass_with_a_lexicon_that_is_joined(spark, monkeypatch):
+    """A lexicon too large for a task says the same, also to a book without a key."""
+    blocks = spark.createDataFrame([(b, 1, k, t) for b in ("b", None) for k, t in enumerate(["the 3 koty i IT", "Copyright 3 koty", "the end", None])], BLOCK)
+    rules = spark.createDataFrame([("3 koty", "trzy koty", False, False, True, 1, "global", 0), ("it", "aj ti", False, False, False, 2, "global", 1)], "pattern string, spoken string, is_regex boolean, case_sensitive boolean, auto boolean, priority int, scope string, place int")
+    rows = lambda: sorted(map(repr, P.prepass(blocks, rules=rules).collect()))
+    few = rows()
+    monkeypatch.setattr(P.lexicon, "BROADCAST_RULES", 0)
+    assert sum("dict_hit" in r for r in few) == 4
+    many = rows()
+    # The join of the lexicon itself groups by the block's key, and an unknown one is a key too.
+    assert many == few
+
+
 def test_suggestions_in_order_are_dealt_by_chapter(spark):
     """A book's suggestions do not all go to one task."""
     rows = spark.range(4000).select(F.lit("b").alias("book_id"), (F.col("id") % 40).alias("chapter_id"), (F.col("id") % 7).cast("int").alias("block_index"), F.col("id").cast("int").alias("start"), F.col("id").cast("int").alias("end"), F.lit("k").alias("kind"), F.lit("r").alias("reason"))
