@@ -9,43 +9,48 @@ from pyspark.sql.window import Window
 from narrata.functions.sentences import Segment, pieces, sentences
 from narrata.operators.html_blocks import html_blocks
 from narrata.plans import chunks, export, voices
+from narrata.sources.shared import cut
 
 BLOCK = ["book_id", "chapter_id", "block_index"]
 
 
 def segments(blocks: DataFrame) -> DataFrame:
     """Spoken segments of (BLOCK, text, spans): tiles with the overlays inside them applied; empty ones go, pauses stay silent."""
-    rows = blocks.select(*BLOCK, "text", "spans", F.posexplode(voices.tile(F.col("text"), F.col("spans"))).alias("tile", "t"))
-    inside = F.expr(
-        "transform(filter(spans, s -> s.kind IN ('pronunciation', 'skip') AND s.start >= t.start AND s.end <= t.end), "
-        "s -> named_struct('kind', s.kind, 'spoken', s.spoken, 'start', s.start - t.start, 'end', s.end - t.start))"
-    )
-    part = F.expr("substring(text, t.start + 1, t.end - t.start)")
-    rows = rows.withColumn("spoken", F.when(F.col("t.kind") == "pause", "").otherwise(F.trim(voices.spoken_form(part, inside))))
-    kept = rows.filter("t.kind = 'pause' OR spoken <> ''")
-    return kept.select(*BLOCK, "tile", F.col("t.start").alias("start"), F.when(F.col("t.kind") == "pause", "silence").otherwise(F.col("t.kind")).alias("kind"), F.col("t.gender").alias("gender"), "spoken")
+    said = blocks.select(*BLOCK, F.explode(voices.spoken_tiles(F.col("text"), F.col("spans"))).alias("t"))
+    return said.select(*BLOCK, "t.tile", "t.start", F.when(F.col("t.kind") == "pause", "silence").otherwise(F.col("t.kind")).alias("kind"), "t.gender", "t.spoken")
 
 
 def spoken_runs(blocks: DataFrame, filled: DataFrame, mode: str = "gendered") -> DataFrame:
     """Runs of one voice slot in a chapter: book_id, chapter_id, run, slot, kind, text."""
-    said = voices.assign_slots(segments(blocks), filled, mode).filter("slot IS NOT NULL")
+    # Without a narrator a book has no runs, so its blocks are not read.
+    told = blocks.join(filled.filter("slot = 'narrator'").select("book_id").distinct(), "book_id", "left_semi")
+    said = voices.assign_slots(segments(told), filled, mode).filter("slot IS NOT NULL")
     order = Window.partitionBy("book_id", "chapter_id").orderBy("block_index", "tile")
     rows = said.select("book_id", "chapter_id", F.row_number().over(order).alias("position"), "slot", F.when(F.col("kind") == "silence", "silence").otherwise("tts").alias("kind"), F.col("spoken").alias("text"))
     return voices.merge_runs(rows)
 
 
+def run_pieces(runs: DataFrame, limit: int, segment: Segment = sentences) -> DataFrame:
+    """One row per piece of a run: sentences up to ``limit`` characters, a silence as one empty piece."""
+    parts = F.when(F.col("kind") == "silence", F.array(F.lit(""))).otherwise(pieces(F.col("text"), limit, F.col("kind") == "dialogue", segment))
+    return runs.select("book_id", "chapter_id", "run", "slot", "kind", F.posexplode(parts).alias("piece", "spoken"))
+
+
 def plan_items(runs: DataFrame, limit: int, segment: Segment = sentences) -> DataFrame:
-    """One row per piece of a run: sentences up to ``limit`` characters, a silence as one empty piece; ordinals count over the book."""
-    cut = F.when(F.col("kind") == "silence", F.array(F.lit(""))).otherwise(pieces(F.col("text"), limit, F.col("kind") == "dialogue", segment))
-    rows = runs.select("book_id", "chapter_id", "run", "slot", "kind", F.posexplode(cut).alias("piece", "spoken"))
-    return chunks.number_items(rows)
+    """The pieces of runs with ordinals that count over the book."""
+    return chunks.number_items(run_pieces(runs, limit, segment))
 
 
 def plan_book(blocks: DataFrame, filled: DataFrame, profiles: DataFrame, limit: int, settings: dict[str, str], mode: str = "gendered", segment: Segment = sentences) -> DataFrame:
-    """The plan of each book: items with their voice profile and render key, and whether an earlier item has the same sound."""
-    items = voices.lookup_profiles(plan_items(spoken_runs(blocks, filled, mode), limit, segment), profiles)
+    """The plan of each book: items with their voice profile and render key, and whether an earlier item has the same sound.
+
+    The pieces are made once, with their keys, and written to the shared
+    folder: numbers of chapters and first items of keys are read from there.
+    """
+    items = voices.lookup_profiles(run_pieces(spoken_runs(blocks, filled, mode), limit, segment), profiles)
     sound = {"slot": F.col("slot"), "profile": F.col("profile_id"), "profile_hash": F.col("content_hash"), **{k: F.lit(v) for k, v in sorted(settings.items())}}
-    return chunks.dedupe_renders(items.withColumn("render_key", chunks.content_key(F.col("spoken"), **sound)))
+    keyed = cut(items.withColumn("render_key", chunks.content_key(F.col("spoken"), **sound)), "plan")
+    return chunks.dedupe_renders(chunks.number_items(keyed))
 
 
 def ingest(pages: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,8 @@ CHARS_PER_SECOND = 14.0
 
 
 def _composed(texts: pa.Array) -> pa.Array:
+    if pc.all(pc.string_is_ascii(texts)).as_py():
+        return texts
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
@@ -48,9 +51,13 @@ def number_items(items: DataFrame) -> DataFrame:
 
 
 def dedupe_renders(items: DataFrame) -> DataFrame:
-    """Which items are rendered: the first of each key by ordinal; later ones count as reused."""
-    first = items.groupBy("render_key").agg(F.min(F.struct("book_id", "ordinal")).alias("first"))
-    return items.join(first, "render_key").withColumn("reused", (F.col("book_id") != F.col("first.book_id")) | (F.col("ordinal") != F.col("first.ordinal"))).drop("first")
+    """Which items are rendered: the first of each key by ordinal; later ones count as reused.
+
+    The first items are joined by their place, so a key that very many items
+    share, such as that of silence, is dealt out like any other.
+    """
+    first = items.groupBy("render_key").agg(F.min(F.struct("book_id", "ordinal")).alias("first")).select("render_key", "first.*", F.lit(False).alias("reused"))
+    return items.join(first, ["render_key", "book_id", "ordinal"], "left").withColumn("reused", F.coalesce("reused", F.lit(True)))
 
 
 def reuse_split(items: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from narrata.functions.offsets import replaced
+from narrata.functions.offsets import list_tuples, put, replaced, struct_lists
 
 TILE = "array<struct<kind:string,gender:string,start:int,end:int>>"
 BLOCK = ("book_id", "chapter_id", "block_index")
+TILED = ("narration", "dialogue", "pause")
+#: A tile with its place among those of its block, and what is spoken there.
+SPOKEN = "array<struct<tile:int,start:int,kind:string,gender:string,spoken:string>>"
+
+
+def _by_place(span: tuple) -> list[tuple]:
+    """Nulls first, as Spark sorts structs."""
+    return [(v is not None, v) if v is not None else (False,) for v in span]
+
+
+def tiles(length: int | None, spans: list[tuple]) -> list[tuple]:
+    """(kind, gender, start, end) of the tiles of a block of that length, of its spans (start, end, kind, gender, ...); see ``tile``."""
+    kept = [s[:4] for s in spans if s[2] in TILED]
+    if len(kept) > 1:
+        try:
+            kept.sort()
+        except TypeError:
+            kept.sort(key=_by_place)
+    at, out = 0, []
+    for start, end, kind, gender in kept:
+        if start is not None and start > at:
+            out.append(("narration", None, at, start))
+        if end is not None and end > at:
+            out.append((kind, gender, at if start is None else max(start, at), end))
+            at = end
+    if length is not None and at < length:
+        out.append(("narration", None, at, length))
+    return out
 
 
 def tile(text: Column, spans: Column) -> Column:
@@ -18,19 +48,41 @@ def tile(text: Column, spans: Column) -> Column:
     Spans go by start and end; one that begins before the cursor is trimmed to
     it, one that ends there is dropped, and gaps become narration.
     """
-    blank = lambda a, b: F.struct(F.lit("narration").alias("kind"), F.lit(None).cast("string").alias("gender"), a.alias("start"), b.alias("end"))
-    kept = F.array_sort(F.transform(F.filter(spans, lambda s: s["kind"].isin("narration", "dialogue", "pause")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["gender"].alias("gender"))))
-    none = F.array().cast(TILE)
-
-    def step(acc: Column, s: Column) -> Column:
-        at = acc["at"]
-        gap = F.when(s["start"] > at, F.array(blank(at, s["start"]))).otherwise(none)
-        own = F.when(s["end"] > at, F.array(F.struct(s["kind"].alias("kind"), s["gender"].alias("gender"), F.greatest(s["start"], at).alias("start"), s["end"].alias("end")))).otherwise(none)
-        return F.struct(F.greatest(at, F.when(s["end"] > at, s["end"]).otherwise(F.greatest(at, F.lit(0)))).alias("at"), F.concat(acc["tiles"], gap, own).alias("tiles"))
-
-    walked = F.aggregate(kept, F.struct(F.lit(0).alias("at"), none.alias("tiles")), step)
-    rest = F.when(walked["at"] < F.length(text), F.array(blank(walked["at"], F.length(text)))).otherwise(none)
-    return F.concat(walked["tiles"], rest)
+
+    def job(lengths: pa.Array, lists: pa.Array) -> pa.Array:
+        listed = list_tuples(lists, ("start", "end", "kind", "gender"))
+        found = struct_lists([[] if s is None else tiles(n, s) for n, s in zip(lengths.to_pylist(), listed, strict=True)], ("kind", "gender", "start", "end"), (pa.string(), pa.string(), pa.int32(), pa.int32()))
+        return pc.if_else(lists.is_valid(), found, None) if lists.null_count else found
+
+    return F.arrow_udf(job, TILE)(F.length(text), spans)
+
+
+def _spoken(text: str | None, spans: list[tuple] | None) -> list[tuple]:
+    """Rows of SPOKEN of a block; a span is (start, end, kind, gender, spoken)."""
+    if spans is None:
+        return []
+    over = [(a, b, "" if kind == "skip" else said or "") for a, b, kind, _, said in spans if kind in ("pronunciation", "skip") and a is not None and b is not None and a <= b]
+    out = []
+    for k, (kind, gender, start, end) in enumerate(tiles(None if text is None else len(text), spans)):
+        said = ""
+        if kind != "pause" and text is not None and start < end:
+            said = text[start:end]
+            if inside := [(a - start, b - start, new) for a, b, new in over if a >= start and b <= end and b - start <= len(said)]:
+                said = put(said, inside)
+            said = said.strip(" ")
+        if said or kind == "pause":
+            out.append((k, start, kind, gender, said))
+    return out
+
+
+def spoken_tiles(text: Column, spans: Column) -> Column:
+    """The tiles of a block with what is spoken there, overlays inside them applied; empty ones go, pauses stay silent."""
+
+    def job(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        listed = list_tuples(lists, ("start", "end", "kind", "gender", "spoken"))
+        return struct_lists([_spoken(t, s) for t, s in zip(texts.to_pylist(), listed, strict=True)], ("tile", "start", "kind", "gender", "spoken"), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))
+
+    return F.arrow_udf(job, SPOKEN)(text, spans)
 
 
 def spoken_form(text: Column, spans: Column) -> Column:

@@ -155,6 +155,23 @@ def test_plan_of_a_book(spark):
     assert [(r.ordinal, r.slot, r.spoken, r.reused) for r in plan] == [(0, "narrator", "Raz. Dwa.", False), (1, "narrator", "Trzy.", False), (2, "male", "A", False), (3, "narrator", "rzekł aj", False), (4, "narrator", "ti", False), (5, "narrator", "Raz. Dwa.", True), (6, "narrator", "Trzy.", True)]
 
 
+def test_plan_makes_pieces_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def segment(text):
+        calls.add(1)
+        return [(0, len(text))]
+
+    rows = [("b", c, k, f"{c} {k}", [(4, 4, "pause")]) for c in range(4) for k in range(5)] + [("none", 1, 0, "x", [])]
+    blocks = spark.createDataFrame(rows, BLOCK + ", spans array<struct<start:int,end:int,kind:string>>")
+    blocks = blocks.withColumn("spans", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lit(None).cast("string").alias("gender"), F.lit(None).cast("string").alias("spoken"), s["start"].alias("start"), (s["end"] + 1).alias("end"))))
+    filled = spark.createDataFrame([("b", "narrator"), ("none", "male")], "book_id string, slot string")
+    profiles = spark.createDataFrame([], "book_id string, slot string, profile_id string, content_hash string")
+    plan = B.plan_book(blocks, filled, profiles, 10, {"model": "1"}, segment=segment).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.kind, r.spoken, r.reused) for r in plan] == [(2 * (5 * c + k) + silent, "silence" if silent else "tts", "" if silent else f"{c} {k}", bool(silent) and (c, k) != (0, 0)) for c in range(4) for k in range(5) for silent in (0, 1)]
+    assert calls.value == 20
+
+
 def test_keys_do_not_collide(spark):
     rows = spark.createDataFrame([("t", None, "a"), ("t", "a", None), ("t", "a|b", "c"), ("t", "a", "b|c"), (" t\n", None, "a")], "t string, a string, b string")
     keys = [r.k for r in rows.select(chunks.content_key(F.col("t"), a=F.col("a"), b=F.col("b")).alias("k")).collect()]
