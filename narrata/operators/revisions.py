@@ -31,15 +31,19 @@ def commit(blocks: DataFrame, changes: DataFrame, revision: int, base: int | Non
     Equal texts change nothing, unknown keys are new blocks.  With ``base``,
     rows newer than it fail the commit, as someone else has written since.
     """
+    new = changes.select(*BLOCK, F.col("text").alias("new_text"))
+    return written(blocks, current(blocks).join(new, BLOCK, "full_outer"), revision, base)
+
+
+def written(blocks: DataFrame, joined: DataFrame, revision: int, base: int | None = None) -> DataFrame:
+    """``commit`` of current rows that stand beside their changes (key, text, valid_from, new_text); each is read once."""
     if base is not None and not blocks.filter(F.col("valid_from") > base).isEmpty():
         raise ValueError(f"the table has revisions after {base}")
-    now = current(blocks)
-    new = changes.select(*BLOCK, F.col("text").alias("new_text"))
-    joined = now.join(new, BLOCK, "full_outer")
     altered = F.col("new_text").isNotNull() & ~F.col("text").eqNullSafe(F.col("new_text"))
-    closed = joined.filter(F.col("valid_from").isNotNull()).select(*BLOCK, "text", "valid_from", F.when(altered, revision).cast("int").alias("valid_to"))
-    added = joined.filter(altered).select(*BLOCK, F.col("new_text").alias("text"), F.lit(revision).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
-    return blocks.filter("valid_to IS NOT NULL").unionByName(closed).unionByName(added)
+    row = lambda *values: F.struct(*(v.alias(c) for v, c in zip(values, ("text", "valid_from", "valid_to"), strict=True)))
+    closed = F.when(F.col("valid_from").isNotNull(), row(F.col("text"), F.col("valid_from"), F.when(altered, revision).cast("int")))
+    added = F.when(altered, row(F.col("new_text"), F.lit(revision), F.lit(None).cast("int")))
+    return blocks.filter("valid_to IS NOT NULL").unionByName(joined.select(*BLOCK, F.inline(F.array_compact(F.array(closed, added)))))
 
 
 def apply_rewrites(text: Column, suggestions: Column) -> Column:

@@ -11,6 +11,7 @@ from narrata import streaming
 from narrata.operators import apply as A
 from narrata.operators import associate
 from narrata.operators import prepass as P
+from narrata.operators import revisions as V
 from narrata.operators.associate import associate_blocks, nearest
 from narrata.operators.html_blocks import blocks_of, detect_format, resolve_href
 from narrata.plans import book as B
@@ -80,6 +81,25 @@ def test_commit_of_suggestions(spark):
     assert [(r.block_index, r.original) for r in conflicts.collect()] == [(1, "x")]
 
 
+def test_blocks_are_read_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def job(texts):
+        calls.add(len(texts))
+        return texts
+
+    rows = [("b", 1, k, "a  b IT", 0, None) for k in range(20)]
+    blocks = spark.createDataFrame(rows, BLOCK + ", valid_from int, valid_to int")
+    asked = spark.createDataFrame([("b", 1, k, "conversion_artifact", 1, 3, "  ", " ", 0.99) for k in range(20)], "book_id string, chapter_id long, block_index int, kind string, start int, end int, original string, replacement string, confidence double")
+    read = lambda f, c: f.withColumn(c, F.arrow_udf(job, "string")(F.col(c)))
+    after = A.apply_and_commit(read(blocks, "text"), asked, 1, 0)[0].collect()
+    assert sorted((r.text, r.valid_from, r.valid_to) for r in after) == [("a  b IT", 0, 1)] * 20 + [("a b IT", 1, None)] * 20
+    assert calls.value == 20
+    found = V.conflicts(asked, read(blocks.withColumn("text", F.when(F.col("block_index") > 1, F.concat(F.lit("x"), "text")).when(F.col("block_index") == 1, F.col("text"))), "text")).collect()
+    assert sorted(r.block_index for r in found) == list(range(2, 20))
+    assert calls.value == 40
+
+
 def brute(old, new):
     scored = sorted(((SequenceMatcher(None, o, n, autojunk=False).ratio(), -abs(i - j), -j, i, j) for i, n in enumerate(new) for j, o in enumerate(old)), reverse=True)
     place = {}
