@@ -53,9 +53,16 @@ def apply_rewrites(text: Column, suggestions: Column) -> Column:
 
 
 def conflicts(suggestions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Suggestions whose original is no longer at their offsets."""
-    joined = suggestions.join(blocks.select(*BLOCK, "text"), BLOCK)
-    return joined.filter(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("original")).drop("text")
+    """Suggestions whose original is no longer at their offsets.
+
+    A null text has none.  It is left out behind the join: a condition that
+    its nulls fail would be asked of the blocks too, which makes their texts
+    once for that and once for the join.  Texts are too large to be sent to
+    every task, whatever their size is taken for.
+    """
+    joined = suggestions.join(blocks.select(*BLOCK, "text").hint("merge"), BLOCK)
+    there = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("original")
+    return joined.filter(~F.coalesce(there, F.lit(True))).drop("text")
 
 
 def chapter_tree(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
