@@ -113,3 +113,14 @@ def test_redaction(spark):
 def test_roman(spark):
     rows = spark.createDataFrame([("XIV",), ("MMMCMXCIX",), ("IIII",), ("",), ("IC",)], "t string").select("t", text.roman_value(F.col("t")).alias("v")).collect()
     assert {r.t: r.v for r in rows} == {"XIV": 14, "MMMCMXCIX": 3999, "IIII": None, "": None, "IC": None}
+
+
+def test_columns_are_the_rows_of_their_functions(spark):
+    texts = ["IT w  Washington DC ‒ NATO, Deadline i NIE los  angeles the", "prze-\nsunięty a\u00adb  ‐ e\u0301", "", None]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for column, find in ((D.lexical, D.lexical_rows), (D.normalization, D.normal_rows)):
+        found = D.suggestions(blocks, column)
+        rows = [tuple(r)[1:] for k in range(len(texts)) for r in found.collect() if r.k == k]
+        assert rows == [r for t in texts if t for r in find(t)] and len(rows) >= 5
+        # What a text's function has found is not walked through again by expressions, which are slower than it.
+        assert "lambdafunction" not in found._jdf.queryExecution().toString()
