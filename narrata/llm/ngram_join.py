@@ -11,9 +11,10 @@ Groups of copies do not produce their pairs.  Equal sets are one node.  While
 more pairs are left than a small multiple of the prefix rows, nodes that share
 a prefix shingle are compared with one pivot each, the links found are
 contracted, and only pairs of different components go on.  What is left in
-large lists is compared block by block inside tasks, which return only pairs
-that no bound rules out, each node's most similar partner first; small lists
-are joined.  So all components come out exact.
+large lists is compared block by block inside tasks: by bounds first, which
+leave the nodes that may have a partner, then these by their whole sets.  A
+task returns which components its links join, so never more rows than it has
+read; small lists are joined.  So all components come out exact.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.llm import words
-from narrata.llm.graph import components, small
+from narrata.llm.graph import components, roots, small
 from narrata.llm.scratch import cut
 
 #: A shingle is common if it makes up this share of all; so at most so many are.
@@ -42,6 +44,8 @@ ROUNDS = 6
 HEAVY = 16
 #: Rows of a block of a heavy list, and of the squares that a task looks at together.
 BLOCK, SQUARE = 8192, 512
+#: Shingles of a block of whole sets.
+TOKENS = 1 << 21
 #: Pairs from which on they are verified in portions.
 PAIRS = 200_000
 #: Bins of a sketch.
@@ -239,11 +243,14 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
             if low > 0 and labels is not None:
                 some = cut(_apart(some, labels), "pairs")
             nodes = cut(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-            found = cut(verify(some, cut(sets_of(nodes, False), "sets"), rule), "found")
-            if not found.isEmpty():
-                # Links of components that are known stand for those found before.
-                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")) if labels is not None else None
-                labels = components(found if known is None else known.unionByName(found))
+            join(cut(verify(some, cut(sets_of(nodes, False), "sets"), rule), "found"))
+
+    def join(found: DataFrame) -> None:
+        """Contract by new links; those of components that are known stand for the ones found before."""
+        nonlocal labels
+        if not found.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")) if labels is not None else None
+            labels = components(found if known is None else known.unionByName(found))
 
     def still_open() -> DataFrame:
         """Rows of lists with several components; smallest and largest ones are found in parts, so no list is gathered."""
@@ -265,23 +272,14 @@ def contract(buckets: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool]
             break
         before = rows
         settle(cut(_pivot_pairs(buckets, k), "pairs"))
-    sketches = None
-    for best in (True, False):
-        if best is False:
-            buckets = still_open()
-        sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        heavy = cut(sizes.filter(_heavy("of", "s", "q")).select("token"), "heavy")
-        if not heavy.isEmpty():
-            if sketches is None:
-                nodes = cut(buckets.join(small(heavy), "token", "left_semi").select("node").distinct(), "nodes")
-                sketches = cut(sets_of(nodes, True).dropDuplicates(["node"]), "sketches")
-            settle(cut(_block_pairs(buckets, heavy, sketches, rule, best), "pairs"))
-        elif best:
-            continue
-        if not best:
-            pairs = cut(_all_pairs(buckets.join(small(heavy), "token", "left_anti"), rule), "pairs")
-            pairs = pairs if labels is None else cut(_apart(pairs, labels), "pairs")
-            settle(pairs, ((0, 64),) if pairs.count() <= PAIRS else ((0, 1), (1, 8), (8, 64)))
+    sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("of"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    heavy = cut(sizes.filter(_heavy("of", "s", "q")).select("token"), "heavy")
+    if not heavy.isEmpty():
+        join(_block_links(buckets, heavy, rule, sets_of))
+    # Pairs of a heavy list have all been compared, so it does not come back, whatever is joined by now.
+    buckets = still_open()
+    pairs = cut(_all_pairs(buckets.join(small(heavy), "token", "left_anti"), rule), "pairs")
+    settle(pairs, ((0, 64),) if pairs.count() <= PAIRS else ((0, 1), (1, 8), (8, 64)))
     return labels
 
 
@@ -323,16 +321,16 @@ def _all_pairs(buckets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(needed).alias("needed")).filter("shared >= needed").select("a", "b")
 
 
-def _block_pairs(buckets: DataFrame, heavy: DataFrame, sketches: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in heavy lists that no bound rules out.
+def _block_links(buckets: DataFrame, heavy: DataFrame, rule: Rule, sets_of: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of components that links between nodes of heavy lists join.
 
     Near copies have many heavy lists in common, so lists of mostly the same
     nodes have one home: the smallest heavy token of most of their nodes.  A
     node goes once to each home of its lists, with the tokens of its prefix.  A
     home is cut into blocks, and each pair of blocks is a task's work.  A pair
-    counts in the first home of the lists that both nodes have, so no pair is
-    returned twice.  With ``best`` a node brings only the pair with its most
-    similar partner in a block.
+    counts in the first home of the lists that both nodes have.  Tasks tell
+    which nodes have a partner that no bound rules out; these meet again in
+    the same home with their whole sets.
     """
     in_heavy = buckets.select("token", "node").join(small(heavy), "token")
     first = in_heavy.groupBy("node").agg(F.min("token").alias("first"))
@@ -343,13 +341,22 @@ def _block_pairs(buckets: DataFrame, heavy: DataFrame, sketches: DataFrame, rule
     lists = marked.groupBy("node").agg(held.alias("held"), F.collect_set(F.when(F.col("home").isNull(), F.col("token"))).alias("lights"))
     nodes = lists.filter(F.size("held") > 0).select("node", F.col("held.token").alias("heavies"), F.col("held.home").alias("homes"), "lights")
     told = buckets.select("node", "n", "matches", "rest", "component").dropDuplicates(["node"])
+    sketches = sets_of(cut(in_heavy.select("node").distinct(), "nodes"), True).dropDuplicates(["node"])
     nodes = cut(nodes.join(sketches, "node").join(told, "node"), "heavy-nodes")
-    rows = nodes.withColumn("home", F.explode(F.array_distinct("homes")))
-    sizes = cut(nodes.select(F.explode(F.array_distinct("homes")).alias("home")).groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "home-blocks")
+    rows = _dealt(nodes.withColumn("home", F.explode(F.array_distinct("homes"))), F.ceil(F.count("*") / BLOCK))
+    met = rows.groupBy("home", "one", "two").applyInArrow(_compare(rule), "home long, node long, n long, component long").distinct()
+    met = cut(met, "met")
+    sets = cut(sets_of(cut(met.select("node").distinct(), "nodes"), False), "sets")
+    rows = _dealt(met, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / TOKENS))).join(sets, "node")
+    return cut(rows.groupBy("home", "one", "two").applyInArrow(_links(rule), "a long, b long"), "found")
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of homes for each pair of blocks (one, two) that holds their own."""
+    sizes = cut(rows.groupBy("home").agg(blocks.cast("int").alias("blocks")), "home-blocks")
     rows = rows.join(small(sizes), "home").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("blocks", "other")
-    return rows.groupBy("home", "one", "two").applyInArrow(_compare(rule, best), "a long, b long")
+    return rows.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("blocks", "other")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,12 +385,19 @@ def _shared(codes: np.ndarray, ends: np.ndarray, i: slice, j: slice) -> np.ndarr
     return out
 
 
-def _compare(rule: Rule, best: bool):
-    """A job for two blocks of one home of heavy lists, or for one block with itself."""
+def _squares(own: np.ndarray, side: int) -> Iterator[tuple[slice, slice]]:
+    """Ranges of rows to compare, of two blocks that stand one behind the other, or of one block with itself."""
+    middle = int(np.searchsorted(own, own[-1]))
+    for a in range(0, middle or len(own), side):
+        for b in range(middle or a, len(own), side):
+            yield slice(a, min(a + side, middle or len(own))), slice(b, min(b + side, len(own)))
+
+
+def _compare(rule: Rule):
+    """A job for a pair of blocks of one home of heavy lists: the nodes that may link with one of another component."""
 
     def job(table: pa.Table) -> pa.Table:
         home = table.column("home")[0].as_py()
-        same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
         heavies, owner = _flat(table.column("heavies"))
         first = np.full(table.num_rows, np.iinfo(np.int64).max)
         np.minimum.at(first, owner, heavies)
@@ -398,54 +412,74 @@ def _compare(rule: Rule, best: bool):
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(node)))])
         before, at, here, here_at = *_part(heavies, owner, homes < home, len(node)), *_part(heavies, owner, homes == home, len(node))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), BINS)
-        middle = 0 if same else int(np.searchsorted(own, own[-1]))
-        found = []
-        for a in range(0, len(node) if same else middle, SQUARE):
-            i = slice(a, min(a + SQUARE, len(node) if same else middle))
-            every = _held_by_all(before, at, i)
-            for b in range(a if same else middle, len(node), SQUARE):
-                j = slice(b, min(b + SQUARE, len(node)))
-                if len(np.intersect1d(every, _held_by_all(before, at, j))):
-                    continue
-                good = component[i][:, None] != component[j][None, :]
-                low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
-                good &= low * rule.den >= high * rule.num
-                if same and a == b:
-                    good = np.triu(good, 1)
-                if not good.any():
-                    continue
-                overlap = -(-(low + high) * rule.num // (rule.num + rule.den))
-                needed = np.maximum(np.minimum(matches[i][:, None], matches[j][None, :]), overlap - np.maximum(rest[i][:, None], rest[j][None, :]))
-                good &= (_shared(codes, ends, i, j) >= needed) & (_shared(before, at, i, j) == 0)
-                if good.any():
-                    good &= _shared(here, here_at, i, j) > 0
-                p, q = np.nonzero(good)
-                for c in range(0, len(p), 4096):
-                    u, v = p[c : c + 4096], q[c : c + 4096]
-                    bound = np.minimum(sketch[u + a], sketch[v + b]).sum(axis=1, dtype=np.int64)
-                    # A full bin says less than there is; only very long texts have one.
-                    full = (sketch[u + a] == 255).any(axis=1) | (sketch[v + b] == 255).any(axis=1)
-                    bound[full] = low[u, v][full]
-                    enough = bound >= overlap[u, v]
-                    u, v, bound = u[enough], v[enough], bound[enough]
-                    found.append((u + a, v + b, bound / (low[u, v] + high[u, v] - bound)))
-        u, v, like = (np.concatenate([*x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if best and len(u):
-            most = np.zeros(len(node))
-            np.maximum.at(most, u, like)
-            np.maximum.at(most, v, like)
-            # Of equal partners one is enough for now.
-            top = np.full(len(node), -1)
-            for side in (u, v):
-                k = np.flatnonzero(like == most[side])
-                top[side[k]] = k
-            k = np.unique(top[top >= 0])
-            u, v = u[k], v[k]
-        return pa.table({"a": np.minimum(node[u], node[v]), "b": np.maximum(node[u], node[v])})
+        met = np.zeros(len(node), bool)
+        every, last = np.zeros(0, np.int64), None
+        for i, j in _squares(own, SQUARE):
+            if i != last:
+                every, last = _held_by_all(before, at, i), i
+            # A node that has a partner needs no other one.
+            good = (component[i][:, None] != component[j][None, :]) & ~(met[i][:, None] & met[j][None, :])
+            low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
+            good &= low * rule.den >= high * rule.num
+            if i == j:
+                good = np.triu(good, 1)
+            if not good.any() or len(np.intersect1d(every, _held_by_all(before, at, j))):
+                continue
+            overlap = -(-(low + high) * rule.num // (rule.num + rule.den))
+            needed = np.maximum(np.minimum(matches[i][:, None], matches[j][None, :]), overlap - np.maximum(rest[i][:, None], rest[j][None, :]))
+            good &= (_shared(codes, ends, i, j) >= needed) & (_shared(before, at, i, j) == 0)
+            if good.any():
+                good &= _shared(here, here_at, i, j) > 0
+            p, q = np.nonzero(good)
+            for c in range(0, len(p), 4096):
+                u, v = p[c : c + 4096], q[c : c + 4096]
+                new = ~(met[u + i.start] & met[v + j.start])
+                u, v = u[new], v[new]
+                bound = np.minimum(sketch[u + i.start], sketch[v + j.start]).sum(axis=1, dtype=np.int64)
+                # A full bin says less than there is; only very long texts have one.
+                full = (sketch[u + i.start] == 255).any(axis=1) | (sketch[v + j.start] == 255).any(axis=1)
+                enough = full | (bound >= overlap[u, v])
+                met[u[enough] + i.start] = met[v[enough] + j.start] = True
+        return pa.table({"home": pa.array(np.full(met.sum(), home), pa.int64()), "node": node[met], "n": n[met], "component": component[met]})
+
+    return job
+
+
+def _links(rule: Rule):
+    """A job for a pair of blocks of whole sets: the components that their links join, each with the smallest it leads to."""
+
+    def job(table: pa.Table) -> pa.Table:
+        # Of rows in the order of their size many squares are known not to link.
+        size = pc.list_value_length(table.column("shingles")).to_numpy()
+        table = table.take(pa.array(np.lexsort([size, table.column("own").to_numpy()])))
+        names, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        codes, row = _flat(table.column("shingles"))
+        n = np.bincount(row, minlength=table.num_rows)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        root = np.arange(len(names))
+        for i, j in _squares(table.column("own").to_numpy(), SQUARE):
+            good = root[part[i]][:, None] != root[part[j]][None, :]
+            good &= np.minimum(n[i][:, None], n[j][None, :]) * rule.den >= np.maximum(n[i][:, None], n[j][None, :]) * rule.num
+            u, v = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
+            if not len(u):
+                continue
+            both = _shared(*_rows(codes, ends, np.concatenate([u + i.start, v + j.start])), slice(0, len(u)), slice(len(u), len(u) + len(v))).astype(np.int64)
+            u, v = u + i.start, v + j.start
+            p, q = np.nonzero((both > 0) & (both * rule.den >= (n[u][:, None] + n[v][None, :] - both) * rule.num))
+            root = roots(len(names), root[part[u[p]]], root[part[v[q]]])[root]
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[root[moved]]})
 
     return job
 
 
+def _rows(codes: np.ndarray, ends: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of some rows, and where each row's begin."""
+    length = ends[some + 1] - ends[some]
+    at = np.concatenate([[0], np.cumsum(length)])
+    return codes[np.repeat(ends[some] - at[:-1], length) + np.arange(at[-1])], at
+
+
 def _part(codes: np.ndarray, owner: np.ndarray, some: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Some of the codes, which stand by row, and where each row's begin."""
     return codes[some], np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=rows))])

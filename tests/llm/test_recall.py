@@ -65,6 +65,34 @@ def test_large_unlike_groups_make_few_rows(spark, monkeypatch):
     assert sum(made) <= 20 * sizes[0]
 
 
+@pytest.mark.parametrize("tokens", [1 << 21, 20_000])
+def test_a_group_of_near_copies_makes_no_rows_of_pairs(spark, monkeypatch, tokens):
+    """300 near copies, most of which do not link: 44,850 pairs, few of which a bound rules out."""
+    rnd, rows = random.Random(23), []
+    base = prose(rnd, 150).split(" ")
+    for k in range(300):
+        w = list(base)
+        for _ in range(rnd.choice((2, 3, 3))):
+            w[rnd.randrange(len(w))] = rnd.choice(VOCABULARY)
+        rows.append((k, " ".join(w)))
+    sets = {k: shingles(t.split(" "), 5) for k, t in rows}
+    expected = components_of(list(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b], 80, 100)])
+    made, cut = {}, ngram_join.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    for name, value in (("cut", counted), ("TOKENS", tokens), ("SQUARE", 64), ("ROUNDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+    assert len(set(expected.values())) > 30
+    assert made.pop("prefixes") > 0 and made.pop("buckets") > 0
+    assert max(made.values()) <= 2 * len(rows), made
+
+
 def test_many_links_are_contracted_by_joins(spark, monkeypatch):
     rnd = random.Random(5)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1040)]
