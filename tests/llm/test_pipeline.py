@@ -6,6 +6,7 @@ import re
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from narrata.llm import ngram_join
 from narrata.llm.queries import tokenizer_path
 
 RND = random.Random(12)
@@ -53,3 +54,34 @@ def test_stages_keep_what_they_should(spark, tmp_path):
         n = len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
         assert (r.start, r.n_tokens) == (at, n)
         at += n
+
+
+def test_near_copies_that_do_not_link_make_no_rows_of_pairs(spark, monkeypatch):
+    rnd, texts = random.Random(13), {}
+    base = prose(150).split(" ")
+    for k in range(400):
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.choice((2, 3, 3, 4))):
+            w[at] = rnd.choice(VOCABULARY)
+        texts[k] = " ".join(w)
+    sets = {k: {tuple(w[j : j + 5]) for j in range(146)} for k, w in ((k, t.split(" ")) for k, t in texts.items())}
+    smallest = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        for a, b in links:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    made, cut = {}, ngram_join.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.keep_one_of_each_group(spark, docs, "").collect()}
+    assert kept == {k for k, s in smallest.items() if s == k}
+    assert 30 < len(kept) < 370
+    assert made.pop("prefixes") > 0 and made.pop("buckets") > 0
+    assert max(made.values()) <= 2 * len(texts), made
