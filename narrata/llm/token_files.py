@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from narrata.llm import words
-from narrata.llm.scratch import cut, new_path
+from narrata.llm.scratch import cut, new_path, uri
 
 SEQUENCE = 2048
 BATCH = 64
@@ -261,10 +261,6 @@ def _checksums(data: pa.ipc.RecordBatchFileReader, counts: np.ndarray) -> list[i
 
 def tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` into a new folder of the shared one and read them back."""
-    folder = new_path(docs.sparkSession, "tokens")
-    if "://" not in folder:
-        if not docs.sparkSession.sparkContext.master.startswith("local["):
-            raise ValueError(f"the shared folder must be a URI: {folder}")
-        folder = f"file://{folder}"
+    folder = uri(docs.sparkSession, new_path(docs.sparkSession, "tokens"))
     files = write(docs, folder, tokenizer, key, text)
     return read_index(files, folder, dict(docs.dtypes)[key])

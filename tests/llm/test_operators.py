@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from narrata.llm import decontam, embedding_forest, graph, html_extract, mixing, ngram_join, passages, quality, secrets, sharding, token_files, words
+from narrata.llm import decontam, embedding_forest, graph, html_extract, mixing, ngram_join, passages, quality, scratch, secrets, sharding, token_files, words
 from narrata.llm.queries import tokenizer_path
 
 RND = random.Random(7)
@@ -256,6 +256,16 @@ def test_token_files_round_trip(spark, corpus, tmp_path, monkeypatch):
             assert some[mask].tolist() == whole[64 * i : 64 * i + 64].tolist()
 
 
+def test_token_files_in_a_shared_folder_of_any_form(spark, tmp_path, monkeypatch):
+    """The setting of a cluster may be a plain path, or lead to another store by a mount table."""
+    docs = frame(spark, [(1, "a b"), (2, None)])
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[1,1,1024]")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./shared", f"file://{tmp_path}")
+    for folder in (f"file://{tmp_path}", str(tmp_path / "a plain path"), "viewfs://tokens/shared"):
+        monkeypatch.setattr(scratch, "shared_dir", lambda _, folder=folder: folder)
+        assert [(r.doc_id, r.start, r.n_tokens) for r in token_files.tokens(docs, tokenizer_path()).orderBy("doc_id").collect()] == [(1, 0, 3), (2, 3, 1)]
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(k, ["a", "b", None][k % 3 if k < 300 else 0], 5 + k % 40) for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
