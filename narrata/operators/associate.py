@@ -13,13 +13,46 @@ from pyspark.sql import functions as F
 from narrata.operators.text import match_text
 
 LEAST = 0.6
-#: Texts whose lengths have a larger product are compared by an automaton.
+#: Texts whose lengths have a larger product are compared by an automaton, if they have no long part in common.
 WIDE = 250_000
+#: Letters of the shortest parts that are looked for, as one string in the other.
+PART = 8
 ID = ["book_id", "chapter_id"]
 
 
+def _ahead(a: str, i: int, b: str, j: int) -> int:
+    """How many letters from i in a on are those from j in b on."""
+    n, most, step, grows = 0, min(len(a) - i, len(b) - j), 32, True
+    while n < most and step:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 1 + grows
+        else:
+            step, grows = step // 2, False
+    return n
+
+
+def _behind(a: str, i: int, b: str, j: int) -> int:
+    """How many letters before i in a are those before j in b."""
+    n, most, step, grows = 0, min(i, j), 32, True
+    while n < most and step:
+        step = min(step, most - n)
+        if a[i - n - step : i - n] == b[j - n - step : j - n]:
+            n += step
+            step *= 1 + grows
+        else:
+            step, grows = step // 2, False
+    return n
+
+
 def _common(a: str, b: str) -> int:
     """Letters of the longest common subsequence, by the bits of one number: no likeness counts more."""
+    # What both begin and end with is part of one.
+    start = _ahead(a, 0, b, 0)
+    a, b = a[start:], b[start:]
+    end = _behind(a, len(a), b, len(b))
+    a, b = a[: len(a) - end], b[: len(b) - end]
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
@@ -28,7 +61,56 @@ def _common(a: str, b: str) -> int:
     for c in b:
         both = row & places.get(c, 0)
         row = (row + both | row - both) & every
-    return len(a) - row.bit_count()
+    return start + end + len(a) - row.bit_count()
+
+
+def _longest_part(a: str, b: str, most: int) -> tuple[int, int, int] | None:
+    """As ``_longest``, by parts of b that stand side by side; None if nothing long is common or parts are too often in a.
+
+    Nothing common has more than ``most`` letters.  Of g letters each, one part
+    at least lies in any common part of 2 g - 1 letters; so once such a one is
+    found, all as long have been found.
+    """
+    g, left = (most + 1) // 2, 256 + len(b) // 16
+    while g >= PART:
+        best, known = (0, 0, 0), {}
+        for j in range(0, len(b) - g + 1, g):
+            part = b[j : j + g]
+            i = a.find(part)
+            while i >= 0:
+                left -= 1
+                if left < 0:
+                    return None
+                if known.get(i - j, 0) < j + g:
+                    back = _behind(a, i, b, j)
+                    n = back + g + _ahead(a, i + g, b, j + g)
+                    known[i - j] = j - back + n
+                    best = min(best, (-n, i - back, j - back))
+                i = a.find(part, i + 1)
+        n = -best[0]
+        if n >= 2 * g - 1:
+            return best[1], best[2], n
+        g = (n + 1) // 2 if n else g // 2
+    return None
+
+
+def _first(a: str, b: str, n: int, places: int = 16) -> tuple[int, int, int] | None:
+    """As ``_longest``, where nothing common has more than n letters and such a part begins within some places of a."""
+    for i in range(min(places, len(a) - n + 1)):
+        j = b.find(a[i : i + n])
+        if j >= 0:
+            return i, j, n
+    return None
+
+
+def _longest_short(a: str, b: str, most: int) -> tuple[int, int, int]:
+    """As ``_longest``, where nothing common has more than ``most`` letters, and these are few."""
+    for n in range(most, 0, -1):
+        there = {b[j : j + n] for j in range(len(b) - n + 1)}
+        for i in range(len(a) - n + 1):
+            if a[i : i + n] in there:
+                return i, b.find(a[i : i + n]), n
+    return 0, 0, 0
 
 
 def _longest(a: str, b: str) -> tuple[int, int, int]:
@@ -72,18 +154,24 @@ def _longest(a: str, b: str) -> tuple[int, int, int]:
 
 def likeness(a: str, b: str) -> float:
     """``SequenceMatcher(None, a, b, autojunk=False).ratio()``; parts that are long on both sides do not take time with their product."""
-    equal, parts = 0, [(a, b)]
+    equal, parts = 0, [(a, b, len(a))]
     while parts:
-        x, y = parts.pop()
-        if not x or not y:
+        x, y, most = parts.pop()
+        most = min(most, len(x), len(y))
+        if most == 0:
+            continue
+        if len(x) == 1 or len(y) == 1:
+            equal += x in y or y in x
             continue
-        if len(x) * len(y) <= WIDE:
+        # Beside the longest common part there is none that is longer, so often the next one is found at once.
+        found = _first(x, y, most) or _longest_part(x, y, most)
+        if found is None and len(x) * len(y) <= WIDE:
             equal += sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
             continue
-        i, j, n = _longest(x, y)
+        i, j, n = found or (_longest_short(x, y, most) if most < 2 * PART else _longest(x, y))
         if n:
             equal += n
-            parts += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+            parts += [(x[:i], y[:j], n), (x[i + n :], y[j + n :], n)]
     return 2.0 * equal / (len(a) + len(b)) if a or b else 1.0
 
 
@@ -179,11 +267,22 @@ def associate_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
     """(book_id, chapter_id, block_index, old_index): for each new block the old one it stands for, or null.
 
     Both sides have book_id, chapter_id, block_index and text.  Blocks of one
-    text at one place are joined first; only what is left of a chapter, which
-    is what was edited in it, is compared by likeness, one chapter at a time.
+    text at one place are told by their counts; only what is left of a chapter,
+    which is what was edited in it, is compared by likeness, one chapter at a
+    time.  Both sides are shuffled together by chapter, with no join, for each of
+    the two; chapters are not gathered in fewer tasks for being short, since
+    their work is in Python.
     """
-    sides = [d.select(F.col("book_id").cast("string"), F.col("chapter_id").cast("long"), F.col("block_index").cast("int"), match_text(F.col("text")).alias("norm")) for d in (old, new)]
-    kept = sides[0].join(sides[1], [*ID, "block_index", "norm"]).select(*ID, "block_index")
-    left = [s.join(kept, [*ID, "block_index"], "left_anti").withColumn("new", F.lit(bool(k))) for k, s in enumerate(sides)]
-    edited = left[0].unionByName(left[1]).groupBy(*ID).applyInArrow(_job, "book_id string, chapter_id long, block_index int, old_index int")
+    sides = [
+        d.select(F.col("book_id").cast("string"), F.col("chapter_id").cast("long"), F.col("block_index").cast("int"), match_text(F.col("text")).alias("norm"), F.lit(1 - k).alias("olds"), F.lit(k).alias("news"))
+        for k, d in enumerate((old, new))
+    ]
+    tasks = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = sides[0].unionByName(sides[1]).repartition(tasks, *ID).groupBy(*ID, "block_index", "norm").agg(F.sum("olds").alias("olds"), F.sum("news").alias("news"))
+    # What has no key or no text is no one's equal here, and stays with its chapter.
+    same = (F.col("olds") > 0) & (F.col("news") > 0) & F.concat("book_id", "norm").isNotNull() & F.col("chapter_id").isNotNull() & F.col("block_index").isNotNull()
+    kept = told.filter(same).select(*ID, "block_index", F.explode(F.sequence(F.lit(1), F.col("olds") * F.col("news"))).alias("times")).drop("times")
+    sided = F.concat(F.array_repeat(F.lit(False), F.col("olds").cast("int")), F.array_repeat(F.lit(True), F.col("news").cast("int")))
+    left = told.filter(~same).select(*ID, "block_index", "norm", F.explode(sided).alias("new"))
+    edited = left.groupBy(*ID).applyInArrow(_job, "book_id string, chapter_id long, block_index int, old_index int")
     return kept.withColumn("old_index", F.col("block_index")).unionByName(edited)

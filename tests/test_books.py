@@ -278,3 +278,35 @@ def test_what_an_edited_block_is_not_like_is_not_compared(monkeypatch):
     long = " ".join(rnd.choice(words) for _ in range(6_000))
     began = time.monotonic()
     assert associate._pairs([(0, long)], [(0, long[:9_000] + "zz" + long[9_000:])]) == [(0, 0)] and time.monotonic() - began < 5
+
+
+def test_long_common_parts_are_found_as_strings(monkeypatch):
+    """Blocks of one edit are compared by a few searches, not letter by letter; periodic texts, and those with nothing long in common, as before."""
+    rnd = random.Random(13)
+    for part in (1, 2, associate.PART):
+        monkeypatch.setattr(associate, "PART", part)
+        for _ in range(400):
+            letters = rnd.choice(["a", "ab", "abcdefgh é"])
+            text = lambda n: "".join(rnd.choice(letters) for _ in range(rnd.randrange(n)))  # noqa: B023, E731
+            a, k = text(60), rnd.randrange(60)
+            b = rnd.choice([text(60), a[:k] + text(5) + a[k + rnd.randrange(4) :]])
+            assert associate.likeness(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+    # Neither the longest part, nor what is left beside it, is looked for letter by letter.
+    monkeypatch.setattr(associate, "_longest", None)
+    monkeypatch.setattr(associate, "SequenceMatcher", None)
+    words = [f"{a}{b}{c}" for a in "bdkl" for b in "aeio" for c in "mnrst"]
+    old = [(k, " ".join(rnd.choice(words) for _ in range(120))) for k in range(20)]
+    assert sorted(associate._pairs(old, [(k, f"{t[:90]}z{t[91:300]}z{t[301:]}") for k, t in old])) == [(k, k) for k in range(20)]
+
+
+def test_blocks_of_both_sides_are_dealt_together(spark):
+    """No join of the texts; a book without a key, a block without a text and repeated blocks are as they were."""
+    rows = [("b", 1, 0, "same"), ("b", 1, 1, "a block that is edited"), (None, 1, 0, "no key"), ("b", 2, 0, None), ("b", 3, 0, "twice"), ("b", 3, 0, "twice")]
+    old = spark.createDataFrame(rows, BLOCK)
+    new = spark.createDataFrame([(*r[:3], r[3] and r[3].replace("edited", "changed")) for r in rows[:5]], BLOCK)
+    found = associate_blocks(old, new)
+    assert sorted(map(str, ((r.book_id, r.chapter_id, r.block_index, r.old_index) for r in found.collect()))) == sorted(
+        map(str, [("b", 1, 0, 0), ("b", 1, 1, 1), (None, 1, 0, 0), ("b", 2, 0, 0), ("b", 3, 0, 0), ("b", 3, 0, 0)])
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 2
