@@ -165,6 +165,18 @@ def test_suggestions_in_order_are_dealt_by_chapter(spark):
     assert all(rows == sorted(rows) for rows in by_part.values())
 
 
+def test_prepass_gives_its_suggestions_in_order(spark):
+    """The last step of the pre-pass: by block, start, end, kind and reason within a chapter, as they come from its partition."""
+    texts = ["— Nie  teraz — powiedziała IT o 18:00.", "Walker ma 3 koty", "Copyright IT 2001", "the  NATO end"]
+    blocks = spark.createDataFrame([("b", c, k, t) for c in range(6) for k, t in enumerate(texts)], BLOCK)
+    rules = spark.createDataFrame([("3 koty", "trzy koty", False, False, True, 1, "global", 0)], "pattern string, spoken string, is_regex boolean, case_sensitive boolean, auto boolean, priority int, scope string, place int")
+    found = P.prepass(blocks, rules=rules).withColumn("part", F.spark_partition_id()).collect()
+    assert len({(r.part, r.chapter_id) for r in found}) == 6
+    for c in range(6):
+        rows = [(r.block_index, r.start, r.end, r.kind, r.reason) for r in found if r.chapter_id == c]
+        assert rows == sorted(rows) and {r[3] for r in rows} >= {"dialogue_split", "speaker_gender", "numeral", "acronym", "skip", "dict_hit", "foreign_word", "conversion_artifact"}
+
+
 def test_plan_of_a_book(spark):
     spans = "array<struct<kind:string,gender:string,spoken:string,start:int,end:int>>"
     rows = [("b", 1, 0, "Raz. Dwa. Trzy.", []), ("b", 1, 1, "A rzekł IT", [("dialogue", "male", None, 0, 1), ("pronunciation", None, "aj ti", 8, 10)]), ("b", 2, 0, "Raz. Dwa. Trzy.", [])]
