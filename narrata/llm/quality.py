@@ -147,12 +147,22 @@ def logits(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE) -> Model:
-    """Train on at most ``most`` labelled documents, those with the smallest key hashes."""
+    """Train on at most ``most`` labelled documents, those with the smallest key hashes.
+
+    One task trains, so neither the texts nor what is learned from them come to
+    the driver, which gets the numbers of the buckets alone.
+    """
     rows = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key)).agg(F.max(label).cast("int").alias("__label"))
     chosen = rows.orderBy(F.xxhash64(key), key).limit(most)
-    sample = docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key]).collect()  # `most` rows at most
-    sample.sort(key=lambda r: r[key])
-    return train([r[text] for r in sample], [r["__label"] for r in sample])
+    sample = docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key]).select(key, text, "__label")  # `most` rows at most
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    learned = sample.repartition(1).mapInArrow(job, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(learned.weights), np.float32), learned.bias) if learned else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
